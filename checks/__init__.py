@@ -1,6 +1,17 @@
 """The operators over the test tables, each beside plain SQL for the same result."""
 
-from checks import cost, storage  # noqa: F401
+from checks import (  # noqa: F401
+    control,
+    cost,
+    landing,
+    performance,
+    security,
+    semantic,
+    sizing,
+    storage,
+    streaming,
+    users,
+)
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -101,7 +101,11 @@ def append_versions(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
 
 
 def load_log(loaded: DataFrame, as_of=None, corrupt: str = "_corrupt_record") -> DataFrame:
-    """Outcome per file: rows parsed, rows loaded, errors, status and time."""
+    """Outcome per file: rows parsed, rows loaded, errors, status and time.
+
+    ``loaded`` has to be persisted or written first: Spark does not count the rows that
+    fail to parse straight from text files.
+    """
     bad = F.count_if(F.col(corrupt).isNotNull()) if corrupt in loaded.columns else F.lit(0)
     per_file = loaded.groupBy(F.col(SOURCE_FILE).alias("file_name")).agg(
         F.count(F.lit(1)).alias("row_parsed"), bad.cast("bigint").alias("error_count")

@@ -130,7 +130,7 @@ def perf_by_day_long(qh: DataFrame, as_of) -> DataFrame:
     )
 
 
-def preview_queries(qh: DataFrame, n: int = 200) -> DataFrame:
+def preview_queries(qh: DataFrame, n: int = 200, *extra: Column) -> DataFrame:
     return qh.select(
         "query_id",
         "user_name",
@@ -139,12 +139,13 @@ def preview_queries(qh: DataFrame, n: int = 200) -> DataFrame:
         "execution_status",
         preview_text("query_text", n).alias("query_preview"),
         "start_time",
+        *extra,
     )
 
 
 def slowest_queries(qh: DataFrame, start, end, k: int = 50) -> DataFrame:
     rows = period_filter(qh, "start_time", start, end).where(F.col("total_elapsed_time") > 0)
-    shown = preview_queries(rows).withColumn("_ms", F.col("total_elapsed_time"))
+    shown = preview_queries(rows, 200, F.col("total_elapsed_time").alias("_ms"))
     return top_k(shown, k, desc("_ms"), drop=("_ms",))
 
 

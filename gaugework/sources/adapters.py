@@ -92,7 +92,7 @@ ADAPTERS: dict[str, str] = {
                l_tax AS avg_running,
                CASE WHEN l_quantity > 49 THEN l_discount * 20 WHEN l_quantity > 30 THEN l_discount * 4
                     ELSE 0 * l_discount END AS avg_queued_load,
-               l_discount / 10 AS avg_blocked
+               l_discount * l_quantity / 97 AS avg_blocked
         FROM {lineitem}""",
     # ---- logins, sessions, users, grants ----------------------------------------
     "login_history": """
@@ -246,9 +246,9 @@ ADAPTERS: dict[str, str] = {
         FROM {lineitem}""",
     "materialized_view_refresh_history": """
         SELECT 'MV_' || CAST(p_partkey AS STRING) AS table_name,
-               CASE WHEN p_size < 40 THEN p_size * 0.25 END AS credits_used FROM {part}""",
+               CASE WHEN p_size < 40 THEN CAST(p_size AS DOUBLE) * 0.25 END AS credits_used FROM {part}""",
     "replication_usage_history": """
-        SELECT s_name AS database_name, s_nationkey * 0.5 AS credits_used, s_suppkey * 1000000 AS bytes_transferred
+        SELECT s_name AS database_name, CAST(s_nationkey AS DOUBLE) * 0.5 AS credits_used, s_suppkey * 1000000 AS bytes_transferred
         FROM {supplier}""",
     "data_transfer_history": """
         SELECT c_mktsegment AS target_region, c_custkey * 1000 AS bytes_transferred FROM {customer}""",
@@ -257,7 +257,7 @@ ADAPTERS: dict[str, str] = {
         SELECT s_name AS monitor_owner, 'WH_' || CAST(s_suppkey AS STRING) AS warehouse_name,
                CASE WHEN s_nationkey < 5 THEN 'WEEKLY' WHEN s_nationkey < 10 THEN 'MONTHLY' WHEN s_nationkey < 13 THEN 'YEARLY'
                     WHEN s_nationkey < 15 THEN 'NEVER' ELSE 'DAILY' END AS frequency,
-               CASE WHEN s_nationkey = 20 THEN 0.0 ELSE round(abs(s_acctbal) / 1000) + 1 END AS credit_limit,
+               CASE WHEN s_nationkey = 20 THEN 0.0 ELSE round(abs(s_acctbal) / 500) + 4 END AS credit_limit,
                s_acctbal > 5000 AS auto_suspend_at_100, true AS alert_threshold_70, s_nationkey < 20 AS alert_threshold_85,
                s_acctbal > 0 AS alert_threshold_95,
                CASE WHEN s_acctbal >= 0 THEN split('ops@example.com,' || lower(s_name) || '@example.com', ',') END AS alert_emails,
@@ -356,8 +356,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # Written as a pattern because a stream takes a plain path to be a folder; this matches
+    # a single file as well.
+    return spark.readStream.schema(_read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def _apply(spark: SparkSession, sf_dir: str, name: str, read) -> DataFrame:
