@@ -9,7 +9,7 @@ task.  Here the counts stay spread by (key, value):
    input) gives the running count, hence the buckets that hold the wanted ranks;
 3. only the values of those buckets are ranked, per (key, bucket).
 
-The counts are used twice, but it is the same shuffle: Spark reuses the exchange.
+The counts are used twice, but they come from one shuffle: Spark reuses the exchange.
 """
 
 from __future__ import annotations
@@ -36,76 +36,89 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_percentiles(
-    counts: DataFrame, keys: Sequence[str], value: str, percentiles: dict[str, float]
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    percentiles: dict[str, float],
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles (``percentile_cont``) from :func:`value_counts`.
 
-    ``percentiles`` maps output column -> fraction.  One row per key combination
-    (one row in all when ``keys`` is empty and there is any non-NULL value).
+    ``percentiles`` maps output column -> fraction.  ``sums`` are further outputs, each
+    the sum over the counts of an expression of ``value`` and ``freq``; they ride along
+    with the histogram.  One row per key combination, one row in all without keys.
     """
-    keys = list(keys)
-    present = counts.where(F.col(value).isNotNull()).withColumn("bucket", _bucket(F.col(value)))
+    keys, sums = list(keys), dict(sums or {})
+    bucketed = counts.withColumn("bucket", _bucket(F.col(value)))
 
-    # At most ~45,000 rows per key from here on.
-    histogram = present.groupBy(*keys, "bucket").agg(F.sum("freq").alias("in_bucket"))
-    running = Window.partitionBy(*keys).orderBy("bucket")
+    # At most ~45,000 rows per key from here on; NULL values sit in a NULL bucket.
+    histogram = bucketed.groupBy(*keys, "bucket").agg(
+        F.sum(F.when(F.col(value).isNotNull(), F.col("freq")).otherwise(0)).alias("in_bucket"),
+        *[F.sum(expr).alias(name) for name, expr in sums.items()],
+    )
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     located = histogram.select(
         *keys,
         "bucket",
-        (F.sum("in_bucket").over(running) - F.col("in_bucket")).alias("before"),
         F.sum("in_bucket").over(running).alias("upto"),
-        F.sum("in_bucket").over(Window.partitionBy(*keys)).alias("n"),
-    )
+        "in_bucket",
+        F.sum("in_bucket").over(whole).alias("n"),
+        *[F.sum(name).over(whole).alias(name) for name in sums],
+    ).withColumn("before", F.col("upto") - F.col("in_bucket"))
 
-    def rank(fraction: float, side: str) -> Column:
-        position = F.lit(float(fraction)) * (F.col("n") - 1)
-        return F.floor(position) if side == "low" else F.ceil(position)
+    def position(fraction: float) -> Column:
+        return F.lit(float(fraction)) * (F.col("n") - 1)
 
-    wanted = [rank(p, side) for p in percentiles.values() for side in ("low", "high")]
-    holds_rank = F.lit(False)
-    for r in wanted:
-        holds_rank = holds_rank | ((r >= F.col("before")) & (r < F.col("upto")))
-    buckets = located.where(holds_rank).select(*keys, "bucket", "before", "n")
+    def ranks(fraction: float) -> tuple[Column, Column]:
+        return F.floor(position(fraction)), F.ceil(position(fraction))
+
+    holds_rank = F.col("n") == 0  # only NULL values: keep the key
+    for p in percentiles.values():
+        for r in ranks(p):
+            holds_rank = holds_rank | ((r >= F.col("before")) & (r < F.col("upto")))
+    buckets = located.where(holds_rank).select(*keys, "bucket", "before", "n", *sums)
 
     # NULL keys are groups of their own, hence the null-safe match.
-    left, right = present.alias("v"), buckets.alias("b")
-    same = F.col("v.bucket") == F.col("b.bucket")
+    same = F.col("b.bucket").eqNullSafe(F.col("v.bucket"))
     for key in keys:
-        same = same & F.col(f"v.{key}").eqNullSafe(F.col(f"b.{key}"))
-    inside = left.join(right, same).select(
-        *[F.col(f"v.{key}") for key in keys],
-        F.col("v.bucket"),
-        F.col(f"v.{value}").alias("_value"),
-        F.col("v.freq"),
-        F.col("b.before"),
-        F.col("b.n"),
+        same = same & F.col(f"b.{key}").eqNullSafe(F.col(f"v.{key}"))
+    inside = (
+        buckets.alias("b")
+        .join(bucketed.alias("v"), same)
+        .select(
+            *[F.col(f"b.{c}") for c in (*keys, "bucket", "before", "n", *sums)],
+            F.col(f"v.{value}").alias("_value"),
+            F.col("v.freq").alias("freq"),
+        )
     )
-    within = Window.partitionBy(*keys, "bucket").orderBy("_value")
-    ranked = inside.select(
-        *keys,
-        "_value",
-        "n",
-        (F.col("before") + F.sum("freq").over(within) - F.col("freq")).alias("first"),
-        (F.col("before") + F.sum("freq").over(within)).alias("past"),
+    within = (
+        Window.partitionBy(*keys, "bucket")
+        .orderBy("_value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = inside.withColumn("past", F.col("before") + F.sum("freq").over(within)).withColumn(
+        "first", F.col("past") - F.col("freq")
     )
 
     def at(r: Column) -> Column:
         hit = (r >= F.col("first")) & (r < F.col("past"))
-        return F.max(F.when(hit, F.col("_value")))
+        return F.max(F.when(hit, F.col("_value"))).cast("double")
 
     picks = []
     for name, p in percentiles.items():
-        picks += [at(rank(p, "low")).alias(f"{name}_low"), at(rank(p, "high")).alias(f"{name}_high")]
-    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-
+        low, high = ranks(p)
+        picks += [at(low).alias(f"{name}_low"), at(high).alias(f"{name}_high")]
+    picked = ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"), *picks, *[F.max(name).alias(name) for name in sums]
+    )
     out = []
     for name, p in percentiles.items():
-        low, high = F.col(f"{name}_low").cast("double"), F.col(f"{name}_high").cast("double")
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    result = picked.select(*keys, "n", *out)
-    # Without keys an empty input still aggregates to one row; drop it like a group-by would.
-    return result.where(F.col("n").isNotNull()).drop("n")
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        part = position(p) - F.floor(position(p))
+        # Six decimals: float noise must not decide how a tie is rounded later.
+        out.append(F.round(low + (high - low) * part, 6).alias(name))
+    return picked.select(*keys, *out, *sums)
 
 
 def max_buckets(limit: float) -> int:

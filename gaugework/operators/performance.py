@@ -43,15 +43,6 @@ def _errors() -> Column:
     return F.count_if(F.col("error_code").isNotNull())
 
 
-def _side_by_side(keys: list[str], *frames: DataFrame) -> DataFrame:
-    """Frames with one row per key put next to each other without a join."""
-    stacked = frames[0]
-    for frame in frames[1:]:
-        stacked = stacked.unionByName(frame, allowMissingColumns=True)
-    measures = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in measures])
-
-
 def query_count(qh: DataFrame, start, end) -> DataFrame:
     return period_filter(qh, "start_time", start, end).agg(F.count(F.lit(1)).alias("total"))
 
@@ -80,26 +71,29 @@ def perf_summary(qh: DataFrame, start, end, approx: bool = False) -> DataFrame:
             F.count_if(F.col("total_elapsed_time") > SLOW_QUERY_MS).alias("slow_queries"),
         )
     counts = value_counts(rows, [], "total_elapsed_time")
-    stats = counts.agg(*_weighted_stats(F.col("total_elapsed_time") > SLOW_QUERY_MS))
-    ranks = exact_percentiles(counts, [], "total_elapsed_time", {"p50": 0.5, "p95": 0.95})
-    both = _side_by_side([], stats, ranks)
-    return both.select(
-        F.coalesce("n", F.lit(0)).alias("total_queries"),
-        F.round(F.col("mean") / 1000, 2).alias("avg_duration_sec"),
+    sums = {**_average(), "slow": F.when(F.col("total_elapsed_time") > SLOW_QUERY_MS, F.col("freq"))}
+    row = exact_percentiles(counts, [], "total_elapsed_time", {"p50": 0.5, "p95": 0.95}, sums)
+    return row.select(
+        F.coalesce("rows", F.lit(0)).alias("total_queries"),
+        F.round(_mean() / 1000, 2).alias("avg_duration_sec"),
         F.round(F.col("p50") / 1000, 2).alias("median_duration_sec"),
         F.round(F.col("p95") / 1000, 2).alias("p95_duration_sec"),
-        F.coalesce("flagged", F.lit(0)).alias("slow_queries"),
+        F.coalesce("slow", F.lit(0)).alias("slow_queries"),
     )
 
 
-def _weighted_stats(flag: Column) -> list[Column]:
+def _average() -> dict[str, Column]:
+    """Sums over value counts from which row count and mean follow."""
     value, freq = F.col("total_elapsed_time"), F.col("freq")
-    with_value = F.sum(F.when(value.isNotNull(), freq))
-    return [
-        F.sum(freq).alias("n"),
-        F.try_divide(F.sum(value.cast("double") * freq), with_value).alias("mean"),
-        F.sum(F.when(flag, freq)).alias("flagged"),
-    ]
+    return {
+        "rows": freq,
+        "valued": F.when(value.isNotNull(), freq),
+        "total_ms": value.cast("double") * freq,
+    }
+
+
+def _mean() -> Column:
+    return F.try_divide(F.col("total_ms"), F.col("valued"))
 
 
 def perf_by_day(qh: DataFrame, as_of) -> DataFrame:
@@ -110,16 +104,14 @@ def perf_by_day(qh: DataFrame, as_of) -> DataFrame:
         .select(F.to_date("start_time").alias("day"), "total_elapsed_time")
     )
     counts = value_counts(rows, ["day"], "total_elapsed_time")
-    stats = counts.groupBy("day").agg(*_weighted_stats(F.lit(True)))
-    ranks = exact_percentiles(
-        counts, ["day"], "total_elapsed_time", {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    stats = exact_percentiles(
+        counts, ["day"], "total_elapsed_time", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, _average()
     )
-    both = _side_by_side(["day"], stats, ranks)
-    out = both.select(
+    out = stats.select(
         "day",
-        F.round(F.col("mean") / 1000, 1).alias("avg_sec"),
+        F.round(_mean() / 1000, 1).alias("avg_sec"),
         *[F.round(F.col(p) / 1000, 1).alias(f"{p}_sec") for p in ("p50", "p95", "p99")],
-        F.col("n").alias("nb_queries"),
+        F.col("rows").alias("nb_queries"),
     )
     return ordered(out, asc("day"))
 

@@ -175,7 +175,7 @@ ADAPTERS: dict[str, str] = {
                CASE WHEN s_acctbal < 0 THEN CAST(NULL AS STRING) ELSE 'shared' END AS comment
         FROM {supplier}""",
     "resource_monitors": """
-        SELECT s_name AS name, CASE WHEN s_nationkey = 3 THEN 0.0 ELSE 8000.0 END AS credit_quota,
+        SELECT s_name AS name, CAST(CASE WHEN s_nationkey = 3 THEN 0 ELSE 8000 END AS DOUBLE) AS credit_quota,
                abs(s_acctbal) AS used_credits, 8000.0 - abs(s_acctbal) AS remaining_credits,
                'OWNER_' || CAST(s_nationkey AS STRING) AS owner
         FROM {supplier}""",
@@ -267,18 +267,18 @@ ADAPTERS: dict[str, str] = {
         SELECT warehouse_name, 'DAILY' AS frequency, credit_limit, is_suspend AS auto_suspend_at_100,
                CASE WHEN is_suspend THEN split('ops@example.com,fin@example.com', ',') END AS alert_emails, is_active
         FROM (SELECT event_type AS warehouse_name, event_type IN ('click', 'error') AS is_suspend, true AS is_active,
-                     CASE event_type WHEN 'click' THEN 3500.0 WHEN 'error' THEN 2800.0 WHEN 'purchase' THEN 3000.0
-                          WHEN 'signup' THEN 3800.0 ELSE 10000.0 END AS credit_limit
+                     CAST(CASE event_type WHEN 'click' THEN 3500 WHEN 'error' THEN 2800 WHEN 'purchase' THEN 3000
+                               WHEN 'signup' THEN 3800 ELSE 10000 END AS DOUBLE) AS credit_limit
               FROM {events} GROUP BY event_type
               UNION ALL
               SELECT 'idle_' || r_name, false, r_regionkey < 4,
-                     CASE WHEN r_regionkey = 0 THEN 0.0 ELSE 100.0 END
+                     CAST(CASE WHEN r_regionkey = 0 THEN 0 ELSE 100 END AS DOUBLE)
               FROM {region}) c""",
     "serverless_config": """
         SELECT service_type, 'DAILY' AS frequency, credit_limit, split('ops@example.com', ',') AS alert_emails, is_active
         FROM (SELECT upper(event_type) AS service_type, event_type <> 'view' AS is_active,
-                     CASE event_type WHEN 'click' THEN 3500.0 WHEN 'error' THEN 2800.0 WHEN 'purchase' THEN 3000.0
-                          ELSE 3800.0 END AS credit_limit
+                     CAST(CASE event_type WHEN 'click' THEN 3500 WHEN 'error' THEN 2800 WHEN 'purchase' THEN 3000
+                               ELSE 3800 END AS DOUBLE) AS credit_limit
               FROM {events} GROUP BY event_type) c""",
     "naming_convention": """
         SELECT CASE r_regionkey WHEN 0 THEN 'DSI' WHEN 1 THEN 'DSO' WHEN 2 THEN 'WH' WHEN 3 THEN 'ROLE' ELSE 'SCHEMA' END AS layer_code,
@@ -335,9 +335,9 @@ ADAPTERS: dict[str, str] = {
         SELECT o_orderkey AS alert_id, o_orderdate AS alert_time,
                CASE o_orderstatus WHEN 'P' THEN 'SERVERLESS' ELSE 'WAREHOUSE' END AS scope,
                'WH_' || CAST(o_custkey AS STRING) AS resource_name,
-               CASE o_orderpriority WHEN '1-URGENT' THEN 100.0 WHEN '2-HIGH' THEN 95.0 WHEN '3-MEDIUM' THEN 85.0
-                    ELSE 70.0 END AS threshold_pct,
-               round(o_totalprice) AS credits_used, 500000.0 AS credit_limit,
+               CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 100 WHEN '2-HIGH' THEN 95 WHEN '3-MEDIUM' THEN 85
+                         ELSE 70 END AS DOUBLE) AS threshold_pct,
+               round(o_totalprice) AS credits_used, CAST(500000 AS DOUBLE) AS credit_limit,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'SUSPENDED' WHEN '2-HIGH' THEN 'CRITICAL'
                     WHEN '3-MEDIUM' THEN 'ACTION_REQUIRED' ELSE 'MONITORING' END AS status,
                'quota reached' AS message
