@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,26 +12,34 @@ from gaugework.sources.adapters import (
     LINES_AS_OF,
     ORDERS_AS_OF,
     log_frame,
-    log_stream,
+    read_stream,
+    read_table,
     with_logs,
 )
 
 
-@dataclass(frozen=True)
 class Logs:
-    """The usage logs a query reads, by name."""
+    """The usage logs a query reads, by name.
 
-    spark: SparkSession
-    sf_dir: str
+    A source table is opened once per query, however many logs are drawn from it: opening
+    lists the files and reads a footer.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     def __call__(self, name: str) -> DataFrame:
-        return log_frame(self.spark, self.sf_dir, name)
+        return log_frame(self.spark, name, self.table)
 
     def stream(self, name: str) -> DataFrame:
-        return log_stream(self.spark, self.sf_dir, name)
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return log_frame(self.spark, name, lambda t: read_stream(self.spark, self.sf_dir, t))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -7,10 +7,6 @@ from checks.registry import E_TS, EVENTS, LINES, R, query, rounded
 DIGITS = 6
 
 
-def _tables(t, view):
-    return {log: t(log) for log in set(view.sources.values())}
-
-
 def _floats(df, names):
     floats = {c for c, kind in df.dtypes if kind == "double"}
     return rounded(df, DIGITS, *[n for n in names if n in floats])
@@ -181,7 +177,7 @@ def _side_by_side(groups: dict[str, dict[str, str]]) -> str:
 
 
 def _all(t, view):
-    return _floats(view.query(_tables(t, view), view.metric_names()), view.metric_names())
+    return _floats(view.query(t, view.metric_names()), view.metric_names())
 
 
 @query("security_metrics", " ".join(SECURITY), _side_by_side(SECURITY))
@@ -215,7 +211,7 @@ def _fact_sql(facts):
 )
 def _(t):
     asked = [f"{kind}({f})" for f in QH_FACTS + QA_FACTS for kind in ("sum", "avg")]
-    out = COST_PERFORMANCE.query(_tables(t, COST_PERFORMANCE), asked, ["warehouse_name"])
+    out = COST_PERFORMANCE.query(t, asked, ["warehouse_name"])
     return _floats(out, out.columns)
 
 
@@ -226,7 +222,7 @@ def _(t):
 )
 def _(t):
     out = MAINTENANCE.query(
-        _tables(t, MAINTENANCE), list(QUERY_METRICS), ["warehouse_name", "execution_status"]
+        t, list(QUERY_METRICS), ["warehouse_name", "execution_status"]
     )
     return _floats(out, out.columns)
 
@@ -238,7 +234,7 @@ def _(t):
 )
 def _(t):
     out = SECURITY_MONITORING.query(
-        _tables(t, SECURITY_MONITORING), list(SECURITY["login_history"]), ["reported_client_type"]
+        t, list(SECURITY["login_history"]), ["reported_client_type"]
     )
     return _floats(out, out.columns)
 
@@ -258,7 +254,7 @@ _DAY = "CAST(date_trunc('day', {}) AS TIMESTAMP) AS period"
 def _(t):
     names = [*QUERY_METRICS, *LOGIN_METRICS, *WAREHOUSE_METRICS]
     out = MAINTENANCE.query(
-        _tables(t, MAINTENANCE), names, grain="day", filters={"qh": "execution_status <> 'RUNNING'"}
+        t, names, grain="day", filters={"qh": "execution_status <> 'RUNNING'"}
     )
     return _floats(out, names)
 
@@ -273,7 +269,7 @@ def _(t):
 )
 def _(t):
     names = [*TASK_METRICS, *STORAGE_METRICS]
-    return _floats(MAINTENANCE.query(_tables(t, MAINTENANCE), names, grain="month"), names)
+    return _floats(MAINTENANCE.query(t, names, grain="month"), names)
 
 
 @query(
@@ -284,7 +280,7 @@ def _(t):
 )
 def _(t):
     out = MAINTENANCE.query(
-        _tables(t, MAINTENANCE), ["total_storage_bytes"], grain="month", semi_additive="last"
+        t, ["total_storage_bytes"], grain="month", semi_additive="last"
     )
     return _floats(out, ["total_storage_bytes"])
 
@@ -299,7 +295,7 @@ def _(t):
 )
 def _(t):
     names = [*QUERY_METRICS, *LOGIN_METRICS]
-    return _floats(MAINTENANCE.query(_tables(t, MAINTENANCE), names, ["users.default_role"]), names)
+    return _floats(MAINTENANCE.query(t, names, ["users.default_role"]), names)
 
 
 # ---- named questions -----------------------------------------------------------------

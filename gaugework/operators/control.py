@@ -251,10 +251,9 @@ def connection_status(connections: DataFrame) -> DataFrame:
 
 def _joined_name(*parts: Column) -> Column:
     """Non-empty parts joined by the rule's separator (``_`` when it has none)."""
-    separator = F.when(F.col("separator") != "", F.col("separator")).otherwise("_")
-    # concat_ws would keep empty parts.
-    kept = F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != ""))
-    return F.call_function("array_join", kept, separator)
+    separator = F.coalesce(F.nullif("separator", F.lit("")), F.lit("_"))
+    # concat_ws leaves NULL parts out but keeps empty ones.
+    return F.call_function("concat_ws", separator, *[F.nullif(p, F.lit("")) for p in parts])
 
 
 def preview_names(rules: DataFrame, project: str) -> DataFrame:

@@ -7,7 +7,7 @@ group-by, which matches NULL dimension values and needs no chain of joins.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -117,7 +117,7 @@ class SemanticView:
 
     def query(
         self,
-        tables: Mapping[str, DataFrame],
+        table_of: Callable[[str], DataFrame],
         metrics: Sequence[str],
         dimensions: Sequence[str] = (),
         grain: str | None = None,
@@ -126,7 +126,8 @@ class SemanticView:
     ) -> DataFrame:
         """Dimensions, ``period`` (when a grain is given) and the metrics.
 
-        ``tables`` maps usage-log names to frames, ``filters`` logical tables to conditions.
+        ``table_of`` gives a usage log by name (``UsageCatalog.table``) and is asked for the logs
+        in use only; ``filters`` maps logical tables to conditions.
         A dimension is one of the view's that every asked table has, or ``other.column`` of a
         table reached through a relationship.  ``semi_additive='last'`` takes the last snapshot of
         a period instead of adding the days up.
@@ -140,7 +141,7 @@ class SemanticView:
             by_table.setdefault(m.table, []).append(m)
         keys = [_alias(d) for d in dimensions] + (["period"] if grain else [])
         parts = [
-            self._aggregate(tables, table, group, dimensions, grain, (filters or {}).get(table), semi_additive)
+            self._aggregate(table_of, table, group, dimensions, grain, (filters or {}).get(table), semi_additive)
             for table, group in by_table.items()
         ]
         names = [m.name for m in wanted]
@@ -160,7 +161,7 @@ class SemanticView:
 
     def _aggregate(
         self,
-        tables: Mapping[str, DataFrame],
+        table_of: Callable[[str], DataFrame],
         table: str,
         group: list[Metric],
         dimensions: Sequence[str],
@@ -168,7 +169,7 @@ class SemanticView:
         condition: str | Column | None,
         semi_additive: str,
     ) -> DataFrame:
-        rows = tables[self.sources[table]]
+        rows = table_of(self.sources[table])
         if condition is not None:
             rows = rows.where(condition)
         base = self._with_operands(group)
@@ -180,7 +181,7 @@ class SemanticView:
                 raise KeyError(f"{self.name}.{table} has no time dimension")
             keys.append(trunc_to(self.time_dimensions[table], grain).alias("period"))
         if foreign:
-            reduced = self._joined(tables, table, rows, base, keys, foreign)
+            reduced = self._joined(table_of, table, rows, base, keys, foreign)
         elif semi_additive == "last" and table in (self.snapshots or {}):
             reduced = self._last_snapshot(rows, base, keys, self.snapshots[table])
         else:
@@ -195,7 +196,7 @@ class SemanticView:
 
     def _joined(
         self,
-        tables: Mapping[str, DataFrame],
+        table_of: Callable[[str], DataFrame],
         table: str,
         rows: DataFrame,
         base: list[Metric],
@@ -222,7 +223,7 @@ class SemanticView:
         columns = [F.col(d.split(".")[1]).alias(_alias(d)) for d in foreign]
         # Many-to-one: a key stored twice must not multiply the facts.
         related = (
-            tables[self.sources[target]].select(F.col(rel.to_key).alias("_key"), *columns).dropDuplicates(["_key"])
+            table_of(self.sources[target]).select(F.col(rel.to_key).alias("_key"), *columns).dropDuplicates(["_key"])
         )
         joined = first.join(related, "_key", "left")
         names = [c for c in first.columns if c not in ("_key",) and "__" not in c and c != "_rows"]

@@ -8,6 +8,7 @@ so the correctness checks can put the same text in front of their own SQL.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -351,32 +352,24 @@ def source_tables(name: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(ADAPTERS[name])))
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     # Written as a pattern because a stream takes a plain path to be a folder; this matches
     # a single file as well.
-    return spark.readStream.schema(_read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
+    schema = read_table(spark, sf_dir, table).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-def _apply(spark: SparkSession, sf_dir: str, name: str, read) -> DataFrame:
-    tables = {t: read(spark, sf_dir, t) for t in source_tables(name)}
+def log_frame(spark: SparkSession, name: str, table_of: Callable[[str], DataFrame]) -> DataFrame:
+    """The adapter ``name`` over source tables, batch or streaming, given by ``table_of``."""
+    tables = {t: table_of(t) for t in source_tables(name)}
     # '{}' as a JSON literal would be taken for a placeholder by the formatter.
     return spark.sql(ADAPTERS[name].replace("'{}'", "'{{}}'"), **tables)
 
 
-def log_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The adapter ``name`` over the Parquet tables in ``sf_dir``."""
-    return _apply(spark, sf_dir, name, _read)
-
-
-def log_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same adapter over the tables read as a stream."""
-    return _apply(spark, sf_dir, name, _read_stream)
-
-
 def log_sql(name: str) -> str:
     """The adapter as plain SQL over the source tables."""
     return _PLACEHOLDER.sub(r"\1", ADAPTERS[name])

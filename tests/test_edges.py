@@ -408,10 +408,10 @@ def test_policy_counts(frame):
 
 
 def test_failed_login_totals_agree(spark):
-    from gaugework.sources.adapters import log_frame
+    from checks.registry import Logs
     from tests.conftest import SF_DIR
 
-    lh = log_frame(spark, SF_DIR, "login_history")
+    lh = Logs(spark, SF_DIR)("login_history")
     period = ("2024-01-01", "2024-01-31")
     listed = security.failed_logins(lh, *period).agg(F.sum("failed_attempts")).first()[0]
     assert listed == security.failed_logins_total(lh, *period).first().total_failed
