@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from gaugework.functions import ntz
 from gaugework.operators import control as op
 from gaugework.operators.filters import facet_filter
 from gaugework.sources import config_value, lookup, scan_control
@@ -29,14 +30,41 @@ def _(t):
     return scan_control(t("managed_roles"), "managed_roles")
 
 
+@query("scan_connections", "external_connections", "SELECT * FROM external_connections")
+def _(t):
+    return scan_control(t("external_connections"), "external_connections")
+
+
+@query("scan_config", "account_config", "SELECT * FROM account_config")
+def _(t):
+    return scan_control(t("account_config"), "account_config")
+
+
+QUOTAS = "warehouse_name, frequency, credit_limit, is_active"
+
+
+@query("scan_warehouse_config", "warehouse_config", f"SELECT {QUOTAS} FROM warehouse_config")
+def _(t):
+    return scan_control(t("warehouse_config"), "warehouse_config").select(*QUOTAS.split(", "))
+
+
+@query(
+    "scan_serverless_config",
+    "serverless_config",
+    "SELECT service_type, frequency, credit_limit, is_active FROM serverless_config",
+)
+def _(t):
+    return scan_control(t("serverless_config"), "serverless_config").drop("alert_emails")
+
+
 @query("lookup_config_value", "account_config", "SELECT 'KEY_7' AS config_key, s_name AS config_value FROM supplier WHERE s_suppkey = 7")
 def _(t):
     return config_value(t("account_config"), "KEY_7")
 
 
-@query("lookup_naming_rule", "naming_convention", "SELECT * FROM naming_convention WHERE layer_code = 'DSO' AND enabled")
+@query("lookup_naming_rule", "naming_convention", "SELECT * FROM naming_convention WHERE layer_code = 'L3' AND enabled")
 def _(t):
-    return lookup(t("naming_convention"), "layer_code", "DSO", enabled_only=True)
+    return lookup(t("naming_convention"), "layer_code", "L3", enabled_only=True)
 
 
 @query(
@@ -266,6 +294,41 @@ def _(t):
     return op.update_where(t("projects"), F.col("created_at") < 6, {"status": "INACTIVE", "wh_size": None})
 
 
+@query(
+    "write_project_rule",
+    "projects",
+    f"""
+    SELECT coalesce(p.project_id, s.project_id) AS project_id,
+           CASE WHEN s.project_id IS NULL THEN p.project_name ELSE s.project_name END AS project_name,
+           CASE WHEN s.project_id IS NULL THEN p.description ELSE s.description END AS description,
+           CASE WHEN s.project_id IS NULL THEN p.dsi_db ELSE 'DSI_' || s.project_id END AS dsi_db,
+           CASE WHEN s.project_id IS NULL THEN p.dso_db ELSE 'DSO_' || s.project_id END AS dso_db,
+           CASE WHEN s.project_id IS NULL THEN p.wh_size ELSE 'MEDIUM' END AS wh_size,
+           coalesce(p.status, 'ACTIVE') AS status,
+           CASE WHEN p.project_id IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '2000-01-01' END AS created_at
+    FROM projects p FULL JOIN ({EDITS}) s ON p.project_id = s.project_id""",
+)
+def _(t):
+    stored = t("projects").withColumn("created_at", ntz("2000-01-01"))
+    edits = _project_edits(t).select(
+        "*",
+        F.concat(F.lit("DSI_"), "project_id").alias("dsi_db"),
+        F.concat(F.lit("DSO_"), "project_id").alias("dso_db"),
+        F.lit("MEDIUM").alias("wh_size"),
+    )
+    return op.write_control("projects", stored, edits, NOW)
+
+
+@query(
+    "insert_project_roles",
+    "projects managed_roles",
+    """SELECT role_name, role_type, project_id, created_at FROM managed_roles UNION ALL
+       SELECT 'ROLE_' || project_id || '_' || k, k, project_id, NULL FROM projects, (VALUES ('DEVELOPER'), ('ANALYST')) v(k)""",
+)
+def _(t):
+    return op.insert_if_absent(t("managed_roles"), op.project_roles(t("projects")), ["role_name"])
+
+
 # ---- generated names -----------------------------------------------------------------------
 
 
@@ -281,9 +344,8 @@ def _(t):
     return op.preview_names(t("naming_convention"), "retail")
 
 
-REQUESTS = """SELECT CASE WHEN l_returnflag = 'A' THEN 'DSI' WHEN l_linestatus = 'F' THEN 'DSO' WHEN l_returnflag = 'N' THEN 'WH'
-                          ELSE 'ROLE' END AS layer_code,
-                     'p' || CAST(l_suppkey AS VARCHAR) AS project_id, 't' || CAST(l_partkey AS VARCHAR) AS name FROM lineitem"""
+REQUESTS = """SELECT 'L' || CAST(l_suppkey AS VARCHAR) AS layer_code, 'p' || CAST(l_orderkey AS VARCHAR) AS project_id,
+                     't' || CAST(l_partkey AS VARCHAR) AS name FROM lineitem"""
 
 
 @query(
@@ -295,15 +357,9 @@ REQUESTS = """SELECT CASE WHEN l_returnflag = 'A' THEN 'DSI' WHEN l_linestatus =
         FROM ({REQUESTS}) r LEFT JOIN (SELECT * FROM naming_convention WHERE enabled) n USING (layer_code)""",
 )
 def _(t):
-    layer = (
-        F.when(F.col("l_returnflag") == "A", "DSI")
-        .when(F.col("l_linestatus") == "F", "DSO")
-        .when(F.col("l_returnflag") == "N", "WH")
-        .otherwise("ROLE")
-    )
     requests = t.table("lineitem").select(
-        layer.alias("layer_code"),
-        F.concat(F.lit("p"), F.col("l_suppkey")).alias("project_id"),
+        F.concat(F.lit("L"), F.col("l_suppkey")).alias("layer_code"),
+        F.concat(F.lit("p"), F.col("l_orderkey")).alias("project_id"),
         F.concat(F.lit("t"), F.col("l_partkey")).alias("name"),
     )
     return op.name_objects(t("naming_convention"), requests, name="name")

@@ -28,10 +28,12 @@ def _round_trip(fmt: str, table: str):
         df = t.table(table)
         path = work_dir(t.spark, f"load-{fmt}")
         writer = df.write.format(fmt)
+        options = {}
         if fmt == "csv":
             writer = writer.options(header="true", escape='"')
+            options["multiLine"] = "true"  # the texts have line breaks
         writer.save(path)
-        return load_files(t.spark, path, fmt, df.schema).drop("_source_file")
+        return load_files(t.spark, path, fmt, df.schema, options).drop("_source_file")
 
     return run
 

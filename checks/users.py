@@ -69,18 +69,24 @@ MATRIX = f"""
     """
 
 
-def _matrix(t):
-    qh = t(QH)
-    return op.user_warehouse_matrix(qh, EVENTS, op.top_users_by_time(qh, EVENTS))
+@query(
+    "user_warehouse_matrix",
+    QH,
+    MATRIX + f"SELECT warehouse_name, user_name, {R('total_min', 4)} AS total_min FROM matrix",
+)
+def _(t):
+    return rounded(op.top_user_matrix(t(QH), EVENTS), 4, "total_min")
 
 
 @query(
-    "user_warehouse_matrix",
+    "user_warehouse_matrix_frame",
     QH,
     MATRIX + f"SELECT warehouse_name, user_name, {R('total_min', 4)} AS total_min FROM matrix",
 )
 def _(t):
-    return rounded(_matrix(t), 4, "total_min")
+    qh = t(QH)
+    matrix = op.user_warehouse_matrix(qh, EVENTS, op.top_users_by_time(qh, EVENTS))
+    return rounded(matrix, 4, "total_min")
 
 
 _RANKED = ", ".join(f"{R(f'coalesce(sum(CASE WHEN r = {i} THEN total_min END), 0)', 4)} AS u{i}" for i in range(1, 11))
@@ -97,7 +103,7 @@ _RANKED = ", ".join(f"{R(f'coalesce(sum(CASE WHEN r = {i} THEN total_min END), 0
 def _(t):
     # Ten names at most, the result of the top-k; one column per name, named by rank.
     names = [r.user_name for r in op.top_users_by_time(t(QH), EVENTS).collect()]
-    wide = op.user_warehouse_pivot(_matrix(t), names)
+    wide = op.user_warehouse_pivot(op.user_warehouse_matrix(t(QH), EVENTS, names), names)
     ranked = [
         (F.round(F.col(f"`{names[i]}`"), 4) if i < len(names) else F.lit(0.0)).alias(f"u{i + 1}") for i in range(10)
     ]

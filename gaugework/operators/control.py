@@ -7,12 +7,15 @@ stores it.  Spark does not enforce keys, so ``upsert`` does.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions import asc, desc, ntz, ordered, top_k
 from gaugework.operators.filters import optional_filters, period_filter
+from gaugework.operators.users import EDITABLE
+from gaugework.schemas import CONTROL_DEFAULTS, CONTROL_KEYS
 
 
 class DuplicateKeyError(ValueError):
@@ -32,12 +35,9 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
 
 def _with_defaults(rows: DataFrame, target: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     columns = []
-    for field in target.schema.fields:
-        if field.name in rows.columns:
-            value = F.col(field.name)
-        else:
-            value = _as_column(defaults.get(field.name))
-        columns.append(value.cast(field.dataType).alias(field.name))
+    for f in target.schema.fields:
+        value = F.col(f.name) if f.name in rows.columns else _as_column(defaults.get(f.name))
+        columns.append(value.cast(f.dataType).alias(f.name))
     return rows.select(*columns)
 
 
@@ -63,19 +63,19 @@ def upsert(
     matched = F.col("_stored").isNotNull() & F.col("_given").isNotNull()
     inserted = F.col("_stored").isNull()
     columns = []
-    for field in target.schema.fields:
-        name = field.name
+    for f in target.schema.fields:
+        name = f.name
         old = F.col(f"t.{name}")
         given = F.col(f"s.{name}") if name in source.columns else _as_column(defaults.get(name))
-        new = given.cast(field.dataType)
+        new = given.cast(f.dataType)
         if name in keys:
             value = F.coalesce(old, new)
         else:
             value = F.when(inserted, new)
             if name in touched:
-                value = value.when(matched, _as_column(touched[name]).cast(field.dataType))
+                value = value.when(matched, _as_column(touched[name]).cast(f.dataType))
             elif name in update_cols:
-                value = value.when(matched, F.col(f"s.{name}").cast(field.dataType))
+                value = value.when(matched, F.col(f"s.{name}").cast(f.dataType))
             value = value.otherwise(old)
         columns.append(value.alias(name))
     return both.select(*columns)
@@ -126,6 +126,117 @@ def json_details(*cols: str) -> Column:
     return F.to_json(F.struct(*cols))
 
 
+# ---- the control tables' own rules --------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class WriteRule:
+    """What a write changes in a row that is already there, and what it sets on its own.
+
+    ``update`` columns come from the source; ``on_match`` and ``on_insert`` are fixed values;
+    ``stamps`` take the time of the write when the row changes.
+    """
+
+    update: tuple[str, ...]
+    on_match: Mapping[str, object] = field(default_factory=dict)
+    on_insert: Mapping[str, object] = field(default_factory=dict)
+    stamps: tuple[str, ...] = ("updated_at",)
+
+
+WRITE_RULES: dict[str, WriteRule] = {
+    "account_config": WriteRule(("config_value", "description")),
+    # A changed connection has to be tested again.
+    "external_connections": WriteRule(
+        ("connection_type", "endpoint_url", "account_id", "secret_ref"), on_match={"status": "PENDING"}
+    ),
+    "naming_convention": WriteRule(("prefix", "suffix", "separator", "description", "enabled")),
+    # An inactive project stays inactive.
+    "projects": WriteRule(("project_name", "description", "dsi_db", "dso_db", "wh_size"), stamps=()),
+    "managed_objects": WriteRule(("object_type", "object_name", "layer", "project_id", "metadata")),
+    # Once the service has answered with an id the entry is active.
+    "connectors": WriteRule(
+        ("external_connector_id",), on_match={"status": "ACTIVE"}, on_insert={"status": "ACTIVE"}
+    ),
+    "transform_projects": WriteRule(
+        ("external_id",), on_match={"status": "ACTIVE"}, on_insert={"status": "ACTIVE"}
+    ),
+}
+
+
+def _insert_values(name: str, target: DataFrame, as_of) -> dict[str, object]:
+    stamps = {c: ntz(as_of) for c in ("created_at", "updated_at") if c in target.columns}
+    return {**stamps, **CONTROL_DEFAULTS.get(name, {})}
+
+
+def write_control(name: str, target: DataFrame, source: DataFrame, as_of) -> DataFrame:
+    """New state of control table ``name`` after writing ``source`` under the table's rule."""
+    rule = WRITE_RULES[name]
+    return upsert(
+        target,
+        source,
+        CONTROL_KEYS[name],
+        rule.update,
+        {**_insert_values(name, target, as_of), **rule.on_insert},
+        {**rule.on_match, **{c: ntz(as_of) for c in rule.stamps}},
+    )
+
+
+def register_pending(name: str, target: DataFrame, source: DataFrame, as_of) -> DataFrame:
+    """Entries that wait for their service; what is registered already stays as it is."""
+    return insert_if_absent(target, source, CONTROL_KEYS[name], _insert_values(name, target, as_of))
+
+
+def deactivate_project(projects: DataFrame, project_id: str) -> DataFrame:
+    return update_where(projects, F.col("project_id") == project_id, {"status": "INACTIVE"})
+
+
+def record_connection_test(
+    connections: DataFrame, name: str, status: str, message: str, as_of
+) -> DataFrame:
+    return update_where(
+        connections,
+        F.col("connection_name") == name,
+        {"status": status, "last_test_at": ntz(as_of), "last_test_msg": message},
+    )
+
+
+def save_quota_config(config: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Accepted edits (``users.accepted_changes``) written to the stored configuration."""
+    return upsert(config, accepted, CONTROL_KEYS["warehouse_config"], EDITABLE)
+
+
+def entry_key(project_id: str, name: str) -> Column:
+    """Key of a connector or transform entry: ``<project>_<NAME_WITH_UNDERSCORES>``."""
+    return F.concat_ws("_", project_id, F.replace(F.upper(name), F.lit(" "), F.lit("_")))
+
+
+# Role types created with a project.
+PROJECT_ROLE_TYPES = ("ADMIN", "DEVELOPER", "ANALYST")
+
+
+def project_roles(projects: DataFrame) -> DataFrame:
+    """``ROLE_<project>_<type>`` for every project, to be inserted where absent."""
+    kinds = F.explode(F.array(*[F.lit(r) for r in PROJECT_ROLE_TYPES]))
+    return projects.select("project_id", kinds.alias("role_type")).select(
+        F.concat_ws("_", F.lit("ROLE"), "project_id", "role_type").alias("role_name"), "role_type", "project_id"
+    )
+
+
+def project_warehouse(project_id: str = "project_id") -> Column:
+    """Warehouse of a project; its name does not follow the naming rules."""
+    return F.concat(F.lit("WH_"), F.col(project_id))
+
+
+# The naming rules a new installation starts with (layer, prefix).
+NAMING_SEED = (("DSI", "DSI"), ("DSO", "DSO"), ("WH", "WH"), ("ROLE", "ROLE"), ("SCHEMA", None))
+
+
+def seed_naming(rules: DataFrame, as_of) -> DataFrame:
+    """The stored rules plus the initial ones that are missing."""
+    seed = rules.sparkSession.createDataFrame(list(NAMING_SEED), "layer_code string, prefix string")
+    return register_pending("naming_convention", rules, seed, as_of)
+
+
 # ---- reading logs and control tables ---------------------------------------------------
 
 

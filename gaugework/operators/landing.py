@@ -20,9 +20,18 @@ def business_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in TECHNICAL]
 
 
+# NULL fields are kept apart from empty ones, and times keep their microseconds.
+_HASHED_AS = {
+    "ignoreNullFields": "false",
+    "timeZone": "UTC",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def row_hash(cols: Sequence[str]) -> Column:
-    """64 hex digits over the whole business row; NULL fields are kept apart from empty ones."""
-    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    """64 hex digits over the whole business row."""
+    return F.sha2(F.to_json(F.struct(*cols), _HASHED_AS), 256)
 
 
 def load_time(as_of) -> Column:
@@ -82,8 +91,17 @@ def current_rows(df: DataFrame) -> DataFrame:
 def latest_versions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The current rows straight from the versions: one aggregation, no flag to maintain."""
     rest = [c for c in df.columns if c not in keys and c not in _ORDER]
-    picked = df.groupBy(*keys).agg(F.max(F.struct(*_ORDER, *rest)).alias("newest"))
-    return picked.select(*[c if c in keys else F.col(f"newest.{c}") for c in df.columns])
+    order = F.struct(*_ORDER)
+    aggregates = [F.max(order).alias("o")]
+    if rest:
+        # Equal order means equal hash, hence equal content: any of them will do.
+        aggregates.append(F.max_by(F.struct(*rest), order).alias("r"))
+    newest = df.groupBy(*keys).agg(*aggregates)
+
+    def source(c: str) -> Column:
+        return F.col(c if c in keys else f"o.{c}" if c in _ORDER else f"r.{c}")
+
+    return newest.select(*[source(c).alias(c) for c in df.columns])
 
 
 def unchanged_removed(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:

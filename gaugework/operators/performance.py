@@ -329,8 +329,8 @@ def low_cache_hit(qh: DataFrame, as_of, k: int = 50, days: int = 7) -> DataFrame
 
 
 def queued_over(qh: DataFrame, as_of, ms: int = 5000, days: int = 7) -> DataFrame:
-    """Queries that waited longer than ``ms`` for provisioning."""
-    rows = (
+    """Queries that waited longer than ``ms`` for provisioning, all of them and unsorted."""
+    return (
         lookback(qh, "start_time", days, "day", as_of)
         .where(F.col("queued_provisioning_time") > ms)
         .select(
@@ -341,7 +341,6 @@ def queued_over(qh: DataFrame, as_of, ms: int = 5000, days: int = 7) -> DataFram
             "start_time",
         )
     )
-    return ordered(rows, desc("queued_sec"), asc("query_id"))
 
 
 def avg_execution(qh: DataFrame, as_of, days: int = 30) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions import asc, desc, ordered, top_k
@@ -19,6 +19,16 @@ def _elapsed_ms(qh: DataFrame, as_of, days: int, warehouses: Sequence[str] | Non
     return rows.groupBy("warehouse_name", "user_name").agg(F.sum("total_elapsed_time").alias("ms"))
 
 
+def _warehouse_ms() -> Column:
+    """Total of the row's warehouse; NULL for rows without one, so that they fail any bound.
+
+    A plain ``IS NOT NULL`` filter would be pushed down to one of the two uses of the
+    aggregated log, and its shuffle could no longer be shared.
+    """
+    named = F.when(F.col("warehouse_name").isNotNull(), F.col("ms"))
+    return F.sum(named).over(Window.partitionBy("warehouse_name"))
+
+
 def user_share_by_warehouse(
     qh: DataFrame, as_of, days: int = 30, k: int = 8, warehouses: Sequence[str] | None = None
 ) -> DataFrame:
@@ -38,11 +48,9 @@ def user_share_by_warehouse(
         .groupBy("warehouse_name", F.coalesce("top_user", F.lit("Other")).alias("user_name"))
         .agg(F.sum("ms").alias("ms"))
     )
-    whole = F.sum("ms").over(Window.partitionBy("warehouse_name"))
     share = F.try_divide(F.col("ms").cast("double"), F.col("whole_ms").cast("double"))
     out = (
-        labelled.where(F.col("warehouse_name").isNotNull())
-        .withColumn("whole_ms", whole)
+        labelled.withColumn("whole_ms", _warehouse_ms())
         .where(F.col("whole_ms") > 0)
         .select(
             "warehouse_name",
@@ -77,25 +85,48 @@ def top_users_by_time(
 def user_warehouse_matrix(
     qh: DataFrame,
     as_of,
-    users: DataFrame,
+    users: Sequence[str] | DataFrame,
     days: int = 30,
     min_minutes: float = 20,
     warehouses: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Minutes per warehouse and user for the given users (a frame with ``user_name``).
+    """Minutes per warehouse and user for the given users.
 
-    Kept are the warehouses where those users together exceed ``min_minutes``.
+    ``users`` is a list of names, which filters the scan, or a frame with ``user_name``,
+    which is matched after the aggregation.  Kept are the warehouses where those users
+    together exceed ``min_minutes``.
     """
-    rows = in_list(lookback(qh, "start_time", days, "day", as_of), "warehouse_name", warehouses or ())
-    base = (
-        rows.join(users.select("user_name"), "user_name", "left_semi")
-        .groupBy("warehouse_name", "user_name")
-        .agg(F.sum("total_elapsed_time").alias("ms"))
-    )
-    whole = F.sum("ms").over(Window.partitionBy("warehouse_name"))
+    if isinstance(users, DataFrame):
+        base = _elapsed_ms(qh, as_of, days, warehouses).join(
+            users.select("user_name"), "user_name", "left_semi"
+        )
+    else:
+        base = _elapsed_ms(qh.where(F.col("user_name").isin(list(users))), as_of, days, warehouses)
+    return _matrix(base, min_minutes)
+
+
+def top_user_matrix(
+    qh: DataFrame,
+    as_of,
+    days: int = 30,
+    k: int = 10,
+    min_minutes: float = 20,
+    warehouses: Sequence[str] | None = None,
+) -> DataFrame:
+    """:func:`user_warehouse_matrix` for the users of :func:`top_users_by_time`.
+
+    Ranking and matrix use the same aggregation, so the log is read and shuffled once.
+    """
+    base = _elapsed_ms(qh, as_of, days, warehouses)
+    totals = base.groupBy("user_name").agg(F.sum("ms").alias("user_ms")).where(F.col("user_ms") > 0)
+    # k rows at most, so the broadcast is bounded.
+    top = F.broadcast(top_k(totals, k, desc("user_ms"), asc("user_name")).select("user_name"))
+    return _matrix(base.join(top, "user_name", "left_semi"), min_minutes)
+
+
+def _matrix(base: DataFrame, min_minutes: float) -> DataFrame:
     out = (
-        base.where(F.col("warehouse_name").isNotNull())
-        .withColumn("whole_ms", whole)
+        base.withColumn("whole_ms", _warehouse_ms())
         .where(F.col("whole_ms") > min_minutes * MINUTE_MS)
         .select("warehouse_name", "user_name", (F.col("ms") / F.lit(MINUTE_MS)).alias("total_min"))
     )

@@ -223,7 +223,10 @@ class SemanticView:
         columns = [F.col(d.split(".")[1]).alias(_alias(d)) for d in foreign]
         # Many-to-one: a key stored twice must not multiply the facts.
         related = (
-            table_of(self.sources[target]).select(F.col(rel.to_key).alias("_key"), *columns).dropDuplicates(["_key"])
+            table_of(self.sources[target])
+            .groupBy(F.col(rel.to_key).alias("_key"))
+            .agg(F.max(F.struct(*columns)).alias("_one"))
+            .select("_key", "_one.*")
         )
         joined = first.join(related, "_key", "left")
         names = [c for c in first.columns if c not in ("_key",) and "__" not in c and c != "_rows"]

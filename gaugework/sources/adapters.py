@@ -148,21 +148,22 @@ ADAPTERS: dict[str, str] = {
           ON o.o_custkey = c_custkey""",
     # ---- policies -----------------------------------------------------------------
     "network_policies": """
-        SELECT n_name AS name, 'OWNER_' || CAST(n_regionkey AS STRING) AS owner, 'region ' || CAST(n_regionkey AS STRING) AS comment,
-               CASE WHEN n_regionkey < 3 THEN '10.0.0.0/8' END AS allowed_ip_list,
-               CASE WHEN n_regionkey > 1 THEN '192.168.0.0/16' END AS blocked_ip_list,
-               CASE WHEN n_regionkey = 4 THEN 'deleted' END AS deleted
-        FROM {nation}""",
+        SELECT s_name AS name, 'OWNER_' || CAST(s_nationkey AS STRING) AS owner, 'nation ' || CAST(s_nationkey AS STRING) AS comment,
+               CASE WHEN s_nationkey < 15 THEN '10.0.0.0/8' END AS allowed_ip_list,
+               CASE WHEN s_nationkey > 5 THEN '192.168.0.0/16' END AS blocked_ip_list,
+               CASE WHEN s_acctbal < 1000 THEN 'deleted' END AS deleted
+        FROM {supplier}""",
     "password_policies": """
-        SELECT n_name AS name, 4 + n_nationkey AS password_min_length,
-               n_regionkey AS password_min_upper_case_chars, 1 AS password_min_lower_case_chars,
-               1 AS password_min_numeric_chars, n_regionkey AS password_min_special_chars,
-               CASE WHEN n_regionkey = 2 THEN 'deleted' END AS deleted
-        FROM {nation}""",
+        SELECT c_name AS name, 4 + c_nationkey AS password_min_length,
+               CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS password_min_upper_case_chars, 1 AS password_min_lower_case_chars,
+               1 AS password_min_numeric_chars,
+               CASE WHEN c_acctbal > 4000 THEN 2 ELSE 0 END AS password_min_special_chars,
+               CASE WHEN c_acctbal > 9000 THEN 'deleted' END AS deleted
+        FROM {customer}""",
     "session_policies": """
-        SELECT r_name AS name, 15 * (r_regionkey + 1) AS session_idle_timeout_mins,
-               CASE WHEN r_regionkey = 0 THEN 'deleted' END AS deleted
-        FROM {region}""",
+        SELECT s_name AS name, 15 * (s_nationkey + 1) AS session_idle_timeout_mins,
+               CASE WHEN s_acctbal < 0 THEN 'deleted' END AS deleted
+        FROM {supplier}""",
     "masking_policies": """
         SELECT 'MASK_' || CAST(p_partkey AS STRING) AS policy_name, p_size AS created, p_brand AS policy_owner,
                CASE WHEN p_type = 'ECONOMY' THEN 'deleted' END AS deleted
@@ -282,12 +283,12 @@ ADAPTERS: dict[str, str] = {
                                ELSE 3800 END AS DOUBLE) AS credit_limit
               FROM {events} GROUP BY event_type) c""",
     "naming_convention": """
-        SELECT CASE r_regionkey WHEN 0 THEN 'DSI' WHEN 1 THEN 'DSO' WHEN 2 THEN 'WH' WHEN 3 THEN 'ROLE' ELSE 'SCHEMA' END AS layer_code,
-               CASE r_regionkey WHEN 4 THEN CAST(NULL AS STRING) WHEN 3 THEN '' WHEN 2 THEN 'WH' WHEN 1 THEN 'DSO' ELSE 'DSI' END AS prefix,
-               CASE r_regionkey WHEN 1 THEN 'X' WHEN 2 THEN '' END AS suffix,
-               CASE r_regionkey WHEN 1 THEN '-' WHEN 2 THEN CAST(NULL AS STRING) ELSE '_' END AS separator,
-               r_name AS description, r_regionkey <> 0 AS enabled
-        FROM {region}""",
+        SELECT 'L' || CAST(s_suppkey AS STRING) AS layer_code,
+               CASE WHEN s_nationkey < 18 THEN 'DSI' WHEN s_nationkey < 22 THEN '' END AS prefix,
+               CASE WHEN s_nationkey < 9 THEN 'X' WHEN s_nationkey < 12 THEN '' END AS suffix,
+               CASE WHEN s_nationkey < 3 THEN '-' WHEN s_nationkey < 20 THEN '_' WHEN s_nationkey < 22 THEN '' END AS separator,
+               s_name AS description, s_acctbal > 0 AS enabled
+        FROM {supplier}""",
     "projects": """
         SELECT 'P' || CAST(s_suppkey AS STRING) AS project_id, s_name AS project_name, 'nation ' || CAST(s_nationkey AS STRING) AS description,
                'DSI_P' || CAST(s_suppkey AS STRING) AS dsi_db, 'DSO_P' || CAST(s_suppkey AS STRING) AS dso_db,

@@ -10,9 +10,10 @@ FORMATS = ("csv", "json", "parquet", "avro", "orc")
 CORRUPT = "_corrupt_record"
 SOURCE_FILE = "_source_file"
 
-# Quoted text may hold line breaks and quotes.
+# A line is a record, so that large files are read by many tasks.  Quoted text with line
+# breaks needs the option multiLine=true, at the price of one task per file.
 _READ_OPTIONS: dict[str, dict[str, str]] = {
-    "csv": {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"},
+    "csv": {"header": "true", "escape": '"', "mode": "PERMISSIVE"},
     "json": {"mode": "PERMISSIVE"},
 }
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +55,15 @@ def _append_once(
 
     def raise_alerts(batch: DataFrame, batch_id: int) -> None:
         seen = read_batches(spark, out, schema, exclude=batch_id).select(*key)
-        fresh = alerts_of(batch).join(seen, list(key), "left_anti")
-        write_batch(fresh.select(*schema.fieldNames()), out, batch_id)
+        fresh = alerts_of(batch).join(seen, list(key), "left_anti").select(*schema.fieldNames())
+        # Only batches that raise something leave a folder: the log grows with the alerts,
+        # not with the number of triggers.
+        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not fresh.isEmpty():
+                write_batch(fresh, out, batch_id)
+        finally:
+            fresh.unpersist()
 
     return (
         windowed.writeStream.outputMode("update")

@@ -98,6 +98,60 @@ def test_defaults_fill_new_rows(spark, frame):
     assert (added.frequency, added.credit_limit, added.is_active) == ("DAILY", Decimal("100.0000"), True)
 
 
+def _control(spark, name, **values):
+    schema = schemas.CONTROL_SCHEMAS[name]
+    return spark.createDataFrame([tuple(values.get(f) for f in schema.fieldNames())], schema)
+
+
+def test_a_changed_connection_is_pending_again(spark, frame):
+    stored = _control(spark, "external_connections", connection_name="GIT", connection_type="GIT", status="CONNECTED", last_test_msg="ok", created_at=ts("2023-01-01"))
+    edits = frame("connection_name string, connection_type string, endpoint_url string, account_id string, secret_ref string", [("GIT", "GIT", "https://x", "a", "s"), ("NEW", "GIT", None, None, None)])
+    out = {r.connection_name: r for r in control.write_control("external_connections", stored, edits, "2024-01-01").collect()}
+    assert (out["GIT"].status, out["GIT"].endpoint_url, out["GIT"].created_at, out["GIT"].updated_at) == ("PENDING", "https://x", ts("2023-01-01"), ts("2024-01-01"))
+    assert (out["NEW"].status, out["NEW"].created_at) == ("PENDING", ts("2024-01-01"))
+    tested = control.record_connection_test(stored, "GIT", "ERROR", "HTTP 500", "2024-01-02").first()
+    assert (tested.status, tested.last_test_at, tested.last_test_msg) == ("ERROR", ts("2024-01-02"), "HTTP 500")
+
+
+def test_projects_keep_their_status(spark, frame):
+    stored = _control(spark, "projects", project_id="P", project_name="old", status="INACTIVE", created_at=ts("2023-01-01"))
+    edits = frame("project_id string, project_name string, description string, dsi_db string, dso_db string, wh_size string", [("P", "new", None, "a", "b", "LARGE"), ("Q", "q", None, "a", "b", "SMALL")])
+    out = {r.project_id: r for r in control.write_control("projects", stored, edits, "2024-01-01").collect()}
+    assert (out["P"].status, out["P"].project_name, out["P"].created_at) == ("INACTIVE", "new", ts("2023-01-01"))
+    assert out["Q"].status == "ACTIVE"
+    assert {r.status for r in control.deactivate_project(control.write_control("projects", stored, edits, "2024-01-01"), "Q").collect()} == {"INACTIVE"}
+
+
+def test_connectors_wait_until_they_have_an_id(spark, frame):
+    empty = spark.createDataFrame([], schemas.CONTROL_SCHEMAS["connectors"])
+    asked = frame("project_id string, connector_name string", [("P", "my crm")]).withColumn("connector_key", control.entry_key("project_id", "connector_name"))
+    pending = control.register_pending("connectors", empty, asked, "2024-01-01")
+    row = pending.first()
+    assert (row.connector_key, row.status, row.paused) == ("P_MY_CRM", "PENDING", False)
+    assert control.register_pending("connectors", pending, asked, "2024-01-02").first().created_at == ts("2024-01-01")
+    answered = asked.withColumn("external_connector_id", F.lit("ext-1"))
+    row = control.write_control("connectors", pending, answered, "2024-01-03").first()
+    assert (row.status, row.external_connector_id, row.created_at, row.updated_at) == ("ACTIVE", "ext-1", ts("2024-01-01"), ts("2024-01-03"))
+
+
+def test_seeding_twice_changes_nothing(spark):
+    empty = spark.createDataFrame([], schemas.CONTROL_SCHEMAS["naming_convention"])
+    once = control.seed_naming(empty, "2024-01-01")
+    assert {(r.layer_code, r.prefix, r.separator, r.enabled) for r in once.collect()} == {
+        (layer, prefix, "_", True) for layer, prefix in control.NAMING_SEED
+    }
+    assert rows(control.seed_naming(once, "2024-02-01").orderBy("layer_code")) == rows(once.orderBy("layer_code"))
+
+
+def test_quota_edits_are_saved_by_warehouse(spark, frame):
+    from gaugework.operators import users
+
+    stored = _control(spark, "warehouse_config", warehouse_name="W", credit_limit=Decimal(5), frequency="DAILY", is_active=True)
+    edited = stored.withColumn("credit_limit", F.lit(7.9).cast("decimal(18,4)"))
+    accepted = users.accepted_changes(users.config_changes(edited, stored))
+    assert control.save_quota_config(stored, accepted).first().credit_limit == Decimal(7)
+
+
 # ---- landing ----------------------------------------------------------------------------
 
 
@@ -108,6 +162,11 @@ def test_row_hash_covers_the_whole_row(frame):
     assert len(set(hashes)) == 5 and {len(h) for h in hashes} == {64}
 
 
+def test_row_hash_sees_microseconds(frame):
+    df = frame("t timestamp_ntz", [(ts("2024-01-01 00:00:00.000001"),), (ts("2024-01-01 00:00:00.000002"),)])
+    assert landing.landing_enrich(df, "2024-01-01").select("_row_hash").distinct().count() == 2
+
+
 def _version(key, value, day, file="f"):
     return (key, value, ts(f"2024-01-{day:02d}"), file, f"h{value}", True)
 
@@ -150,7 +209,7 @@ def test_landing_schema_limits():
 def test_csv_with_bad_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines, ""quoted"""\nx,bad\n3,\n')
     (tmp_path / "b.csv").write_text("id,note\ny,bad\n")
-    loaded = load_files(spark, str(tmp_path), "CSV", spark.createDataFrame([], "id long, note string").schema, keep_corrupt=True).persist()
+    loaded = load_files(spark, str(tmp_path), "CSV", spark.createDataFrame([], "id long, note string").schema, {"multiLine": "true"}, keep_corrupt=True).persist()
     good = loaded.where("_corrupt_record IS NULL").orderBy("id")
     assert [(r.id, r.note) for r in good.collect()] == [(1, 'two\nlines, "quoted"'), (3, None)]
     log = {r.file_name.rsplit("/", 1)[1]: r for r in landing.load_log(loaded, "2024-01-01").collect()}
