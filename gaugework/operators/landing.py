@@ -66,15 +66,26 @@ def _match(keys: Sequence[str]) -> Column:
     return cond
 
 
-def mark_current(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _without_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    # Rows with the same hash have the same content, so whole rows can be compared: grouping
+    # without aggregates runs in a hash table, where first() of text columns needs a sort.
+    if any(kind.startswith(("map", "variant")) for _, kind in df.dtypes):
+        return df.dropDuplicates([*keys, *_ORDER])
+    return df.distinct()
+
+
+def mark_current(df: DataFrame, keys: Sequence[str], distinct_rows: bool = False) -> DataFrame:
     """Exactly the newest row of every business key is current; no version is lost.
 
     Newest is by load time, then file, then hash.  Copies of one row within one load are
-    a single version and are kept once.
+    a single version and are kept once; say ``distinct_rows`` when there are none, which
+    saves the shuffle that looks for them.
     """
-    versions = df.dropDuplicates([*keys, *_ORDER])
-    newest = _newest_per_key(df, keys)
     cols = [c for c in df.columns if c != IS_CURRENT]
+    versions = df.select(*cols)
+    if not distinct_rows:
+        versions = _without_copies(versions, keys)
+    newest = _newest_per_key(df, keys)
     # The join to one row per key may be skewed on the log side; adaptive execution splits it.
     joined = versions.alias("l").join(newest.alias("r"), _match(keys), "left")
     this = F.struct(*[F.col(f"l.{c}") for c in _ORDER])

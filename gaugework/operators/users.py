@@ -19,13 +19,30 @@ def _elapsed_ms(qh: DataFrame, as_of, days: int, warehouses: Sequence[str] | Non
     return rows.groupBy("warehouse_name", "user_name").agg(F.sum("total_elapsed_time").alias("ms"))
 
 
-def _warehouse_ms() -> Column:
-    """Total of the row's warehouse; NULL for rows without one, so that they fail any bound.
+def _top_users(base: DataFrame, k: int, least_ms: int) -> DataFrame:
+    """The ``k`` users with most time, from ``least_ms`` on; a NULL user can take a place."""
+    totals = base.groupBy("user_name").agg(F.sum("ms").alias("user_ms"))
+    enough = totals.where(F.col("user_ms") >= least_ms)
+    ranked = top_k(enough, k, desc("user_ms"), asc("user_name"))
+    return ranked.select(F.col("user_name").alias("top_user"))
+
 
-    A plain ``IS NOT NULL`` filter would be pushed down to one of the two uses of the
-    aggregated log, and its shuffle could no longer be shared.
+def _only_top(base: DataFrame, top: DataFrame, rest: str | None) -> DataFrame:
+    """Time per warehouse and top user, everyone else as ``rest``: ``k + 1`` rows a warehouse.
+
+    An outer join, because an inner or semi join would push ``user_name IS NOT NULL`` down
+    to this use of the aggregated log; its shuffle could not be shared with the ranking.
     """
-    named = F.when(F.col("warehouse_name").isNotNull(), F.col("ms"))
+    # k rows at most, so the broadcast is bounded.
+    joined = base.join(F.broadcast(top), F.col("user_name") == F.col("top_user"), "left")
+    label = F.coalesce("top_user", F.lit(rest).cast("string"))
+    return joined.groupBy("warehouse_name", label.alias("user_name")).agg(F.sum("ms").alias("ms"))
+
+
+def _whole_ms(counted: Column) -> Column:
+    """Total of the row's warehouse over the counted rows; NULL for rows without a warehouse,
+    so that they fail any bound.  (A plain filter would be pushed down as well.)"""
+    named = F.when(F.col("warehouse_name").isNotNull() & counted, F.col("ms"))
     return F.sum(named).over(Window.partitionBy("warehouse_name"))
 
 
@@ -38,27 +55,14 @@ def user_share_by_warehouse(
     rows per warehouse.
     """
     base = _elapsed_ms(qh, as_of, days, warehouses)
-    totals = base.groupBy("user_name").agg(F.sum("ms").alias("user_ms"))
-    # k rows at most, so the broadcast is bounded.
-    top = F.broadcast(
-        top_k(totals, k, desc("user_ms"), asc("user_name")).select(F.col("user_name").alias("top_user"))
-    )
-    labelled = (
-        base.join(top, base.user_name == top.top_user, "left")
-        .groupBy("warehouse_name", F.coalesce("top_user", F.lit("Other")).alias("user_name"))
-        .agg(F.sum("ms").alias("ms"))
-    )
+    labelled = _only_top(base, _top_users(base, k, 0), "Other").withColumn("whole_ms", _whole_ms(F.lit(True)))
     share = F.try_divide(F.col("ms").cast("double"), F.col("whole_ms").cast("double"))
-    out = (
-        labelled.withColumn("whole_ms", _warehouse_ms())
-        .where(F.col("whole_ms") > 0)
-        .select(
-            "warehouse_name",
-            "user_name",
-            (F.col("ms") / F.lit(MINUTE_MS)).alias("total_min"),
-            share.alias("share"),
-            (share * 100).alias("share_pct"),
-        )
+    out = labelled.where(F.col("whole_ms") > 0).select(
+        "warehouse_name",
+        "user_name",
+        (F.col("ms") / F.lit(MINUTE_MS)).alias("total_min"),
+        share.alias("share"),
+        (share * 100).alias("share_pct"),
     )
     return ordered(out, asc("warehouse_name"), desc("share"), asc("user_name"))
 
@@ -118,16 +122,14 @@ def top_user_matrix(
     Ranking and matrix use the same aggregation, so the log is read and shuffled once.
     """
     base = _elapsed_ms(qh, as_of, days, warehouses)
-    totals = base.groupBy("user_name").agg(F.sum("ms").alias("user_ms")).where(F.col("user_ms") > 0)
-    # k rows at most, so the broadcast is bounded.
-    top = F.broadcast(top_k(totals, k, desc("user_ms"), asc("user_name")).select("user_name"))
-    return _matrix(base.join(top, "user_name", "left_semi"), min_minutes)
+    return _matrix(_only_top(base, _top_users(base, k, 1), None), min_minutes)
 
 
-def _matrix(base: DataFrame, min_minutes: float) -> DataFrame:
+def _matrix(per_user: DataFrame, min_minutes: float) -> DataFrame:
+    known = F.col("user_name").isNotNull()
     out = (
-        base.withColumn("whole_ms", _warehouse_ms())
-        .where(F.col("whole_ms") > min_minutes * MINUTE_MS)
+        per_user.withColumn("whole_ms", _whole_ms(known))
+        .where((F.col("whole_ms") > min_minutes * MINUTE_MS) & known)
         .select("warehouse_name", "user_name", (F.col("ms") / F.lit(MINUTE_MS)).alias("total_min"))
     )
     return ordered(out, asc("warehouse_name"), asc("user_name"))
