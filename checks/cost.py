@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from gaugework.operators import cost as op
+from gaugework.operators.reshape import union_all, unpivot
 
 from checks.registry import E_TS, END, EVENTS, L_TS, LINES, PERIOD, R, START, query, rounded
 
@@ -273,3 +276,28 @@ _HOURS = ", ".join(
 )
 def _(t):
     return rounded(op.pivot_hours(t(WM), START, END), 4, *[f"h{i}" for i in range(24)])
+
+
+@query(
+    "union_all",
+    f"{WM} {LMT}",
+    f"""SELECT warehouse_name, start_time, credits_used, NULL AS service_type FROM {WM}
+        UNION ALL SELECT NULL, start_time, credits_used, service_type FROM {LMT}""",
+)
+def _(t):
+    return union_all(t(WM).select("warehouse_name", "start_time", "credits_used"), t(LMT))
+
+
+@query(
+    "unpivot",
+    WM,
+    " UNION ALL ".join(
+        f"SELECT warehouse_name, '{c}' AS metric, {R(f'sum(credits_used{c})', 4)} AS value FROM {WM} GROUP BY 1"
+        for c in ("_compute", "_cloud_services")
+    ),
+)
+def _(t):
+    wide = t(WM).groupBy("warehouse_name").agg(
+        F.sum("credits_used_compute").alias("_compute"), F.sum("credits_used_cloud_services").alias("_cloud_services")
+    )
+    return rounded(unpivot(wide, ["warehouse_name"], ["_compute", "_cloud_services"]), 4, "value")

@@ -8,15 +8,20 @@ QH, LQ = "query_history", "line_query_history"
 
 
 def _share(log: str, as_of: str, days: int, warehouses: str = "") -> str:
+    """Users ranked by a window over their totals; shares by a window over the warehouse."""
     return f"""
-    WITH base AS (SELECT warehouse_name, user_name, sum(total_elapsed_time) / 60000.0 AS total_min FROM {log}
-                  WHERE start_time >= {as_of} - INTERVAL {days} DAY {warehouses} GROUP BY 1, 2),
-         top_users AS (SELECT user_name FROM base GROUP BY 1 ORDER BY sum(total_min) DESC, user_name LIMIT 8),
-         labeled AS (SELECT warehouse_name, CASE WHEN user_name IN (SELECT user_name FROM top_users) THEN user_name
-                            ELSE 'Other' END AS user_name, sum(total_min) AS total_min FROM base GROUP BY 1, 2),
-         totals AS (SELECT warehouse_name, sum(total_min) AS t FROM labeled GROUP BY 1),
-         shares AS (SELECT l.warehouse_name, l.user_name, l.total_min, l.total_min / nullif(t.t, 0) AS share
-                    FROM labeled l JOIN totals t USING (warehouse_name) WHERE t.t > 0)
+    WITH spent AS (
+        SELECT warehouse_name, user_name, sum(total_elapsed_time) AS ms FROM {log}
+        WHERE start_time >= {as_of} - INTERVAL {days} DAY {warehouses} GROUP BY ALL),
+    placed AS (
+        SELECT user_name AS name, row_number() OVER (ORDER BY sum(ms) DESC, user_name NULLS LAST) AS place
+        FROM spent GROUP BY user_name),
+    shares AS (
+        SELECT warehouse_name, coalesce(p.name, 'Other') AS user_name, sum(ms) / 60000.0 AS total_min,
+               sum(ms) / nullif(sum(sum(ms)) OVER (PARTITION BY warehouse_name), 0) AS share
+        FROM spent s LEFT JOIN placed p ON p.name = s.user_name AND p.place <= 8
+        WHERE warehouse_name IS NOT NULL GROUP BY 1, 2
+        QUALIFY sum(sum(ms)) OVER (PARTITION BY warehouse_name) > 0)
     """
 
 
@@ -47,32 +52,30 @@ def _(t):
     return rounded(op.warehouse_order(op.user_share_by_warehouse(t(QH), EVENTS)), 4, "total_min")
 
 
-def _top(log: str, as_of: str, days: int, k: int) -> str:
-    return f"""
-        SELECT user_name, sum(total_elapsed_time) / 60000.0 AS total_min FROM {log}
-        WHERE start_time >= {as_of} - INTERVAL {days} DAY GROUP BY 1 HAVING sum(total_elapsed_time) > 0
-        ORDER BY total_min DESC, user_name LIMIT {k}"""
+PLACED = f"""
+    WITH spent AS (SELECT warehouse_name, user_name, sum(total_elapsed_time) AS ms FROM {QH}
+                   WHERE start_time >= {E_TS} - INTERVAL 30 DAY GROUP BY ALL),
+    placed AS (SELECT user_name, sum(ms) AS user_ms, row_number() OVER (ORDER BY sum(ms) DESC, user_name NULLS LAST) AS place
+               FROM spent GROUP BY user_name HAVING sum(ms) > 0),
+    matrix AS (SELECT s.warehouse_name, s.user_name, s.ms / 60000.0 AS total_min, p.place
+               FROM spent s JOIN placed p ON p.user_name = s.user_name AND p.place <= 10
+               QUALIFY sum(s.ms) OVER (PARTITION BY s.warehouse_name) > 20 * 60000)
+    """
 
 
-@query("top_users_by_time", QH, f"SELECT user_name, {R('total_min', 4)} AS total_min FROM ({_top(QH, E_TS, 30, 10)})")
+@query(
+    "top_users_by_time",
+    QH,
+    PLACED + f"SELECT user_name, {R('user_ms / 60000.0', 4)} AS total_min FROM placed WHERE place <= 10",
+)
 def _(t):
     return rounded(op.top_users_by_time(t(QH), EVENTS), 4, "total_min")
 
 
-MATRIX = f"""
-    WITH top_users AS ({_top(QH, E_TS, 30, 10)}),
-         base AS (SELECT warehouse_name, user_name, sum(total_elapsed_time) / 60000.0 AS total_min FROM {QH}
-                  WHERE start_time >= {E_TS} - INTERVAL 30 DAY AND user_name IN (SELECT user_name FROM top_users)
-                  GROUP BY 1, 2),
-         matrix AS (SELECT * FROM base WHERE warehouse_name IN
-                    (SELECT warehouse_name FROM base GROUP BY 1 HAVING sum(total_min) > 20))
-    """
-
-
 @query(
     "user_warehouse_matrix",
     QH,
-    MATRIX + f"SELECT warehouse_name, user_name, {R('total_min', 4)} AS total_min FROM matrix",
+    PLACED + f"SELECT warehouse_name, user_name, {R('total_min', 4)} AS total_min FROM matrix",
 )
 def _(t):
     return rounded(op.top_user_matrix(t(QH), EVENTS), 4, "total_min")
@@ -81,7 +84,7 @@ def _(t):
 @query(
     "user_warehouse_matrix_frame",
     QH,
-    MATRIX + f"SELECT warehouse_name, user_name, {R('total_min', 4)} AS total_min FROM matrix",
+    PLACED + f"SELECT warehouse_name, user_name, {R('total_min', 4)} AS total_min FROM matrix",
 )
 def _(t):
     qh = t(QH)
@@ -89,17 +92,12 @@ def _(t):
     return rounded(matrix, 4, "total_min")
 
 
-_RANKED = ", ".join(f"{R(f'coalesce(sum(CASE WHEN r = {i} THEN total_min END), 0)', 4)} AS u{i}" for i in range(1, 11))
+_RANKED = ", ".join(
+    f"{R(f'coalesce(sum(total_min) FILTER (WHERE place = {i}), 0)', 4)} AS u{i}" for i in range(1, 11)
+)
 
 
-@query(
-    "user_warehouse_pivot",
-    QH,
-    MATRIX
-    + f"""SELECT warehouse_name, {_RANKED} FROM matrix
-          JOIN (SELECT user_name, row_number() OVER (ORDER BY total_min DESC, user_name) AS r FROM top_users) USING (user_name)
-          GROUP BY 1""",
-)
+@query("user_warehouse_pivot", QH, PLACED + f"SELECT warehouse_name, {_RANKED} FROM matrix GROUP BY 1")
 def _(t):
     # Ten names at most, the result of the top-k; one column per name, named by rank.
     names = [r.user_name for r in op.top_users_by_time(t(QH), EVENTS).collect()]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import asc, desc, ntz, ordered, top_k
 from gaugework.operators.filters import optional_filters, period_filter
+from gaugework.operators.reshape import union_all
 from gaugework.operators.users import EDITABLE
 from gaugework.schemas import CONTROL_DEFAULTS, CONTROL_KEYS
 
@@ -295,10 +296,7 @@ def inventory_counts(
 ) -> DataFrame:
     """Number of projects, managed roles, managed objects and audited actions."""
     kinds = {"projects": projects, "roles": roles, "objects": objects, "audited_actions": audit}
-    stacked = None
-    for kind, df in kinds.items():
-        rows = df.select(F.lit(kind).alias("kind"))
-        stacked = rows if stacked is None else stacked.unionByName(rows)
+    stacked = union_all(*[df.select(F.lit(kind).alias("kind")) for kind, df in kinds.items()])
     return stacked.agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds])
 
 

@@ -16,6 +16,7 @@ from gaugework.functions import (
     trunc_to,
 )
 from gaugework.operators.filters import in_list, lookback, lookback_start, period_filter, since
+from gaugework.operators.reshape import union_all
 
 # Price of a credit in USD, service that meters warehouses.
 CREDIT_COST_USD = 4.0
@@ -56,21 +57,17 @@ def overview_kpis(
     wm: DataFrame, mt: DataFrame, qh: DataFrame, start, end, cost: float = CREDIT_COST_USD
 ) -> DataFrame:
     """One row of headline figures; the three logs are aggregated in one stacked pass."""
-    warehouses = period_filter(wm, "start_time", start, end).select(
-        F.col("credits_used").alias("wh"), F.lit(None).cast("double").alias("sl"), F.lit(0).alias("q")
-    )
+    warehouses = period_filter(wm, "start_time", start, end).select(F.col("credits_used").alias("wh"))
     services = (
         period_filter(mt, "start_time", start, end)
         .where(_not_warehouse())
-        .select(F.lit(None).cast("double").alias("wh"), F.col("credits_used").alias("sl"), F.lit(0).alias("q"))
-    )
-    queries = period_filter(qh, "start_time", start, end).select(
-        F.lit(None).cast("double").alias("wh"), F.lit(None).cast("double").alias("sl"), F.lit(1).alias("q")
+        .select(F.col("credits_used").alias("sl"))
     )
-    sums = warehouses.unionByName(services).unionByName(queries).agg(
+    queries = period_filter(qh, "start_time", start, end).select(F.lit(1).alias("q"))
+    sums = union_all(warehouses, services, queries).agg(
         F.coalesce(F.sum("wh"), F.lit(0.0)).alias("warehouse_credits"),
         F.coalesce(F.sum("sl"), F.lit(0.0)).alias("serverless_credits"),
-        F.coalesce(F.sum("q"), F.lit(0)).alias("total_queries"),
+        F.count("q").alias("total_queries"),
     )
     total = F.col("warehouse_credits") + F.col("serverless_credits")
     return sums.withColumn("total_credits", total).withColumn("total_cost", total * F.lit(cost))
@@ -105,8 +102,9 @@ def hourly_by_category(wm: DataFrame, mt: DataFrame, start, end) -> DataFrame:
         .groupBy(trunc_to("start_time", "hour").alias("period"))
         .agg(F.sum("credits_used").alias("credits_used"))
     )
-    both = warehouses.withColumn("category", F.lit("Warehouse")).unionByName(
-        services.withColumn("category", F.lit("Serverless"))
+    both = union_all(
+        warehouses.withColumn("category", F.lit("Warehouse")),
+        services.withColumn("category", F.lit("Serverless")),
     )
     return ordered(both.select("period", "category", "credits_used"), asc("category"), asc("period"))
 

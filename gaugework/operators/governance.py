@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions import asc, day_start, ntz, ordered
 from gaugework.operators.filters import active_only, lookback, lookback_start, since
+from gaugework.operators.reshape import union_all
 from gaugework.operators.security import (
     MAX_TOP_ADMINS,
     TOP_ADMIN,
@@ -135,7 +134,7 @@ def compliance_scorecard(
             "warehouses with remote spill",
         ),
     ]
-    return reduce(DataFrame.unionByName, checks)
+    return union_all(*checks)
 
 
 def compliance_score(scorecard: DataFrame) -> DataFrame:
@@ -164,22 +163,14 @@ def compliance_by_category(scorecard: DataFrame) -> DataFrame:
 
 def health_context(lh: DataFrame, wm: DataFrame, us: DataFrame, as_of) -> DataFrame:
     """One JSON object with four headline figures; a figure without data is left out."""
-    one, none = F.lit(1), F.lit(None)
     failed = (
         lh.where(F.col("event_timestamp") > ntz(lookback_start(as_of, 24, "hour")))
         .where(F.col("is_success") == "NO")
-        .select(one.alias("f"), none.cast("double").alias("c"), none.cast("int").alias("u"), none.cast("int").alias("m"))
-    )
-    credits = since(wm, "start_time", day_start(as_of)).select(
-        none.cast("int").alias("f"), F.col("credits_used").alias("c"), none.cast("int").alias("u"), none.cast("int").alias("m")
-    )
-    users = active_only(us).select(
-        none.cast("int").alias("f"),
-        none.cast("double").alias("c"),
-        one.alias("u"),
-        F.when(is_false("has_mfa"), 1).alias("m"),
+        .select(F.lit(1).alias("f"))
     )
-    row = failed.unionByName(credits).unionByName(users).agg(
+    credits = since(wm, "start_time", day_start(as_of)).select(F.col("credits_used").alias("c"))
+    users = active_only(us).select(F.lit(1).alias("u"), F.when(is_false("has_mfa"), 1).alias("m"))
+    row = union_all(failed, credits, users).agg(
         F.count("f").alias("failed_logins_24h"),
         F.round(F.sum("c"), 2).alias("credits_used_today"),
         F.count("u").alias("total_users"),

@@ -18,6 +18,7 @@ from gaugework.functions import (
     value_counts,
 )
 from gaugework.operators.filters import lookback, period_filter, preview_text, since
+from gaugework.operators.reshape import unpivot
 from gaugework.operators.storage import GIB
 
 # Slow-query limit in ms; day labels, 0 = Sunday.
@@ -117,9 +118,8 @@ def perf_by_day(qh: DataFrame, as_of) -> DataFrame:
 
 
 def perf_by_day_long(qh: DataFrame, as_of) -> DataFrame:
-    return perf_by_day(qh, as_of).unpivot(
-        ["day", "nb_queries"], ["avg_sec", "p50_sec", "p95_sec", "p99_sec"], "metric", "seconds"
-    )
+    series = ["avg_sec", "p50_sec", "p95_sec", "p99_sec"]
+    return unpivot(perf_by_day(qh, as_of), ["day", "nb_queries"], series, value="seconds")
 
 
 def preview_queries(qh: DataFrame, n: int = 200, *extra: Column) -> DataFrame:

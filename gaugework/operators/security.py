@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import as_datetime, asc, desc, ntz, ordered, top_k
 from gaugework.operators.filters import active_only, lookback, lookback_start, period_filter
+from gaugework.operators.reshape import union_all
 
 # The administrative roles.
 TOP_ADMIN = "ACCOUNTADMIN"
@@ -282,11 +283,10 @@ def policy_counts(**policies: DataFrame) -> DataFrame:
 
     Tables with a ``deleted`` column count their live rows, except network policies.
     """
-    stacked = None
+    counts = []
     for kind, df in policies.items():
         live = active_only(df, "deleted") if "deleted" in df.columns and kind != "network" else df
-        row = live.agg(F.count(F.lit(1)).alias("policies")).select(
-            F.lit(kind).alias("policy_kind"), "policies"
+        counts.append(
+            live.agg(F.count(F.lit(1)).alias("policies")).select(F.lit(kind).alias("policy_kind"), "policies")
         )
-        stacked = row if stacked is None else stacked.unionByName(row)
-    return stacked
+    return union_all(*counts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import asc, desc, ordered, trunc_to
 from gaugework.operators.filters import lookback
+from gaugework.operators.reshape import unpivot
 from gaugework.operators.storage import GIB
 
 
@@ -57,9 +58,7 @@ def warehouse_load_hourly(wl: DataFrame, warehouse: str, as_of) -> DataFrame:
 
 
 def warehouse_load_hourly_long(wl: DataFrame, warehouse: str, as_of) -> DataFrame:
-    return warehouse_load_hourly(wl, warehouse, as_of).unpivot(
-        ["hour"], ["running", "queued", "blocked"], "metric", "value"
-    )
+    return unpivot(warehouse_load_hourly(wl, warehouse, as_of), ["hour"], ["running", "queued", "blocked"])
 
 
 def high_queue_flag(wl: DataFrame, warehouse: str, as_of, limit: float = 0.5) -> DataFrame:

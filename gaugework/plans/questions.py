@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugework.functions import add_months, asc, desc, month_start, ordered, top_k, trunc_to
 from gaugework.operators.cost import CREDIT_COST_USD
 from gaugework.operators.filters import lookback, since
+from gaugework.operators.reshape import union_all
 
 
 def failed_logins_and_expensive_queries(
@@ -81,26 +82,29 @@ _OPERATIONS = {
     "pipe": ("pipe_usage_history", "bytes_inserted"),
     "clustering": ("automatic_clustering_history", "num_bytes_reclustered"),
     "serverless_task": ("serverless_task_history", None),
+    "materialized_views": ("materialized_view_refresh_history", None),
+    "replication": ("replication_usage_history", "bytes_transferred"),
 }
 
 
 def ops_cost_summary(logs: Mapping[str, DataFrame], as_of, months: int = 1) -> DataFrame:
     """Credits and bytes per month of background services, from the start of the month
-    ``months`` before the current one.  ``logs`` maps usage-log names to frames."""
+    ``months`` before the current one.  ``logs`` maps usage-log names to frames; operations whose
+    log is not given are left out."""
     first = add_months(month_start(as_of), -months)
-    stacked = None
+    parts = []
     for operation, (log, amount) in _OPERATIONS.items():
-        if log not in logs:
-            continue
-        used = F.col(amount).cast("bigint") if amount else F.lit(None).cast("bigint")
-        rows = since(logs[log], "start_time", first).select(
-            F.lit(operation).alias("operation"),
-            trunc_to("start_time", "month").alias("month"),
-            "credits_used",
-            used.alias("bytes"),
-        )
-        stacked = rows if stacked is None else stacked.unionByName(rows)
-    out = stacked.groupBy("operation", "month").agg(
+        if log in logs:
+            used = F.col(amount).cast("bigint") if amount else F.lit(None).cast("bigint")
+            parts.append(
+                since(logs[log], "start_time", first).select(
+                    F.lit(operation).alias("operation"),
+                    trunc_to("start_time", "month").alias("month"),
+                    "credits_used",
+                    used.alias("bytes"),
+                )
+            )
+    out = union_all(*parts).groupBy("operation", "month").agg(
         F.round(F.sum("credits_used"), 2).alias("credits"), F.sum("bytes").alias("bytes")
     )
     return ordered(out, asc("operation"), asc("month"))

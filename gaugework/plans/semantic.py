@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions import trunc_to
+from gaugework.operators.reshape import union_all
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ class SemanticView:
         names = [m.name for m in wanted]
         if len(parts) == 1:
             return parts[0].select(*keys, *names)
-        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        stacked = union_all(*parts)
         # Every part holds a key once, so max() only picks the one value that is there.
         return stacked.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names]).select(*keys, *names)
 
