@@ -206,7 +206,7 @@ def _(t):
     "usage_log_scan",
     "warehouse_metering_history",
     f"""SELECT warehouse_name, start_time, end_time, credits_used, credits_used_compute, credits_used_cloud_services,
-               CAST(start_time AS DATE) AS event_date FROM warehouse_metering_history WHERE start_time {PERIOD}""",
+               CAST(start_time AS DATE) AS start_time_date FROM warehouse_metering_history WHERE start_time {PERIOD}""",
 )
 def _(t):
     root = work_dir(t.spark, "logs")

@@ -1,9 +1,9 @@
 """Period, lookback and facet predicates.
 
 All of them compare the bare column with literals, so Parquet row groups can be
-skipped.  Logs laid out by ``write_usage_log`` also carry an ``event_date``
-partition column; the time filters then add the matching date range and whole
-directories are pruned.
+skipped.  Logs laid out by ``write_usage_log`` also carry a partition column with the
+date of their time column; filters on that column then add the matching date range and
+whole directories are pruned.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import add_months, as_datetime, asc, day_start, ntz
 
-PARTITION_COLUMN = "event_date"
 
+def partition_column(ts_col: str) -> str:
+    """Named after its source, so that a filter on another time column prunes nothing."""
+    return f"{ts_col}_date"
 
-def _date_range(df: DataFrame, start=None, end=None) -> Column:
-    cond = F.lit(True)
-    if PARTITION_COLUMN in df.columns:
-        if start is not None:
-            cond = cond & (F.col(PARTITION_COLUMN) >= F.lit(as_datetime(start).date()))
+
+def _date_range(df: DataFrame, col: str, start, end=None) -> Column:
+    cond, date_col = F.lit(True), partition_column(col)
+    if date_col in df.columns:
+        cond = F.col(date_col) >= F.lit(as_datetime(start).date())
         if end is not None:
-            cond = cond & (F.col(PARTITION_COLUMN) <= F.lit(as_datetime(end).date()))
+            cond = cond & (F.col(date_col) <= F.lit(as_datetime(end).date()))
     return cond
 
 
@@ -34,12 +36,12 @@ def since(df: DataFrame, col: str, start, before=None) -> DataFrame:
     cond = F.col(col) >= ntz(start)
     if before is not None:
         cond = cond & (F.col(col) < ntz(before))
-    return df.where(cond & _date_range(df, start, before))
+    return df.where(cond & _date_range(df, col, start, before))
 
 
 def period_filter(df: DataFrame, col: str, start, end) -> DataFrame:
     """Inclusive range, both bounds cut to whole seconds."""
-    return df.where(F.col(col).between(ntz(start), ntz(end)) & _date_range(df, start, end))
+    return df.where(F.col(col).between(ntz(start), ntz(end)) & _date_range(df, col, start, end))
 
 
 def date_period_filter(df: DataFrame, col: str, start, end) -> DataFrame:

@@ -163,9 +163,10 @@ def compliance_by_category(scorecard: DataFrame) -> DataFrame:
 
 def health_context(lh: DataFrame, wm: DataFrame, us: DataFrame, as_of) -> DataFrame:
     """One JSON object with four headline figures; a figure without data is left out."""
+    day_ago = lookback_start(as_of, 24, "hour")
     failed = (
-        lh.where(F.col("event_timestamp") > ntz(lookback_start(as_of, 24, "hour")))
-        .where(F.col("is_success") == "NO")
+        since(lh, "event_timestamp", day_ago)
+        .where((F.col("event_timestamp") > ntz(day_ago)) & (F.col("is_success") == "NO"))
         .select(F.lit(1).alias("f"))
     )
     credits = since(wm, "start_time", day_start(as_of)).select(F.col("credits_used").alias("c"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.functions import asc, desc
+from gaugework.operators.filters import partition_column
 from gaugework.schemas import USAGE_LOGS
 
 CONTROL_ORDER: dict[str, tuple[str, ...]] = {
@@ -50,9 +51,8 @@ def scan_usage(spark: SparkSession, root: str, name: str) -> DataFrame:
             cast = c.try_cast if kind == "string" else c.cast
             c = cast(field.dataType).alias(field.name)
         columns.append(c)
-    if "event_date" in found:
-        columns.append(F.col("event_date"))
-    return df.select(*columns)
+    dates = [partition_column(f.name) for f in USAGE_LOGS[name].fields]
+    return df.select(*columns, *[d for d in dates if d in found])
 
 
 def scan_control(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.operators.filters import PARTITION_COLUMN
+from gaugework.operators.filters import partition_column
 
 SALTS = 64
 
@@ -29,8 +29,8 @@ def write_table(
 
 def write_usage_log(df: DataFrame, path: str, ts_col: str, mode: str = "append") -> None:
     """A usage log in date folders, so the time filters prune directories."""
-    dated = df.withColumn(PARTITION_COLUMN, F.to_date(ts_col))
-    write_table(dated, path, mode, [PARTITION_COLUMN])
+    date_col = partition_column(ts_col)
+    write_table(df.withColumn(date_col, F.to_date(ts_col)), path, mode, [date_col])
 
 
 def clustered(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:

@@ -267,7 +267,10 @@ def test_period_prunes_date_folders(spark, frame, tmp_path):
     kept = period_filter(log, "start_time", "2024-01-03 06:00:00", "2024-01-05 12:00:00")
     assert kept.count() == 2
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert "PartitionFilters: [isnotnull(start_time_date" in plan
+    # The folders say nothing about another time column.
+    other = period_filter(log, "end_time", "2024-01-03 06:00:00", "2024-01-05 12:00:00")
+    assert "PartitionFilters: []" in other._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scan_normalises_types_and_refuses_missing_columns(spark, frame, tmp_path):
