@@ -92,68 +92,65 @@ def _(t):
     return op.perf_by_day_long(t(QH), EVENTS)
 
 
-PREVIEW = "query_id user_name warehouse_name duration_sec execution_status query_preview start_time"
+def _cut(log: str, where: str, order: str, columns: str, k: int) -> str:
+    return f"(SELECT {columns.replace(' ', ', ')} FROM {log} WHERE {where} {top(order, columns, k)})"
 
 
-def _preview(log: str) -> str:
+def _preview(rows: str) -> str:
     return f"""SELECT query_id, user_name, warehouse_name, {R('total_elapsed_time * 0.001', 2)} AS duration_sec,
-                      execution_status, left(query_text, 200) AS query_preview, start_time, total_elapsed_time
-               FROM {log}"""
+                      execution_status, left(query_text, 200) AS query_preview, start_time FROM {rows}"""
 
 
-@query("preview_queries", QH, f"SELECT {PREVIEW.replace(' ', ', ')} FROM ({_preview(QH)})")
+@query("preview_queries", QH, _preview(QH))
 def _(t):
     return op.preview_queries(t(QH))
 
 
-@query(
-    "slowest_queries",
-    QH,
-    f"""SELECT {PREVIEW.replace(' ', ', ')} FROM ({_preview(QH)} WHERE start_time {PERIOD} AND total_elapsed_time > 0)
-        {top('total_elapsed_time DESC', PREVIEW, 50)}""",
-)
+SLOW = "query_id user_name warehouse_name total_elapsed_time execution_status query_text start_time"
+
+
+def _slowest(log: str, period: str) -> str:
+    where = f"start_time {period} AND total_elapsed_time > 0"
+    return _preview(_cut(log, where, "total_elapsed_time DESC NULLS LAST", SLOW, 50))
+
+
+@query("slowest_queries", QH, _slowest(QH, PERIOD))
 def _(t):
     return op.slowest_queries(t(QH), START, END)
 
 
-@query(
-    "slowest_queries_lines",
-    LQ,
-    f"""SELECT {PREVIEW.replace(' ', ', ')} FROM ({_preview(LQ)} WHERE start_time {L_PERIOD} AND total_elapsed_time > 0)
-        {top('total_elapsed_time DESC', PREVIEW, 50)}""",
-)
+@query("slowest_queries_lines", LQ, _slowest(LQ, L_PERIOD))
 def _(t):
     return op.slowest_queries(t(LQ), L_START, L_END)
 
 
-SPILL = "user_name warehouse_name duration_sec spill_local_mb spill_remote_mb cloud_credits query_preview"
+SPILL = """user_name warehouse_name total_elapsed_time bytes_spilled_to_local_storage bytes_spilled_to_remote_storage
+           credits_used_cloud_services query_text"""
+NAMED = "warehouse_name IS NOT NULL"
 
 
 @query(
     "slowest_with_spill",
     QH,
-    f"""SELECT {SPILL.replace(' ', ', ')} FROM (
-        SELECT user_name, warehouse_name, {R('total_elapsed_time * 0.001', 1)} AS duration_sec,
+    f"""SELECT user_name, warehouse_name, {R('total_elapsed_time * 0.001', 1)} AS duration_sec,
                {R(f'bytes_spilled_to_local_storage / {MB}', 1)} AS spill_local_mb,
                {R(f'bytes_spilled_to_remote_storage / {MB}', 1)} AS spill_remote_mb,
-               {R('credits_used_cloud_services', 5)} AS cloud_credits, left(query_text, 100) AS query_preview,
-               total_elapsed_time
-        FROM {QH} WHERE {E_7} AND warehouse_name IS NOT NULL) {top('total_elapsed_time DESC NULLS LAST', SPILL, 10)}""",
+               {R('credits_used_cloud_services', 5)} AS cloud_credits, left(query_text, 100) AS query_preview
+        FROM {_cut(QH, f'{E_7} AND {NAMED}', 'total_elapsed_time DESC NULLS LAST', ' '.join(SPILL.split()), 10)}""",
 )
 def _(t):
     return op.slowest_with_spill(t(QH), EVENTS)
 
 
-COSTLY = "query_id user_name warehouse_name duration_sec cloud_credits gb_scanned query_preview"
+COSTLY = "query_id user_name warehouse_name total_elapsed_time credits_used_cloud_services bytes_scanned query_text"
 
 
 def _costly(interval: str) -> str:
-    return f"""SELECT {COSTLY.replace(' ', ', ')} FROM (
-        SELECT query_id, user_name, warehouse_name, {R('total_elapsed_time * 0.001', 1)} AS duration_sec,
-               {R('credits_used_cloud_services', 5)} AS cloud_credits, {R(f'bytes_scanned / {GB}', 2)} AS gb_scanned,
-               left(query_text, 120) AS query_preview, credits_used_cloud_services
-        FROM {QH} WHERE start_time >= {E_TS} - INTERVAL {interval} AND warehouse_name IS NOT NULL)
-        {top('credits_used_cloud_services DESC NULLS LAST', COSTLY, 10)}"""
+    where = f"start_time >= {E_TS} - INTERVAL {interval} AND {NAMED}"
+    return f"""SELECT query_id, user_name, warehouse_name, {R('total_elapsed_time * 0.001', 1)} AS duration_sec,
+                      {R('credits_used_cloud_services', 5)} AS cloud_credits, {R(f'bytes_scanned / {GB}', 2)} AS gb_scanned,
+                      left(query_text, 120) AS query_preview
+               FROM {_cut(QH, where, 'credits_used_cloud_services DESC NULLS LAST', COSTLY, 10)}"""
 
 
 @query("most_expensive_queries", QH, _costly("7 DAY"))
@@ -166,7 +163,8 @@ def _(t):
     return op.most_expensive_queries(t(QH), EVENTS, n=1, unit="hour")
 
 
-RECENT = "query_id query_text query_type execution_status start_time elapsed_sec mb_scanned"
+RECENT = "query_id query_text query_type execution_status start_time total_elapsed_time bytes_scanned"
+LAST_DAY = f"warehouse_name = 'view' AND start_time >= {E_TS} - INTERVAL 1 DAY"
 
 
 @query(
@@ -174,8 +172,7 @@ RECENT = "query_id query_text query_type execution_status start_time elapsed_sec
     QH,
     f"""SELECT query_id, query_text, query_type, execution_status, start_time,
                {R('total_elapsed_time * 0.001', 2)} AS elapsed_sec, {R('bytes_scanned / 1000000.0', 2)} AS mb_scanned
-        FROM {QH} WHERE warehouse_name = 'view' AND start_time >= {E_TS} - INTERVAL 1 DAY
-        {top('start_time DESC', 'query_id', 50)}""",
+        FROM {_cut(QH, LAST_DAY, 'start_time DESC', RECENT, 50)}""",
 )
 def _(t):
     return op.recent_queries(t(QH), "view", EVENTS)
@@ -223,7 +220,8 @@ def _(t):
     return op.user_cloud_credits(t(LQ), LINES)
 
 
-RUNNING = "user_name warehouse_name running_sec execution_status query_preview"
+RUNNING = "user_name warehouse_name start_time execution_status query_text"
+UNFINISHED = f"start_time >= {E_TS} - INTERVAL 1 HOUR AND execution_status IN ('RUNNING', 'QUEUED')"
 
 
 @query(
@@ -231,8 +229,7 @@ RUNNING = "user_name warehouse_name running_sec execution_status query_preview"
     QH,
     f"""SELECT user_name, warehouse_name, date_sub('second', start_time, {E_TS}) AS running_sec, execution_status,
                left(query_text, 120) AS query_preview
-        FROM {QH} WHERE start_time >= {E_TS} - INTERVAL 1 HOUR AND execution_status IN ('RUNNING', 'QUEUED')
-        {top('running_sec DESC', RUNNING, 20)}""",
+        FROM {_cut(QH, UNFINISHED, 'start_time', RUNNING, 20)}""",
 )
 def _(t):
     return op.running_queries(t(QH), EVENTS)

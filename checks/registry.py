@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from gaugework.functions import round_to
 from gaugework.sources.adapters import (
     EVENTS_AS_OF,
     LINES_AS_OF,
@@ -69,7 +69,7 @@ def query(name: str, logs: str, sql: str | None = None):
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Fixed digits where an operator returns a raw float, whose last bits depend on the
     order of summation."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: round_to(c, digits) for c in cols})
 
 
 def R(expr: str, digits: int) -> str:

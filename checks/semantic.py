@@ -137,22 +137,22 @@ MAINTENANCE_SQL = {
     "password_policies": {"strong_password_policies": _n(STRONG)},
     "network_policies": {"active_network_policies": _n("deleted IS NULL")},
     "task_history": TASK_METRICS,
-    "serverless_task_history": {"total_serverless_credits": _f("sum(credits_used)")},
+    "serverless_task_history": {"total_serverless_credits": "sum(credits_used)"},
     "pipe_usage_history": {
-        "total_pipe_credits": _f("sum(credits_used)"),
+        "total_pipe_credits": "sum(credits_used)",
         "total_files_inserted": _i("sum(files_inserted)"),
         "total_bytes_inserted": _i("sum(bytes_inserted)"),
     },
     "automatic_clustering_history": {
-        "total_clustering_credits": _f("sum(credits_used)"),
+        "total_clustering_credits": "sum(credits_used)",
         "total_bytes_reclustered": _i("sum(num_bytes_reclustered)"),
     },
     "materialized_view_refresh_history": {
-        "total_mv_credits": _f("sum(credits_used)"),
+        "total_mv_credits": "sum(credits_used)",
         "total_mv_refreshes": "count(credits_used)",
     },
     "replication_usage_history": {
-        "total_replication_credits": _f("sum(credits_used)"),
+        "total_replication_credits": "sum(credits_used)",
         "total_bytes_replicated": _i("sum(bytes_transferred)"),
     },
     "data_transfer_history": {"total_transfer_bytes": _i("sum(bytes_transferred)")},

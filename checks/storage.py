@@ -92,13 +92,13 @@ def _(t):
     return op.load_kpis(t("copy_history"), O_START, O_END)
 
 
-TABLE_COLS = "database_name schema_name table_name row_count size_gb created last_altered"
+TABLE_COLS = "table_catalog table_schema table_name row_count bytes created last_altered"
 LARGEST = f"""
-    SELECT {TABLE_COLS.replace(' ', ', ')} FROM (
-        SELECT table_catalog AS database_name, table_schema AS schema_name, table_name, row_count,
-               {R(f'bytes / {GB}', 4)} AS size_gb, created, last_altered, bytes
-        FROM tables WHERE deleted IS NULL AND bytes > 0 AND table_type = 'BASE TABLE')
-    {top('bytes DESC NULLS LAST', TABLE_COLS, 50)}"""
+    SELECT table_catalog AS database_name, table_schema AS schema_name, table_name, row_count,
+           {R(f'bytes / {GB}', 4)} AS size_gb, created, last_altered
+    FROM (SELECT {TABLE_COLS.replace(' ', ', ')} FROM tables
+          WHERE deleted IS NULL AND bytes > 0 AND table_type = 'BASE TABLE'
+          {top('bytes DESC NULLS LAST', TABLE_COLS, 50)})"""
 
 
 @query("largest_tables", "tables", LARGEST)

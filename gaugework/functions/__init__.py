@@ -1,5 +1,6 @@
 from gaugework.functions.ordering import asc, desc, ordered, top_k
 from gaugework.functions.quantiles import exact_percentiles, value_counts
+from gaugework.functions.rounding import round_to
 from gaugework.functions.time import (
     add_months,
     as_datetime,
@@ -26,6 +27,7 @@ __all__ = [
     "ordered",
     "period_start",
     "preset",
+    "round_to",
     "seconds_between",
     "top_k",
     "trunc_to",

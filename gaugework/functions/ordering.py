@@ -22,16 +22,15 @@ def ordered(df: DataFrame, *keys: Column) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def top_k(df: DataFrame, k: int, *keys: Column, drop: tuple[str, ...] = ()) -> DataFrame:
-    """First ``k`` rows by ``keys``; ties are broken by every remaining column.
+def top_k(df: DataFrame, k: int, *keys: Column) -> DataFrame:
+    """First ``k`` rows by ``keys``; ties are broken by every column in turn.
 
     Plans as TakeOrderedAndProject: each task keeps its own best ``k`` rows and
-    only those travel, so the input is never sorted as a whole.  ``drop`` names
-    sort-only columns to leave out of the result.
+    only those travel, so the input is never sorted as a whole.
     """
     rest = [
         F.col(f"`{name}`").asc_nulls_last()
         for name, kind in df.dtypes
-        if name not in drop and not kind.startswith(_UNORDERABLE)
+        if not kind.startswith(_UNORDERABLE)
     ]
-    return df.orderBy(*keys, *rest).limit(k).drop(*drop)
+    return df.orderBy(*keys, *rest).limit(k)

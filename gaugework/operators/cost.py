@@ -12,6 +12,7 @@ from gaugework.functions import (
     month_start,
     ntz,
     ordered,
+    round_to,
     top_k,
     trunc_to,
 )
@@ -28,7 +29,7 @@ def _not_warehouse() -> Column:
 
 
 def _credits(digits: int, col: str = "credits_used") -> Column:
-    return F.round(F.sum(col), digits)
+    return round_to(F.sum(col), digits)
 
 
 def credits_by_period(
@@ -165,7 +166,7 @@ def warehouse_cost(wm: DataFrame, start, end, cost: float = CREDIT_COST_USD) ->
         .groupBy("warehouse_name")
         .agg(
             _credits(2).alias("total_credits"),
-            F.round(F.sum("credits_used") * F.lit(cost), 2).alias("estimated_cost_usd"),
+            round_to(F.sum("credits_used") * F.lit(cost), 2).alias("estimated_cost_usd"),
             F.count(F.lit(1)).alias("metering_events"),
         )
     )
@@ -182,7 +183,7 @@ def credits_month_over_month(mt: DataFrame, as_of) -> DataFrame:
     ts, used = F.col("start_time"), F.col("credits_used")
 
     def part(cond: Column) -> Column:
-        return F.coalesce(F.round(F.sum(F.when(cond, used)), 2), F.lit(0.0))
+        return F.coalesce(round_to(F.sum(F.when(cond, used)), 2), F.lit(0.0))
 
     row = since(mt, "start_time", last_month).agg(
         part(ts >= ntz(this_month)).alias("credits_this_month"),
@@ -215,7 +216,7 @@ def service_share_pct(mt: DataFrame, as_of) -> DataFrame:
     )
     share = F.try_divide(F.col("used") * 100, F.sum("used").over(Window.partitionBy()))
     out = by_service.select(
-        "service_type", F.round("used", 2).alias("credits"), F.round(share, 1).alias("pct")
+        "service_type", round_to("used", 2).alias("credits"), round_to(share, 1).alias("pct")
     )
     return ordered(out, desc("credits"), asc("service_type"))
 
@@ -244,7 +245,7 @@ def warehouse_usage(wm: DataFrame, as_of) -> DataFrame:
         .groupBy("warehouse_name")
         .agg(
             _credits(2).alias("total_credits"),
-            F.round(F.avg("credits_used"), 4).alias("avg_credits_per_hour"),
+            round_to(F.avg("credits_used"), 4).alias("avg_credits_per_hour"),
             F.countDistinct(F.to_date("start_time")).alias("days_active"),
         )
     )
@@ -259,7 +260,7 @@ def warehouse_daily_rate(wm: DataFrame, as_of) -> DataFrame:
         .agg(
             _credits(2).alias("total_credits"),
             days.alias("active_days"),
-            F.round(F.try_divide(F.sum("credits_used"), days), 2).alias("credits_per_day"),
+            round_to(F.try_divide(F.sum("credits_used"), days), 2).alias("credits_per_day"),
         )
     )
     return ordered(out, desc("total_credits"), asc("warehouse_name"))

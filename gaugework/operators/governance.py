@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import asc, day_start, ntz, ordered
+from gaugework.functions import asc, day_start, ntz, ordered, round_to
 from gaugework.operators.filters import active_only, lookback, lookback_start, since
 from gaugework.operators.reshape import union_all
 from gaugework.operators.security import (
@@ -66,7 +66,7 @@ def compliance_scorecard(
         enabled.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_true("ext_authn_duo")).alias("m"))
         .where(F.col("n") > 0)
         .select((F.col("m") / F.col("n") * 100).alias("pct"))
-        .select("pct", F.round("pct", 1).alias("value"))
+        .select("pct", round_to("pct", 1).alias("value"))
     )
     remote_spill = lookback(qh, "start_time", 30, "day", as_of).where(
         F.col("bytes_spilled_to_remote_storage") > 0
@@ -173,7 +173,7 @@ def health_context(lh: DataFrame, wm: DataFrame, us: DataFrame, as_of) -> DataFr
     users = active_only(us).select(F.lit(1).alias("u"), F.when(is_false("has_mfa"), 1).alias("m"))
     row = union_all(failed, credits, users).agg(
         F.count("f").alias("failed_logins_24h"),
-        F.round(F.sum("c"), 2).alias("credits_used_today"),
+        round_to(F.sum("c"), 2).alias("credits_used_today"),
         F.count("u").alias("total_users"),
         F.count("m").alias("users_without_mfa"),
     )

@@ -12,6 +12,7 @@ from gaugework.functions import (
     month_start,
     ntz,
     ordered,
+    round_to,
     seconds_between,
     top_k,
     trunc_to,
@@ -29,15 +30,15 @@ MIB = 1024.0**2
 
 
 def _seconds(col: str, digits: int) -> Column:
-    return F.round(F.col(col) / 1000, digits)
+    return round_to(F.col(col) / 1000, digits)
 
 
 def _avg_seconds(digits: int) -> Column:
-    return F.round(F.avg("total_elapsed_time") / 1000, digits)
+    return round_to(F.avg("total_elapsed_time") / 1000, digits)
 
 
 def _gb(expr: Column) -> Column:
-    return F.round(expr / F.lit(GIB), 2)
+    return round_to(expr / F.lit(GIB), 2)
 
 
 def _errors() -> Column:
@@ -67,8 +68,8 @@ def perf_summary(qh: DataFrame, start, end, approx: bool = False) -> DataFrame:
         return rows.agg(
             F.count(F.lit(1)).alias("total_queries"),
             _avg_seconds(2).alias("avg_duration_sec"),
-            F.round(p[0] / 1000, 2).alias("median_duration_sec"),
-            F.round(p[1] / 1000, 2).alias("p95_duration_sec"),
+            round_to(p[0] / 1000, 2).alias("median_duration_sec"),
+            round_to(p[1] / 1000, 2).alias("p95_duration_sec"),
             F.count_if(F.col("total_elapsed_time") > SLOW_QUERY_MS).alias("slow_queries"),
         )
     counts = value_counts(rows, [], "total_elapsed_time")
@@ -76,9 +77,9 @@ def perf_summary(qh: DataFrame, start, end, approx: bool = False) -> DataFrame:
     row = exact_percentiles(counts, [], "total_elapsed_time", {"p50": 0.5, "p95": 0.95}, sums)
     return row.select(
         F.coalesce("rows", F.lit(0)).alias("total_queries"),
-        F.round(_mean() / 1000, 2).alias("avg_duration_sec"),
-        F.round(F.col("p50") / 1000, 2).alias("median_duration_sec"),
-        F.round(F.col("p95") / 1000, 2).alias("p95_duration_sec"),
+        round_to(_mean() / 1000, 2).alias("avg_duration_sec"),
+        round_to(F.col("p50") / 1000, 2).alias("median_duration_sec"),
+        round_to(F.col("p95") / 1000, 2).alias("p95_duration_sec"),
         F.coalesce("slow", F.lit(0)).alias("slow_queries"),
     )
 
@@ -110,8 +111,8 @@ def perf_by_day(qh: DataFrame, as_of) -> DataFrame:
     )
     out = stats.select(
         "day",
-        F.round(_mean() / 1000, 1).alias("avg_sec"),
-        *[F.round(F.col(p) / 1000, 1).alias(f"{p}_sec") for p in ("p50", "p95", "p99")],
+        round_to(_mean() / 1000, 1).alias("avg_sec"),
+        *[round_to(F.col(p) / 1000, 1).alias(f"{p}_sec") for p in ("p50", "p95", "p99")],
         F.col("rows").alias("nb_queries"),
     )
     return ordered(out, asc("day"))
@@ -122,7 +123,7 @@ def perf_by_day_long(qh: DataFrame, as_of) -> DataFrame:
     return unpivot(perf_by_day(qh, as_of), ["day", "nb_queries"], series, value="seconds")
 
 
-def preview_queries(qh: DataFrame, n: int = 200, *extra: Column) -> DataFrame:
+def preview_queries(qh: DataFrame, n: int = 200) -> DataFrame:
     return qh.select(
         "query_id",
         "user_name",
@@ -131,14 +132,28 @@ def preview_queries(qh: DataFrame, n: int = 200, *extra: Column) -> DataFrame:
         "execution_status",
         preview_text("query_text", n).alias("query_preview"),
         "start_time",
-        *extra,
     )
 
 
+# The lists below pick their rows on the stored columns; rounding and cutting is done for
+# the k rows that remain.
+
+
 def slowest_queries(qh: DataFrame, start, end, k: int = 50) -> DataFrame:
-    rows = period_filter(qh, "start_time", start, end).where(F.col("total_elapsed_time") > 0)
-    shown = preview_queries(rows, 200, F.col("total_elapsed_time").alias("_ms"))
-    return top_k(shown, k, desc("_ms"), drop=("_ms",))
+    rows = (
+        period_filter(qh, "start_time", start, end)
+        .where(F.col("total_elapsed_time") > 0)
+        .select(
+            "query_id",
+            "user_name",
+            "warehouse_name",
+            "total_elapsed_time",
+            "execution_status",
+            "query_text",
+            "start_time",
+        )
+    )
+    return preview_queries(top_k(rows, k, desc("total_elapsed_time")))
 
 
 def slowest_with_spill(qh: DataFrame, as_of, k: int = 10) -> DataFrame:
@@ -148,15 +163,22 @@ def slowest_with_spill(qh: DataFrame, as_of, k: int = 10) -> DataFrame:
         .select(
             "user_name",
             "warehouse_name",
-            _seconds("total_elapsed_time", 1).alias("duration_sec"),
-            F.round(F.col("bytes_spilled_to_local_storage") / F.lit(MIB), 1).alias("spill_local_mb"),
-            F.round(F.col("bytes_spilled_to_remote_storage") / F.lit(MIB), 1).alias("spill_remote_mb"),
-            F.round("credits_used_cloud_services", 5).alias("cloud_credits"),
-            preview_text("query_text", 100).alias("query_preview"),
-            F.col("total_elapsed_time").alias("_ms"),
+            "total_elapsed_time",
+            "bytes_spilled_to_local_storage",
+            "bytes_spilled_to_remote_storage",
+            "credits_used_cloud_services",
+            "query_text",
         )
     )
-    return top_k(rows, k, desc("_ms"), drop=("_ms",))
+    return top_k(rows, k, desc("total_elapsed_time")).select(
+        "user_name",
+        "warehouse_name",
+        _seconds("total_elapsed_time", 1).alias("duration_sec"),
+        round_to(F.col("bytes_spilled_to_local_storage") / F.lit(MIB), 1).alias("spill_local_mb"),
+        round_to(F.col("bytes_spilled_to_remote_storage") / F.lit(MIB), 1).alias("spill_remote_mb"),
+        round_to("credits_used_cloud_services", 5).alias("cloud_credits"),
+        preview_text("query_text", 100).alias("query_preview"),
+    )
 
 
 def most_expensive_queries(
@@ -170,14 +192,21 @@ def most_expensive_queries(
             "query_id",
             "user_name",
             "warehouse_name",
-            _seconds("total_elapsed_time", 1).alias("duration_sec"),
-            F.round("credits_used_cloud_services", 5).alias("cloud_credits"),
-            _gb(F.col("bytes_scanned")).alias("gb_scanned"),
-            preview_text("query_text", 120).alias("query_preview"),
-            F.col("credits_used_cloud_services").alias("_credits"),
+            "total_elapsed_time",
+            "credits_used_cloud_services",
+            "bytes_scanned",
+            "query_text",
         )
     )
-    return top_k(rows, k, desc("_credits"), drop=("_credits",))
+    return top_k(rows, k, desc("credits_used_cloud_services")).select(
+        "query_id",
+        "user_name",
+        "warehouse_name",
+        _seconds("total_elapsed_time", 1).alias("duration_sec"),
+        round_to("credits_used_cloud_services", 5).alias("cloud_credits"),
+        _gb(F.col("bytes_scanned")).alias("gb_scanned"),
+        preview_text("query_text", 120).alias("query_preview"),
+    )
 
 
 def recent_queries(qh: DataFrame, warehouse: str, as_of, k: int = 50) -> DataFrame:
@@ -190,11 +219,19 @@ def recent_queries(qh: DataFrame, warehouse: str, as_of, k: int = 50) -> DataFra
             "query_type",
             "execution_status",
             "start_time",
-            _seconds("total_elapsed_time", 2).alias("elapsed_sec"),
-            F.round(F.col("bytes_scanned") / 1e6, 2).alias("mb_scanned"),
+            "total_elapsed_time",
+            "bytes_scanned",
         )
     )
-    return top_k(rows, k, desc("start_time"))
+    return top_k(rows, k, desc("start_time")).select(
+        "query_id",
+        "query_text",
+        "query_type",
+        "execution_status",
+        "start_time",
+        _seconds("total_elapsed_time", 2).alias("elapsed_sec"),
+        round_to(F.col("bytes_scanned") / 1e6, 2).alias("mb_scanned"),
+    )
 
 
 def queries_by_user(qh: DataFrame, start, end, k: int = 50) -> DataFrame:
@@ -204,7 +241,7 @@ def queries_by_user(qh: DataFrame, start, end, k: int = 50) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("query_count"),
             _avg_seconds(2).alias("avg_duration_sec"),
-            F.round(F.sum("credits_used_cloud_services"), 4).alias("cloud_credits"),
+            round_to(F.sum("credits_used_cloud_services"), 4).alias("cloud_credits"),
         )
     )
     return top_k(by_user, k, desc("query_count"), asc("user_name"))
@@ -231,7 +268,7 @@ def user_cloud_credits(qh: DataFrame, as_of, k: int = 15) -> DataFrame:
         .groupBy("user_name")
         .agg(
             F.count(F.lit(1)).alias("nb_queries"),
-            F.round(F.sum("credits_used_cloud_services"), 4).alias("cloud_credits"),
+            round_to(F.sum("credits_used_cloud_services"), 4).alias("cloud_credits"),
             _avg_seconds(1).alias("avg_duration_sec"),
             _gb(F.sum("bytes_scanned")).alias("total_gb_scanned"),
         )
@@ -240,18 +277,19 @@ def user_cloud_credits(qh: DataFrame, as_of, k: int = 15) -> DataFrame:
 
 
 def running_queries(qh: DataFrame, as_of, k: int = 20) -> DataFrame:
+    """Started within the last hour and not finished, the longest first."""
     rows = (
         lookback(qh, "start_time", 1, "hour", as_of)
         .where(F.col("execution_status").isin("RUNNING", "QUEUED"))
-        .select(
-            "user_name",
-            "warehouse_name",
-            seconds_between(F.col("start_time"), ntz(as_of)).alias("running_sec"),
-            "execution_status",
-            preview_text("query_text", 120).alias("query_preview"),
-        )
+        .select("user_name", "warehouse_name", "start_time", "execution_status", "query_text")
+    )
+    return top_k(rows, k, asc("start_time")).select(
+        "user_name",
+        "warehouse_name",
+        seconds_between(F.col("start_time"), ntz(as_of)).alias("running_sec"),
+        "execution_status",
+        preview_text("query_text", 120).alias("query_preview"),
     )
-    return top_k(rows, k, desc("running_sec"))
 
 
 def query_errors(qh: DataFrame, as_of, k: int = 20) -> DataFrame:
@@ -350,7 +388,7 @@ def avg_execution(qh: DataFrame, as_of, days: int = 30) -> DataFrame:
         .groupBy("warehouse_name")
         .agg(
             F.count(F.lit(1)).alias("nb_queries"),
-            F.round(F.avg("execution_time") / 1000, 2).alias("avg_execution_sec"),
+            round_to(F.avg("execution_time") / 1000, 2).alias("avg_execution_sec"),
         )
     )
     return ordered(out, desc("avg_execution_sec"), asc("warehouse_name"))
@@ -365,7 +403,7 @@ def slowest_users(qh: DataFrame, as_of, k: int = 15, days: int = 7) -> DataFrame
         .agg(
             F.count(F.lit(1)).alias("nb_queries"),
             _avg_seconds(2).alias("avg_sec"),
-            F.round(F.max("total_elapsed_time") / 1000, 2).alias("max_sec"),
+            round_to(F.max("total_elapsed_time") / 1000, 2).alias("max_sec"),
         )
     )
     return top_k(by_user, k, desc("avg_sec"), asc("user_name"))

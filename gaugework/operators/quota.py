@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import asc, desc, ntz, ordered, period_start, trunc_to
+from gaugework.functions import asc, desc, ntz, ordered, period_start, round_to, trunc_to
 from gaugework.operators.filters import since
 
 # Quota bands in percent, their status below the top band, and the labels of
@@ -85,7 +85,7 @@ def quota_status(
         F.col("frequency"),
         F.col("credit_limit"),
         F.col("_used").alias("credits_used"),
-        F.round(ratio * 100, 1).alias("pct_used"),
+        round_to(ratio * 100, 1).alias("pct_used"),
         status_of(ratio, top_label).alias("status"),
         (F.col("credit_limit").cast("double") - F.col("_used")).alias("credits_remaining"),
         F.array_join("alert_emails", ", ").alias("alert_recipients"),

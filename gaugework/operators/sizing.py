@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import asc, desc, ordered, trunc_to
+from gaugework.functions import asc, desc, ordered, round_to, trunc_to
 from gaugework.operators.filters import lookback
 from gaugework.operators.reshape import unpivot
 from gaugework.operators.storage import GIB
@@ -16,10 +16,10 @@ def warehouse_load(wl: DataFrame, as_of) -> DataFrame:
         lookback(wl, "start_time", 30, "day", as_of)
         .groupBy("warehouse_name")
         .agg(
-            F.round(F.avg("avg_running"), 3).alias("avg_running"),
-            F.round(F.avg("avg_queued_load"), 3).alias("avg_queued"),
-            F.round(F.max("avg_queued_load"), 3).alias("max_queued"),
-            F.round(F.avg("avg_blocked"), 3).alias("avg_blocked"),
+            round_to(F.avg("avg_running"), 3).alias("avg_running"),
+            round_to(F.avg("avg_queued_load"), 3).alias("avg_queued"),
+            round_to(F.max("avg_queued_load"), 3).alias("max_queued"),
+            round_to(F.avg("avg_blocked"), 3).alias("avg_blocked"),
             F.count_if(F.col("avg_queued_load") > 0).alias("periods_with_queue"),
             F.count(F.lit(1)).alias("total_periods"),
         )
@@ -30,7 +30,7 @@ def warehouse_load(wl: DataFrame, as_of) -> DataFrame:
 def recommend_size(load: DataFrame) -> DataFrame:
     """Advice from the rounded load figures; the first rule that holds wins."""
     queued_share = F.try_divide(F.col("periods_with_queue") * 100, F.col("total_periods"))
-    return load.withColumn("queue_pct", F.round(F.coalesce(queued_share, F.lit(0.0)), 0)).withColumn(
+    return load.withColumn("queue_pct", round_to(F.coalesce(queued_share, F.lit(0.0)), 0)).withColumn(
         "recommendation",
         F.when(F.col("max_queued") > 1, "SCALE_UP")
         .when(F.col("avg_queued") > 0.2, "REVIEW_SIZE")
@@ -75,9 +75,9 @@ def spilling_by_warehouse(qh: DataFrame, as_of) -> DataFrame:
         .groupBy("warehouse_name")
         .agg(
             F.count(F.lit(1)).alias("nb_queries_with_spill"),
-            F.round(F.sum(local) / F.lit(GIB), 2).alias("spill_local_gb"),
-            F.round(F.sum(remote) / F.lit(GIB), 2).alias("spill_remote_gb"),
-            F.round(F.avg("total_elapsed_time") / 1000, 1).alias("avg_duration_sec"),
+            round_to(F.sum(local) / F.lit(GIB), 2).alias("spill_local_gb"),
+            round_to(F.sum(remote) / F.lit(GIB), 2).alias("spill_remote_gb"),
+            round_to(F.avg("total_elapsed_time") / 1000, 1).alias("avg_duration_sec"),
         )
     )
     return ordered(out, desc("spill_remote_gb"), desc("spill_local_gb"), asc("warehouse_name"))
@@ -124,7 +124,7 @@ def autosuspend_eval(ws: DataFrame) -> DataFrame:
 def resource_monitor_status(rm: DataFrame) -> DataFrame:
     """Used share of the quota; a monitor without a quota has no share and counts as OK."""
     used = F.try_divide(F.col("used_credits"), F.col("credit_quota")) * 100
-    out = rm.withColumn("pct_used", F.round(used, 1)).select(
+    out = rm.withColumn("pct_used", round_to(used, 1)).select(
         "name",
         "credit_quota",
         "used_credits",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import asc, desc, ordered, top_k
+from gaugework.functions import asc, desc, ordered, round_to, top_k
 from gaugework.operators.filters import active_only, date_period_filter, lookback, period_filter
 
 GIB = 1024.0**3
@@ -23,7 +23,7 @@ def storage_by_day(st: DataFrame, start=None, end=None, as_of=None) -> DataFrame
         rows = date_period_filter(st, "usage_date", start, end)
 
     def tb(expr: Column) -> Column:
-        return F.round(F.avg(expr) / F.lit(TIB), 4)
+        return round_to(F.avg(expr) / F.lit(TIB), 4)
 
     total = F.col("storage_bytes") + F.col("stage_bytes") + F.col("failsafe_bytes")
     out = rows.groupBy(F.col("usage_date").alias("usage_day")).agg(
@@ -38,9 +38,9 @@ def storage_by_day(st: DataFrame, start=None, end=None, as_of=None) -> DataFrame
 def storage_avg_7d(st: DataFrame, as_of) -> DataFrame:
     """Average TB per kind over 7 days; the total adds the parts that are present."""
     row = lookback(st, "usage_date", 7, "day", as_of, from_midnight=True).agg(
-        F.round(F.avg("storage_bytes") / F.lit(TIB), 3).alias("table_tb"),
-        F.round(F.avg("stage_bytes") / F.lit(TIB), 3).alias("stage_tb"),
-        F.round(F.avg("failsafe_bytes") / F.lit(TIB), 3).alias("failsafe_tb"),
+        round_to(F.avg("storage_bytes") / F.lit(TIB), 3).alias("table_tb"),
+        round_to(F.avg("stage_bytes") / F.lit(TIB), 3).alias("stage_tb"),
+        round_to(F.avg("failsafe_bytes") / F.lit(TIB), 3).alias("failsafe_tb"),
     )
     parts = [F.coalesce(F.col(col), F.lit(0.0)) for _, col in _KINDS]
     return row.withColumn("total_tb", parts[0] + parts[1] + parts[2])
@@ -59,7 +59,7 @@ def storage_growth(st: DataFrame, as_of, days: int = 30) -> DataFrame:
     daily = (
         lookback(st, "usage_date", days, "day", as_of, from_midnight=True)
         .groupBy("usage_date")
-        .agg(F.round(F.avg(total) / F.lit(TIB), 4).alias("tb"))
+        .agg(round_to(F.avg(total) / F.lit(TIB), 4).alias("tb"))
     )
     row = daily.agg(
         F.min("usage_date").alias("first_day"),
@@ -68,8 +68,8 @@ def storage_growth(st: DataFrame, as_of, days: int = 30) -> DataFrame:
         F.max_by("tb", "usage_date").alias("last_tb"),
     )
     change = F.col("last_tb") - F.col("first_tb")
-    return row.withColumn("growth_tb", F.round(change, 4)).withColumn(
-        "growth_pct", F.round(F.try_divide(change * 100, F.col("first_tb")), 2)
+    return row.withColumn("growth_tb", round_to(change, 4)).withColumn(
+        "growth_pct", round_to(F.try_divide(change * 100, F.col("first_tb")), 2)
     )
 
 
@@ -108,13 +108,15 @@ def largest_tables(tables: DataFrame, k: int = 50) -> DataFrame:
             F.col("table_schema").alias("schema_name"),
             "table_name",
             "row_count",
-            F.round(F.col("bytes") / F.lit(GIB), 4).alias("size_gb"),
+            "bytes",
             "created",
             "last_altered",
-            "bytes",
         )
     )
-    return top_k(rows, k, desc("bytes"), drop=("bytes",))
+    size = round_to(F.col("bytes") / F.lit(GIB), 4).alias("size_gb")
+    return top_k(rows, k, desc("bytes")).select(
+        "database_name", "schema_name", "table_name", "row_count", size, "created", "last_altered"
+    )
 
 
 def largest_tables_kpis(tables: DataFrame, k: int = 50) -> DataFrame:

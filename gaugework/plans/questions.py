@@ -7,7 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import add_months, asc, desc, month_start, ordered, top_k, trunc_to
+from gaugework.functions import (
+    add_months,
+    asc,
+    desc,
+    month_start,
+    ordered,
+    round_to,
+    top_k,
+    trunc_to,
+)
 from gaugework.operators.cost import CREDIT_COST_USD
 from gaugework.operators.filters import lookback, since
 from gaugework.operators.reshape import union_all
@@ -28,8 +37,8 @@ def failed_logins_and_expensive_queries(
         lookback(qh, "start_time", days, "day", as_of)
         .groupBy("user_name")
         .agg(
-            F.round(F.sum("total_elapsed_time") / 1000, 2).alias("total_sec"),
-            F.round(F.sum("credits_used_cloud_services"), 4).alias("cloud_credits"),
+            round_to(F.sum("total_elapsed_time") / 1000, 2).alias("total_sec"),
+            round_to(F.sum("credits_used_cloud_services"), 4).alias("cloud_credits"),
         )
     )
     both = failures.join(spending, "user_name")
@@ -41,7 +50,7 @@ def expensive_failing_warehouses(wm: DataFrame, qh: DataFrame, as_of, days: int
     credits = (
         lookback(wm, "start_time", days, "day", as_of)
         .groupBy("warehouse_name")
-        .agg(F.round(F.sum("credits_used"), 2).alias("total_credits"))
+        .agg(round_to(F.sum("credits_used"), 2).alias("total_credits"))
     )
     failures = (
         lookback(qh, "start_time", days, "day", as_of)
@@ -61,7 +70,7 @@ def total_cost(mt: DataFrame, as_of, cost: float = CREDIT_COST_USD) -> DataFrame
         F.coalesce(F.sum("credits_used"), F.lit(0.0)).alias("credits")
     )
     return row.select(
-        F.round("credits", 2).alias("credits"), F.round(F.col("credits") * F.lit(cost), 2).alias("cost_usd")
+        round_to("credits", 2).alias("credits"), round_to(F.col("credits") * F.lit(cost), 2).alias("cost_usd")
     )
 
 
@@ -70,8 +79,8 @@ def total_cost_by_service(mt: DataFrame, as_of, cost: float = CREDIT_COST_USD) -
         since(mt, "start_time", month_start(as_of))
         .groupBy("service_type")
         .agg(
-            F.round(F.sum("credits_used"), 2).alias("credits"),
-            F.round(F.sum("credits_used") * F.lit(cost), 2).alias("cost_usd"),
+            round_to(F.sum("credits_used"), 2).alias("credits"),
+            round_to(F.sum("credits_used") * F.lit(cost), 2).alias("cost_usd"),
         )
     )
     return ordered(out, desc("credits"), asc("service_type"))
@@ -105,7 +114,7 @@ def ops_cost_summary(logs: Mapping[str, DataFrame], as_of, months: int = 1) -> D
                 )
             )
     out = union_all(*parts).groupBy("operation", "month").agg(
-        F.round(F.sum("credits_used"), 2).alias("credits"), F.sum("bytes").alias("bytes")
+        round_to(F.sum("credits_used"), 2).alias("credits"), F.sum("bytes").alias("bytes")
     )
     return ordered(out, asc("operation"), asc("month"))
 
@@ -115,6 +124,6 @@ def daily_credit_trend(daily: DataFrame, as_of, days: int = 30) -> DataFrame:
     out = (
         lookback(daily, "usage_date", days, "day", as_of, from_midnight=True)
         .groupBy("usage_date")
-        .agg(F.round(F.sum("credits_used"), 3).alias("credits"))
+        .agg(round_to(F.sum("credits_used"), 3).alias("credits"))
     )
     return ordered(out, asc("usage_date"))

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.functions import add_months, preset, trunc_to
+from gaugework.functions import add_months, preset, round_to, trunc_to
 from gaugework.operators import control, cost, filters, governance, performance, quota, security, sizing, users
 from tests.conftest import by_key, rows, ts
 
@@ -49,6 +49,12 @@ def test_lookback_on_dates(frame):
     assert filters.lookback(df, "d", 29, "day", NOW, from_midnight=True).count() == 2
 
 
+def test_rounding_follows_the_decimal_value(frame):
+    df = frame("a double, b double", [(12.75, 20.0), (0.575, 1.0), (-12.75, 20.0), (None, 1.0)])
+    out = df.select(round_to(F.col("a") / F.col("b") * 100, 1).alias("r"))
+    assert [r.r for r in out.collect()] == [63.8, 57.5, -63.8, None]
+
+
 # ---- filters -------------------------------------------------------------------------------
 
 
