@@ -31,7 +31,7 @@ CHUNK = 1 << 16
 LONG_RUN = 1 << 12
 _CUT = re.compile(r"(?<=\w) (?=\w)")
 # The white space of the Unicode standard, as the library's pattern has it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]{{{LONG_RUN},}}")
 
 _LOADED: dict[tuple[int, str], object] = {}

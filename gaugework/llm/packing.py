@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.shared import slices, strings
+from gaugework.llm.shared import extended, slices, strings
 
 CAPACITY = 2048
 END_ID = 0
@@ -184,7 +184,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("do
 
     ``key`` names columns that make the order within a partition repeatable.
     """
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
+    items = items.drop("sequence_id", "offset")
+    schema = extended(items, sequence_id="bigint", offset="bigint")
     order = [
         F.when(F.col("length") * SHORT > capacity, -F.col("length")).otherwise(F.lit(0)),
         F.xxhash64(*key),

@@ -32,6 +32,90 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+@_query(
+    "op3_hamming_search",
+    """
+    WITH codes AS (
+        SELECT vec_id, list_reduce(
+            list_prepend(0::UBIGINT, list_transform(range(1, len(embedding) + 1), lambda i:
+                CASE WHEN embedding[i] > 0 THEN 1::UBIGINT << ((i - 1) % 64)::INT ELSE 0::UBIGINT END)),
+            lambda x, y: xor(x, y)) AS code
+        FROM embeddings
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INT AS distance
+        FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank,
+           vec_id, distance
+    FROM pairs
+    QUALIFY rank <= 10
+    """,
+)
+def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every vector whose id is divisible by 50."""
+    from gaugework.llm.hamming_search import search, sign_code
+    from gaugework.llm.shared import saved
+
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = saved(vectors.select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code")))
+    return search(codes, codes.where(F.col("id") % 50 == 0), k=10).withColumnRenamed("id", "vec_id")
+
+
+@_query(
+    "op4_fixity_audit",
+    """
+    WITH records AS (
+        SELECT page_id, page_id // 1000 AS file,
+               octet_length(encode(concat(
+                   'WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10),
+                   'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+                   'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+                   'Content-Length: ', octet_length(encode(coalesce(html, ''))), chr(13), chr(10), chr(13), chr(10),
+                   coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)))) AS length
+        FROM pages
+    ), placed AS (
+        SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+        FROM records
+    )
+    SELECT file, "offset", page_id, CASE WHEN page_id % 211 = 11 THEN 'missing' ELSE 'changed' END AS fault
+    FROM placed WHERE page_id % 211 = 11 OR page_id % 101 = 7
+    """,
+)
+def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locate the records that a damaged copy of all pages has lost or changed.
+
+    The copy keeps the offsets of the original; in it one page of 101 has another first
+    character and one of 211 is gone.
+    """
+    from gaugework.llm.fixity import audit, digests, placed, trees
+
+    pages = table(spark, sf_dir, "pages")
+    original = placed(digests(pages))
+    body = F.coalesce("html", F.lit(""))
+    damage = F.when(F.startswith(body, F.lit("#")), "%").otherwise("#")
+    changed = F.concat(damage, F.substr(body, F.lit(2)))
+    copy = pages.where(F.pmod("page_id", F.lit(211)) != 11).withColumn(
+        "html", F.when(F.pmod("page_id", F.lit(101)) == 7, changed).otherwise(body)
+    )
+    held = digests(copy).join(original.select("id", "file", "offset"), "id")
+    mine, theirs = trees(original, held)
+    return audit(mine, theirs).withColumnRenamed("id", "page_id")
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.shared import fold
+    from gaugework.llm.toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @_query("op6_format_chats")
 def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.chat import formatted, loss_text, segments, turns_of
@@ -57,6 +141,27 @@ def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.quality import quality
+    from gaugework.llm.shared import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@_query("op8_forest_search")
+def op8_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.forest_search import search
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search(rows, rows.where(F.col("id") % 100 == 0), k=10).withColumnRenamed("id", "vec_id")
+
+
 @_query("op9_judge_urls")
 def op9_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.url_model import Rule, judged

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns; ``df`` must not have columns of these names."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])
+
+
 def fold(id_col: str, n: int) -> Column:
     """``crc32(id as text) mod n``; NULL ids belong to no fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
