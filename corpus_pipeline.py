@@ -1,13 +1,68 @@
-"""From raw documents to packed sequences: quality, toxicity, near duplicates, packing."""
+"""From raw documents to packed sequences: quality, toxicity, near duplicates, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but the
+last return the columns they were given.  SQL cannot express the models, so the pipeline is tested
+against its stages one by one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugework.llm.jaccard_join import Rule, near_duplicates
+from gaugework.llm.packing import pack_documents
+from gaugework.llm.quality import quality
+from gaugework.llm.shared import table
+from gaugework.llm.toxicity import toxicity
+
+#: Documents below this probability of being good go, documents from this one of being toxic go.
+GOOD, TOXIC = 0.3, 0.7
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the compression classifier rejects."""
+    judged = quality(docs, table(spark, sf_dir, "labels"))
+    return judged.where(F.col("score") >= GOOD).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the weakly supervised classifier calls toxic."""
+    judged = toxicity(docs, table(spark, sf_dir, "labels"))
+    return judged.where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that five-word shingles link at a similarity of 0.8 or more.
+
+    Rows are numbered by their place in the input, so rows without id and repeated ids count too.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), Rule(n=5, part=80, whole=100))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("best_fit_packing", pack),
+]
+
+#: The classifiers and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

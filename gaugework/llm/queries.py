@@ -32,6 +32,47 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+@_query(
+    "op2_jaccard_join",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM documents
+    ), shingled AS (
+        SELECT doc_id, list_distinct(CASE
+            WHEN len(w) = 0 THEN []
+            WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+        FROM words
+    ), single AS (
+        SELECT doc_id, unnest(s) AS shingle FROM shingled
+    ), common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+        FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM common
+        JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b
+        WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+    ), reached AS (
+        SELECT doc_id AS node, doc_id AS other FROM documents
+        UNION
+        SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other
+    )
+    SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
+    FROM shingled s JOIN reached r ON r.node = s.doc_id
+    GROUP BY s.doc_id, s.s
+    """,
+)
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.jaccard_join import Rule, near_duplicates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, Rule(n=4, part=85, whole=100))
+
+
 @_query(
     "op3_hamming_search",
     """
