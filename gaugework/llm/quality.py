@@ -2,13 +2,13 @@
 
 Two zstandard dictionaries are trained on labelled text.  A text is cut into blocks, so that the
 dictionaries and not the text itself explain each block; all blocks of the whole text are compressed
-with both, and the difference of the sizes over their sum becomes a probability by a logistic
-curve fitted on labelled texts that the dictionaries have not seen.
+with both.  The difference of the sizes over their sum, together with the compressed share, becomes a
+probability by a logistic curve fitted on labelled texts that the dictionaries have not seen.
 
 The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hash of their id, and at most ``TAKEN``
 blocks of each, evenly spaced.  Scoring is one pass without shuffle.
 
-Defined cases: a NULL text is empty; an empty text has the difference 0; without labelled texts of both
+Defined cases: a NULL text is empty; an empty text has the difference 0 and the share 1; without labelled texts of both
 kinds every score is 1 (nothing is known against any text); repeated rows and NULL ids are kept; an empty table
 gives no rows; columns other than ``text`` are carried along, one named ``score`` is replaced.
 """
@@ -40,7 +40,7 @@ class Model:
 
     good: bytes
     bad: bytes
-    slope: float
+    weights: np.ndarray
     intercept: float
 
 
@@ -64,27 +64,30 @@ class _Sizes:
                 ).compress
             )
 
-    def difference(self, text: bytes) -> float:
-        """From -1 to 1, higher if the good dictionary serves the text better."""
+    def features(self, text: bytes) -> tuple[float, float]:
+        """The normalised difference (-1 to 1, higher if the good dictionary serves better), and the
+        compressed share of the text, which is small where a text repeats itself."""
         blocks = _blocks(text)
         good, bad = (sum(len(compress(b)) for b in blocks) for compress in self.compress)
-        return (bad - good) / (bad + good) if blocks else 0.0
+        return ((bad - good) / (bad + good), (bad + good) / (2 * len(text))) if blocks else (0.0, 1.0)
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton steps with a small ridge."""
-    scale = float(np.std(x)) or 1.0
-    design = np.stack([x / scale, np.ones_like(x)], 1)
-    beta, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
-    for _ in range(50):
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic curve, by Newton steps with a small ridge."""
+    x = x.reshape(len(y), -1)
+    scale = x.std(0)
+    scale[scale == 0] = 1.0
+    design = np.hstack([x / scale, np.ones((len(y), 1))])
+    beta, ridge = np.zeros(design.shape[1]), np.diag([1e-2] * x.shape[1] + [1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (y - p) - ridge @ beta
         hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge
-        step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
+        step = np.clip(np.linalg.solve(hessian, gradient), -3, 3)
+        beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return beta[:-1] / scale, float(beta[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, label: str = "quality") -> Model | None:
@@ -123,9 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
             # Too little text to train on: the text itself is the dictionary.
             content[y] = b"".join(flat)[-DICTIONARY:]
     sizes = _Sizes(content[1], content[0])
-    x = [[sizes.difference(b"".join(blocks)) for blocks in seen[True][y]] for y in (0, 1)]
-    slope, intercept = curve(np.array(x[0] + x[1]), np.array([0.0] * len(x[0]) + [1.0] * len(x[1])))
-    return Model(content[1], content[0], slope, intercept)
+    x = [[sizes.features(b"".join(blocks)) for blocks in seen[True][y]] for y in (0, 1)]
+    weights, intercept = curve(np.array(x[0] + x[1]), np.array([0.0] * len(x[0]) + [1.0] * len(x[1])))
+    return Model(content[1], content[0], weights, intercept)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -141,8 +144,8 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = strings(batch.column(batch.schema.get_field_index("text")))
             for at, many in slices(texts):
-                x = np.array([sizes.difference(t.encode()) for t in texts.slice(at, many).to_pylist()])
-                score = 1 / (1 + np.exp(-np.clip(own.slope * x + own.intercept, -700, 700)))
+                x = np.array([sizes.features(t.encode()) for t in texts.slice(at, many).to_pylist()])
+                score = 1 / (1 + np.exp(-np.clip(x @ own.weights + own.intercept, -700, 700)))
                 part = batch.slice(at, many)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
 

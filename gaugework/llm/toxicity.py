@@ -4,7 +4,7 @@
    that toxic texts hold and clean ones do not, chosen so that every toxic text is covered several times.
    Each entry votes "toxic" where it occurs and abstains elsewhere; patterns over the whole text vote
    as well, both ways.
-2. Label model.  Expectation maximisation estimates the share of toxic texts and how each voter votes on
+2. Label model.  Given the share of toxic texts, expectation maximisation estimates how each voter votes on
    either kind.  Voters that agree beyond what the class explains are found from the correlation of
    their votes within a class; such a group shares one voter's weight.
 3. Classifier.  A logistic regression on the presence of lexicon entries is trained on the
@@ -30,12 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.llm.quality import curve
 from gaugework.llm.shared import extended, fold, labelled_sample, slices, strings
 
 SAMPLE = 10_000
 CANDIDATES = 4_096
 #: Different texts that must hold a candidate, and the log-odds it must have.
-SUPPORT, ODDS = 3, 3.0
+SUPPORT, ODDS = 3, 4.0
 #: Times the lexicon covers each toxic text, where it can.
 COVER = 4
 LEXICON = 256
@@ -79,7 +80,7 @@ def patterns(text: str, n_entries: int) -> list[int]:
         -1 if n_entries == 0 else 0,
         1 if n_entries >= 2 else 0,
         1 if letters >= 20 and upper > 0.7 * letters else 0,
-        1 if marks > 3 and marks * 50 > len(text) else -1 if not marks else 0,
+        1 if marks > 3 and marks * 50 > len(text) else 0,
     ]
 
 
@@ -90,31 +91,38 @@ class Model:
     intercept: float
 
 
-def label_model(votes: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """The posterior of "toxic" of every row of ``votes`` (1, -1, 0), without using any label."""
+def label_model(votes: np.ndarray, share: float, rounds: int = 50) -> np.ndarray:
+    """The posterior of "toxic" of every row of ``votes`` (1, -1, 0), given the share of toxic rows.
+
+    An abstention says nothing, as most entries are missing from most toxic texts, and no voter
+    is taken to be worse than chance.
+    """
     n, m = votes.shape
-    coded = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+    coded = np.stack([votes == v for v in (-1, 1)], 2).astype(float)
+    voted = (votes != 0).astype(float)
     posterior = 1 / (1 + np.exp(-np.clip(2.0 * votes.sum(1), -30, 30)))
-    weight = np.ones(m)
+    group = np.eye(m)
     for attempt in range(2):
         for _ in range(rounds):
-            share = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
             # How each voter votes on toxic and clean texts.
             toxic = (np.einsum("n,nmv->mv", posterior, coded) + 0.5) / (posterior.sum() + 1.5)
             clean = (np.einsum("n,nmv->mv", 1 - posterior, coded) + 0.5) / (n - posterior.sum() + 1.5)
-            evidence = np.einsum("nmv,mv,m->n", coded, np.log(toxic) - np.log(clean), weight)
-            updated = 1 / (1 + np.exp(-np.clip(evidence + np.log(share / (1 - share)), -30, 30)))
+            says = np.log(toxic) - np.log(clean)
+            says = np.stack([np.minimum(says[:, 0], 0), np.maximum(says[:, 1], 0)], 1)
+            # Correlated voters speak as one: the mean of those that vote.
+            spoken = np.einsum("nmv,mv->nm", coded, says) @ group / np.maximum(voted @ group, 1)
+            updated = 1 / (1 + np.exp(-np.clip(spoken.sum(1) + np.log(share / (1 - share)), -30, 30)))
             moved = np.abs(updated - posterior).max()
             posterior = updated
             if moved < 1e-6:
                 break
         if attempt == 0:
-            weight = 1 / np.maximum(_correlated(votes, posterior), 1)
+            group = _correlated(votes, posterior)
     return posterior
 
 
 def _correlated(votes: np.ndarray, posterior: np.ndarray, strong: float = 0.5) -> np.ndarray:
-    """By voter, how many voters (itself included) it is correlated with within the classes."""
+    """Voters by group; voters whose votes are correlated within the classes share a group."""
     expected = np.zeros_like(votes, float)
     for p in (posterior, 1 - posterior):
         mean = p @ votes / max(p.sum(), 1e-9)
@@ -122,7 +130,13 @@ def _correlated(votes: np.ndarray, posterior: np.ndarray, strong: float = 0.5) -
     rest = votes - expected
     cov = rest.T @ rest
     spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    return (np.abs(cov / np.outer(spread, spread)) > strong).sum(1)
+    near = np.abs(cov / np.outer(spread, spread)) > strong
+    name = np.arange(len(near))
+    while True:  # the smallest voter that links reach
+        lower = np.where(near | np.eye(len(near), dtype=bool), name[None, :], len(near)).min(1)
+        if (lower == name).all():
+            return (name[:, None] == np.unique(name)[None, :]).astype(float)
+        name = lower
 
 
 def _logistic(text: np.ndarray, entry: np.ndarray, n: int, m: int, target: np.ndarray, rounds: int = 400):
@@ -140,15 +154,20 @@ def _logistic(text: np.ndarray, entry: np.ndarray, n: int, m: int, target: np.nd
     return w, b
 
 
-def _chosen(support: np.ndarray, text: np.ndarray, entry: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Candidates that cover toxic texts not yet covered ``COVER`` times, most useful first."""
+def _chosen(
+    names: list[str], support: np.ndarray, text: np.ndarray, entry: np.ndarray, toxic: np.ndarray
+) -> list[int]:
+    """Candidates that cover toxic texts not yet covered ``COVER`` times, most useful first.
+
+    Of equals the longest is taken, as it says most.
+    """
     holders = [text[entry == e] for e in range(len(support))]
     holders = [h[toxic[h]] for h in holders]
     covered, chosen = np.zeros(len(toxic), int), []
     left = set(range(len(support)))
     while left and len(chosen) < LEXICON:
         gains = {e: int((covered[holders[e]] < COVER).sum()) for e in left}
-        best = max(left, key=lambda e: (gains[e], support[e], -e))
+        best = max(left, key=lambda e: (gains[e], support[e], len(names[e]), -e))
         if gains[best] < SUPPORT:
             break
         chosen.append(best)
@@ -212,28 +231,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
         return Model({}, np.zeros(0), -700.0)
     text = np.repeat(np.arange(len(toxic)), [len(e) for e in table["entries"]])
     entry = np.array([e for own in table["entries"] for e in own], int)
-    chosen = _chosen(np.array([r["toxic"] for r in best]), text, entry, toxic)
+    chosen = _chosen([r["entry"] for r in best], np.array([r["toxic"] for r in best]), text, entry, toxic)
     number = np.full(len(lexicon), -1)
     number[chosen] = np.arange(len(chosen))
     text, entry = text[number[entry] >= 0], number[entry[number[entry] >= 0]]
     votes = np.zeros((len(toxic), len(chosen)))
     votes[text, entry] = 1
-    posterior = label_model(np.hstack([votes, np.array(table["votes"], float)]))
+    share = float(np.clip(toxic.mean(), 1e-4, 1 - 1e-4))
+    posterior = label_model(np.hstack([votes, np.array(table["votes"], float)]), share)
     weights, intercept = _logistic(text, entry, len(toxic), len(chosen), posterior)
     # Calibration: a logistic curve of the raw score on the sample's own labels.
     raw = np.bincount(text, weights[entry], len(toxic)) + intercept
-    slope, shift = _logistic_line(raw, toxic.astype(float))
+    slopes, shift = curve(raw, toxic.astype(float))
+    slope, shift = (float(slopes[0]), shift) if slopes[0] > 0 else (1.0, 0.0)
     names = {r["entry"]: int(number[i]) for i, r in enumerate(best) if number[i] >= 0}
     return Model(names, weights * slope, float(intercept * slope + shift))
 
 
-def _logistic_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    from gaugework.llm.quality import curve
-
-    slope, shift = curve(x, y)
-    return (slope, shift) if slope > 0 else (1.0, 0.0)
-
-
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` plus ``score``, the probability that the text is toxic."""
     docs = docs.drop("score")
