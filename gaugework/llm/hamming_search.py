@@ -1,10 +1,10 @@
 """Exact k nearest binary codes by multi-index hashing with growing segment radii.
 
-A 64-bit code is cut into segments of about log2(number of codes) bits.  Round ``r`` looks up, in
-every segment's index, the values that differ from the query's in exactly ``r`` bits.  After it
-every code that is nearer than ``segments * (r + 1)`` has been seen: a code that differs
-by more than ``r`` bits in each segment is at least that far.  A query leaves once its k-th verified
-distance is below that bound, so the result is exact, ties included.
+A 64-bit code is cut into segments of about log2(number of codes) bits.  The search radius of one segment
+after the other grows by a bit: its index is asked for the values that differ from the query's in
+exactly so many bits.  A code that differs in every segment by more than that segment's radius
+is farther than the sum of (radius + 1) over the segments less one, so every nearer code has been seen.
+A query leaves once its k-th verified distance is covered; the result is exact, ties included.
 
 Equal codes are searched once, on both sides: a code stands for the ``k + 1`` smallest ids that
 hold it (one of which may be the query's own).  Ranking keeps k + 1 rows per code already
@@ -18,6 +18,7 @@ than k candidates all are returned; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,8 @@ from gaugework.llm.shared import saved
 
 BITS = 64
 WIDEST = 24
+#: Masks that one round looks up, at least.
+TOGETHER = 500
 
 
 def sign_code(vector: str) -> Column:
@@ -43,13 +46,30 @@ def sign_code(vector: str) -> Column:
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
-    """``(shift, width)`` of segments of nearly equal width."""
-    width = min(WIDEST, max(4, int(math.log2(max(n, 2)))))
-    count = math.ceil(BITS / width)
+    """``(shift, width)`` of segments of nearly equal width, about log2(n)."""
+    count = max(math.ceil(BITS / WIDEST), min(BITS // 4, round(BITS / math.log2(max(n, 2)))))
     cuts = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _rounds(segments: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """``(segment, radius)`` in the order of search: one segment's radius grows at a time.
+
+    Steps with few masks are taken together, ``TOGETHER`` masks a round.
+    """
+    group, masks = [], 0
+    for radius in range(max(w for _, w in segments) + 1):
+        for i, (_, width) in enumerate(segments):
+            if radius <= width:
+                group.append((i, radius))
+                masks += math.comb(width, radius)
+                if masks >= TOGETHER:
+                    yield group
+                    group, masks = [], 0
+    if group:
+        yield group
+
+
 def _by_segment(codes: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
     parts = [
         F.struct(
@@ -61,9 +81,9 @@ def _by_segment(codes: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
     return codes.select("code", F.inline(F.array(*parts)))
 
 
-def _masks(width: int, radius: int) -> Column:
-    """All masks of ``width`` bits with ``radius`` ones, as one constant array."""
-    masks = (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
+def _masks(width: int, radii: list[int]) -> Column:
+    """All masks of ``width`` bits with as many ones as one of ``radii``, as one constant array."""
+    masks = (sum(1 << b for b in bits) for r in radii for bits in combinations(range(width), r))
     return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
 
 
@@ -86,17 +106,16 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = saved(_by_segment(distinct, segments))
     wanted = saved(asked.select("code").distinct().join(distinct.withColumn("_in", F.lit(1)), "code", "left").drop("_in"))
     kept, done = None, None
-    for radius in range(max(w for _, w in segments) + 1):
-        probes = [
-            _by_segment(wanted, segments)
-            .where(F.col("segment") == i)
-            .withColumn("value", F.explode(F.transform(_masks(w, radius), lambda m: m.bitwiseXOR(F.col("value")))))
-            for i, (_, w) in enumerate(segments)
-            if radius <= w
-        ]
-        probe = probes[0]
-        for more in probes[1:]:
-            probe = probe.unionByName(more)
+    reach = [-1] * len(segments)
+    for steps in _rounds(segments):
+        probe = None
+        for i, (_, width) in enumerate(segments):
+            radii = [r for at, r in steps if at == i]
+            if radii:
+                reach[i] = max(radii)
+                near = F.transform(_masks(width, radii), lambda m: m.bitwiseXOR(F.col("value")))
+                own = _by_segment(wanted, segments).where(F.col("segment") == i).withColumn("value", F.explode(near))
+                probe = own if probe is None else probe.unionByName(own)
         pairs = (
             probe.withColumnRenamed("code", "query")
             .join(index, ["segment", "value"])
@@ -109,10 +128,11 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if kept is not None:
             found = found.unionByName(kept.join(wanted.select(F.col("code").alias("query")), "query", "left_semi"))
         best = saved(_smallest(found.distinct(), "query", k + 1, "distance", "id"))
-        covered = len(segments) * (radius + 1) - 1
+        # A code that differs by more than reach[i] bits in every segment i is farther than this.
+        covered = sum(r + 1 for r in reach) - 1
         full = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         finished = full.where((F.col("n") > k) & (F.col("far") <= covered)).select("query")
-        last = radius == max(w for _, w in segments) or covered >= BITS
+        last = all(r == w for r, (_, w) in zip(reach, segments, strict=True))
         leaving = best if last else best.join(finished, "query", "left_semi")
         done = leaving if done is None else done.unionByName(leaving)
         if last:

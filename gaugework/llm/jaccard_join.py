@@ -20,9 +20,12 @@ only those are replicated into it that the triangle inequality cannot rule out:
 the smallest of an unlinked member less ``radius``.  Regions of at most ``SMALL`` pairs are compared pair
 by pair.  Nothing is capped; a region costs its size times the number of pivots it needs.
 
-All of a document's copies (equal sets) are one node.  What is shuffled are shingle numbers and ids; whole
-sets travel only for documents that share a region with another one.  Every round is
-written out, so lost executors cost no more than a round.
+Every set also has a parity bitmap of about two bits a shingle.  Bits in which two bitmaps differ are shingles in
+which the sets differ, so they bound the distance from below, which rules out nearly all pairs that
+do not link; only for the others do whole sets travel.
+
+All of a document's copies (equal sets) are one node.  Every round is written out, so lost executors
+cost no more than a round.
 
 Defined cases: a NULL or empty text has no shingles and links to nothing; a text of fewer words than ``n`` is one shingle of them all;
 repeated rows are copies; rows that repeat an id are one document, which links to whatever one of its
@@ -141,8 +144,22 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(counted // step, (1 << 20) - 1).astype(np.uint64)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit per residue of the hashes modulo a power of two: whether an odd number of them has it."""
+    width = 64
+    while width < len(hashes):
+        width *= 2
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, size, key, window``: a set's size, a digest of it, and the shingles whose regions it enters."""
+    """``doc_id, size, key, window, bits``: a set's size, digest, parity bitmap and the shingles whose regions it enters."""
     order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, rule.n))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,28 +167,23 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
             # Rare first; equal ranks keep the order of the hashes.
             rank = order.value[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(44)
             rank |= hashes >> np.uint64(20)
-            keys, windows, sizes, start = [], [], [], 0
+            keys, windows, bitmaps, sizes, start = [], [], [], [], 0
             for end in ends.tolist():
                 own = hashes[start:end]
                 width = rule.window(end - start)
                 first = np.argsort(rank[start:end], kind="stable")[:width]
                 windows.append(own[first].view(np.int64))
+                bitmaps.append(_parity(own))
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest() if end > start else None)
                 sizes.append(end - start)
                 start = end
-            widths = np.cumsum([0, *map(len, windows)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *windows])
             yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(widths), pa.array(flat)),
-                ],
-                names=["doc_id", "size", "key", "window"],
+                [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(windows), _lists(bitmaps)],
+                names=["doc_id", "size", "key", "window", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id bigint, size bigint, key binary, window array<bigint>")
+    schema = "doc_id bigint, size bigint, key binary, window array<bigint>, bits array<bigint>"
+    return docs.select("doc_id", "text").mapInArrow(sketch, schema)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -186,20 +198,52 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, ends in _each_slice(batches, n):
-            offsets = np.concatenate(([0], ends)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, lists], names=["node", "shingles"])
 
     wanted = near.join(nodes, "node", "left_semi").select("node", "text")
     return wanted.mapInArrow(shingle, "node bigint, shingles array<bigint>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``pivot, node, linked, distance`` of all ``pairs`` (``pivot, node``), by their whole sets."""
-    ours = sets.select("node", F.col("shingles").alias("_ours"))
-    theirs = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_theirs"))
+def _differing_bits(a: str, b: str) -> Column:
+    """Bits in which two parity bitmaps differ; the longer one is folded to the length of the other."""
+    length = F.least(F.size(a), F.size(b))
+
+    def folded(bits: str) -> Column:
+        # Sizes of linking sets are close, so one fold is enough; a longer bitmap loses no bound by less.
+        half = F.zip_with(F.slice(bits, F.lit(1), length), F.slice(bits, length + 1, length), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) == 2 * length, half).otherwise(F.col(bits))
+
+    bits = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    total = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+    return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * length, total).otherwise(0).cast("bigint")
+
+
+def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """``pivot, node, linked, distance`` of all ``pairs`` (``pivot, node``).
+
+    The distance is exact where the bitmaps leave a link possible, else a lower bound above the radius.
+    """
+    ours = nodes.select("node", F.col("size").alias("_a"), F.col("bits").alias("_ours"))
+    theirs = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("_b"), F.col("bits").alias("_theirs"))
     both = pairs.join(ours, "node").join(theirs, "pivot")
-    sized = both.select(
+    total = F.col("_a") + F.col("_b")
+    apart = F.greatest(_differing_bits("_ours", "_theirs"), F.abs(F.col("_a") - F.col("_b")))
+    # At least so many shingles are in one set only; the similarity is at most this fraction.
+    bounded = both.withColumn("_apart", apart).select(
+        "pivot",
+        "node",
+        ((total - F.col("_apart")) * rule.whole >= (total + F.col("_apart")) * rule.part).alias("_may"),
+        (1 - (total - F.col("_apart")) / (total + F.col("_apart"))).alias("distance"),
+    )
+    bounded = saved(bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance")))
+    may = bounded.where("_may").select("pivot", "node")
+    wanted = saved(may.select("node").unionByName(may.select(F.col("pivot").alias("node"))).distinct())
+    sets = saved(sets_of(docs, wanted, rule.n))
+    compared = may.join(sets.withColumnRenamed("shingles", "_ours"), "node").join(
+        sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_theirs")), "pivot"
+    )
+    sized = compared.select(
         "pivot",
         "node",
         F.size(F.array_intersect("_ours", "_theirs")).cast("bigint").alias("_common"),
@@ -209,7 +253,9 @@ def measured(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     linked = rule.links(F.col("_common"), F.col("_a"), F.col("_b"))
     distance = 1 - F.col("_common") / (F.col("_a") + F.col("_b") - F.col("_common"))
     # An id with several texts counts with the nearest ones.
-    return sized.groupBy("pivot", "node").agg(F.max(linked).alias("linked"), F.min(distance).alias("distance"))
+    exact = sized.groupBy("pivot", "node").agg(F.max(linked).alias("linked"), F.min(distance).alias("distance"))
+    never = bounded.where(~F.col("_may")).select("pivot", "node", F.lit(False).alias("linked"), "distance")
+    return saved(never.unionByName(exact))
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -219,34 +265,28 @@ def _pair(a: str, b: str) -> list[Column]:
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of the regions with two nodes, and ``g, node, pivot`` of those with more."""
     entered = nodes.select(F.explode("window").alias("g"), "node")
-    sizes = (
-        entered.groupBy("g")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("node").alias("pivot"),
-            F.max("node").alias("other"),
-            F.bit_xor(F.xxhash64("node")).alias("mark"),
-        )
-        .where(F.col("n") > 1)
-    )
+    shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > 1)
+    members = saved(entered.join(shared, "g"))
     # Copies share many shingles: of regions with the same nodes one is enough.
-    sizes = saved(sizes.groupBy("n", "pivot", "other", "mark").agg(F.min("g").alias("g")))
-    two = sizes.where((F.col("n") == 2) & (F.col("pivot") != F.col("other")))
-    more = entered.join(sizes.where(F.col("n") > 2).select("g", "pivot"), "g")
+    marks = members.groupBy("n", "pivot", "g").agg(
+        F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("mark")
+    )
+    one = saved(marks.groupBy("n", "pivot", "other", "mark").agg(F.min("g").alias("g")))
+    two = one.where((F.col("n") == 2) & (F.col("pivot") != F.col("other")))
+    more = members.drop("n").join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
     return two.select("pivot", F.col("other").alias("node")).distinct(), saved(more.distinct())
 
 
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """``a, b``: links that connect exactly the nodes that all linking pairs connect.
 
-    ``nodes`` holds ``node, window``, ``docs`` the texts by ``doc_id``.
+    ``nodes`` holds ``node, size, window, bits``, ``docs`` the texts by ``doc_id``.
     """
     two, members = _regions(nodes)
-    involved = two.select("node").unionByName(two.select(F.col("pivot").alias("node")))
-    sets = saved(sets_of(docs, saved(involved.unionByName(members.select("node")).distinct()), rule.n))
+    nodes = nodes.select("node", "size", "bits")
     radius = 1 - rule.part / rule.whole
     own = members.where(F.col("node") != F.col("pivot")).select("pivot", "node")
-    tested = saved(measured(two.unionByName(own).distinct(), sets, rule))
+    tested = measured(two.unionByName(own).distinct(), nodes, docs, rule)
     found = tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     while True:
         # Members that their region's pivot does not link to, and the linked ones in the window.
@@ -263,16 +303,13 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                 F.count("*").alias("n"),
                 F.min(F.when(~F.col("resolved"), F.col("node"))).alias("pivot"),
                 F.min(F.when(~F.col("resolved"), F.col("distance"))).alias("nearest"),
-                F.max(F.when(~F.col("resolved"), F.col("distance"))).alias("farthest"),
             )
             .where((F.col("unlinked") > 0) & (F.col("n") > 1))
         )
         open_ = saved(open_)
         if open_.isEmpty():
             return found
-        inside = (F.col("distance") >= F.col("nearest") - radius - 1e-9) & (
-            F.col("distance") <= F.col("farthest") + radius + 1e-9
-        )
+        inside = F.col("distance") >= F.col("nearest") - radius - 1e-9
         left = reached.join(open_, "g").where(~F.col("resolved") | inside)
         left = saved(left.select("g", "node", "resolved", "pivot", (F.col("unlinked") * F.col("n")).alias("pairs")))
         small = left.where(F.col("pairs") <= SMALL)
@@ -281,7 +318,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         members = left.where(F.col("pairs") > SMALL).select("g", "node", "resolved", "pivot")
         own = members.where(F.col("node") != F.col("pivot"))
         wanted = each.select(*_pair("other", "node")).unionByName(own.select("pivot", "node"))
-        tested = saved(measured(wanted.distinct(), sets, rule))
+        tested = measured(wanted.distinct(), nodes, docs, rule)
         found = found.unionByName(tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         if members.isEmpty():
             return found
@@ -298,10 +335,15 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     nodes = saved(
         rows.where(F.col("key").isNotNull())
         .groupBy("key")
-        .agg(F.min("doc_id").alias("node"), F.first("window").alias("window"))
+        .agg(
+            F.min("doc_id").alias("node"),
+            F.first("size").alias("size"),
+            F.first("window").alias("window"),
+            F.first("bits").alias("bits"),
+        )
     )
     named = nodes.where(F.col("node").isNotNull() & (F.size("window") > 0))
-    linked = links(docs, named.select("node", "window"), rule)
+    linked = links(docs, named.select("node", "size", "window", "bits"), rule)
     # An id with several texts connects the classes of all of them.
     texts = rows.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull()).groupBy("doc_id")
     several = texts.agg(F.min("key").alias("_first"), F.max("key").alias("_last")).where("_first != _last")

@@ -90,8 +90,9 @@ def encode_words(texts: pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.nda
     tokenizer, word_ends, known = _tokenizer(vocabulary)
     if len(known) > REMEMBERED:
         known.clear()
+    # The dotted capital I is left out: in lower case it ends with a mark that is no letter.
     apart = pc.replace_substring_regex(
-        pc.ascii_lower(texts), pattern=r"(\p{L})([.,:;!?%*&$#|])", replacement=r"\1 \2"
+        pc.ascii_lower(texts), pattern=r"([^\P{L}\x{130}])([.,:;!?%*&$#|])", replacement=r"\1 \2"
     )
     words = pc.ascii_split_whitespace(apart)
     index = words.flatten().dictionary_encode()

@@ -100,8 +100,10 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 50) -> np.ndarray
     n, m = votes.shape
     coded = np.stack([votes == v for v in (-1, 1)], 2).astype(float)
     voted = (votes != 0).astype(float)
-    posterior = 1 / (1 + np.exp(-np.clip(2.0 * votes.sum(1), -30, 30)))
-    group = np.eye(m)
+    # Copies of a voter are one from the start, or they would be taken for the truth.
+    group = _correlated(votes, np.full(n, share), strong=0.95)
+    spoken = votes @ group / np.maximum(voted @ group, 1)
+    posterior = 1 / (1 + np.exp(-np.clip(2.0 * spoken.sum(1), -30, 30)))
     for attempt in range(2):
         for _ in range(rounds):
             # How each voter votes on toxic and clean texts.
