@@ -30,11 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: larger neighbours point to the smallest neighbour.
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = saved(large.distinct())
+        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         # Small star: smaller neighbours, and the node itself, point to the smallest one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(a != b)
+        small = large.join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
         edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         after = _mark(edges)
         if after == before:

@@ -238,7 +238,7 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     )
     bounded = saved(bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance")))
     may = bounded.where("_may").select("pivot", "node")
-    wanted = saved(may.select("node").unionByName(may.select(F.col("pivot").alias("node"))).distinct())
+    wanted = may.select("node").unionByName(may.select(F.col("pivot").alias("node"))).distinct()
     sets = saved(sets_of(docs, wanted, rule.n))
     compared = may.join(sets.withColumnRenamed("shingles", "_ours"), "node").join(
         sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_theirs")), "pivot"
@@ -306,12 +306,11 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             )
             .where((F.col("unlinked") > 0) & (F.col("n") > 1))
         )
-        open_ = saved(open_)
-        if open_.isEmpty():
-            return found
         inside = F.col("distance") >= F.col("nearest") - radius - 1e-9
         left = reached.join(open_, "g").where(~F.col("resolved") | inside)
         left = saved(left.select("g", "node", "resolved", "pivot", (F.col("unlinked") * F.col("n")).alias("pairs")))
+        if left.isEmpty():
+            return found
         small = left.where(F.col("pairs") <= SMALL)
         apart = small.where(~F.col("resolved")).select("g", F.col("node").alias("other"))
         each = small.select("g", "node").join(apart, "g").where(F.col("node") != F.col("other"))
