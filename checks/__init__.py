@@ -1,6 +1,7 @@
 """The operators over the test tables, each beside plain SQL for the same result."""
 
 from checks import (  # noqa: F401
+    asof,
     control,
     cost,
     landing,

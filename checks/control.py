@@ -165,13 +165,13 @@ def _(t):
     "alert_kpis",
     "monitoring_alert_log",
     f"""SELECT count(*) AS total, count(CASE WHEN status IN ('CRITICAL', 'SUSPENDED', 'EXCEEDED') THEN 1 END) AS critical,
-               count(DISTINCT resource_name) AS resources FROM ({ALERTS})""",
+               count(DISTINCT resource_name) AS resources FROM monitoring_alert_log WHERE alert_time {PERIOD}""",
 )
 def _(t):
     return op.alert_kpis(t("monitoring_alert_log"), START, END)
 
 
-@query("alert_status_counts", "monitoring_alert_log", f'SELECT status, count(*) AS "count" FROM ({ALERTS}) GROUP BY 1')
+@query("alert_status_counts", "monitoring_alert_log", f'SELECT status, count(*) AS "count" FROM monitoring_alert_log WHERE alert_time {PERIOD} GROUP BY 1')
 def _(t):
     return op.alert_status_counts(t("monitoring_alert_log"), START, END)
 
@@ -201,7 +201,8 @@ def _(t):
     "execution_kpis",
     "monitoring_exec_log",
     f"""SELECT count(*) AS total, count(CASE WHEN status = 'SUCCESS' THEN 1 END) AS succeeded,
-               count(CASE WHEN status = 'ERROR' THEN 1 END) AS failed FROM ({EXECUTIONS})""",
+               count(CASE WHEN status = 'ERROR' THEN 1 END) AS failed
+        FROM monitoring_exec_log WHERE execution_time {PERIOD}""",
 )
 def _(t):
     return op.execution_kpis(t("monitoring_exec_log"), START, END)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gaugework.operators import landing as op
 from gaugework.operators.control import upsert
 from gaugework.operators.filters import period_filter
-from gaugework.session import work_dir
 from gaugework.sources import (
     UsageCatalog,
     VersionedTable,
@@ -18,7 +17,7 @@ from gaugework.sources import (
     write_usage_log,
 )
 
-from checks.registry import END, PERIOD, START, query
+from checks.registry import scratch, END, PERIOD, START, query
 
 ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
@@ -26,7 +25,7 @@ ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_order
 def _round_trip(fmt: str, table: str):
     def run(t):
         df = t.table(table)
-        path = work_dir(t.spark, f"load-{fmt}")
+        path = scratch(t.spark, f"load-{fmt}")
         writer = df.write.format(fmt)
         options = {}
         if fmt == "csv":
@@ -46,7 +45,7 @@ query("load_files_json", "", "SELECT doc_id, text, lang, source, n_chars FROM do
 
 def _load_with_errors(t):
     """Orders as CSV lines, one folder per status; prices of status P do not parse."""
-    path = work_dir(t.spark, "load-errors")
+    path = scratch(t.spark, "load-errors")
     orders = t.table("orders")
     price = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string"))
     lines = orders.select(
@@ -190,14 +189,14 @@ def _(t):
 
 @query("write_table", "", ORDERS_SQL)
 def _(t):
-    path = work_dir(t.spark, "table")
+    path = scratch(t.spark, "table")
     write_table(t.table("orders"), path, partition_by=["o_orderpriority"])
     return t.spark.read.parquet(path)
 
 
 @query("write_clustered", "", ORDERS_SQL)
 def _(t):
-    path = work_dir(t.spark, "clustered")
+    path = scratch(t.spark, "clustered")
     write_clustered(t.table("orders"), path, "o_orderstatus")
     return t.spark.read.parquet(path)
 
@@ -209,7 +208,7 @@ def _(t):
                CAST(start_time AS DATE) AS start_time_date FROM warehouse_metering_history WHERE start_time {PERIOD}""",
 )
 def _(t):
-    root = work_dir(t.spark, "logs")
+    root = scratch(t.spark, "logs")
     write_usage_log(t("warehouse_metering_history"), f"{root}/warehouse_metering_history", "start_time")
     log = UsageCatalog(t.spark, root).table("warehouse_metering_history")
     return period_filter(log, "start_time", START, END)
@@ -225,7 +224,7 @@ def _(t):
       ON p.project_id = s.project_id""",
 )
 def _(t):
-    table = VersionedTable(t.spark, work_dir(t.spark, "projects"))
+    table = VersionedTable(t.spark, scratch(t.spark, "projects"))
     table.write(t("projects"))
     edits = t.table("customer").select(
         F.concat(F.lit("P"), F.col("c_custkey")).alias("project_id"), F.col("c_name").alias("project_name")

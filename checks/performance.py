@@ -75,7 +75,7 @@ def _(t):
     return op.perf_by_day(t(QH), EVENTS)
 
 
-@query("perf_by_day_lines", LQ, _by_day(LQ, "start_time >= TIMESTAMP '1999-12-25'"))
+@query("perf_by_day_lines", LQ, _by_day(LQ, "start_time BETWEEN TIMESTAMP '1999-12-25' AND TIMESTAMP '2000-01-01'"))
 def _(t):
     return op.perf_by_day(t(LQ), "2000-01-01 00:00:00")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.functions import round_to
+from gaugework.session import work_dir
 from gaugework.sources.adapters import (
     EVENTS_AS_OF,
     LINES_AS_OF,
@@ -18,6 +20,12 @@ from gaugework.sources.adapters import (
 )
 
 
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A work folder; a temporary one where the session names none, as in local tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return work_dir(spark, purpose, shared or tempfile.mkdtemp(prefix="gaugework-"))
+
+
 class Logs:
     """The usage logs a query reads, by name.
 

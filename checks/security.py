@@ -53,7 +53,8 @@ def _(t):
     "login_kpis",
     LH,
     f"""SELECT count(*) AS total, count(CASE WHEN is_success = 'YES' THEN 1 END) AS succeeded,
-               count(CASE WHEN is_success = 'NO' THEN 1 END) AS failed FROM ({NEWEST})""",
+               count(CASE WHEN is_success = 'NO' THEN 1 END) AS failed
+        FROM {LH} WHERE event_timestamp {PERIOD}""",
 )
 def _(t):
     return op.login_kpis(t(LH), START, END)

@@ -86,7 +86,8 @@ def _(t):
     "load_kpis",
     "copy_history",
     f"""SELECT count(*) AS loads, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS total_rows,
-               CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors FROM ({LOADED})""",
+               CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors
+        FROM copy_history WHERE last_load_time {O_PERIOD}""",
 )
 def _(t):
     return op.load_kpis(t("copy_history"), O_START, O_END)
@@ -110,7 +111,9 @@ def _(t):
     "largest_tables_kpis",
     "tables",
     f"""SELECT {R('coalesce(sum(size_gb), 0)', 4)} AS total_gb, count(*) AS tables,
-               CAST(coalesce(sum(row_count), 0) AS BIGINT) AS total_rows FROM ({LARGEST})""",
+               CAST(coalesce(sum(row_count), 0) AS BIGINT) AS total_rows
+        FROM (SELECT row_count, {R(f'bytes / {GB}', 4)} AS size_gb FROM tables
+              WHERE deleted IS NULL AND bytes > 0 AND table_type = 'BASE TABLE')""",
 )
 def _(t):
     return rounded(op.largest_tables_kpis(t("tables")), 4, "total_gb")
@@ -127,7 +130,7 @@ def _(t):
     return op.stage_inventory(t("stages"))
 
 
-@query("stage_type_counts", "stages", f'SELECT stage_type, count(*) AS "count" FROM ({STAGES}) GROUP BY 1')
+@query("stage_type_counts", "stages", 'SELECT stage_type, count(*) AS "count" FROM stages WHERE deleted IS NULL AND stage_type IS NOT NULL GROUP BY 1')
 def _(t):
     return op.stage_type_counts(t("stages"))
 
@@ -136,7 +139,7 @@ def _(t):
     "stage_kpis",
     "stages",
     f"""SELECT count(*) AS stages, count(CASE WHEN stage_type ILIKE '%internal%' THEN 1 END) AS internal,
-               count(CASE WHEN stage_type ILIKE '%external%' THEN 1 END) AS external FROM ({STAGES})""",
+               count(CASE WHEN stage_type ILIKE '%external%' THEN 1 END) AS external FROM stages WHERE deleted IS NULL""",
 )
 def _(t):
     return op.stage_kpis(t("stages"))

@@ -22,12 +22,14 @@ def ordered(df: DataFrame, *keys: Column) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def top_k(df: DataFrame, k: int, *keys: Column) -> DataFrame:
-    """First ``k`` rows by ``keys``; ties are broken by every column in turn.
+def top_k(df: DataFrame, k: int | None, *keys: Column) -> DataFrame:
+    """First ``k`` rows by ``keys``; ties are broken by every column in turn.  None takes all, unordered.
 
     Plans as TakeOrderedAndProject: each task keeps its own best ``k`` rows and
     only those travel, so the input is never sorted as a whole.
     """
+    if k is None:
+        return df
     rest = [
         F.col(f"`{name}`").asc_nulls_last()
         for name, kind in df.dtypes

@@ -14,7 +14,6 @@ The counts are used twice, but they come from one shuffle: Spark reuses the exch
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,9 +24,14 @@ from pyspark.sql import functions as F
 _PER_E = 512
 
 
+# Infinite values sit in the end buckets; no finite double reaches them.
+_END = 1 << 20
+
+
 def _bucket(value: Column) -> Column:
     v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * _PER_E).cast("int")
+    scaled = F.signum(v) * F.log1p(F.abs(v)) * _PER_E
+    return F.floor(F.greatest(F.least(scaled, F.lit(float(_END))), F.lit(float(-_END)))).cast("int")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -116,11 +120,6 @@ def exact_percentiles(
     for name, p in percentiles.items():
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         part = position(p) - F.floor(position(p))
-        # Six decimals: float noise must not decide how a tie is rounded later.
-        out.append(F.round(low + (high - low) * part, 6).alias(name))
+        # Equal neighbours need no interpolation, which infinite ones would not survive.
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * part).alias(name))
     return picked.select(*keys, *out, *sums)
-
-
-def max_buckets(limit: float) -> int:
-    """Upper bound on histogram rows per key for ``0 <= value <= limit``."""
-    return math.floor(math.log1p(limit) * _PER_E) + 1

@@ -252,7 +252,7 @@ def _alert_view(alerts: DataFrame) -> DataFrame:
     return alerts.withColumnRenamed("alert_time", "event_time")
 
 
-def alert_history(alerts: DataFrame, start, end, k: int = 200) -> DataFrame:
+def alert_history(alerts: DataFrame, start, end, k: int | None = 200) -> DataFrame:
     rows = period_filter(_alert_view(alerts), "event_time", start, end)
     return top_k(rows, k, desc("event_time"))
 
@@ -266,8 +266,8 @@ def serverless_alert_history(alerts: DataFrame, start, end, k: int = 200) -> Dat
     return top_k(period_filter(services, "event_time", start, end), k, desc("event_time"))
 
 
-def alert_kpis(alerts: DataFrame, start, end, k: int = 200) -> DataFrame:
-    """Over the listed alerts: total, critical ones and resources concerned."""
+def alert_kpis(alerts: DataFrame, start, end, k: int | None = None) -> DataFrame:
+    """Alerts of the period: total, critical ones and resources concerned; ``k`` as in :func:`alert_history`."""
     return alert_history(alerts, start, end, k).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status").rlike("CRITICAL|SUSPENDED|EXCEEDED")).alias("critical"),
@@ -275,15 +275,15 @@ def alert_kpis(alerts: DataFrame, start, end, k: int = 200) -> DataFrame:
     )
 
 
-def alert_status_counts(alerts: DataFrame, start, end, k: int = 200) -> DataFrame:
+def alert_status_counts(alerts: DataFrame, start, end, k: int | None = None) -> DataFrame:
     return alert_history(alerts, start, end, k).groupBy("status").agg(F.count(F.lit(1)).alias("count"))
 
 
-def execution_history(log: DataFrame, start, end, k: int = 100) -> DataFrame:
+def execution_history(log: DataFrame, start, end, k: int | None = 100) -> DataFrame:
     return top_k(period_filter(log, "execution_time", start, end), k, desc("execution_time"))
 
 
-def execution_kpis(log: DataFrame, start, end, k: int = 100) -> DataFrame:
+def execution_kpis(log: DataFrame, start, end, k: int | None = None) -> DataFrame:
     return execution_history(log, start, end, k).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "SUCCESS").alias("succeeded"),

@@ -140,14 +140,14 @@ def service_types(mt: DataFrame, start, end) -> DataFrame:
 
 
 def serverless_top_consumers(mt: DataFrame, as_of, service: str | None = None, k: int = 50) -> DataFrame:
+    """The ``k`` services with the most credits; a chosen ``service`` is found whatever its rank."""
     by_service = (
-        lookback(mt, "start_time", 30, "day", as_of)
+        in_list(lookback(mt, "start_time", 30, "day", as_of), "service_type", [service] if service else [])
         .where(_not_warehouse())
         .groupBy("service_type")
         .agg(_credits(2).alias("total_credits"), F.count(F.lit(1)).alias("periods_active"))
     )
-    # The service is chosen among the k listed, so it filters after the limit.
-    return in_list(top_k(by_service, k, desc("total_credits")), "service_type", [service] if service else [])
+    return top_k(by_service, k, desc("total_credits"))
 
 
 def serverless_daily_trend(mt: DataFrame, as_of) -> DataFrame:
@@ -185,7 +185,7 @@ def credits_month_over_month(mt: DataFrame, as_of) -> DataFrame:
     def part(cond: Column) -> Column:
         return F.coalesce(round_to(F.sum(F.when(cond, used)), 2), F.lit(0.0))
 
-    row = since(mt, "start_time", last_month).agg(
+    row = since(mt, "start_time", last_month, as_of).agg(
         part(ts >= ntz(this_month)).alias("credits_this_month"),
         part(ts < ntz(this_month)).alias("credits_last_month"),
         part(ts >= ntz(lookback_start(as_of, 7, "day"))).alias("credits_7d"),

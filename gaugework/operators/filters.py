@@ -22,21 +22,16 @@ def partition_column(ts_col: str) -> str:
     return f"{ts_col}_date"
 
 
-def _date_range(df: DataFrame, col: str, start, end=None) -> Column:
-    cond, date_col = F.lit(True), partition_column(col)
-    if date_col in df.columns:
-        cond = F.col(date_col) >= F.lit(as_datetime(start).date())
-        if end is not None:
-            cond = cond & (F.col(date_col) <= F.lit(as_datetime(end).date()))
-    return cond
+def _date_range(df: DataFrame, col: str, start, end) -> Column:
+    date_col = partition_column(col)
+    if date_col not in df.columns:
+        return F.lit(True)
+    return F.col(date_col).between(F.lit(as_datetime(start).date()), F.lit(as_datetime(end).date()))
 
 
-def since(df: DataFrame, col: str, start, before=None) -> DataFrame:
-    """``start <= col`` and, when given, ``col < before``."""
-    cond = F.col(col) >= ntz(start)
-    if before is not None:
-        cond = cond & (F.col(col) < ntz(before))
-    return df.where(cond & _date_range(df, col, start, before))
+def since(df: DataFrame, col: str, start, as_of) -> DataFrame:
+    """``start <= col <= as_of``: what was known at ``as_of``, so a result can be repeated later."""
+    return period_filter(df, col, start, as_of)
 
 
 def period_filter(df: DataFrame, col: str, start, end) -> DataFrame:
@@ -64,13 +59,13 @@ def lookback_start(as_of, n: int, unit: str, from_midnight: bool = False) -> dt.
 def lookback(
     df: DataFrame, col: str, n: int, unit: str, as_of, from_midnight: bool = False
 ) -> DataFrame:
-    """``col >= as_of - n units``; ``from_midnight`` counts back from the day's start."""
+    """``as_of - n units <= col <= as_of``; ``from_midnight`` counts back from the day's start."""
     start = lookback_start(as_of, n, unit, from_midnight)
     if dict(df.dtypes)[col] == "date":
         # A DATE equals its midnight: a bound within a day starts with the next date.
         first = start.date() if start == day_start(start) else start.date() + dt.timedelta(days=1)
-        return df.where(F.col(col) >= F.lit(first))
-    return since(df, col, start)
+        return df.where(F.col(col).between(F.lit(first), F.lit(as_datetime(as_of).date())))
+    return since(df, col, start, as_of)
 
 
 def in_list(df: DataFrame, col: str, values: Iterable[str | None]) -> DataFrame:
@@ -79,10 +74,10 @@ def in_list(df: DataFrame, col: str, values: Iterable[str | None]) -> DataFrame:
     return df.where(F.col(col).isin(wanted)) if wanted else df
 
 
-def optional_filters(df: DataFrame, unset: str = "Tous", **equals) -> DataFrame:
-    """AND of the equalities that are set (not None, not ``unset``)."""
+def optional_filters(df: DataFrame, **equals) -> DataFrame:
+    """AND of the equalities that are set (not None)."""
     for col, value in equals.items():
-        if value is not None and value != unset:
+        if value is not None:
             df = df.where(F.col(col) == F.lit(value))
     return df
 

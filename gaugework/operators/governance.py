@@ -165,11 +165,11 @@ def health_context(lh: DataFrame, wm: DataFrame, us: DataFrame, as_of) -> DataFr
     """One JSON object with four headline figures; a figure without data is left out."""
     day_ago = lookback_start(as_of, 24, "hour")
     failed = (
-        since(lh, "event_timestamp", day_ago)
+        since(lh, "event_timestamp", day_ago, as_of)
         .where((F.col("event_timestamp") > ntz(day_ago)) & (F.col("is_success") == "NO"))
         .select(F.lit(1).alias("f"))
     )
-    credits = since(wm, "start_time", day_start(as_of)).select(F.col("credits_used").alias("c"))
+    credits = since(wm, "start_time", day_start(as_of), as_of).select(F.col("credits_used").alias("c"))
     users = active_only(us).select(F.lit(1).alias("u"), F.when(is_false("has_mfa"), 1).alias("m"))
     row = union_all(failed, credits, users).agg(
         F.count("f").alias("failed_logins_24h"),

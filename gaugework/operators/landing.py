@@ -129,9 +129,13 @@ def append_versions(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
     return mark_current(stored.unionByName(fresh), keys)
 
 
-def load_log(loaded: DataFrame, as_of=None, corrupt: str = "_corrupt_record") -> DataFrame:
+def load_log(
+    loaded: DataFrame, as_of=None, corrupt: str = "_corrupt_record", files: DataFrame | None = None
+) -> DataFrame:
     """Outcome per file: rows parsed, rows loaded, errors, status and time.
 
+    ``files`` (``file_name``) adds a row for files that gave no rows.
+
     ``loaded`` has to be persisted or written first: Spark does not count the rows that
     fail to parse straight from text files.
     """
@@ -139,6 +143,12 @@ def load_log(loaded: DataFrame, as_of=None, corrupt: str = "_corrupt_record") ->
     per_file = loaded.groupBy(F.col(SOURCE_FILE).alias("file_name")).agg(
         F.count(F.lit(1)).alias("row_parsed"), bad.cast("bigint").alias("error_count")
     )
+    if files is not None:
+        empty = files.select("file_name").distinct().join(per_file, "file_name", "left_anti")
+        nothing = F.lit(0).cast("bigint")
+        per_file = per_file.unionByName(
+            empty.select("file_name", nothing.alias("row_parsed"), nothing.alias("error_count"))
+        )
     good = F.col("row_parsed") - F.col("error_count")
     return per_file.select(
         "file_name",

@@ -57,7 +57,7 @@ def query_volume_24h(qh: DataFrame, as_of) -> DataFrame:
 
 def active_users_month(qh: DataFrame, as_of, approx: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approx else F.countDistinct
-    return since(qh, "start_time", month_start(as_of)).agg(count("user_name").alias("cnt"))
+    return since(qh, "start_time", month_start(as_of), as_of).agg(count("user_name").alias("cnt"))
 
 
 def perf_summary(qh: DataFrame, start, end, approx: bool = False) -> DataFrame:

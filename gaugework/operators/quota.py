@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,12 @@ def status_of(ratio: Column, top_label: str) -> Column:
 def _used_per_period(usage: DataFrame, key: str, as_of, honor_frequency: bool) -> DataFrame:
     """One row per resource with the credits of each accounting period, in one pass."""
     if not honor_frequency:
-        rows = since(usage, "start_time", period_start(as_of, "DAILY"))
+        rows = since(usage, "start_time", period_start(as_of, "DAILY"), as_of)
         sums = [F.sum("credits_used").alias("used_daily")]
     else:
         starts = {f: period_start(as_of, f) for f in FREQUENCIES}
         # The week may begin before the year does.
-        rows = since(usage, "start_time", min(starts.values()))
+        rows = since(usage, "start_time", min(starts.values()), as_of)
         sums = [
             F.sum(F.when(F.col("start_time") >= ntz(s), F.col("credits_used"))).alias(f"used_{f.lower()}")
             for f, s in starts.items()
@@ -165,20 +167,60 @@ def crossed_thresholds(
     )
 
 
+def _frequency(config: DataFrame) -> Column:
+    return F.col("frequency") if "frequency" in config.columns else F.lit("DAILY")
+
+
+def _period_of(day: Column, frequency: Column) -> Column:
+    """Start of the accounting period that a day falls into; NULL for NEVER."""
+    date = F.to_date(day)
+    start = (
+        F.when(frequency == "DAILY", date)
+        .when(frequency == "WEEKLY", F.trunc(date, "week"))
+        .when(frequency == "MONTHLY", F.trunc(date, "month"))
+        .when(frequency == "YEARLY", F.trunc(date, "year"))
+    )
+    return start.cast("timestamp_ntz")
+
+
+def used_per_period(daily: DataFrame, config: DataFrame, key: str, start=None) -> DataFrame:
+    """``key, window_start, credits_used`` in the periods of each quota's own frequency.
+
+    ``daily`` holds ``key, day, credits_used``.  With ``start``, periods that were over by then are
+    left out.
+    """
+    quotas = config.where(F.col("is_active")).select(key, _frequency(config).alias("_frequency"))
+    periods = daily.join(quotas, key).withColumn("window_start", _period_of(F.col("day"), F.col("_frequency")))
+    wanted = F.col("window_start").isNotNull()
+    if start is not None:
+        wanted = wanted & (F.col("window_start") >= _period_of(ntz(start), F.col("_frequency")))
+    return periods.where(wanted).groupBy(key, "window_start").agg(F.sum("credits_used").alias("credits_used"))
+
+
+def earliest_period_start(start) -> dt.datetime:
+    """The usage that periods around ``start`` can need begins here."""
+    return min(period_start(start, f) for f in FREQUENCIES)
+
+
 def evaluate_quota_alerts(
     config: DataFrame,
     usage: DataFrame,
     key: str,
     scope: str,
     top_label: str,
-    start=None,
+    start,
+    as_of,
 ) -> DataFrame:
-    """Batch form of the alert stream: every threshold reached on every day of usage."""
-    rows = usage if start is None else since(usage, "start_time", start)
-    used = rows.groupBy(key, trunc_to("start_time", "day").alias("window_start")).agg(
+    """Batch form of the alert stream: every threshold reached in the periods from ``start`` to ``as_of``.
+
+    Usage is read from the start of the longest period only, and summed by day first.  Together with
+    :func:`not_yet_alerted` this adds what a stream had to drop as too late.
+    """
+    rows = since(usage, "start_time", earliest_period_start(start), as_of)
+    daily = rows.groupBy(key, trunc_to("start_time", "day").alias("day")).agg(
         F.sum("credits_used").alias("credits_used")
     )
-    return crossed_thresholds(used, config, key, scope, top_label)
+    return crossed_thresholds(used_per_period(daily, config, key, start), config, key, scope, top_label)
 
 
 def not_yet_alerted(alerts: DataFrame, log: DataFrame) -> DataFrame:

@@ -90,13 +90,13 @@ LOGIN_COLUMNS = (
 )
 
 
-def login_history(lh: DataFrame, start, end, k: int = 500) -> DataFrame:
+def login_history(lh: DataFrame, start, end, k: int | None = 500) -> DataFrame:
     rows = period_filter(lh, "event_timestamp", start, end).select(*LOGIN_COLUMNS)
     return top_k(rows, k, desc("event_timestamp"))
 
 
-def login_kpis(lh: DataFrame, start, end, k: int = 500) -> DataFrame:
-    """Successes and failures among the logins listed by :func:`login_history`."""
+def login_kpis(lh: DataFrame, start, end, k: int | None = None) -> DataFrame:
+    """Successes and failures of the period; ``k`` restricts them to the logins :func:`login_history` lists."""
     return login_history(lh, start, end, k).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("is_success") == "YES").alias("succeeded"),

@@ -85,13 +85,13 @@ LOAD_COLUMNS = (
 )
 
 
-def load_history(copies: DataFrame, start, end, k: int = 200) -> DataFrame:
+def load_history(copies: DataFrame, start, end, k: int | None = 200) -> DataFrame:
     rows = period_filter(copies, "last_load_time", start, end).select(*LOAD_COLUMNS)
     return top_k(rows, k, desc("last_load_time"))
 
 
-def load_kpis(copies: DataFrame, start, end, k: int = 200) -> DataFrame:
-    """Totals over the ``k`` loads listed by :func:`load_history`."""
+def load_kpis(copies: DataFrame, start, end, k: int | None = None) -> DataFrame:
+    """Totals of the period; ``k`` restricts them to the loads that :func:`load_history` lists."""
     return load_history(copies, start, end, k).agg(
         F.count(F.lit(1)).alias("loads"),
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"),
@@ -99,7 +99,7 @@ def load_kpis(copies: DataFrame, start, end, k: int = 200) -> DataFrame:
     )
 
 
-def largest_tables(tables: DataFrame, k: int = 50) -> DataFrame:
+def largest_tables(tables: DataFrame, k: int | None = 50) -> DataFrame:
     rows = (
         active_only(tables, "deleted")
         .where((F.col("bytes") > 0) & (F.col("table_type") == "BASE TABLE"))
@@ -119,7 +119,7 @@ def largest_tables(tables: DataFrame, k: int = 50) -> DataFrame:
     )
 
 
-def largest_tables_kpis(tables: DataFrame, k: int = 50) -> DataFrame:
+def largest_tables_kpis(tables: DataFrame, k: int | None = None) -> DataFrame:
     return largest_tables(tables, k).agg(
         F.coalesce(F.sum("size_gb"), F.lit(0.0)).alias("total_gb"),
         F.count(F.lit(1)).alias("tables"),
@@ -127,7 +127,7 @@ def largest_tables_kpis(tables: DataFrame, k: int = 50) -> DataFrame:
     )
 
 
-def stage_inventory(stages: DataFrame, k: int = 100) -> DataFrame:
+def stage_inventory(stages: DataFrame, k: int | None = 100) -> DataFrame:
     rows = active_only(stages, "deleted").select(
         F.col("stage_catalog").alias("database_name"),
         F.col("stage_schema").alias("schema_name"),
@@ -141,7 +141,7 @@ def stage_inventory(stages: DataFrame, k: int = 100) -> DataFrame:
     return top_k(rows, k, asc("stage_name"))
 
 
-def stage_type_counts(stages: DataFrame, k: int = 100) -> DataFrame:
+def stage_type_counts(stages: DataFrame, k: int | None = None) -> DataFrame:
     return (
         stage_inventory(stages, k)
         .where(F.col("stage_type").isNotNull())
@@ -150,7 +150,7 @@ def stage_type_counts(stages: DataFrame, k: int = 100) -> DataFrame:
     )
 
 
-def stage_kpis(stages: DataFrame, k: int = 100) -> DataFrame:
+def stage_kpis(stages: DataFrame, k: int | None = None) -> DataFrame:
     kind = F.lower("stage_type")
     return stage_inventory(stages, k).agg(
         F.count(F.lit(1)).alias("stages"),

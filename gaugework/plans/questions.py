@@ -66,7 +66,7 @@ def expensive_failing_warehouses(wm: DataFrame, qh: DataFrame, as_of, days: int
 
 def total_cost(mt: DataFrame, as_of, cost: float = CREDIT_COST_USD) -> DataFrame:
     """Credits and cost of all services this month."""
-    row = since(mt, "start_time", month_start(as_of)).agg(
+    row = since(mt, "start_time", month_start(as_of), as_of).agg(
         F.coalesce(F.sum("credits_used"), F.lit(0.0)).alias("credits")
     )
     return row.select(
@@ -76,7 +76,7 @@ def total_cost(mt: DataFrame, as_of, cost: float = CREDIT_COST_USD) -> DataFrame
 
 def total_cost_by_service(mt: DataFrame, as_of, cost: float = CREDIT_COST_USD) -> DataFrame:
     out = (
-        since(mt, "start_time", month_start(as_of))
+        since(mt, "start_time", month_start(as_of), as_of)
         .groupBy("service_type")
         .agg(
             round_to(F.sum("credits_used"), 2).alias("credits"),
@@ -106,7 +106,7 @@ def ops_cost_summary(logs: Mapping[str, DataFrame], as_of, months: int = 1) -> D
         if log in logs:
             used = F.col(amount).cast("bigint") if amount else F.lit(None).cast("bigint")
             parts.append(
-                since(logs[log], "start_time", first).select(
+                since(logs[log], "start_time", first, as_of).select(
                     F.lit(operation).alias("operation"),
                     trunc_to("start_time", "month").alias("month"),
                     "credits_used",

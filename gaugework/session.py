@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,16 +26,9 @@ def build_session(app_name: str = "gaugework", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name under the cluster's ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) is a temporary folder used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def work_dir(spark: SparkSession, purpose: str, root: str | None = None) -> str:
+    """A fresh folder name under ``root``, or else ``spark.checkpoint.dir``, which all executors share."""
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="gaugework-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

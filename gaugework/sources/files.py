@@ -46,10 +46,17 @@ def load_files(
 ) -> DataFrame:
     """Rows of the files under ``path`` with their ``_source_file``.
 
-    The schema is given, never inferred: no extra pass over the files.  Avro needs the
+    The schema is given, never inferred: no extra pass over the files.  A record that does not
+    parse fails the load; ``keep_corrupt`` lands it in ``_corrupt_record`` instead.  Avro needs the
     spark-avro package on the classpath.
     """
     fmt = check_format(fmt)
-    full = with_corrupt_column(fmt, schema) if keep_corrupt else schema
-    df = spark.read.format(fmt).options(**reader_options(fmt, options)).schema(full).load(path)
+    settings = reader_options(fmt, options)
+    if keep_corrupt:
+        full = with_corrupt_column(fmt, schema)
+    else:
+        full = schema
+        if "mode" in settings and "mode" not in (options or {}):
+            settings["mode"] = "FAILFAST"
+    df = spark.read.format(fmt).options(**settings).schema(full).load(path)
     return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))

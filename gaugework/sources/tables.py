@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from gaugework.operators.filters import partition_column
 
-SALTS = 64
-
 
 def write_table(
     df: DataFrame, path: str, mode: str = "append", partition_by: Sequence[str] = ()
@@ -24,7 +22,9 @@ def write_table(
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    # What "overwrite" replaces must not hang on a session setting: the partitions that are written.
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if partition_by else "static")
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def write_usage_log(df: DataFrame, path: str, ts_col: str, mode: str = "append") -> None:
@@ -36,12 +36,12 @@ def write_usage_log(df: DataFrame, path: str, ts_col: str, mode: str = "append")
 def clustered(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """Rows range-partitioned and sorted by ``col`` for row-group min/max skipping.
 
-    A salt from the row's hash is the second range key, so a value that holds a third of
-    the rows spreads over several tasks.  It depends on the row alone: a task that is run
-    again after a lost executor computes the same layout.
+    The row's hash is the second range key, so a value that holds a third of the rows
+    spreads over a third of the tasks, however many there are.  It depends on the row alone: a
+    task that is run again after a lost executor computes the same layout.
     """
     hashable = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.xxhash64(*hashable))
     keys = ([partitions] if partitions else []) + [F.col(col), F.col("_salt")]
     return salted.repartitionByRange(*keys).sortWithinPartitions(col).drop("_salt")
 

@@ -2,11 +2,13 @@
 
 Sums run in event-time windows with a watermark, in update mode: append mode would emit
 a day only once it has closed, too late for an alert.  Rows later than the watermark are
-dropped by Spark and counted in the query progress.
+dropped by Spark and counted in the query progress; ``quota.evaluate_quota_alerts`` with
+``quota.not_yet_alerted`` evaluates the closed periods again and gives the alerts that they add.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
@@ -16,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugework.functions import utc_instant, utc_wall_clock
-from gaugework.operators.quota import ALERT_KEY, crossed_thresholds
-from gaugework.streaming.batches import read_batches, trigger, write_batch
+from gaugework.operators.quota import ALERT_KEY, crossed_thresholds, earliest_period_start, used_per_period
+from gaugework.streaming.batches import read_batches, stream_id, trigger, write_batch
 
 QUOTA_ALERT = T.StructType(
     [
@@ -41,37 +43,39 @@ LOGIN_ALERT = T.StructType(
 )
 
 
+WINDOW_DATE = "window_date"
+
+
 def _append_once(
     spark: SparkSession,
-    windowed: DataFrame,
-    alerts_of: Callable[[DataFrame], DataFrame],
+    alerts: DataFrame,
     key: Sequence[str],
     schema: T.StructType,
     out: str,
-    checkpoint: str,
-    cadence: str | None,
-) -> StreamingQuery:
-    """Store the alerts of each update that are not stored yet."""
-
-    def raise_alerts(batch: DataFrame, batch_id: int) -> None:
-        seen = read_batches(spark, out, schema, exclude=batch_id).select(*key)
-        fresh = alerts_of(batch).join(seen, list(key), "left_anti").select(*schema.fieldNames())
-        # Only batches that raise something leave a folder: the log grows with the alerts,
-        # not with the number of triggers.
-        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+    place: tuple[str, int],
+) -> None:
+    """Store the alerts that are not stored yet, in folders by the date of their window.
+
+    Only the dates of the batch's own windows are read back, and those are not older than the
+    watermark allows: the cost of a trigger does not grow with the log.
+    """
+    alerts = alerts.withColumn(WINDOW_DATE, F.to_date("window_start")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        oldest = alerts.agg(F.min(WINDOW_DATE)).first()[0]
+        # Only batches that raise something leave a folder.
+        if oldest is None:
+            return
+        logged = T.StructType([*schema.fields, T.StructField(WINDOW_DATE, T.DateType())])
+        seen = read_batches(spark, out, logged, exclude=place).where(F.col(WINDOW_DATE) >= F.lit(oldest))
+        fresh = alerts.join(seen.select(*key), list(key), "left_anti")
+        fresh = fresh.select(*schema.fieldNames(), WINDOW_DATE).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if not fresh.isEmpty():
-                write_batch(fresh, out, batch_id)
+                write_batch(fresh, out, *place, partition_by=[WINDOW_DATE])
         finally:
             fresh.unpersist()
-
-    return (
-        windowed.writeStream.outputMode("update")
-        .foreachBatch(raise_alerts)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger(cadence))
-        .start()
-    )
+    finally:
+        alerts.unpersist()
 
 
 def _windowed(
@@ -93,31 +97,72 @@ def _windowed(
     )
 
 
+def _day_totals_schema(key: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(key, T.StringType()),
+            T.StructField("credits_used", T.DoubleType()),
+            T.StructField("day", T.DateType()),
+        ]
+    )
+
+
+def day_totals(spark: SparkSession, totals: str, key: str, start: dt.date) -> DataFrame:
+    """``key, day, credits_used`` as the stream has stored them, from ``start`` on.
+
+    A day's total only grows while usage arrives, so the largest one stored is the latest.
+    """
+    stored = read_batches(spark, totals, _day_totals_schema(key)).where(F.col("day") >= F.lit(start))
+    return stored.groupBy(key, "day").agg(F.max("credits_used").alias("credits_used"))
+
+
 def stream_quota_alerts(
     spark: SparkSession,
     usage: DataFrame,
-    config: DataFrame,
+    config: DataFrame | Callable[[], DataFrame],
     key: str,
     scope: str,
     top_label: str,
     out: str,
+    totals: str,
     checkpoint: str,
     watermark: str = "1 day",
     cadence: str | None = None,
 ) -> StreamingQuery:
-    """Log every quota threshold (70 / 85 / 95 / 100 %) a resource reaches in a day."""
-    used = _windowed(
+    """Log every quota threshold (70 / 85 / 95 / 100 %) a resource reaches in its quota's period.
+
+    The stream sums by day; the day totals are stored under ``totals`` by date, and a batch adds those of the
+    periods it touches, so weekly to yearly quotas need no state that lives as long as they do.
+    ``config`` may be a function: it is then asked again for every batch, so edited quotas count from the
+    next batch on.
+    """
+    daily = _windowed(
         usage, "start_time", [key], F.sum("credits_used").alias("credits_used"), watermark, "1 day"
     )
-    return _append_once(
-        spark,
-        used,
-        lambda batch: crossed_thresholds(batch, config, key, scope, top_label),
-        ALERT_KEY,
-        QUOTA_ALERT,
-        out,
-        checkpoint,
-        cadence,
+    stream = stream_id(spark, checkpoint)
+
+    def raise_alerts(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(key, "credits_used", F.to_date("window_start").alias("day"))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            oldest = rows.agg(F.min("day")).first()[0]
+            if oldest is None:
+                return
+            write_batch(rows, totals, stream, batch_id, partition_by=["day"])
+        finally:
+            rows.unpersist()
+        quotas = config() if callable(config) else config
+        days = day_totals(spark, totals, key, earliest_period_start(oldest).date())
+        used = used_per_period(days, quotas, key, oldest)
+        alerts = crossed_thresholds(used, quotas, key, scope, top_label)
+        _append_once(spark, alerts, ALERT_KEY, QUOTA_ALERT, out, (stream, batch_id))
+
+    return (
+        daily.writeStream.outputMode("update")
+        .foreachBatch(raise_alerts)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger(cadence))
+        .start()
     )
 
 
@@ -143,13 +188,16 @@ def stream_failed_login_alerts(
         window,
         slide,
     )
-    return _append_once(
-        spark,
-        counts,
-        lambda batch: batch.where(F.col("failed_attempts") >= min_failed),
-        ("client_ip", "window_start"),
-        LOGIN_ALERT,
-        out,
-        checkpoint,
-        cadence,
+    stream = stream_id(spark, checkpoint)
+
+    def raise_alerts(batch: DataFrame, batch_id: int) -> None:
+        alerts = batch.where(F.col("failed_attempts") >= min_failed)
+        _append_once(spark, alerts, ("client_ip", "window_start"), LOGIN_ALERT, out, (stream, batch_id))
+
+    return (
+        counts.writeStream.outputMode("update")
+        .foreachBatch(raise_alerts)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger(cadence))
+        .start()
     )

@@ -24,7 +24,8 @@ from gaugework.sources.files import (
     reader_options,
     with_corrupt_column,
 )
-from gaugework.streaming.batches import read_batches, trigger, write_batch
+from gaugework.sources.tables import VersionedTable
+from gaugework.streaming.batches import BATCH, STREAM, read_batches, stream_id, trigger, write_batch
 
 
 def stream_load(
@@ -56,6 +57,8 @@ def stream_load(
         reader = reader.option("maxFilesPerTrigger", max_files)
     source = reader.load(path).withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
+    stream = stream_id(spark, checkpoint)
+
     def land(batch: DataFrame, batch_id: int) -> None:
         # Read once for both outputs; lost blocks are read again from the files.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -63,8 +66,8 @@ def stream_load(
             good = batch
             if CORRUPT in batch.columns:
                 good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-            write_batch(landing_enrich(good, as_of), out, batch_id)
-            write_batch(load_log(batch, as_of), log_out, batch_id)
+            write_batch(landing_enrich(good, as_of), out, stream, batch_id)
+            write_batch(load_log(batch, as_of, files=_unlogged_empty(spark, path, log_out)), log_out, stream, batch_id)
         finally:
             batch.unpersist()
 
@@ -76,6 +79,19 @@ def stream_load(
     )
 
 
+def _unlogged_empty(spark: SparkSession, path: str, log_out: str) -> DataFrame:
+    """Files without a byte that no log row names yet; they give no rows that could be counted.
+
+    Spark lists such files but reads nothing from them, so they are the listed ones that cannot be read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    name = T.StructType([T.StructField("file_name", T.StringType())])
+    listed = spark.createDataFrame([(f.replace(":///", ":/", 1),) for f in files.inputFiles()], name)
+    filled = files.select(F.col("path").alias("file_name"))
+    logged = read_batches(spark, log_out, name)
+    return listed.join(filled, "file_name", "left_anti").join(logged, "file_name", "left_anti")
+
+
 def incremental_refresh(
     spark: SparkSession,
     raw: str,
@@ -86,6 +102,7 @@ def incremental_refresh(
     cadence: str | None = None,
     skip_unchanged: bool = False,
     max_files: int | None = None,
+    compacted: VersionedTable | None = None,
 ) -> StreamingQuery:
     """Carry the current rows of a landing table over to a presented table.
 
@@ -97,12 +114,13 @@ def incremental_refresh(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
+    stream = stream_id(spark, checkpoint)
+
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = current_rows(batch)
         if skip_unchanged:
-            stored = read_batches(spark, out, schema, exclude=batch_id)
-            rows = unchanged_removed(rows, stored, keys)
-        write_batch(rows, out, batch_id)
+            rows = unchanged_removed(rows, _stored(spark, out, schema, compacted, (stream, batch_id)), keys)
+        write_batch(rows, out, stream, batch_id)
 
     return (
         reader.parquet(raw)
@@ -113,5 +131,46 @@ def incremental_refresh(
     )
 
 
-def presented(spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    return latest_versions(read_batches(spark, out, schema), keys)
+def _stored(
+    spark: SparkSession,
+    out: str,
+    schema: T.StructType,
+    compacted: VersionedTable | None,
+    exclude: tuple[str, int] | None = None,
+) -> DataFrame:
+    """The compacted versions and the batches that they do not cover, with their origin."""
+    rows = read_batches(spark, out, schema, exclude, origin=True)
+    if compacted is None or compacted.current_version() is None:
+        return rows
+    base = compacted.read()
+    # One row per stream.  Batches up to it are in the base; their folders are not read again.
+    covered = {r[STREAM]: r["last"] for r in base.groupBy(STREAM).agg(F.max(BATCH).alias("last")).collect()}
+    newer = F.lit(True)
+    for stream, last in covered.items():
+        newer = newer & ((F.col(STREAM) != stream) | (F.col(BATCH) > last))
+    return base.select(*rows.columns).unionByName(rows.where(newer))
+
+
+def compact(
+    spark: SparkSession, out: str, schema: T.StructType, keys: Sequence[str], compacted: VersionedTable
+) -> None:
+    """Write the newest versions of all closed batches as one table.
+
+    The last batch of each stream may still be written and is left for the next time.  Nothing is deleted:
+    the folders that a committed base covers are no longer read and may be removed later.
+    """
+    rows = _stored(spark, out, schema, compacted)
+    last = rows.groupBy(STREAM).agg(F.max(BATCH).alias("_last"))
+    closed = rows.join(last, STREAM).where(F.col(BATCH) < F.col("_last")).drop("_last")
+    compacted.write(latest_versions(closed, keys))
+
+
+def presented(
+    spark: SparkSession,
+    out: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    compacted: VersionedTable | None = None,
+) -> DataFrame:
+    """The newest row per key."""
+    return latest_versions(_stored(spark, out, schema, compacted).select(*schema.fieldNames()), keys)

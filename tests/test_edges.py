@@ -63,7 +63,8 @@ def test_lists_and_facets(frame):
     assert filters.in_list(df, "a", []).count() == 4
     assert [r.b for r in filters.in_list(df, "a", [None, "y'z"]).orderBy("b").collect()] == ["2", "4"]
     assert filters.optional_filters(df, a="x", b=None).count() == 1
-    assert filters.optional_filters(df, a="Tous").count() == 4
+    assert filters.optional_filters(df, a="Tous").count() == 0
+    assert filters.optional_filters(df, a=None, b=None).count() == 4
     assert filters.facet_filter(df, a=["x", ""], b=["1"]).count() == 1
     assert filters.facet_filter(df, a=[]).count() == 0
     assert rows(filters.distinct_values(df, "a")) == [("",), ("x",), ("y'z",)]
@@ -185,7 +186,7 @@ def test_alerts_respect_switches_and_the_log(frame):
         METERING,
         [(w, ts("2024-03-30 10:00:00"), ts("2024-03-30 11:00:00"), c) for w, c in (("W", 60.0), ("W", 40.0), ("Z", 5.0), ("X", 5.0))],
     )
-    alerts = quota.evaluate_quota_alerts(config, usage, "warehouse_name", "WAREHOUSE", "SUSPENDED")
+    alerts = quota.evaluate_quota_alerts(config, usage, "warehouse_name", "WAREHOUSE", "SUSPENDED", "2024-03-30", "2024-03-31")
     assert sorted(by_key(alerts, "threshold_pct", "status").items()) == [
         (85.0, "ACTION_REQUIRED"),
         (95.0, "CRITICAL"),
@@ -195,6 +196,25 @@ def test_alerts_respect_switches_and_the_log(frame):
     assert quota.not_yet_alerted(alerts, alerts.where("threshold_pct < 100")).count() == 1
 
 
+def test_alerts_follow_the_frequency_and_the_range(frame):
+    config = frame(CONFIG, _config(*[(f, f, 10, None, True) for f in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY", "NEVER")]))
+    names = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY", "NEVER")
+    days = (("2024-03-20", 6.0), ("2024-03-30", 6.0), ("2024-04-01", 100.0))
+    usage = frame(METERING, [(n, ts(d), ts(d), c) for n in names for d, c in days])
+    alerts = quota.evaluate_quota_alerts(config, usage, "warehouse_name", "WAREHOUSE", "SUSPENDED", "2024-03-30", "2024-03-31 12:00:00")
+    full = alerts.where("threshold_pct = 100")
+    # Twelve credits in the month and in the year; six in the week and on the day; April is not known yet.
+    assert by_key(full, "resource_name", "window_start") == {"MONTHLY": ts("2024-03-01"), "YEARLY": ts("2024-01-01")}
+
+
+def test_nothing_after_the_reference_time_counts(frame):
+    config = frame(CONFIG, _config(("W", "DAILY", 10, None, True)))
+    usage = frame(METERING, [("W", ts(d), ts(d), c) for d, c in (("2024-01-10 01:00:00", 1.0), ("2024-01-12 01:00:00", 50.0))])
+    status = quota.quota_status(config, usage, "warehouse_name", "SUSPENDED", "2024-01-10 23:59:59").first()
+    assert (status.credits_used, status.pct_used, status.status) == (1.0, 10.0, "OK")
+    assert filters.lookback(usage, "start_time", 7, "day", "2024-01-11").count() == 1
+
+
 # ---- sizing -----------------------------------------------------------------------------------------
 
 

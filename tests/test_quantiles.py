@@ -4,7 +4,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from gaugework.functions import exact_percentiles, value_counts
-from gaugework.functions.quantiles import max_buckets
 
 PS = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
@@ -58,5 +57,11 @@ def test_without_keys_and_empty(spark):
     assert [r.p50 for r in empty] == [None]
 
 
-def test_histogram_is_bounded():
-    assert max_buckets(2**63) < 23_000
+def test_small_and_infinite_values(frame):
+    df = frame("v double", [(1e-7,), (3e-7,)])
+    row = exact_percentiles(value_counts(df, [], "v"), [], "v", {"p50": 0.5}).first()
+    assert row.p50 == 2e-7
+    inf = float("inf")
+    df = frame("v double", [(-inf,), (1.0,), (inf,), (inf,)])
+    row = exact_percentiles(value_counts(df, [], "v"), [], "v", {"p0": 0.0, "p30": 1 / 3, "p100": 1.0}).first()
+    assert (row.p0, row.p30, row.p100) == (-inf, 1.0, inf)

@@ -41,20 +41,26 @@ def test_each_file_is_loaded_once(spark, tmp_path):
 def test_a_repeated_batch_overwrites_itself(spark, frame, tmp_path):
     df = frame(LANDED, [(1, "x")])
     for _ in range(2):
-        write_batch(df, f"{tmp_path}/t", 0)
-    write_batch(df, f"{tmp_path}/t", 1)
-    assert read_batches(spark, f"{tmp_path}/t", df.schema).count() == 2
-    assert read_batches(spark, f"{tmp_path}/t", df.schema, exclude=1).count() == 1
+        write_batch(df, f"{tmp_path}/t", "s", 0)
+    write_batch(df, f"{tmp_path}/t", "s", 1)
+    write_batch(df, f"{tmp_path}/t", "other", 0)
+    assert read_batches(spark, f"{tmp_path}/t", df.schema).count() == 3
+    assert read_batches(spark, f"{tmp_path}/t", df.schema, exclude=("s", 1)).count() == 2
     assert read_batches(spark, f"{tmp_path}/none", df.schema).count() == 0
 
 
 USAGE = "warehouse_name string, start_time timestamp_ntz, credits_used double"
 
 
-def _alerts(spark, frame, root):
+DAILY = (("W", "DAILY", 100.0, True), ("V", "DAILY", 50.0, True))
+
+
+def _alerts(spark, frame, root, quotas=DAILY):
     usage = spark.readStream.schema(frame(USAGE, []).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/usage")
-    config = frame("warehouse_name string, credit_limit double, is_active boolean", [("W", 100.0, True), ("V", 50.0, True)])
-    q = stream_quota_alerts(spark, usage, config, "warehouse_name", "WAREHOUSE", WAREHOUSE_TOP, f"{root}/alerts", f"{root}/ckpt")
+    config = frame("warehouse_name string, frequency string, credit_limit double, is_active boolean", quotas)
+    q = stream_quota_alerts(
+        spark, usage, lambda: config, "warehouse_name", "WAREHOUSE", WAREHOUSE_TOP, f"{root}/alerts", f"{root}/totals", f"{root}/ckpt"
+    )
     q.awaitTermination()
     got = read_batches(spark, f"{root}/alerts", QUOTA_ALERT).collect()
     return sorted((r.resource_name, r.window_start.day, r.threshold_pct) for r in got), q
@@ -82,6 +88,42 @@ def test_thresholds_alert_once_as_usage_grows(spark, frame, tmp_path):
     assert again == third
 
 
+def test_periods_of_other_frequencies(spark, frame, tmp_path):
+    quotas = [("W", "MONTHLY", 10.0, True), ("V", "NEVER", 1.0, True), ("X", "WEEKLY", 10.0, True)]
+    _usage(frame, tmp_path, ("W", "2024-01-02 01:00:00", 6.0), ("V", "2024-01-02 01:00:00", 9.0), ("X", "2024-01-07 01:00:00", 6.0))
+    assert _alerts(spark, frame, tmp_path, quotas)[0] == []
+    _usage(frame, tmp_path, ("W", "2024-01-08 01:00:00", 6.0), ("X", "2024-01-08 01:00:00", 6.0))
+    got, _ = _alerts(spark, frame, tmp_path, quotas)
+    assert got == [("W", 1, t) for t in (70.0, 85.0, 95.0, 100.0)]
+    # An edited quota counts from the next batch on.
+    _usage(frame, tmp_path, ("X", "2024-01-08 02:00:00", 1.0))
+    got, _ = _alerts(spark, frame, tmp_path, [("X", "WEEKLY", 10.0, True)])
+    assert [g for g in got if g[0] == "X"] == [("X", 8, 70.0)]
+
+
+def test_two_streams_and_a_replaced_checkpoint_keep_all_rows(spark, tmp_path):
+    _file(tmp_path, "a.json", {"id": 1})
+    _load(spark, tmp_path)
+    schema = spark.createDataFrame([], LANDED).schema
+    (tmp_path / "in2").mkdir()
+    (tmp_path / "in2" / "b.json").write_text('{"id": 2}\n')
+    stream_load(
+        spark, f"{tmp_path}/in2", "json", schema, f"{tmp_path}/out", f"{tmp_path}/log", f"{tmp_path}/ckpt2", as_of="2024-01-01"
+    ).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_empty_files_are_logged_once(spark, tmp_path):
+    _file(tmp_path, "a.json", {"id": 1})
+    (tmp_path / "in" / "empty.json").write_text("")
+    _load(spark, tmp_path)
+    _file(tmp_path, "b.json", {"id": 2})
+    _load(spark, tmp_path)
+    log = [(r.file_name.rsplit("/", 1)[1], r.row_parsed, r.status) for r in spark.read.parquet(f"{tmp_path}/log").collect()]
+    assert sorted(log) == [("a.json", 1, "LOADED"), ("b.json", 1, "LOADED"), ("empty.json", 0, "LOADED")]
+
+
 def test_rows_past_the_watermark_are_dropped_and_counted(spark, frame, tmp_path):
     _usage(frame, tmp_path, ("W", "2024-01-02 01:00:00", 1.0))
     _usage(frame, tmp_path, ("W", "2024-01-09 01:00:00", 1.0))
