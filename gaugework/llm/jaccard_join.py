@@ -13,12 +13,13 @@ the region of its first common shingle.  The order is rare before frequent, by a
 documents' shingles in ``BUCKETS`` hash buckets (a table of fixed size), so a passage that many documents share
 makes no region of its own unless it is most of a document.
 
-Recursion.  In a region of more than two documents one of them becomes a pivot and the exact distance of every
-member to it is computed once.  Members within ``radius`` link to it and need not be compared with each other, for they are connected
-through it.  The others recurse as a smaller region with a new pivot; of the linked members
-only those are replicated into it that the triangle inequality cannot rule out: their distance to the pivot is at least
-the smallest of an unlinked member less ``radius``.  Regions of at most ``SMALL`` pairs are compared pair
-by pair.  Nothing is capped; a region costs its size times the number of pivots it needs.
+Recursion.  In a region of more than two documents one of them becomes a pivot, and the distance of every member to it
+is computed once.  Members within ``radius`` link to it and need not be compared with each other, for
+they are connected through it.  The others recurse as a smaller region with ``GROWTH`` times as many new
+pivots; of the linked members only those are replicated into it that the triangle inequality
+cannot rule out: their distance to a pivot is at least the smallest of an unlinked member less
+``radius``.  Regions of at most ``SMALL`` pairs are compared pair by pair.  Nothing is capped; a region
+costs its size times the number of pivots it needs, and the rounds grow with the logarithm of that.
 
 Every set also has a parity bitmap of about two bits a shingle.  Bits in which two bitmaps differ are shingles in
 which the sets differ, so they bound the distance from below, which rules out nearly all pairs that
@@ -42,7 +43,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import components
@@ -51,7 +52,9 @@ from gaugework.llm.shared import mix, saved, slices, strings
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 #: Pairs (unlinked members times members) up to which a region is compared pair by pair.
-SMALL = 4096
+SMALL = 1 << 14
+#: By how much the number of pivots in a region grows each round.
+GROWTH = 4
 #: Ids of documents whose sets are wanted are first looked up in a broadcast table of at most so many
 #: numbers (4 bytes each).
 FILTER_BITS = 1 << 20
@@ -258,23 +261,19 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     return saved(never.unionByName(exact))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("pivot"), F.greatest(a, b).alias("node")]
-
-
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the regions with two nodes, and ``g, node, pivot`` of those with more."""
+    """Pairs of the regions with two nodes, and ``g, node`` of those with more."""
     entered = nodes.select(F.explode("window").alias("g"), "node")
-    shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > 1)
+    shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > 1)
     members = saved(entered.join(shared, "g"))
     # Copies share many shingles: of regions with the same nodes one is enough.
-    marks = members.groupBy("n", "pivot", "g").agg(
+    marks = members.groupBy("n", "least", "g").agg(
         F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("mark")
     )
-    one = saved(marks.groupBy("n", "pivot", "other", "mark").agg(F.min("g").alias("g")))
-    two = one.where((F.col("n") == 2) & (F.col("pivot") != F.col("other")))
-    more = members.drop("n").join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
-    return two.select("pivot", F.col("other").alias("node")).distinct(), saved(more.distinct())
+    one = saved(marks.groupBy("n", "least", "other", "mark").agg(F.min("g").alias("g")))
+    two = one.where((F.col("n") == 2) & (F.col("least") != F.col("other")))
+    more = members.join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
+    return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more.select("g", "node").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -282,45 +281,49 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
     ``nodes`` holds ``node, size, window, bits``, ``docs`` the texts by ``doc_id``.
     """
-    two, members = _regions(nodes)
+    pairs, members = _regions(nodes)
     nodes = nodes.select("node", "size", "bits")
     radius = 1 - rule.part / rule.whole
-    own = members.where(F.col("node") != F.col("pivot")).select("pivot", "node")
-    tested = measured(two.unionByName(own).distinct(), nodes, docs, rule)
-    found = tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    inside = saved(members.withColumn("resolved", F.lit(False)))
+    found, count = None, 1
     while True:
-        # Members that their region's pivot does not link to, and the linked ones in the window.
-        reached = members.where(F.col("node") != F.col("pivot")).join(tested, ["pivot", "node"])
-        if "resolved" in members.columns:
-            reached = reached.withColumn("resolved", F.col("resolved") | F.col("linked"))
-        else:
-            reached = reached.withColumn("resolved", F.col("linked"))
-        reached = saved(reached.select("g", "node", "distance", "resolved"))
-        open_ = (
-            reached.groupBy("g")
-            .agg(
-                F.count_if(~F.col("resolved")).alias("unlinked"),
-                F.count("*").alias("n"),
-                F.min(F.when(~F.col("resolved"), F.col("node"))).alias("pivot"),
-                F.min(F.when(~F.col("resolved"), F.col("distance"))).alias("nearest"),
-            )
-            .where((F.col("unlinked") > 0) & (F.col("n") > 1))
+        # The first unresolved members become pivots; ranking keeps few rows of a region before the shuffle.
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("node"))
+        pivots = inside.where(~F.col("resolved")).select("g", F.col("node").alias("pivot"), rank.alias("_rank"))
+        pivots = pivots.where(F.col("_rank") <= count).drop("_rank")
+        reached = inside.join(pivots, "g").where(F.col("node") != F.col("pivot"))
+        wanted = pairs.unionByName(
+            reached.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
         )
-        inside = F.col("distance") >= F.col("nearest") - radius - 1e-9
-        left = reached.join(open_, "g").where(~F.col("resolved") | inside)
-        left = saved(left.select("g", "node", "resolved", "pivot", (F.col("unlinked") * F.col("n")).alias("pairs")))
-        if left.isEmpty():
-            return found
-        small = left.where(F.col("pairs") <= SMALL)
-        apart = small.where(~F.col("resolved")).select("g", F.col("node").alias("other"))
-        each = small.select("g", "node").join(apart, "g").where(F.col("node") != F.col("other"))
-        members = left.where(F.col("pairs") > SMALL).select("g", "node", "resolved", "pivot")
-        own = members.where(F.col("node") != F.col("pivot"))
-        wanted = each.select(*_pair("other", "node")).unionByName(own.select("pivot", "node"))
         tested = measured(wanted.distinct(), nodes, docs, rule)
-        found = found.unionByName(tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        if members.isEmpty():
+        linked = tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        found = linked if found is None else found.unionByName(linked)
+        both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
+        seen = reached.join(both, ["pivot", "node"])
+        # The triangle inequality: what links to an unlinked member is at least this far from the pivot.
+        unlinked = ~F.col("resolved") & ~F.col("linked")
+        nearest = seen.groupBy("g", "pivot").agg(F.min(F.when(unlinked, F.col("distance"))).alias("_nearest"))
+        outside = F.col("linked") & (F.col("distance") < F.coalesce(F.col("_nearest"), F.lit(2.0)) - radius - 1e-9)
+        judged = (
+            seen.join(nearest, ["g", "pivot"])
+            .groupBy("g", "node")
+            .agg(F.max(F.col("resolved") | F.col("linked")).alias("resolved"), F.max(outside).alias("_outside"))
+            .join(pivots.withColumnRenamed("pivot", "node"), ["g", "node"], "left_anti")
+            .where(~(F.col("resolved") & F.col("_outside")))
+        )
+        sizes = judged.groupBy("g").agg(F.count_if(~F.col("resolved")).alias("_open"), F.count("*").alias("_all"))
+        sizes = sizes.where((F.col("_open") > 0) & (F.col("_all") > 1))
+        left = saved(
+            judged.join(sizes, "g").select("g", "node", "resolved", (F.col("_open") * F.col("_all") <= SMALL).alias("small"))
+        )
+        if left.isEmpty():
             return found
+        small = left.where("small")
+        other = small.where(~F.col("resolved")).select("g", F.col("node").alias("pivot"))
+        each = small.select("g", "node").join(other, "g").where(F.col("node") != F.col("pivot"))
+        pairs = each.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
+        inside = left.where(~F.col("small")).drop("small")
+        count *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:

@@ -236,6 +236,7 @@ def brute_components(rows, rule):
 def test_jaccard_join_against_all_pairs(spark, docs, monkeypatch, rule):
     # Small regions are compared by pivots too, so every level of the recursion is used.
     monkeypatch.setattr(jaccard_join, "SMALL", 60)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(60)]
     passage = rng.choices(vocabulary, k=20)
