@@ -179,7 +179,7 @@ def calibrated(decided: DataFrame) -> Column:
         F.var_pop(F.when(a, x)).alias("high_var"),
         F.var_pop(F.when(~a, x)).alias("low_var"),
     ).first()
-    if fit is None or None in fit or fit["high"] <= fit["low"]:
+    if fit is None or None in tuple(fit) or fit["high"] <= fit["low"]:
         return F.lit(0.5)
     spread = max((fit["high_var"] + fit["low_var"]) / 2, 1e-9)
     slope, middle = (fit["high"] - fit["low"]) / spread, (fit["high"] + fit["low"]) / 2
