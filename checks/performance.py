@@ -1,3 +1,8 @@
+from pyspark.sql import functions as F
+
+from gaugework.functions import ntz
+from gaugework.functions.time import preset
+from gaugework.operators.reshape import union_all
 from gaugework.operators import performance as op
 
 from checks.registry import E_TS, END, EVENTS, L_TS, LINES, O_TS, ORDERS, PERIOD, R, START, query, rounded, top
@@ -54,9 +59,70 @@ def _(t):
     return op.perf_summary(t(LQ), L_START, L_END)
 
 
-@query("perf_summary_approx", QH)
+@query(
+    "perf_summary_approx",
+    QH,
+    f"""SELECT total_queries, avg_duration_sec, slow_queries, true AS median_close, true AS p95_close
+        FROM ({_summary(QH, PERIOD)})""",
+)
+def _(t):
+    """Approximate percentiles within 2 % of the exact ones, which SQL knows."""
+    exact = op.perf_summary(t(QH), START, END)
+
+    def close(col: str):
+        right = exact.select(col).scalar()
+        return F.abs(F.col(col) - right) <= right * 0.02 + 0.01
+
+    return op.perf_summary(t(QH), START, END, approx=True).select(
+        "total_queries",
+        "avg_duration_sec",
+        "slow_queries",
+        close("median_duration_sec").alias("median_close"),
+        close("p95_duration_sec").alias("p95_close"),
+    )
+
+
+@query(
+    "active_users_month_approx",
+    QH,
+    f"SELECT true AS close FROM (SELECT count(*) AS n FROM {QH} WHERE start_time >= TIMESTAMP '2024-01-01')",
+)
+def _(t):
+    """The approximate count within 10 % of the exact one."""
+    exact = op.active_users_month(t(QH), EVENTS).scalar()
+    approx = op.active_users_month(t(QH), EVENTS, approx=True)
+    return approx.select((F.abs(F.col("cnt") - exact) <= exact * 0.1 + 1).alias("close"))
+
+
+_PRESETS = {
+    "last_hour": ("2024-01-30 22:59:59", "2024-01-30 23:59:59"),
+    "last_24h": ("2024-01-29 23:59:59", "2024-01-30 23:59:59"),
+    "last_7d": ("2024-01-23 00:00:00", "2024-01-30 23:59:00"),
+    "last_30d": ("2023-12-31 00:00:00", "2024-01-30 23:59:00"),
+}
+
+
+@query(
+    "period_presets",
+    QH,
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS preset, TIMESTAMP '{a}' AS period_start, TIMESTAMP '{b}' AS period_end, count(*) AS queries
+            FROM {QH} WHERE start_time BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'"""
+        for name, (a, b) in _PRESETS.items()
+    ),
+)
 def _(t):
-    return op.perf_summary(t(QH), START, END, approx=True)
+    parts = []
+    for name in _PRESETS:
+        start, end = preset(name, EVENTS)
+        counted = op.query_count(t(QH), start, end)
+        parts.append(
+            counted.select(
+                F.lit(name).alias("preset"), ntz(start).alias("period_start"), ntz(end).alias("period_end"),
+                F.col("total").alias("queries"),
+            )
+        )
+    return union_all(*parts)
 
 
 def _by_day(log: str, where: str) -> str:

@@ -109,35 +109,44 @@ def _(t):
 
 
 CONFIG = """SELECT warehouse_name, credit_limit, auto_suspend_at_100, alert_threshold_70, alert_threshold_85,
-                   alert_threshold_95, is_active, frequency FROM warehouse_config"""
+                   alert_threshold_95, is_active, frequency, array_to_string(alert_emails, ',') AS alert_emails FROM warehouse_config"""
 EDITED = f"""
     SELECT warehouse_name, CASE WHEN credit_limit > 18 THEN -1.0 WHEN credit_limit > 8 THEN credit_limit + 0.5 ELSE credit_limit END
              AS credit_limit,
            CASE WHEN frequency = 'WEEKLY' THEN NULL ELSE auto_suspend_at_100 END AS auto_suspend_at_100, alert_threshold_70,
-           alert_threshold_85, alert_threshold_95, is_active, frequency FROM ({CONFIG})"""
+           alert_threshold_85, alert_threshold_95, is_active, frequency,
+           CASE WHEN is_active THEN alert_emails ELSE alert_emails || ',new@example.com' END AS alert_emails FROM ({CONFIG})"""
 CHANGES = f"""
     SELECT * FROM ({EDITED}) e WHERE NOT EXISTS (
         SELECT 1 FROM ({CONFIG}) s WHERE s.warehouse_name = e.warehouse_name AND s.credit_limit = e.credit_limit
            AND s.auto_suspend_at_100 IS NOT DISTINCT FROM e.auto_suspend_at_100 AND s.alert_threshold_70 = e.alert_threshold_70
            AND s.alert_threshold_85 = e.alert_threshold_85 AND s.alert_threshold_95 = e.alert_threshold_95
-           AND s.is_active = e.is_active AND s.frequency = e.frequency)"""
+           AND s.is_active = e.is_active AND s.frequency = e.frequency
+           AND s.alert_emails IS NOT DISTINCT FROM e.alert_emails)"""
 
 
 def _changes(t):
-    stored = t("warehouse_config").select("warehouse_name", *[c for c in op.EDITABLE if c != "alert_emails"])
+    stored = t("warehouse_config").select("warehouse_name", *op.EDITABLE)
     limit = F.col("credit_limit")
     edited = stored.withColumns(
         {
             "credit_limit": F.when(limit > 18, -1.0).when(limit > 8, limit + 0.5).otherwise(limit),
             "auto_suspend_at_100": F.when(F.col("frequency") != "WEEKLY", F.col("auto_suspend_at_100")),
+            "alert_emails": F.when(F.col("is_active"), F.col("alert_emails")).otherwise(
+                F.array_append("alert_emails", F.lit("new@example.com"))
+            ),
         }
     )
     return op.config_changes(edited, stored)
 
 
+def _as_text(df):
+    return df.withColumn("alert_emails", F.array_join("alert_emails", ","))
+
+
 @query("config_changes", "warehouse_config", CHANGES)
 def _(t):
-    return _changes(t)
+    return _as_text(_changes(t))
 
 
 @query(
@@ -146,4 +155,4 @@ def _(t):
     f"SELECT * REPLACE (CAST(trunc(credit_limit) AS DOUBLE) AS credit_limit) FROM ({CHANGES}) WHERE credit_limit >= 0",
 )
 def _(t):
-    return op.accepted_changes(_changes(t))
+    return _as_text(op.accepted_changes(_changes(t)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions import asc, desc, ntz, ordered, top_k
@@ -19,19 +19,19 @@ from gaugework.operators.users import EDITABLE
 from gaugework.schemas import CONTROL_DEFAULTS, CONTROL_KEYS
 
 
-class DuplicateKeyError(ValueError):
-    pass
-
-
 def _as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    """Raise when a key occurs twice.  Runs one small job: control rows only."""
-    twice = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-    if twice:
-        raise DuplicateKeyError(f"duplicate source key: {[twice[0][k] for k in keys]}")
+def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df``; running the plan fails when a key occurs twice.
+
+    Meant for rows of control tables: all rows of a key meet in one task.
+    """
+    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    fails = F.raise_error(F.concat(F.lit("duplicate source key: "), named)).cast("boolean")
+    return df.withColumn("_times", times).where(F.when(F.col("_times") > 1, fails).otherwise(True)).drop("_times")
 
 
 def _with_defaults(rows: DataFrame, target: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
@@ -54,9 +54,10 @@ def upsert(
     ``updated_at``); new keys are inserted, missing columns from ``insert_defaults``.
 
     A NULL in the source overwrites: presence is decided by a flag per side, never by
-    looking at values.  Columns that are not listed survive.  Duplicate source keys raise.
+    looking at values.  Columns that are not listed survive.  Duplicate source keys
+    fail when the plan runs.
     """
-    require_unique(source, keys)
+    source = unique(source, keys)
     defaults, touched = dict(insert_defaults or {}), dict(touch or {})
     t = target.withColumn("_stored", F.lit(True)).alias("t")
     s = source.withColumn("_given", F.lit(True)).alias("s")
@@ -89,8 +90,7 @@ def insert_if_absent(
     insert_defaults: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Target plus the source rows whose key it lacks; stored rows stay as they are."""
-    require_unique(source, keys)
-    fresh = source.join(target.select(*keys), list(keys), "left_anti")
+    fresh = unique(source, keys).join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(_with_defaults(fresh, target, insert_defaults or {}))
 
 

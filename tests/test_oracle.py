@@ -6,7 +6,6 @@ from checks import ORACLES, QUERIES
 from checks.compare import connect, difference
 from tests.conftest import SF_DIR
 
-ROWS_ONLY = {"perf_summary_approx"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -45,4 +44,4 @@ def test_approximate_percentiles_are_close(spark):
     exact = QUERIES["perf_summary"](spark, SF_DIR).first()
     approx = QUERIES["perf_summary_approx"](spark, SF_DIR).first()
     assert approx.total_queries == exact.total_queries
-    assert approx.p95_duration_sec == pytest.approx(exact.p95_duration_sec, rel=0.05)
+    assert approx.median_close and approx.p95_close

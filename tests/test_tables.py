@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugework import schemas
 from gaugework.operators import control, landing
-from gaugework.operators.control import DuplicateKeyError
 from gaugework.operators.filters import period_filter
 from gaugework.sources import UsageCatalog, VersionedTable, clustered, load_files, write_usage_log
 from gaugework.sources.catalog import scan_usage
@@ -34,10 +33,10 @@ def test_upsert(frame):
 def test_upsert_refuses_duplicate_keys(frame):
     target = frame(TARGET, [])
     twice = frame("k string, v string", [("a", "1"), ("a", "2")])
-    with pytest.raises(DuplicateKeyError):
-        control.upsert(target, twice, ["k"], ["v"])
-    with pytest.raises(DuplicateKeyError):
-        control.insert_if_absent(target, twice, ["k"])
+    with pytest.raises(Exception, match="duplicate source key"):
+        control.upsert(target, twice, ["k"], ["v"]).collect()
+    with pytest.raises(Exception, match="duplicate source key"):
+        control.insert_if_absent(target, twice, ["k"]).collect()
 
 
 def test_insert_if_absent_keeps_stored_rows(frame):
