@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.functions import round_to
 from gaugework.session import work_dir
-from gaugework.sources.adapters import (
+from checks.adapters import (
     EVENTS_AS_OF,
     LINES_AS_OF,
     ORDERS_AS_OF,

@@ -123,10 +123,6 @@ def append_log(
     return _with_defaults(rows, log, defaults)
 
 
-def json_details(*cols: str) -> Column:
-    return F.to_json(F.struct(*cols))
-
-
 # ---- the control tables' own rules --------------------------------------------------------
 
 
@@ -223,11 +219,6 @@ def project_roles(projects: DataFrame) -> DataFrame:
     )
 
 
-def project_warehouse(project_id: str = "project_id") -> Column:
-    """Warehouse of a project; its name does not follow the naming rules."""
-    return F.concat(F.lit("WH_"), F.col(project_id))
-
-
 # The naming rules a new installation starts with (layer, prefix).
 NAMING_SEED = (("DSI", "DSI"), ("DSO", "DSO"), ("WH", "WH"), ("ROLE", "ROLE"), ("SCHEMA", None))
 
