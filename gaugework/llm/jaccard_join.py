@@ -49,8 +49,9 @@ from pyspark.sql import functions as F
 from gaugework.llm.components import components
 from gaugework.llm.shared import mix, saved, slices, strings
 
-BUCKET_BITS = 16
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
+BLOCKS = 64
 #: Pairs (unlinked members times members) up to which a region is compared pair by pair.
 SMALL = 1 << 14
 #: By how much the number of pivots in a region grows each round.
@@ -130,21 +131,41 @@ def _each_slice(batches: Iterator[pa.RecordBatch], n: int):
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many shingles of all documents fall into each hash bucket, scaled to 12 bits and more."""
+    """How many shingles of all documents fall into each hash bucket, scaled to at most 20 bits.
+
+    A task sends its counters as ``BLOCKS`` rows; whoever receives a block only keeps its sum.
+    """
+    width = BUCKETS // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BUCKETS, np.int64)
+        held = np.zeros(BUCKETS, "<u4")
         for _, hashes, _ in _each_slice(batches, n):
-            held += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], names=["bucket", "n"])
+            held += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS).astype("<u4")
+        parts = [held[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "held"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(held.as_buffer(), "<u4")
+                sums[block] = sums[block] + own if block in sums else own.astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+                names=["block", "held"],
+            )
 
-    sums = docs.select("doc_id", "text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    shape = "block int, held binary"
+    parts = docs.select("doc_id", "text").mapInArrow(count, shape)
+    sums = parts.repartition("block").mapInArrow(add, shape)
     counted = np.zeros(BUCKETS, np.int64)
-    for bucket, held in sums.collect():  # BUCKETS rows at most
-        counted[bucket] = held
+    for block, held in sums.collect():  # BUCKETS numbers
+        counted[block * width : (block + 1) * width] = np.frombuffer(bytes(held), np.int64)
     step = max(1, int(counted.sum()) // (BUCKETS * 64))
-    return np.minimum(counted // step, (1 << 20) - 1).astype(np.uint64)
+    return np.minimum(counted // step, (1 << 20) - 1).astype(np.uint32)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -168,7 +189,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, ends in _each_slice(batches, rule.n):
             # Rare first; equal ranks keep the order of the hashes.
-            rank = order.value[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(44)
+            rank = order.value[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(44)
             rank |= hashes >> np.uint64(20)
             keys, windows, bitmaps, sizes, start = [], [], [], [], 0
             for end in ends.tolist():
@@ -262,7 +283,7 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the regions with two nodes, and ``g, node`` of those with more."""
+    """Pairs of the regions with two nodes, and ``g, node, shares`` of those with more."""
     entered = nodes.select(F.explode("window").alias("g"), "node")
     shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > 1)
     members = saved(entered.join(shared, "g"))
@@ -273,7 +294,10 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = saved(marks.groupBy("n", "least", "other", "mark").agg(F.min("g").alias("g")))
     two = one.where((F.col("n") == 2) & (F.col("least") != F.col("other")))
     more = members.join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
-    return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more.select("g", "node").distinct()
+    # A node that shares much of its window is near the centre of its copies: a good pivot.
+    shares = members.groupBy("node").agg(F.count("*").alias("shares"))
+    more = more.select("g", "node").distinct().join(shares, "node")
+    return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more
 
 
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -287,8 +311,8 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     inside = saved(members.withColumn("resolved", F.lit(False)))
     found, count = None, 1
     while True:
-        # The first unresolved members become pivots; ranking keeps few rows of a region before the shuffle.
-        rank = F.row_number().over(Window.partitionBy("g").orderBy("node"))
+        # The most central unresolved members become pivots; ranking keeps few rows of a region before the shuffle.
+        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("shares"), "node"))
         pivots = inside.where(~F.col("resolved")).select("g", F.col("node").alias("pivot"), rank.alias("_rank"))
         pivots = pivots.where(F.col("_rank") <= count).drop("_rank")
         reached = inside.join(pivots, "g").where(F.col("node") != F.col("pivot"))
@@ -306,7 +330,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         outside = F.col("linked") & (F.col("distance") < F.coalesce(F.col("_nearest"), F.lit(2.0)) - radius - 1e-9)
         judged = (
             seen.join(nearest, ["g", "pivot"])
-            .groupBy("g", "node")
+            .groupBy("g", "node", "shares")
             .agg(F.max(F.col("resolved") | F.col("linked")).alias("resolved"), F.max(outside).alias("_outside"))
             .join(pivots.withColumnRenamed("pivot", "node"), ["g", "node"], "left_anti")
             .where(~(F.col("resolved") & F.col("_outside")))
@@ -314,7 +338,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         sizes = judged.groupBy("g").agg(F.count_if(~F.col("resolved")).alias("_open"), F.count("*").alias("_all"))
         sizes = sizes.where((F.col("_open") > 0) & (F.col("_all") > 1))
         left = saved(
-            judged.join(sizes, "g").select("g", "node", "resolved", (F.col("_open") * F.col("_all") <= SMALL).alias("small"))
+            judged.join(sizes, "g").select("g", "node", "shares", "resolved", (F.col("_open") * F.col("_all") <= SMALL).alias("small"))
         )
         if left.isEmpty():
             return found
