@@ -9,7 +9,7 @@ order, pivot ``g`` is the set of ``g`` and all shingles after it.  A document's
 one-sided distance 0) is that of its first shingle, which is its Voronoi region.  A document that links to one of
 region ``g`` has at most ``radius * size`` shingles before ``g``, so it is replicated into the
 regions of its first ``radius * size + 1`` shingles and no others: the window.  Every linking pair meets in
-the region of its first common shingle.  The order is rare before frequent, by a count of all
+the region of its first common shingle, where the shingles before it add up to a bound on their distance.  The order is rare before frequent, by a count of all
 documents' shingles in ``BUCKETS`` hash buckets (a table of fixed size), so a passage that many documents share
 makes no region of its own unless it is most of a document.
 
@@ -78,6 +78,10 @@ class Rule:
     def links(self, common: Column, a: Column, b: Column) -> Column:
         return self.whole * common >= self.part * (a + b - common)
 
+    def near(self, differing: Column, a: Column, b: Column) -> Column:
+        """Whether sets of sizes ``a`` and ``b`` can link that differ in at least so many shingles."""
+        return (a + b - differing) * self.whole >= (a + b + differing) * self.part
+
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,7 +261,7 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     bounded = both.withColumn("_apart", apart).select(
         "pivot",
         "node",
-        ((total - F.col("_apart")) * rule.whole >= (total + F.col("_apart")) * rule.part).alias("_may"),
+        rule.near(F.col("_apart"), F.col("_a"), F.col("_b")).alias("_may"),
         (1 - (total - F.col("_apart")) / (total + F.col("_apart"))).alias("distance"),
     )
     bounded = saved(bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance")))
@@ -283,20 +287,25 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the regions with two nodes, and ``g, node, shares`` of those with more."""
-    entered = nodes.select(F.explode("window").alias("g"), "node")
+    """Pairs of the regions with two nodes, and the members of those with more.
+
+    Members are ``g, node, depth, size, shares``; ``depth`` is the one-sided distance to the region's pivot, the
+    number of a set's shingles before ``g``.
+    """
+    entered = nodes.select(F.posexplode("window").alias("depth", "g"), "node", "size")
     shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > 1)
     members = saved(entered.join(shared, "g"))
-    # Copies share many shingles: of regions with the same nodes one is enough.
+    # Copies share many shingles: of regions with the same nodes the first in the order is enough.
     marks = members.groupBy("n", "least", "g").agg(
-        F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("mark")
+        F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum("depth").alias("depths")
     )
-    one = saved(marks.groupBy("n", "least", "other", "mark").agg(F.min("g").alias("g")))
+    one = saved(marks.groupBy("n", "least", "other", "mark").agg(F.min_by("g", "depths").alias("g")))
     two = one.where((F.col("n") == 2) & (F.col("least") != F.col("other")))
     more = members.join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
     # A node that shares much of its window is near the centre of its copies: a good pivot.
     shares = members.groupBy("node").agg(F.count("*").alias("shares"))
-    more = more.select("g", "node").distinct().join(shares, "node")
+    more = more.groupBy("g", "node").agg(F.min("depth").alias("depth"), F.max("size").alias("size"))
+    more = more.join(shares, "node")
     return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more
 
 
@@ -313,9 +322,9 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     while True:
         # The most central unresolved members become pivots; ranking keeps few rows of a region before the shuffle.
         rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("shares"), "node"))
-        pivots = inside.where(~F.col("resolved")).select("g", F.col("node").alias("pivot"), rank.alias("_rank"))
-        pivots = pivots.where(F.col("_rank") <= count).drop("_rank")
-        reached = inside.join(pivots, "g").where(F.col("node") != F.col("pivot"))
+        pivots = inside.where(~F.col("resolved")).withColumn("_rank", rank).where(F.col("_rank") <= count)
+        pivots = pivots.select("g", F.col("node").alias("pivot"), F.col("depth").alias("_depth"), F.col("size").alias("_size"))
+        reached = _together(inside, pivots, rule)
         wanted = pairs.unionByName(
             reached.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
         )
@@ -324,32 +333,52 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         found = linked if found is None else found.unionByName(linked)
         both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
         seen = reached.join(both, ["pivot", "node"])
-        # The triangle inequality: what links to an unlinked member is at least this far from the pivot.
-        unlinked = ~F.col("resolved") & ~F.col("linked")
-        nearest = seen.groupBy("g", "pivot").agg(F.min(F.when(unlinked, F.col("distance"))).alias("_nearest"))
-        outside = F.col("linked") & (F.col("distance") < F.coalesce(F.col("_nearest"), F.lit(2.0)) - radius - 1e-9)
+        # The triangle inequality: what links to an unlinked member is at least this far from the pivot.  It needs
+        # the distance of every member.
+        nearest = seen.groupBy("g", "pivot").agg(
+            F.min(F.when(~F.col("resolved") & ~F.col("linked"), F.col("distance"))).alias("_nearest"),
+            F.count("*").alias("_seen"),
+        )
+        nearest = nearest.join(inside.groupBy("g").agg(F.count("*").alias("_members")), "g")
+        least = F.when(F.col("_seen") + 1 == F.col("_members"), F.coalesce("_nearest", F.lit(2.0))).otherwise(0.0)
+        outside = F.col("linked") & (F.col("distance") < least - radius - 1e-9)
+        now = seen.join(nearest, ["g", "pivot"]).groupBy("g", "node").agg(
+            F.max("linked").alias("_linked"), F.max(outside).alias("_outside")
+        )
         judged = (
-            seen.join(nearest, ["g", "pivot"])
-            .groupBy("g", "node", "shares")
-            .agg(F.max(F.col("resolved") | F.col("linked")).alias("resolved"), F.max(outside).alias("_outside"))
-            .join(pivots.withColumnRenamed("pivot", "node"), ["g", "node"], "left_anti")
+            inside.join(now, ["g", "node"], "left")
+            .na.fill(False, ["_linked", "_outside"])
+            .withColumn("resolved", F.col("resolved") | F.col("_linked"))
+            .join(pivots.select("g", F.col("pivot").alias("node")), ["g", "node"], "left_anti")
             .where(~(F.col("resolved") & F.col("_outside")))
         )
         sizes = judged.groupBy("g").agg(F.count_if(~F.col("resolved")).alias("_open"), F.count("*").alias("_all"))
         sizes = sizes.where((F.col("_open") > 0) & (F.col("_all") > 1))
-        left = saved(
-            judged.join(sizes, "g").select("g", "node", "shares", "resolved", (F.col("_open") * F.col("_all") <= SMALL).alias("small"))
-        )
+        few = (F.col("_open") * F.col("_all") <= SMALL).alias("small")
+        left = saved(judged.join(sizes, "g").select(*inside.columns, few))
         if left.isEmpty():
             return found
-        small = left.where("small")
-        other = small.where(~F.col("resolved")).select("g", F.col("node").alias("pivot"))
-        each = small.select("g", "node").join(other, "g").where(F.col("node") != F.col("pivot"))
+        small = left.where("small").drop("small")
+        other = small.where(~F.col("resolved")).select(
+            "g", F.col("node").alias("pivot"), F.col("depth").alias("_depth"), F.col("size").alias("_size")
+        )
+        each = _together(small, other, rule)
         pairs = each.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         inside = left.where(~F.col("small")).drop("small")
         count *= GROWTH
 
 
+def _together(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
+    """Members of each region beside its pivots, where a link can have ``g`` as the first common shingle.
+
+    The shingles of either set before ``g`` are then in one set only, so their depths add up.
+    """
+    both = F.col("depth") + F.col("_depth")
+    return members.join(pivots, "g").where(
+        (F.col("node") != F.col("pivot")) & rule.near(both, F.col("size"), F.col("_size"))
+    ).drop("_depth", "_size")
+
+
 def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs`` (``doc_id, text``).
 
