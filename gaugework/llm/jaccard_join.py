@@ -55,7 +55,7 @@ BLOCKS = 64
 #: Pairs (unlinked members times members) up to which a region is compared pair by pair.
 SMALL = 1 << 14
 #: By how much the number of pivots in a region grows each round.
-GROWTH = 4
+GROWTH = 16
 #: Ids of documents whose sets are wanted are first looked up in a broadcast table of at most so many
 #: numbers (4 bytes each).
 FILTER_BITS = 1 << 20
@@ -286,8 +286,8 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     return saved(never.unionByName(exact))
 
 
-def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the regions with two nodes, and the members of those with more.
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of the regions with two nodes, the members of those with more, and all nodes of either.
 
     Members are ``g, node, depth, size, shares``; ``depth`` is the one-sided distance to the region's pivot, the
     number of a set's shingles before ``g``.
@@ -306,7 +306,7 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     shares = members.groupBy("node").agg(F.count("*").alias("shares"))
     more = more.groupBy("g", "node").agg(F.min("depth").alias("depth"), F.max("size").alias("size"))
     more = more.join(shares, "node")
-    return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more
+    return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more, shares.select("node")
 
 
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -314,8 +314,9 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
     ``nodes`` holds ``node, size, window, bits``, ``docs`` the texts by ``doc_id``.
     """
-    pairs, members = _regions(nodes)
-    nodes = nodes.select("node", "size", "bits")
+    pairs, members, meeting = _regions(nodes)
+    # Only nodes that meet another one are ever compared.
+    nodes = saved(nodes.select("node", "size", "bits").join(meeting, "node", "left_semi"))
     radius = 1 - rule.part / rule.whole
     inside = saved(members.withColumn("resolved", F.lit(False)))
     found, count = None, 1
@@ -333,18 +334,19 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         found = linked if found is None else found.unionByName(linked)
         both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
         seen = reached.join(both, ["pivot", "node"])
-        # The triangle inequality: what links to an unlinked member is at least this far from the pivot.  It needs
-        # the distance of every member.
-        nearest = seen.groupBy("g", "pivot").agg(
-            F.min(F.when(~F.col("resolved") & ~F.col("linked"), F.col("distance"))).alias("_nearest"),
-            F.count("*").alias("_seen"),
-        )
-        nearest = nearest.join(inside.groupBy("g").agg(F.count("*").alias("_members")), "g")
-        least = F.when(F.col("_seen") + 1 == F.col("_members"), F.coalesce("_nearest", F.lit(2.0))).otherwise(0.0)
-        outside = F.col("linked") & (F.col("distance") < least - radius - 1e-9)
-        now = seen.join(nearest, ["g", "pivot"]).groupBy("g", "node").agg(
-            F.max("linked").alias("_linked"), F.max(outside).alias("_outside")
-        )
+        outside = F.lit(False)
+        if count == 1:
+            # The triangle inequality: what links to an unlinked member is at least this far from the one pivot.
+            # It needs the distance of every member.
+            nearest = seen.groupBy("g").agg(
+                F.min(F.when(~F.col("resolved") & ~F.col("linked"), F.col("distance"))).alias("_nearest"),
+                F.count("*").alias("_seen"),
+            )
+            nearest = nearest.join(inside.groupBy("g").agg(F.count("*").alias("_members")), "g")
+            least = F.when(F.col("_seen") + 1 == F.col("_members"), F.coalesce("_nearest", F.lit(2.0))).otherwise(0.0)
+            outside = F.col("linked") & (F.col("distance") < least - radius - 1e-9)
+            seen = seen.join(nearest, "g")
+        now = seen.groupBy("g", "node").agg(F.max("linked").alias("_linked"), F.max(outside).alias("_outside"))
         judged = (
             inside.join(now, ["g", "node"], "left")
             .na.fill(False, ["_linked", "_outside"])
