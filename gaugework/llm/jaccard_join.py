@@ -14,12 +14,13 @@ documents' shingles in ``BUCKETS`` hash buckets (a table of fixed size), so a pa
 makes no region of its own unless it is most of a document.
 
 Recursion.  In a region of more than two documents one of them becomes a pivot, and the distance of every member to it
-is computed once.  Members within ``radius`` link to it and need not be compared with each other, for
-they are connected through it.  The others recurse as a smaller region with ``GROWTH`` times as many new
-pivots; of the linked members only those are replicated into it that the triangle inequality
-cannot rule out: their distance to a pivot is at least the smallest of an unlinked member less
-``radius``.  Regions of at most ``SMALL`` pairs are compared pair by pair.  Nothing is capped; a region
-costs its size times the number of pivots it needs, and the rounds grow with the logarithm of that.
+is computed once.  Members within ``radius`` link to it.  After each round the components of all links found so
+far are known; only two members of one component need not be compared with each other.  A region
+is done once its members are of one component; else it recurses with ``GROWTH`` times as many new pivots,
+taken from the smaller components first.  Members that link to a pivot leave the region if the triangle inequality
+rules out every member of another component: their distance to the pivot is below the smallest of
+such a member less ``radius``.  Regions of at most ``SMALL`` pairs are compared pair by pair.  Nothing is
+capped; a region costs its size times the number of pivots it needs, and the rounds grow with the logarithm of that.
 
 Every set also has a parity bitmap of about two bits a shingle.  Bits in which two bitmaps differ are shingles in
 which the sets differ, so they bound the distance from below, which rules out nearly all pairs that
@@ -52,7 +53,7 @@ from gaugework.llm.shared import mix, saved, slices, strings
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 BLOCKS = 64
-#: Pairs (unlinked members times members) up to which a region is compared pair by pair.
+#: Pairs (members outside the largest component times members) up to which a region is compared pair by pair.
 SMALL = 1 << 14
 #: By how much the number of pivots in a region grows each round.
 GROWTH = 16
@@ -312,18 +313,22 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """``a, b``: links that connect exactly the nodes that all linking pairs connect.
 
-    ``nodes`` holds ``node, size, window, bits``, ``docs`` the texts by ``doc_id``.
+    ``nodes`` holds ``node, size, window, bits, several``, ``docs`` the texts by ``doc_id``.  Nodes are ``several`` if
+    their id has several texts; the triangle inequality does not hold for those.
     """
     pairs, members, meeting = _regions(nodes)
+    several = saved(nodes.where("several").select("node").distinct())
     # Only nodes that meet another one are ever compared.
     nodes = saved(nodes.select("node", "size", "bits").join(meeting, "node", "left_semi"))
     radius = 1 - rule.part / rule.whole
-    inside = saved(members.withColumn("resolved", F.lit(False)))
+    # ``peers`` counts the region's members of the same component; a link has a member that is ``open``.
+    alone = {"component": F.col("node"), "peers": F.lit(1).cast("bigint"), "open": F.lit(True)}
+    inside = saved(members.withColumns(alone))
     found, count = None, 1
     while True:
-        # The most central unresolved members become pivots; ranking keeps few rows of a region before the shuffle.
-        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("shares"), "node"))
-        pivots = inside.where(~F.col("resolved")).withColumn("_rank", rank).where(F.col("_rank") <= count)
+        # The most central members of the smallest components become pivots; ranking keeps few rows of a region before the shuffle.
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("peers", F.desc("shares"), "node"))
+        pivots = inside.where("open").withColumn("_rank", rank).where(F.col("_rank") <= count)
         pivots = pivots.select("g", F.col("node").alias("pivot"), F.col("depth").alias("_depth"), F.col("size").alias("_size"))
         reached = _together(inside, pivots, rule)
         wanted = pairs.unionByName(
@@ -332,44 +337,72 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         tested = measured(wanted.distinct(), nodes, docs, rule)
         linked = tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         found = linked if found is None else found.unionByName(linked)
-        both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
-        seen = reached.join(both, ["pivot", "node"])
-        outside = F.lit(False)
-        if count == 1:
-            # The triangle inequality: what links to an unlinked member is at least this far from the one pivot.
-            # It needs the distance of every member.
-            nearest = seen.groupBy("g").agg(
-                F.min(F.when(~F.col("resolved") & ~F.col("linked"), F.col("distance"))).alias("_nearest"),
-                F.count("*").alias("_seen"),
-            )
-            nearest = nearest.join(inside.groupBy("g").agg(F.count("*").alias("_members")), "g")
-            least = F.when(F.col("_seen") + 1 == F.col("_members"), F.coalesce("_nearest", F.lit(2.0))).otherwise(0.0)
-            outside = F.col("linked") & (F.col("distance") < least - radius - 1e-9)
-            seen = seen.join(nearest, "g")
-        now = seen.groupBy("g", "node").agg(F.max("linked").alias("_linked"), F.max(outside).alias("_outside"))
-        judged = (
-            inside.join(now, ["g", "node"], "left")
-            .na.fill(False, ["_linked", "_outside"])
-            .withColumn("resolved", F.col("resolved") | F.col("_linked"))
+        if inside.isEmpty():
+            return found
+        known = components(found)
+        found = known.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+        rest = (
+            inside.drop("component", "peers", "open")
             .join(pivots.select("g", F.col("pivot").alias("node")), ["g", "node"], "left_anti")
-            .where(~(F.col("resolved") & F.col("_outside")))
+            .join(known, "node", "left")
+            .withColumn("component", F.coalesce("component_id", "node"))
+            .drop("component_id")
+        )
+        rest = saved(_unconnected(rest))
+        # The triangle inequality: what links to a member of another component is at least this far from the pivot.
+        # It needs the distance of every such member.
+        both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
+        seen = (
+            reached.select("g", "pivot", "node")
+            .join(rest.select("g", "node", "component", "peers", "_all"), ["g", "node"])
+            .join(both, ["pivot", "node"])
+            .join(known.select(F.col("node").alias("pivot"), F.col("component_id").alias("_component")), "pivot", "left")
+            .withColumn("_other", F.col("component") != F.coalesce("_component", "pivot"))
+        )
+        # A pivot's linked members are of its component and say how many there are of it.
+        nearest = seen.groupBy("g", "pivot").agg(
+            F.min(F.when(F.col("_other"), F.col("distance"))).alias("_nearest"),
+            F.count_if("_other").alias("_seen"),
+            F.max(F.when(~F.col("_other"), F.col("_all") - F.col("peers"))).alias("_others"),
         )
-        sizes = judged.groupBy("g").agg(F.count_if(~F.col("resolved")).alias("_open"), F.count("*").alias("_all"))
-        sizes = sizes.where((F.col("_open") > 0) & (F.col("_all") > 1))
+        nearest = nearest.where(F.col("_seen") == F.col("_others"))
+        outside = (
+            seen.where("linked")
+            .join(nearest, ["g", "pivot"])
+            .where(F.col("distance") < F.col("_nearest") - radius - 1e-9)
+            .join(several, "node", "left_anti")
+            .join(several.withColumnRenamed("node", "pivot"), "pivot", "left_anti")
+        )
+        kept = rest.drop("peers", "open", "_open", "_all").join(outside.select("g", "node").distinct(), ["g", "node"], "left_anti")
         few = (F.col("_open") * F.col("_all") <= SMALL).alias("small")
-        left = saved(judged.join(sizes, "g").select(*inside.columns, few))
+        left = saved(_unconnected(kept).select(*inside.columns, few))
         if left.isEmpty():
             return found
         small = left.where("small").drop("small")
-        other = small.where(~F.col("resolved")).select(
-            "g", F.col("node").alias("pivot"), F.col("depth").alias("_depth"), F.col("size").alias("_size")
+        other = small.where("open").select(
+            "g",
+            F.col("node").alias("pivot"),
+            F.col("depth").alias("_depth"),
+            F.col("size").alias("_size"),
+            F.col("component").alias("_component"),
         )
-        each = _together(small, other, rule)
+        each = _together(small, other, rule).where(F.col("component") != F.col("_component"))
         pairs = each.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         inside = left.where(~F.col("small")).drop("small")
         count *= GROWTH
 
 
+def _unconnected(members: DataFrame) -> DataFrame:
+    """Members of the regions with more than one component: how many ``peers`` are of a member's own, whether it is
+    ``open`` (not of the region's largest one), and how many members are ``_open`` and in ``_all``."""
+    own = members.groupBy("g", "component").agg(F.count("*").alias("peers"))
+    largest = F.max(F.struct("peers", "component"))
+    regions = own.groupBy("g").agg(F.sum("peers").alias("_all"), largest.alias("_largest"))
+    regions = regions.withColumn("_open", F.col("_all") - F.col("_largest.peers")).where(F.col("_open") > 0)
+    sized = members.join(regions, "g").join(own, ["g", "component"])
+    return sized.withColumn("open", F.col("component") != F.col("_largest.component")).drop("_largest")
+
+
 def _together(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
     """Members of each region beside its pivots, where a link can have ``g`` as the first common shingle.
 
@@ -399,13 +432,16 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
             F.first("bits").alias("bits"),
         )
     )
-    named = nodes.where(F.col("node").isNotNull() & (F.size("window") > 0))
-    linked = links(docs, named.select("node", "size", "window", "bits"), rule)
-    # An id with several texts connects the classes of all of them.
     texts = rows.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull()).groupBy("doc_id")
     several = texts.agg(F.min("key").alias("_first"), F.max("key").alias("_last")).where("_first != _last")
+    several = saved(several.select("doc_id"))
+    marked = several.select(F.col("doc_id").alias("node"), F.lit(True).alias("several"))
+    named = nodes.where(F.col("node").isNotNull() & (F.size("window") > 0)).join(marked, "node", "left")
+    named = named.select("node", "size", "window", "bits", F.coalesce("several", F.lit(False)).alias("several"))
+    linked = links(docs, named, rule)
+    # An id with several texts connects the classes of all of them.
     same = (
-        rows.join(several.select("doc_id"), "doc_id", "left_semi")
+        rows.join(several, "doc_id", "left_semi")
         .join(nodes.select("key", "node"), "key")
         .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     )

@@ -253,6 +253,21 @@ def test_jaccard_join_against_all_pairs(spark, docs, monkeypatch, rule):
     assert tuples(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows, rule), key=repr)
 
 
+def test_jaccard_join_finds_one_bridge_between_two_families(spark, docs):
+    # Every member links to a pivot of its own family; only the last two rows link across, and to no other family's pivot.
+    core, one, two = ([f"{c}{i}" for i in range(n)] for c, n in (("c", 100), ("a", 16), ("b", 16)))
+    texts = [[*core, *one, f"u{i}"] for i in range(140)] + [[*core, *two, f"v{i}"] for i in range(140)]
+    # Frequent words come last in the order, so both families share their regions.
+    texts += [[*one, *two, *(f"f{i}_{j}" for j in range(9))] for i in range(300)]
+    texts += [[*core, *one[:10]], [*core, *two[:10]]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    rule = jaccard_join.Rule(1, 80, 100)
+    want = brute_components(rows, rule)
+    assert [c for _, _, c in want[:280] + want[-2:]] == [0] * 282
+    got = jaccard_join.near_duplicates(docs(rows), rule)
+    assert tuples(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.near_duplicates(clashing(spark, [*ODD, (6, "A B\tC D"), (7, "x y"), (7, "a b c d"), (8, "X\x0by"), (9, "É x y z"), (10, "é x y z")]), jaccard_join.Rule(4, 85, 100))
     rows = tuples(got, "doc_id", "n_shingles", "component_id")
