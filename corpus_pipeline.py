@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gaugework.llm.jaccard_join import Rule, near_duplicates
 from gaugework.llm.packing import pack_documents
 from gaugework.llm.quality import quality
-from gaugework.llm.shared import table
+from gaugework.llm.shared import table, written
 from gaugework.llm.toxicity import toxicity
 
 #: Documents below this probability of being good go, documents from this one of being toxic go.
@@ -36,9 +36,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that five-word shingles link at a similarity of 0.8 or more.
 
-    Rows are numbered by their place in the input, so rows without id and repeated ids count too.
+    Rows are numbered by their place in the input, so rows without id and repeated ids count too.  The numbers
+    are written with the rows: numbered again, another split of the input would give them to other rows.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), Rule(n=5, part=80, whole=100))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
     return numbered.join(first, "_row", "left_semi").select(*docs.columns)
@@ -61,8 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = written(stage(spark, docs, sf_dir))
     return docs

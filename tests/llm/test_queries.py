@@ -107,3 +107,40 @@ def test_pipeline_stages(spark):
         rows = spark.createDataFrame(kept.collect(), rows.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF_DIR)
     assert packed.select("doc_id").distinct().count() == rows.count()
+
+
+def test_pipeline_keeps_its_numbers_when_the_input_is_split_anew(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(40)] + [(40, " ".join(f"w3x{j}" for j in range(20)))]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
+
+    def split(size):
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.set(f"spark.sql.files.{name}", size)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+
+    def number(spark, docs, sf_dir):
+        return docs.withColumn("n", F.monotonically_increasing_id())
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("number", number)])
+    names = ("maxPartitionBytes", "openCostInBytes", "minPartitionNum")
+    before = {name: spark.conf.get(f"spark.sql.files.{name}", None) for name in names}
+    try:
+        split("1g")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(path), str(tmp_path))
+        ran = corpus_pipeline.run(spark, str(tmp_path))
+        first = sorted(map(tuple, ran.collect()))
+        split("64")
+        got = sorted(r.doc_id for r in kept.collect())
+        again = sorted(map(tuple, ran.collect()))
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(f"spark.sql.files.{name}")
+            else:
+                spark.conf.set(f"spark.sql.files.{name}", value)
+    assert len(got) == 40 and set(range(40)) - {3} <= set(got)
+    assert again == first
