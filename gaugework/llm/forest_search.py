@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample of different vectors (``SAMPLE`` rows at most, those with the smallest hash): every
+The trees are fitted on a sample of different vectors (those with the smallest hash; ``SAMPLE`` rows, or more as long as
+they fit into ``SAMPLE_BYTES``, so that leaves stay small as the table grows): every
 node projects on the difference of two random sample points below it and splits at the
 median.  All vectors are then sent down all trees.  A query walks the trees through one shared
 priority queue, ordered by the smallest margin on the way, and collects leaves until they hold
 ``reach`` vectors; all vectors of those leaves are ranked by their exact distance.
 
-The forest has a fixed size (trees times sample / leaf planes) and is broadcast; the index of all
+The reach follows from the table: the nearest vectors of ``TRIALS`` queries (those with the smallest hash) are found by brute force over
+all vectors, and the reach is the least that finds the share ``RECALL`` of them, ``REACH`` at least.
+
+The forest has a bounded size (trees times sample / leaf planes) and is broadcast; the index of all
 vectors is a table of leaf numbers, joined with the leaves that queries ask for.  Equal vectors are
 indexed and searched once and stand for the ``k + 1`` smallest ids that hold them, which ranking cuts
 before the shuffle, so a vector that a third of the rows share stays one entry.
@@ -34,6 +38,11 @@ SAMPLE = 20_000
 TREES = 16
 LEAF = 32
 REACH = 6_000
+#: Up to so many bytes (8 per component) the sample grows with the table.
+SAMPLE_BYTES = 32 << 20
+#: Queries that are also answered by brute force, and the share of their neighbours that the reach has to find.
+TRIALS = 256
+RECALL = 0.95
 
 
 @dataclass
@@ -59,7 +68,7 @@ class Forest:
             out[:, t] = t * self.leaves + node - (self.leaves - 1)
         return out
 
-    def walk(self, query: np.ndarray, sizes: np.ndarray, reach: int) -> list[int]:
+    def walk(self, query: np.ndarray, sizes: np.ndarray, reach: float) -> list[int]:
         """Leaves in order of the queue until they hold ``reach`` vectors."""
         margins = self.planes @ query - self.cuts
         queue = [(-np.inf, t, 0) for t in range(len(self.planes))]
@@ -76,6 +85,13 @@ class Forest:
             held += int(sizes[leaf])
         return found
 
+    def needed(self, query: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The least reach with which the walk comes to each of the ``wanted`` vectors."""
+        leaves = np.array(self.walk(query, sizes, np.inf))
+        before = np.empty(len(sizes), np.int64)
+        before[leaves] = np.cumsum(sizes[leaves]) - sizes[leaves]
+        return before[self.place(wanted)].min(1) + 1
+
 
 def fit(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 1) -> Forest:
     rng = np.random.default_rng(seed)
@@ -114,10 +130,36 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 
 
+def _nearest(vectors: DataFrame, trials: pa.Table, k: int) -> dict[int, np.ndarray]:
+    """By brute force, the ``k`` nearest other vectors of each of the ``trials`` (``key, vector``)."""
+    asked, own = _matrix(trials["vector"].combine_chunks()), trials["key"].to_numpy()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for query, key in zip(asked, own, strict=True):
+                score = np.einsum("nd,nd->n", x - query, x - query)
+                score[keys == key] = np.inf
+                best = np.argsort(score, kind="stable")[:k]
+                best = best[score[best] < np.inf]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(best), key)), pa.array(score[best]), batch.column(0).take(pa.array(best)), batch.column(1).take(pa.array(best))],
+                    names=["query", "score", "key", "vector"],
+                )
+
+    kind = vectors.schema["vector"].dataType.simpleString()
+    found = vectors.select("key", "vector").mapInArrow(compare, f"query bigint, score double, key bigint, vector {kind}")
+    rows = _smallest(found, "query", k, "score", "key").select("query", "vector").toArrow()  # TRIALS * k vectors at most
+    queries, x = rows["query"].to_numpy(), _matrix(rows["vector"].combine_chunks())
+    return {int(q): x[queries == q] for q in np.unique(queries)}
+
+
 def _search_length(vectors: DataFrame, asked: DataFrame, members: DataFrame, k: int, reach: int, trees: int) -> DataFrame:
     """``asked`` and ``vectors`` hold ``key, vector`` of one length."""
     context = vectors.sparkSession.sparkContext
-    sample = vectors.orderBy(F.xxhash64("vector"), "key").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    length = vectors.select(F.size("vector")).first()
+    most = max(SAMPLE, SAMPLE_BYTES // (8 * length[0])) if length else SAMPLE
+    sample = vectors.orderBy(F.xxhash64("vector"), "key").limit(most).select("vector").toArrow()["vector"].combine_chunks()
     forest = context.broadcast(fit(_matrix(sample), trees))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +177,12 @@ def _search_length(vectors: DataFrame, asked: DataFrame, members: DataFrame, k:
     for leaf, n in held:
         sizes[leaf] = n
     counted = context.broadcast(sizes)
+    trials = asked.select("key", "vector").orderBy(F.xxhash64("vector"), "key").limit(TRIALS).toArrow()
+    wanted = _nearest(vectors, trials, k) if len(trials) and len(sample) else {}
+    tried = zip(trials["key"].to_pylist(), _matrix(trials["vector"].combine_chunks()) if wanted else [], strict=False)
+    needs = [forest.value.needed(query, sizes, wanted[key]) for key, query in tried if key in wanted]
+    if needs:
+        reach = max(reach, int(np.quantile(np.concatenate(needs), RECALL, method="higher")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -340,6 +340,17 @@ def test_forest_search_odd_rows(spark):
     assert forest_search.search(none, none).count() == 0
 
 
+def test_forest_search_recall_on_a_table_far_beyond_its_reach(spark):
+    vectors = np.random.default_rng(3).standard_normal((6000, 24)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<float>")
+    got = forest_search.search(frame, frame.where("id % 100 = 0"), k=10, reach=300).toPandas()
+    hits = 0
+    for q in range(0, 6000, 100):
+        near = [i for i in np.argsort(((vectors - vectors[q]) ** 2).sum(1), kind="stable") if i != q][:10]
+        hits += len({*near} & {*got[got.query_id == q].id})
+    assert hits >= 0.9 * 600
+
+
 # Fixity
 
 
