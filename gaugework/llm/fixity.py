@@ -8,8 +8,11 @@ size whatever the archive's: a range holds ``RANGE_BYTES`` of record starts, a n
 An audit compares the roots and then, level by level, only the children of nodes that
 differ.  Below an equal node nothing is read.
 
-Defined cases: records without id have no place in the archive; of rows that repeat an id, the one with the smaller
-digest is the record; NULL URLs and bodies are empty; a record that one side lacks is ``missing`` or
+Rows that repeat an id are records of their own.  They follow each other in a fixed order that starts with their
+digests, numbered by sums over digest prefixes, so an id that holds a third of all rows is dealt over many tasks.
+
+Defined cases: records without id have no place in the archive; of the records of one id, those with equal digests are
+matched first and the others in their order; NULL URLs and bodies are empty; a record that one side lacks is ``missing`` or
 ``extra``; empty replicas are equal; other columns are ignored.
 """
 
@@ -23,6 +26,8 @@ from gaugework.llm.shared import saved
 FANOUT = 64
 RANGE_BYTES = 1 << 16
 RECORDS_PER_FILE = 1000
+#: Hexadecimal digits of the digest, and equal records, by which the records of one id are dealt out.
+PREFIX, COPIES = 3, 1024
 
 
 def warc_record(record_id: Column, url: Column, body: Column) -> Column:
@@ -42,22 +47,72 @@ def warc_record(record_id: Column, url: Column, body: Column) -> Column:
 
 
 def digests(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``id, digest, length`` of every record."""
+    """``id, digest, length, copy`` of every record; ``copy`` counts equal ones."""
     record = warc_record(F.col(id_col), F.col("url"), F.col("html"))
     rows = pages.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"),
         F.sha2(record.cast("binary"), 256).alias("digest"),
         F.octet_length(record).cast("bigint").alias("length"),
     )
-    first = F.min(F.struct("digest", "length"))
-    return rows.groupBy("id").agg(first.alias("r")).select("id", "r.digest", "r.length")
+    counted = rows.groupBy("id", "digest", "length").agg(F.count("*").alias("n"))
+    return counted.select("id", "digest", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy"))
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """Adds ``at`` and ``before``: how many records, and bytes, of the same id precede each."""
+    part = [F.substring("digest", 1, PREFIX).alias("_prefix"), _divided(F.col("copy"), COPIES).alias("_copies")]
+    dealt = records.select("*", *part)
+    parts = dealt.groupBy("id", "_prefix", "_copies").agg(F.count("*").alias("_n"), F.sum("length").alias("_bytes"))
+    earlier = Window.partitionBy("id").orderBy("_prefix", "_copies").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        F.col("id").alias("_id"),
+        F.col("_prefix").alias("_p"),
+        F.col("_copies").alias("_c"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"),
+        F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_start"),
+    )
+    within = Window.partitionBy("id", "_prefix", "_copies").orderBy("digest", "length", "copy")
+    running = within.rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumns(
+        {"_row": F.row_number().over(within) - 1, "_before": F.coalesce(F.sum("length").over(running), F.lit(0))}
+    )
+    here = (F.col("id") == F.col("_id")) & (F.col("_prefix") == F.col("_p")) & (F.col("_copies") == F.col("_c"))
+    return own.join(starts, here).select(
+        *records.columns, (F.col("_first") + F.col("_row")).alias("at"), (F.col("_start") + F.col("_before")).alias("before")
+    )
 
 
 def placed(records: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Adds ``file`` and ``offset``: records follow each other by id, ``per_file`` ids a file."""
-    before = Window.partitionBy("file").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    filed = records.withColumn("file", _divided(F.col("id"), per_file))
-    return filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    before = Window.partitionBy("file").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per id, so at most ``per_file`` in a window.
+    ids = records.groupBy(F.col("id").alias("_id")).agg(F.sum("length").alias("_bytes"))
+    ids = ids.withColumn("file", _divided(F.col("_id"), per_file))
+    ids = ids.select("_id", "file", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_base"))
+    filed = _numbered(records).join(ids, F.col("id") == F.col("_id"))
+    return filed.select(*records.columns, "file", (F.col("_base") + F.col("before")).alias("offset"))
+
+
+def held(records: DataFrame, original: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """Gives the ``records`` of a replica the places of the ``original`` (as from ``placed``).
+
+    Equal records take the place of their like, the others of an id its free places in their order, and what
+    then is left follows the first byte of the id's last record.
+    """
+    same = ["id", "digest", "length", "copy"]
+    records, original = saved(records.select(*same)), original.select(*same, "file", "offset")
+    equal = records.join(original, same)
+    own = saved(_numbered(records.join(original, same, "left_anti")))
+    free = _numbered(original.join(records, same, "left_anti")).select("id", "at", "file", "offset")
+    ends = original.groupBy("id").agg((F.max("offset") + 1).alias("_end"))
+    moved = own.join(free, ["id", "at"], "left").join(ends.join(own.select("id"), "id", "left_semi"), "id", "left")
+    moved = moved.withColumns(
+        {
+            "file": F.coalesce("file", _divided(F.col("id"), per_file)),
+            "offset": F.coalesce("offset", F.coalesce("_end", F.lit(0)) + F.col("before")),
+        }
+    )
+    return equal.unionByName(moved.select(*equal.columns))
 
 
 def _divided(x: Column, n: int) -> Column:

@@ -129,18 +129,18 @@ def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     The copy keeps the offsets of the original; in it one page of 101 has another first
     character and one of 211 is gone.
     """
-    from gaugework.llm.fixity import audit, digests, placed, trees
+    from gaugework.llm.fixity import audit, digests, held, placed, trees
+    from gaugework.llm.shared import saved
 
     pages = table(spark, sf_dir, "pages")
-    original = placed(digests(pages))
+    original = saved(placed(digests(pages)))
     body = F.coalesce("html", F.lit(""))
     damage = F.when(F.startswith(body, F.lit("#")), "%").otherwise("#")
     changed = F.concat(damage, F.substr(body, F.lit(2)))
     copy = pages.where(F.pmod("page_id", F.lit(211)) != 11).withColumn(
         "html", F.when(F.pmod("page_id", F.lit(101)) == 7, changed).otherwise(body)
     )
-    held = digests(copy).join(original.select("id", "file", "offset"), "id")
-    mine, theirs = trees(original, held)
+    mine, theirs = trees(original, held(digests(copy), original))
     return audit(mine, theirs).withColumnRenamed("id", "page_id")
 
 

@@ -370,6 +370,26 @@ def test_fixity_locates_each_fault(spark, monkeypatch):
     assert own[-1].count() == other[-1].count() == 1
 
 
+def test_fixity_audits_every_record_of_a_repeated_id(spark):
+    rows = [(i, f"http://x/{i}", f"p{i}") for i in range(8)] + [(3, "http://x/3", f"other {j}") for j in range(30)] + [(3, "http://x/3", "p3")] * 4
+    schema = "page_id long, url string, html string"
+    mine = archive(spark, rows)
+    assert mine.count() == len(rows)
+    ends = {r.offset + r.length for r in mine.where("file = 0").collect()}
+    assert {r.offset for r in mine.where("file = 0").collect()} == {0, *ends} - {max(ends)}
+    # Of id 3, each single record in turn is lost or changed, and one copy of the equal ones is.
+    first = {(r.digest, r.copy): r.offset for r in mine.where("id = 3").collect()}
+    for row in [min(first), max(first)]:
+        gone = mine.where(~((F.col("digest") == row[0]) & (F.col("copy") == row[1])))
+        theirs = fixity.held(gone.select("id", "digest", "length", "copy"), mine, per_file=4)
+        found = fixity.audit(*fixity.trees(mine, theirs))
+        assert tuples(found, "id", "offset", "fault") == [(3, first[row], "missing")]
+    damaged = [(i, u, "#ther 7" if h == "other 7" else h) for i, u, h in rows[:-1]] + [(5, "http://x/5", "new")]
+    theirs = fixity.held(fixity.digests(spark.createDataFrame(damaged, schema)), mine, per_file=4)
+    faults = [(i, f) for i, f in tuples(fixity.audit(*fixity.trees(mine, theirs)), "id", "fault")]
+    assert faults == [(3, "changed"), (3, "missing"), (5, "extra")]
+
+
 def test_fixity_of_equal_and_empty_replicas(spark):
     mine = archive(spark, [(1, "a", "b"), (2, None, "")])
     assert fixity.audit(*fixity.trees(mine, mine)).count() == 0
