@@ -324,3 +324,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query("op11_whiten_embeddings")
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector, fitted on each distinct one once."""
+    from gaugework.llm.whitening import whiten
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    white = whiten(rows, components=16, weights="one").withColumnRenamed("id", "vec_id")
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
