@@ -5,7 +5,7 @@ from gaugework.operators import control as op
 from gaugework.operators.filters import facet_filter
 from gaugework.sources import config_value, lookup, scan_control
 
-from checks.registry import query, top
+from checks.registry import query, scratch, top
 
 NOW = "2001-08-02 00:00:00"
 PERIOD = "BETWEEN TIMESTAMP '2001-07-01 00:00:00' AND TIMESTAMP '2001-08-01 23:59:00'"
@@ -222,9 +222,10 @@ def _(t):
 @query(
     "append_log",
     "audit_log",
-    """SELECT event_time, event_type, actor, object_type, object_name, status, details FROM audit_log
+    """SELECT log_id, event_time, event_type, actor, object_type, object_name, status, details FROM audit_log
        UNION ALL
-       SELECT TIMESTAMP '2001-08-02 00:00:00', 'CREATE', 'loader', 'PROJECT', c_name,
+       SELECT (SELECT max(log_id) FROM audit_log) + row_number() OVER (ORDER BY c_name),
+              TIMESTAMP '2001-08-02 00:00:00', 'CREATE', 'loader', 'PROJECT', c_name,
               CASE WHEN c_acctbal < 0 THEN 'ERROR' ELSE 'SUCCESS' END,
               '{"segment":"' || c_mktsegment || '","nation":' || CAST(c_nationkey AS VARCHAR) || '}' FROM customer""",
 )
@@ -239,9 +240,9 @@ def _(t):
             F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
         ).alias("details"),
     )
-    added = op.append_log(log, events, "log_id", "event_time", NOW, actor="loader")
-    # Ids are unique but may have gaps, so they are left out of the comparison.
-    return log.unionByName(added).drop("log_id")
+    path = scratch(t.spark, "append_log")
+    added = op.append_log(log, events, "log_id", "event_time", NOW, actor="loader", order=("object_name",), path=path)
+    return log.unionByName(added)
 
 
 # ---- upserts ----------------------------------------------------------------------------

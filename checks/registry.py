@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +20,8 @@ from checks.adapters import (
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A work folder; a temporary one where the session names none, as in local tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return work_dir(spark, purpose, shared or tempfile.mkdtemp(prefix="gaugework-"))
+    """A work folder in the shared one; a temporary one in local sessions that name none."""
+    return work_dir(spark, purpose)
 
 
 class Logs:

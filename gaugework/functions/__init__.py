@@ -1,3 +1,4 @@
+from gaugework.functions.numbering import numbered
 from gaugework.functions.ordering import asc, desc, ordered, top_k
 from gaugework.functions.quantiles import exact_percentiles, value_counts
 from gaugework.functions.rounding import round_to
@@ -24,6 +25,7 @@ __all__ = [
     "exact_percentiles",
     "month_start",
     "ntz",
+    "numbered",
     "ordered",
     "period_start",
     "preset",

@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.functions import asc, desc, ntz, ordered, top_k
+from gaugework.functions import asc, desc, ntz, numbered, ordered, top_k
 from gaugework.operators.filters import optional_filters, period_filter
 from gaugework.operators.reshape import union_all
 from gaugework.operators.users import EDITABLE
 from gaugework.schemas import CONTROL_DEFAULTS, CONTROL_KEYS
+from gaugework.session import work_dir
 
 
 def _as_column(value) -> Column:
@@ -106,20 +107,28 @@ def update_where(df: DataFrame, cond: Column, assignments: Mapping[str, object])
 
 
 def append_log(
-    log: DataFrame, events: DataFrame, id_col: str, time_col: str, as_of, actor: str | None = None
+    log: DataFrame,
+    events: DataFrame,
+    id_col: str,
+    time_col: str,
+    as_of,
+    actor: str | None = None,
+    order: tuple[Column | str, ...] = (),
+    path: str | None = None,
 ) -> DataFrame:
     """New log rows for ``events``, ready to be appended.
 
-    Ids continue after the highest stored one and are unique and rising, but may have
-    gaps between partitions, as with an auto-increment column: numbering without gaps
-    would pass the batch through one task.
+    Ids continue after the highest stored one without gaps, in ``order`` if given.  The batch is written to ``path`` (by
+    default a fresh work folder) while it is numbered, so its rows keep their ids however often they are read.
     """
     last = log.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("last"))
     defaults: dict[str, object] = {time_col: ntz(as_of)}
     if "actor" in log.columns and actor is not None:
         defaults["actor"] = actor
     # The last id is a scalar subquery, one value whatever the log's size.
-    rows = events.withColumn(id_col, last.scalar() + F.lit(1) + F.monotonically_increasing_id())
+    rows = numbered(
+        events.drop(id_col), path or work_dir(events.sparkSession, "append_log"), id_col, last.scalar() + F.lit(1), order
+    )
     return _with_defaults(rows, log, defaults)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,9 +28,20 @@ def build_session(app_name: str = "gaugework", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that all executors share.
+
+    Only a local session, which has no other executors, may do without: it gets a temporary folder.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="gaugework-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def work_dir(spark: SparkSession, purpose: str, root: str | None = None) -> str:
     """A fresh folder name under ``root``, or else ``spark.checkpoint.dir``, which all executors share."""
-    root = root or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or shared_dir(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

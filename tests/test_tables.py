@@ -52,17 +52,26 @@ def test_update_where_ignores_unknown(frame):
     assert rows(out) == [("hit", 1), ("b", None)]
 
 
-def test_append_log_ids_rise_and_are_unique(spark, frame):
+def test_append_log_ids_continue_without_gaps(spark, frame, tmp_path):
     log = spark.createDataFrame([(41, ts("2024-01-01"), "A", "x", "T", "n", "SUCCESS", "{}")], schemas.CONTROL_SCHEMAS["audit_log"])
-    events = spark.range(100).repartition(4).select(
-        F.lit("CREATE").alias("event_type"), F.concat(F.lit("o"), "id").alias("object_name")
+    # 64 partitions of very different sizes, some of them empty.
+    events = spark.range(1000).repartitionByRange(64, (F.col("id") / 300).cast("int")).select(
+        F.lit("CREATE").alias("event_type"), F.concat(F.lit("o"), "id").alias("object_name"), F.lit(7).alias("log_id")
     )
-    added = control.append_log(log, events, "log_id", "event_time", "2024-02-01", actor="me")
-    ids = [r.log_id for r in added.collect()]
-    assert len(set(ids)) == 100 and min(ids) > 41
+    args = ("log_id", "event_time", "2024-02-01")
+    added = control.append_log(log, events, *args, actor="me", path=str(tmp_path / "a"))
     assert added.schema.fieldNames() == log.schema.fieldNames()
-    first = control.append_log(log.limit(0), events, "log_id", "event_time", "2024-02-01")
-    assert min(r.log_id for r in first.collect()) == 1
+    first = {r.object_name: r.log_id for r in added.collect()}
+    assert sorted(first.values()) == list(range(42, 1042))
+    # Read again with another split: the same rows keep the same ids.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert {r.object_name: r.log_id for r in added.collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ordered = control.append_log(log.limit(0), events, *args, order=("object_name",), path=str(tmp_path / "b")).collect()
+    assert [r.log_id for r in sorted(ordered, key=lambda r: r.object_name)] == list(range(1, 1001))
+    assert control.append_log(log, events.limit(0), *args, path=str(tmp_path / "c")).count() == 0
 
 
 def test_versioned_table(spark, frame, tmp_path):
