@@ -334,3 +334,84 @@ def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     white = whiten(rows, components=16, weights="one").withColumnRenamed("id", "vec_id")
     return white.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+_MANIFEST_SQL = r"""
+    WITH RECURSIVE records AS (
+        SELECT doc_id, lang, n_chars,
+               coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+               coalesce(strlen(text) || ':' || text, '-') AS tail
+        FROM documents
+    ), checked AS (
+        SELECT doc_id, list_reduce(
+            list_prepend(4294967295::UBIGINT::HUGEINT, flatten(list_transform(
+                range(1, strlen(doc_id::VARCHAR) + 1), lambda i:
+                [ascii(doc_id::VARCHAR[i])::HUGEINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda c, op: CASE WHEN op >= 0 THEN xor(c::UBIGINT, op::UBIGINT)::HUGEINT
+                          ELSE xor(c::UBIGINT >> 1, 3988292384::UBIGINT * (c::UBIGINT & 1::UBIGINT))::HUGEINT END) AS c
+        FROM documents
+    ), leaves AS (
+        SELECT r.doc_id, r.lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+               CASE WHEN xor(c::UBIGINT, 4294967295::UBIGINT) % 7 = 0
+                    THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS shown,
+               row_number() OVER (PARTITION BY r.lang ORDER BY r.doc_id) - 1 AS place
+        FROM records r JOIN checked USING (doc_id)
+    ), own AS (
+        SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY lang
+        UNION ALL
+        SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(concat(nodes[i + 1], nodes[i + 2])))
+        FROM own WHERE len(nodes) > 1
+    ), subroots AS (
+        SELECT lang, level, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+        FROM own WHERE len(nodes) = 1
+    ), shared AS (
+        SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+        UNION ALL
+        SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(concat(nodes[i + 1], nodes[i + 2])))
+        FROM shared WHERE len(nodes) > 1
+    ), steps AS (
+        SELECT l.doc_id, o.level, l.place >> o.level AS at, o.nodes
+        FROM leaves l JOIN own o ON o.lang IS NOT DISTINCT FROM l.lang AND len(o.nodes) > 1
+        UNION ALL
+        SELECT l.doc_id, s.level + h.level, s.place >> h.level, h.nodes
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN shared h ON len(h.nodes) > 1
+    ), proofs AS (
+        SELECT doc_id, list({'left': CASE WHEN at % 2 = 1 THEN nodes[at] ELSE '' END,
+                             'right': CASE WHEN at % 2 = 0 THEN coalesce(nodes[at + 2], '') ELSE '' END} ORDER BY level) AS path
+        FROM steps GROUP BY doc_id
+    ), told AS (
+        SELECT l.doc_id, leaf, subroot, (SELECT nodes[1] FROM shared WHERE len(nodes) = 1) AS root,
+               sha256(coalesce(array_to_string(list_transform(path, lambda p: p.left || p.right), ''), '')) AS proof_sha256,
+               list_reduce(
+                   list_prepend({'left': coalesce(shown, leaf), 'right': ''}, coalesce(path, [])),
+                   lambda x, p: {'left': sha256(p.left || x.left || p.right), 'right': ''}).left AS folded_root
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN proofs p ON p.doc_id = l.doc_id
+    )
+    SELECT *, folded_root = root AS verified FROM told
+"""
+
+
+@_query("op13_merkle_manifest", _MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, audited against rows of which some claim one character more."""
+    from gaugework.llm.manifest import leaf_digest, manifest
+
+    docs = table(spark, sf_dir, "documents")
+    head, n, text = [F.col(c) for c in ("doc_id", "source", "lang")], F.col("n_chars"), F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select(
+        F.col("lang").alias("group"),
+        F.col("doc_id").alias("id"),
+        leaf_digest(*head, n, text).alias("leaf"),
+        F.when(tampered, leaf_digest(*head, n.cast("decimal(20,0)") + 1, text)).alias("shown"),
+    )
+    return manifest(leaves).select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
