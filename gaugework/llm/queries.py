@@ -347,7 +347,7 @@ _MANIFEST_SQL = r"""
         SELECT doc_id, list_reduce(
             list_prepend(4294967295::UBIGINT::HUGEINT, flatten(list_transform(
                 range(1, strlen(doc_id::VARCHAR) + 1), lambda i:
-                [ascii(doc_id::VARCHAR[i])::HUGEINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                [ascii((doc_id::VARCHAR)[i])::HUGEINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
             lambda c, op: CASE WHEN op >= 0 THEN xor(c::UBIGINT, op::UBIGINT)::HUGEINT
                           ELSE xor(c::UBIGINT >> 1, 3988292384::UBIGINT * (c::UBIGINT & 1::UBIGINT))::HUGEINT END) AS c
         FROM documents
@@ -371,14 +371,14 @@ _MANIFEST_SQL = r"""
         SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(concat(nodes[i + 1], nodes[i + 2])))
         FROM shared WHERE len(nodes) > 1
     ), steps AS (
-        SELECT l.doc_id, o.level, l.place >> o.level AS at, o.nodes
+        SELECT l.doc_id, o.level, l.place >> o.level AS spot, o.nodes
         FROM leaves l JOIN own o ON o.lang IS NOT DISTINCT FROM l.lang AND len(o.nodes) > 1
         UNION ALL
         SELECT l.doc_id, s.level + h.level, s.place >> h.level, h.nodes
         FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN shared h ON len(h.nodes) > 1
     ), proofs AS (
-        SELECT doc_id, list({'left': CASE WHEN at % 2 = 1 THEN nodes[at] ELSE '' END,
-                             'right': CASE WHEN at % 2 = 0 THEN coalesce(nodes[at + 2], '') ELSE '' END} ORDER BY level) AS path
+        SELECT doc_id, list({'left': CASE WHEN spot % 2 = 1 THEN nodes[spot] ELSE '' END,
+                             'right': CASE WHEN spot % 2 = 0 THEN coalesce(nodes[spot + 2], '') ELSE '' END} ORDER BY level) AS path
         FROM steps GROUP BY doc_id
     ), told AS (
         SELECT l.doc_id, leaf, subroot, (SELECT nodes[1] FROM shared WHERE len(nodes) = 1) AS root,
