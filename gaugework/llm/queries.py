@@ -24,17 +24,9 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-@_query("op1_pack_documents")
-def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gaugework.llm.packing import pack_documents
-
-    docs = table(spark, sf_dir, "documents")
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
-
-
-@_query(
-    "op2_jaccard_join",
-    r"""
+def _shingle_sql(n: int, part: int) -> str:
+    """Components of documents whose sets of ``n``-word shingles are ``part`` percent alike, as ``told``."""
+    return rf"""
     WITH RECURSIVE words AS (
         SELECT doc_id, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -43,29 +35,43 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), shingled AS (
         SELECT doc_id, list_distinct(CASE
             WHEN len(w) = 0 THEN []
-            WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+            WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) END) AS s
         FROM words
     ), single AS (
-        SELECT doc_id, unnest(s) AS shingle FROM shingled
+        SELECT doc_id, len(s) AS size, unnest(s) AS shingle FROM shingled
     ), common AS (
         SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
-        FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+             AND 100 * a.size >= {part} * b.size AND 100 * b.size >= {part} * a.size
         GROUP BY ALL
-    ), links AS (
+    ), linked AS (
         SELECT a, b FROM common
         JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b
-        WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+        WHERE 100 * n >= {part} * (len(x.s) + len(y.s) - n)
+    ), links AS (
+        SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
     ), reached AS (
         SELECT doc_id AS node, doc_id AS other FROM documents
         UNION
         SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other
+    ), told AS (
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
+        FROM shingled s JOIN reached r ON r.node = s.doc_id
+        GROUP BY s.doc_id, s.s
     )
-    SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
-    FROM shingled s JOIN reached r ON r.node = s.doc_id
-    GROUP BY s.doc_id, s.s
-    """,
-)
+    """
+
+
+@_query("op1_pack_documents")
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+@_query("op2_jaccard_join", _shingle_sql(4, 85) + "SELECT * FROM told")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.jaccard_join import Rule, near_duplicates
 
@@ -336,6 +342,15 @@ def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").cast("bigint"))
 
 
+@_query("op12_minhash_dedup", _shingle_sql(2, 80) + "SELECT *, doc_id = component_id AS kept FROM told")
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share at least 80 % of their two-word shingles, and the one of each that stays."""
+    from gaugework.llm.jaccard_join import Rule
+    from gaugework.llm.minhash_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Rule(n=2, part=80, whole=100))
+
+
 _MANIFEST_SQL = r"""
     WITH RECURSIVE records AS (
         SELECT doc_id, lang, n_chars,
