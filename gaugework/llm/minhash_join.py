@@ -8,11 +8,13 @@ Multi-index.  Signatures are cut into chunks of which each may hold ``PER_CHUNK`
 ``ERRORS`` errors has at least one chunk within its allowance.  A chunk's errors are enumerated by masking every choice of
 ``PER_CHUNK`` symbols; chunk, mask and the symbols left are a key.  Every pair within ``ERRORS`` shares a key.
 
-Links without all pairs.  The smallest node of a key is its pivot; the nodes that share a key with a pivot are its region.
+Links without all pairs.  The most central node of a key (that shares most keys with most others) is its pivot; the nodes that share a key
+with a pivot are its region.
 
 1. Every node is compared with the nearest of its pivots, then with those of its pivots that are not in its component yet.
 2. Regions whose nodes are of one component are done: near copies of one text cost their number, not its square.
-3. Elsewhere nodes outside the region's largest component are compared with those of other components: in regions of at
+3. Elsewhere, regions whose pivots are of one component are taken together, and nodes outside the region's largest component
+   are compared with those of other components: in regions of at
    most ``SMALL`` such pairs directly, in others where they share one of their rarest shingles.  Two sets that link have
    one in common among so many of their first shingles in any order that all the others together are too
    few; the order is rare before frequent within the region, so what sets a node apart is looked up first.
@@ -159,11 +161,19 @@ def differing_bits(a: str, b: str) -> Column:
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """``pivot, node``: the nodes that share a key with a smaller one, beside the smallest that does."""
+    """``pivot, node``: the nodes that share a key, beside the most central of them.
+
+    A node that shares many keys with many others is near the centre of its family; taken as pivots, such nodes
+    link to most of their regions and leave few regions to a family.
+    """
     keys = masked_keys(nodes)
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last")
-    members = keys.join(pivots.drop("_last"), "key").where("pivot < node")
-    return written(members.select("pivot", "node").distinct())
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("_a"), F.max("node").alias("_b"))
+    members = written(keys.join(shared.where("_a < _b").select("key", "n"), "key"))
+    centrality = members.groupBy("node").agg(F.sum("n").alias("centrality"))
+    ranked = members.select("key", "node").join(centrality, "node")
+    pivots = ranked.groupBy("key").agg(F.max_by("node", F.struct("centrality", "node")).alias("pivot"))
+    pairs = members.select("key", "node").join(pivots, "key").where("pivot != node")
+    return written(pairs.select("pivot", "node").distinct())
 
 
 def _sketched(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -200,14 +210,13 @@ def _with_component(rows: DataFrame, known: DataFrame, node: str, name: str) ->
 
 
 def _open(regions: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of the regions with more than one component.
+    """Members of the regions with more than one component; regions whose pivots are of one component are taken together.
 
-    ``region, node, size, component, open, pairs, least``: ``open`` are those outside the region's largest component,
-    ``pairs`` how many comparisons that makes at most, ``least`` the smallest set's size.
+    ``region, node, size, component, open, pairs, least``: ``region`` is the pivots' component, ``open`` are the members outside
+    the region's largest component, ``pairs`` how many comparisons that makes at most, ``least`` the smallest set's size.
     """
-    members = regions.select(F.col("pivot").alias("region"), "node").unionByName(
-        regions.select(F.col("pivot").alias("region"), F.col("pivot").alias("node")).distinct()
-    )
+    both = _with_component(regions, known, "pivot", "region")
+    members = both.select("region", "node").unionByName(both.select("region", F.col("pivot").alias("node"))).distinct()
     members = _with_component(members, known, "node", "component").join(nodes.select("node", "size").distinct(), "node")
     own = members.groupBy("region", "component").agg(F.countDistinct("node").alias("n"), F.min("size").alias("least"))
     whole = own.groupBy("region").agg(
@@ -219,14 +228,9 @@ def _open(regions: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _beside(asked: DataFrame, members: DataFrame, keys: list[str], *conditions: Column) -> DataFrame:
-    """``pivot, node``: an ``asked`` member and one of another component that agree in ``keys``.
-
-    The region's own node is left out on both sides: it has been compared with every member.
-    """
+    """``pivot, node``: an ``asked`` member and one of another component that agree in ``keys``."""
     other = asked.select(*keys, *(F.col(c).alias(f"{c}_b") for c in asked.columns if c not in keys))
     mine = members.select(*keys, *(F.col(c).alias(f"{c}_a") for c in members.columns if c not in keys))
-    if "region" in keys:
-        mine, other = mine.where("node_a != region"), other.where("node_b != region")
     # One condition of the join, so what it rules out is never a row.
     agree = [F.col(f"m.{k}") == F.col(f"o.{k}") for k in keys]
     apart = F.col("component_a") != F.col("component_b")
@@ -238,7 +242,7 @@ def _beside(asked: DataFrame, members: DataFrame, keys: list[str], *conditions:
 def _rarest(members: DataFrame, docs: DataFrame, rule: Rule, several: DataFrame) -> DataFrame:
     """``members`` once for each of the shingles that a partner must have one of: ``shingle`` and its ``place``.
 
-    Shingles that the region's pivot lacks come first, those of fewer members before others.
+    Shingles that the node which names the region lacks come first, those of fewer members before others.
     """
     pivots = members.select(F.col("region").alias("node"))
     sets = written(sets_of(docs, members.select("node").unionByName(pivots).distinct(), rule.n))
@@ -303,7 +307,10 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         before = F.col("place_a") + F.col("place_b")
         placed = rule.near(before, F.col("size_a"), F.col("size_b"))
         few = few.unionByName(_beside(listed.where("open"), listed, ["region", "shingle"], placed, near))
-    left = written(_possible(few.distinct(), nodes, rule))
+    # Members have been compared with their pivots.
+    done = regions.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
+    few = few.distinct().join(done, ["pivot", "node"], "left_anti")
+    left = written(_possible(few, nodes, rule))
     return found.unionByName(_linked(left.select("pivot", "node"), docs, rule))
 
 
