@@ -3,7 +3,8 @@
 1. Voters.  A lexicon is mined from a bounded sample of labelled rows: words and beginnings of words
    that toxic texts hold and clean ones do not, chosen so that every toxic text is covered several times.
    Each entry votes "toxic" where it occurs and abstains elsewhere; patterns over the whole text vote
-   as well, both ways.
+   as well, both ways.  The voters are thus mined from the true labels of the sample, and the score is calibrated on them; in
+   between only the votes count.
 2. Label model.  Given the share of toxic texts, expectation maximisation estimates how each voter votes on
    either kind.  Voters that agree beyond what the class explains are found from the correlation of
    their votes within a class; such a group shares one voter's weight.

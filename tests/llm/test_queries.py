@@ -83,16 +83,21 @@ def test_forest_search_recall_and_scores(spark):
     assert hits >= 0.9 * wanted
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op5_toxicity", "toxic", 0.9), ("op7_quality", "quality", 0.9)])
-def test_classifiers_on_rows_they_have_not_seen(spark, name, label, least):
-    sf_dir = SF_DIR.replace("0.001", "0.01")
-    got = QUERIES[name](spark, sf_dir)
+@pytest.mark.parametrize(
+    ("name", "label", "caught", "false_alarms"), [("op5_toxicity", "toxic", 0.75, 0.02), ("op7_quality", "quality", 0.97, 0.25)]
+)
+def test_classifiers_on_rows_they_have_not_seen(spark, name, label, caught, false_alarms):
+    """Recall of label 1, and how often label 0 is called 1, on held-out rows."""
+    sf_dir = SF_DIR.replace("0.001", "0.1")
+    got = QUERIES[name](spark, sf_dir).cache()
     documents = table(spark, sf_dir, "documents").count()
     assert got.count() == documents
     assert got.where("score < 0 or score > 1 or score is null").isEmpty()
     judged = got.join(table(spark, sf_dir, "labels"), "doc_id").where(F.col("held_out") & F.col(label).isNotNull())
-    right = judged.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-    assert right >= least
+    rates = {r[label]: (r.rate, r.n) for r in judged.groupBy(label).agg(F.avg("predicted").alias("rate"), F.count("*").alias("n")).collect()}
+    assert rates[1][1] > 50 and rates[0][1] > 50
+    assert rates[1][0] >= caught, rates
+    assert rates[0][0] <= false_alarms, rates
 
 
 def test_pipeline_stages(spark):
@@ -103,7 +108,7 @@ def test_pipeline_stages(spark):
         kept = stage(spark, rows, SF_DIR)
         assert kept.columns == rows.columns, name
         assert kept.exceptAll(rows).isEmpty(), name
-        assert 0 < kept.count() <= rows.count(), name
+        assert 0.5 * rows.count() < kept.count() <= rows.count(), name
         rows = spark.createDataFrame(kept.collect(), rows.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF_DIR)
     assert packed.select("doc_id").distinct().count() == rows.count()
