@@ -1,14 +1,17 @@
 """From raw documents to packed sequences: quality, toxicity, near duplicates, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but the
-last return the columns they were given.  SQL cannot express the models, so the pipeline is tested
+last return the columns they were given, whatever their names; NULL texts count as empty, repeated rows are judged alike, and
+an empty table stays empty.  SQL cannot express the models, so the pipeline is tested
 against its stages one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm.jaccard_join import Rule, near_duplicates
@@ -21,16 +24,30 @@ from gaugework.llm.toxicity import toxicity
 GOOD, TOXIC = 0.3, 0.7
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer if ``docs`` has a column called so."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose ``score`` by ``judge`` is to be kept, with the columns as given, one called ``score`` included."""
+    aside = {c: _unused(docs, f"_own_{c}") for c in docs.columns if c.lower() == "score"}
+    judged = judge(docs.withColumnsRenamed(aside))
+    return judged.where(keep(F.col("score"))).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the compression classifier rejects."""
-    judged = quality(docs, table(spark, sf_dir, "labels"))
-    return judged.where(F.col("score") >= GOOD).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return _judged(docs, lambda rows: quality(rows, labels), lambda score: score >= GOOD)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the weakly supervised classifier calls toxic."""
-    judged = toxicity(docs, table(spark, sf_dir, "labels"))
-    return judged.where(F.col("score") < TOXIC).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return _judged(docs, lambda rows: toxicity(rows, labels), lambda score: score < TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +56,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are numbered by their place in the input, so rows without id and repeated ids count too.  The numbers
     are written with the rows: numbered again, another split of the input would give them to other rows.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), Rule(n=5, part=80, whole=100))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
-    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+    row = _unused(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), Rule(n=5, part=80, whole=100))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
