@@ -1,11 +1,16 @@
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from gaugework.functions import ntz
+from gaugework.functions import exact_percentiles, ntz, round_to, value_counts
 from gaugework.functions.time import preset
 from gaugework.operators.reshape import union_all
 from gaugework.operators import performance as op
+from gaugework.operators import rollups
+from gaugework.operators.filters import period_filter
+from gaugework.plans.views import SECURITY_MONITORING
 
-from checks.registry import E_TS, END, EVENTS, L_TS, LINES, O_TS, ORDERS, PERIOD, R, START, query, rounded, top
+from checks.registry import E_TS, END, EVENTS, L_TS, LINES, O_TS, ORDERS, PERIOD, R, START, query, rounded, scratch, top
 
 QH, LQ = "query_history", "line_query_history"
 MB, GB = "1048576.0", "1073741824.0"
@@ -94,6 +99,96 @@ def _(t):
     return approx.select((F.abs(F.col("cnt") - exact) <= exact * 0.1 + 1).alias("close"))
 
 
+_MONTHS = (("2000-01-01", "2000-06-30"), ("2000-03-15", "2001-02-14"), ("2001-07-01", "2001-07-31"))
+
+
+def _rollup_sql() -> str:
+    parts = [
+        f"""SELECT '{start}' AS first_day, total_queries, avg_duration_sec, slow_queries, active AS active_exact,
+                   true AS active_close, true AS median_close, true AS p95_close
+            FROM ({_summary(LQ, f"BETWEEN TIMESTAMP '{start} 00:00:00' AND TIMESTAMP '{end} 23:59:59'")}),
+                 (SELECT count(DISTINCT user_name) AS active FROM {LQ}
+                  WHERE start_time BETWEEN TIMESTAMP '{start} 00:00:00' AND TIMESTAMP '{end} 23:59:59')"""
+        for start, end in _MONTHS
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("perf_rollup_periods", LQ, _rollup_sql())
+def _(t):
+    """Three periods from one stored rollup: counts and mean exact, sketches within their error bounds of the log."""
+    path, log = scratch(t.spark, "perf_rollup"), t(LQ)
+    rollup = replace(rollups.QUERY_ROLLUP, keys=())
+    rollup.write(log, path)
+    out = []
+    for start, end in _MONTHS:
+        whole = (f"{start} 00:00:00", f"{end} 23:59:59")
+        told = rollups.perf_summary(rollup.read(t.spark, path, *whole))
+        rows = period_filter(log, "start_time", *whole)
+        # Where the estimates really stand among the log's values.
+        value, row = F.col("total_elapsed_time") / 1000, told.first()
+        median, p95 = (F.lit(row[c]) for c in ("median_duration_sec", "p95_duration_sec"))
+        real = rows.agg(
+            F.countDistinct("user_name").alias("active_exact"),
+            *[F.avg(test.cast("double")).alias(name) for name, test in (
+                ("m_below", value < median), ("m_upto", value <= median), ("p_below", value < p95), ("p_upto", value <= p95))],
+        )
+        off, bound = 4 * rollups.distinct_error(12), rollups.rank_error(400)
+        out.append(
+            told.crossJoin(real).select(
+                F.lit(start).alias("first_day"),
+                "total_queries",
+                round_to("avg_duration_sec", 2).alias("avg_duration_sec"),
+                "slow_queries",
+                "active_exact",
+                (F.abs(F.col("active_users") - F.col("active_exact")) <= F.col("active_exact") * off + 1).alias("active_close"),
+                ((F.col("m_below") - bound <= 0.5) & (F.col("m_upto") + bound >= 0.5)).alias("median_close"),
+                ((F.col("p_below") - bound <= 0.95) & (F.col("p_upto") + bound >= 0.95)).alias("p95_close"),
+            )
+        )
+    return union_all(*out)
+
+
+@query(
+    "login_rollup_by_client",
+    "login_history",
+    """SELECT reported_client_type, count(*) AS attempts, count(CASE WHEN is_success = 'NO' THEN 1 END) AS failed_login_attempts,
+              true AS users_close, true AS ips_close, true AS failing_users_close, true AS failing_ips_close
+       FROM login_history GROUP BY 1""",
+)
+def _(t):
+    """Login metrics per client from stored days; distinct counts within four standard errors of the exact ones."""
+    path, log = scratch(t.spark, "login_rollup"), t("login_history")
+    rollups.LOGIN_ROLLUP.write(log, path)
+    stored = rollups.LOGIN_ROLLUP.read(t.spark, path, "1900-01-01", "2999-12-31")
+    told = rollups.LOGIN_ROLLUP.answer(stored, by=["reported_client_type"])
+    names = {"unique_login_users": "users", "unique_login_ips": "ips", "users_with_login_failures": "failing_users",
+             "ips_with_login_failures": "failing_ips"}
+    exact = SECURITY_MONITORING.query(t, list(names), ["reported_client_type"])
+    both = told.alias("a").join(exact.alias("b"), F.col("a.reported_client_type").eqNullSafe(F.col("b.reported_client_type")))
+    off = 4 * rollups.distinct_error(12)
+    return both.select(
+        "a.reported_client_type",
+        F.col("rows").alias("attempts"),
+        "failed_login_attempts",
+        *[(F.abs(F.col(f"a.{n}") - F.col(f"b.{n}")) <= F.col(f"b.{n}") * off + 1).alias(f"{short}_close") for n, short in names.items()],
+    )
+
+
+@query(
+    "percentiles_of_narrow_values",
+    "",
+    """SELECT l_returnflag, round(quantile_cont(1000 + l_extendedprice / 1e6, 0.5), 9) AS p50,
+              round(quantile_cont(1000 + l_extendedprice / 1e6, 0.99), 9) AS p99
+       FROM lineitem GROUP BY 1""",
+)
+def _(t):
+    """Exact percentiles of values within a ten-thousandth of each other, which share a few buckets."""
+    rows = t.table("lineitem").select("l_returnflag", (1000 + F.col("l_extendedprice") / 1e6).alias("v"))
+    found = exact_percentiles(value_counts(rows, ["l_returnflag"], "v"), ["l_returnflag"], "v", {"p50": 0.5, "p99": 0.99})
+    return found.select("l_returnflag", F.round("p50", 9).alias("p50"), F.round("p99", 9).alias("p99"))
+
+
 _PRESETS = {
     "last_hour": ("2024-01-30 22:59:59", "2024-01-30 23:59:59"),
     "last_24h": ("2024-01-29 23:59:59", "2024-01-30 23:59:59"),
