@@ -20,8 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +35,36 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces up to this share of the capacity are placed last.
 SHORT = 8
-#: Words whose ids a worker remembers.
-REMEMBERED = 100_000
+#: Words whose ids a worker remembers, in each of two generations, and their longest: some 60 MB a generation at most.
+REMEMBERED, LONGEST = 200_000, 32
 
-_WORDS: dict[int, dict[str, list[int]]] = {}
 _LOADED: dict[int, tuple] = {}
 
 
-def _tokenizer(vocabulary: bytes):
-    """The tokenizer and, by id, whether a token ends a word; loaded once per worker."""
+class Words:
+    """The ids of words, as bytes; what has not come up for a whole generation is forgotten."""
+
+    def __init__(self, encode: Callable[[list[str]], dict[str, bytes]]) -> None:
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        young, old, unknown = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    unknown.append(w)
+        new = self.encode(unknown) if unknown else {}
+        found = [young[w] if w in young else new[w] for w in words]
+        young.update((w, own) for w, own in new.items() if len(w) <= LONGEST)
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return found
+
+
+def _words(vocabulary: bytes) -> Words:
+    """The words of a vocabulary; loaded once per worker."""
     key = zlib.crc32(vocabulary)
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,29 +75,30 @@ def _tokenizer(vocabulary: bytes):
         names = tokenizer.get_vocab()
         ends = np.zeros(max(names.values()) + 1, bool)
         ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        _LOADED[key] = (tokenizer, ends)
-        _WORDS[key] = {}
-    return *_LOADED[key], _WORDS[key]
+        _LOADED[key] = Words(lambda words: _learn(words, tokenizer, ends))
+    return _LOADED[key]
 
 
-def _learn(words: list[str], tokenizer, ends: np.ndarray, known: dict[str, list[int]]) -> None:
-    """Add the ids of unknown words.
+def _learn(words: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
+    """The ids of words.
 
     Words of letters only are one token group each, so they can be encoded as one text, which
     is several times faster than one by one; the count of word ends proves that it held.
     """
+    known: dict[str, bytes] = {}
     letters = [w for w in words if w.isalpha()]
     if letters:
-        ids = np.array(tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.int64)
+        ids = np.array(tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) == len(letters):
-            flat, start = ids.tolist(), 0
-            for word, stop in zip(letters, stops.tolist(), strict=True):
+            flat, start = ids.tobytes(), 0
+            for word, stop in zip(letters, (4 * stops).tolist(), strict=True):
                 known[word] = flat[start:stop]
                 start = stop
     rest = [w for w in words if w not in known]
     for word, encoded in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        known[word] = encoded.ids
+        known[word] = np.array(encoded.ids, np.uint32).tobytes()
+    return known
 
 
 def encode_words(texts: pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +108,6 @@ def encode_words(texts: pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.nda
     a letter and following punctuation, so texts are cut there and every different word is
     encoded once.
     """
-    tokenizer, word_ends, known = _tokenizer(vocabulary)
-    if len(known) > REMEMBERED:
-        known.clear()
     # The dotted capital I is left out: in lower case it ends with a mark that is no letter.
     apart = pc.replace_substring_regex(
         pc.ascii_lower(texts), pattern=r"([^\P{L}\x{130}])([.,:;!?%*&$#|])", replacement=r"\1 \2"
@@ -97,10 +115,9 @@ def encode_words(texts: pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.nda
     words = pc.ascii_split_whitespace(apart)
     index = words.flatten().dictionary_encode()
     distinct = index.dictionary.to_pylist()
-    _learn([w for w in distinct if w not in known], tokenizer, word_ends, known)
-    ids = [known[w] for w in distinct]
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+    ids = _words(vocabulary).ids(distinct)
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32)
     at = index.indices.to_numpy(zero_copy_only=False)
     lengths = n[at]
     ends = np.cumsum(lengths)

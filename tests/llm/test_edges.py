@@ -93,6 +93,23 @@ def test_words_encode_as_the_whole_text():
         start = end
 
 
+def test_remembered_words_stay_the_same_over_generations(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return {w: w.encode() for w in words}
+
+    words, rng = packing.Words(encode), random.Random(9)
+    for _ in range(200):
+        own = ["often", "x" * 40, "", *(f"w{rng.randrange(300)}" for _ in range(8))]
+        own = list(dict.fromkeys(own))
+        assert words.ids(own) == [w.encode() for w in own]
+        assert len(words.young) <= 20 + len(own) and len(words.old) <= 20 + len(own)
+    assert asked.count("often") == 1 and asked.count("x" * 40) == 200
+
+
 # Byte-level BPE
 
 
