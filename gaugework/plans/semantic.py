@@ -56,7 +56,7 @@ class Metric:
             return [F.sum(value).alias(f"{self.name}__s")]
         if self.kind == "avg":
             return [F.sum(value).alias(f"{self.name}__s"), F.count(value).alias(f"{self.name}__n")]
-        return []  # distinct values are grouping columns of the first step
+        raise ValueError(f"{self.kind} has no partial form")
 
     def merged(self) -> Column:
         if self.kind == "count":
@@ -65,7 +65,7 @@ class Metric:
             return F.sum(f"{self.name}__s")
         if self.kind == "avg":
             return F.try_divide(F.sum(f"{self.name}__s"), F.sum(f"{self.name}__n"))
-        return F.countDistinct(f"{self.name}__v")
+        raise ValueError(f"{self.kind} has no partial form")
 
 
 @dataclass(frozen=True)
@@ -180,10 +180,11 @@ class SemanticView:
             if table not in (self.time_dimensions or {}):
                 raise KeyError(f"{self.name}.{table} has no time dimension")
             keys.append(trunc_to(self.time_dimensions[table], grain).alias("period"))
-        if foreign:
-            reduced = self._joined(table_of, table, rows, base, keys, foreign)
-        elif semi_additive == "last" and table in (self.snapshots or {}):
+        values = {m.expr for m in base if m.kind == "distinct"}
+        if semi_additive == "last" and table in (self.snapshots or {}) and not foreign:
             reduced = self._last_snapshot(rows, base, keys, self.snapshots[table])
+        elif foreign or len(values) > 1 or sum(m.kind == "distinct" for m in base) > 1:
+            reduced = self._by_value(table_of, table, rows, base, keys, foreign)
         else:
             reduced = rows.groupBy(*keys).agg(*[m.direct().alias(m.name) for m in base])
         for m in group:
@@ -194,7 +195,7 @@ class SemanticView:
         names = [_alias(d) for d in dimensions] + (["period"] if grain else [])
         return reduced.select(*names, *[m.name for m in group])
 
-    def _joined(
+    def _by_value(
         self,
         table_of: Callable[[str], DataFrame],
         table: str,
@@ -203,10 +204,47 @@ class SemanticView:
         keys: list[Column],
         foreign: list[str],
     ) -> DataFrame:
-        """Aggregate by the join key first, attach the foreign dimensions, merge.
+        """Each counted value in an aggregation of its own, stacked with the other metrics and merged by key.
 
-        A user who ran a third of all queries enters the join as one row per dimension
-        value, not as a third of the log.
+        Several distinct counts in one aggregation would multiply every row of the log by their number.  Here all conditions
+        on one value are flags of one grouping by that value, which combines map-side and reads two or three
+        columns.
+        """
+        names = [k for k in rows.select(*keys).columns] + [_alias(d) for d in foreign]
+        attach = self._attached(table_of, table, foreign) if foreign else None
+        link = [F.col(attach[0]).alias("_key")] if foreign else []
+
+        def grouped(own: DataFrame, by: list[Column], columns: list[Column]) -> DataFrame:
+            first = own.groupBy(*keys, *link, *by).agg(*columns)
+            return first.join(attach[1], "_key", "left") if foreign else first
+
+        plain = [m for m in base if m.kind != "distinct"]
+        partials = [c for m in plain for c in m.partial()] + [F.count(F.lit(1)).alias("_rows")]
+        parts = [grouped(rows, [], partials).groupBy(*names).agg(F.sum("_rows").alias("_rows"), *[m.merged().alias(m.name) for m in plain])]
+        counted: dict[str, list[Metric]] = {}
+        for m in base:
+            if m.kind == "distinct":
+                counted.setdefault(m.expr, []).append(m)
+        for expr, own in counted.items():
+            flags = [F.max(F.expr(m.where) if m.where else F.lit(True)).alias(m.name) for m in own]
+            pairs = grouped(rows.where(F.expr(expr).isNotNull()), [F.expr(expr).alias("_value")], flags)
+            if foreign:  # keys of one dimension value may share values
+                pairs = pairs.groupBy(*names, "_value").agg(*[F.max(m.name).alias(m.name) for m in own])
+            parts.append(pairs.groupBy(*names).agg(*[F.count_if(m.name).alias(m.name) for m in own]))
+        # Every part holds a key once, so max() only picks the value that is there; a key without values counts none.
+        merged = union_all(*parts).groupBy(*names)
+        return merged.agg(
+            *[
+                (F.coalesce(F.max(m.name), F.lit(0)) if m.kind == "distinct" else F.max(m.name)).alias(m.name)
+                for m in base
+            ]
+        )
+
+    def _attached(self, table_of: Callable[[str], DataFrame], table: str, foreign: list[str]) -> tuple[str, DataFrame]:
+        """The key of ``table`` and the related table's ``foreign`` dimensions, one row per ``_key``.
+
+        The log is aggregated by that key before it meets them: a user who ran a third of all queries enters the
+        join as one row per dimension value (and per counted value, where values are counted), not as a third of the log.
         """
         targets = {d.split(".")[0] for d in foreign}
         if len(targets) != 1:
@@ -215,11 +253,6 @@ class SemanticView:
         rel = next((r for r in self.relationships if r.table == table and r.to == target), None)
         if rel is None:
             raise KeyError(f"{table} has no relationship to {target}")
-        values = [m.value().alias(f"{m.name}__v") for m in base if m.kind == "distinct"]
-        partials = [c for m in base for c in m.partial()]
-        first = rows.groupBy(*keys, F.col(rel.key).alias("_key"), *values).agg(
-            *(partials or [F.count(F.lit(1)).alias("_rows")])
-        )
         columns = [F.col(d.split(".")[1]).alias(_alias(d)) for d in foreign]
         # Many-to-one: a key stored twice must not multiply the facts.
         related = (
@@ -228,11 +261,7 @@ class SemanticView:
             .agg(F.max(F.struct(*columns)).alias("_one"))
             .select("_key", "_one.*")
         )
-        joined = first.join(related, "_key", "left")
-        names = [c for c in first.columns if c not in ("_key",) and "__" not in c and c != "_rows"]
-        return joined.groupBy(*names, *[_alias(d) for d in foreign]).agg(
-            *[m.merged().alias(m.name) for m in base]
-        )
+        return rel.key, related
 
     def _last_snapshot(
         self, rows: DataFrame, base: list[Metric], keys: list[Column], date_col: str

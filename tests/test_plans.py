@@ -106,3 +106,8 @@ def test_hot_keys_of_a_shuffle_join_are_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["security_metrics", "metrics_by_user_role", "login_metrics_by_client"])
+def test_distinct_counts_do_not_multiply_the_log(spark, name):
+    assert "Expand" not in plan_of(QUERIES[name](spark, SF_DIR))
