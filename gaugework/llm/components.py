@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.shared import saved
+from gaugework.llm.shared import written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     is written out.  Links with a NULL end and self-links are ignored; an empty table gives no rows.
     """
     a, b = F.col("a"), F.col("b")
-    edges = saved(
+    edges = written(
         links.where(a.isNotNull() & b.isNotNull() & (a != b))
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .distinct()
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: smaller neighbours, and the node itself, point to the smallest one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
-        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         after = _mark(edges)
         if after == before:
             break

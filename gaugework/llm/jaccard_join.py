@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import components
-from gaugework.llm.shared import mix, saved, slices, strings
+from gaugework.llm.shared import mix, slices, strings, written
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -265,10 +265,10 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
         rule.near(F.col("_apart"), F.col("_a"), F.col("_b")).alias("_may"),
         (1 - (total - F.col("_apart")) / (total + F.col("_apart"))).alias("distance"),
     )
-    bounded = saved(bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance")))
+    bounded = written(bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance")))
     may = bounded.where("_may").select("pivot", "node")
     wanted = may.select("node").unionByName(may.select(F.col("pivot").alias("node"))).distinct()
-    sets = saved(sets_of(docs, wanted, rule.n))
+    sets = written(sets_of(docs, wanted, rule.n))
     compared = may.join(sets.withColumnRenamed("shingles", "_ours"), "node").join(
         sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_theirs")), "pivot"
     )
@@ -284,7 +284,7 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     # An id with several texts counts with the nearest ones.
     exact = sized.groupBy("pivot", "node").agg(F.max(linked).alias("linked"), F.min(distance).alias("distance"))
     never = bounded.where(~F.col("_may")).select("pivot", "node", F.lit(False).alias("linked"), "distance")
-    return saved(never.unionByName(exact))
+    return written(never.unionByName(exact))
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -295,12 +295,12 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     entered = nodes.select(F.posexplode("window").alias("depth", "g"), "node", "size")
     shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > 1)
-    members = saved(entered.join(shared, "g"))
+    members = written(entered.join(shared, "g"))
     # Copies share many shingles: of regions with the same nodes the first in the order is enough.
     marks = members.groupBy("n", "least", "g").agg(
         F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum("depth").alias("depths")
     )
-    one = saved(marks.groupBy("n", "least", "other", "mark").agg(F.min_by("g", "depths").alias("g")))
+    one = written(marks.groupBy("n", "least", "other", "mark").agg(F.min_by("g", "depths").alias("g")))
     two = one.where((F.col("n") == 2) & (F.col("least") != F.col("other")))
     more = members.join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
     # A node that shares much of its window is near the centre of its copies: a good pivot.
@@ -317,14 +317,14 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     their id has several texts; the triangle inequality does not hold for those.
     """
     pairs, members, meeting = _regions(nodes)
-    several = saved(nodes.where("several").select("node").distinct())
+    several = written(nodes.where("several").select("node").distinct())
     # Only nodes that meet another one are ever compared.
-    nodes = saved(nodes.select("node", "size", "bits").join(meeting, "node", "left_semi"))
+    nodes = written(nodes.select("node", "size", "bits").join(meeting, "node", "left_semi"))
     radius = 1 - rule.part / rule.whole
     # ``peers`` counts the region's members of the same component; a link has a member that is ``open``.
     alone = {"component": F.col("node"), "peers": F.lit(1).cast("bigint"), "open": F.lit(True)}
-    inside = saved(members.withColumns(alone))
-    found, count = None, 1
+    inside = written(members.withColumns(alone))
+    found, known, count = None, None, 1
     while True:
         # The most central members of the smallest components become pivots; ranking keeps few rows of a region before the shuffle.
         rank = F.row_number().over(Window.partitionBy("g").orderBy("peers", F.desc("shares"), "node"))
@@ -339,7 +339,8 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         found = linked if found is None else found.unionByName(linked)
         if inside.isEmpty():
             return found
-        known = components(found)
+        if known is None or not linked.isEmpty():
+            known = components(found)
         found = known.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
         rest = (
             inside.drop("component", "peers", "open")
@@ -348,7 +349,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             .withColumn("component", F.coalesce("component_id", "node"))
             .drop("component_id")
         )
-        rest = saved(_unconnected(rest))
+        rest = written(_unconnected(rest))
         # The triangle inequality: what links to a member of another component is at least this far from the pivot.
         # It needs the distance of every such member.
         both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
@@ -375,7 +376,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         )
         kept = rest.drop("peers", "open", "_open", "_all").join(outside.select("g", "node").distinct(), ["g", "node"], "left_anti")
         few = (F.col("_open") * F.col("_all") <= SMALL).alias("small")
-        left = saved(_unconnected(kept).select(*inside.columns, few))
+        left = written(_unconnected(kept).select(*inside.columns, few))
         if left.isEmpty():
             return found
         small = left.where("small").drop("small")
@@ -421,8 +422,8 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """
     rule = rule or Rule()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = saved(sketches(docs, rule))
-    nodes = saved(
+    rows = written(sketches(docs, rule))
+    nodes = written(
         rows.where(F.col("key").isNotNull())
         .groupBy("key")
         .agg(
@@ -434,7 +435,7 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     )
     texts = rows.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull()).groupBy("doc_id")
     several = texts.agg(F.min("key").alias("_first"), F.max("key").alias("_last")).where("_first != _last")
-    several = saved(several.select("doc_id"))
+    several = written(several.select("doc_id"))
     marked = several.select(F.col("doc_id").alias("node"), F.lit(True).alias("several"))
     named = nodes.where(F.col("node").isNotNull() & (F.size("window") > 0)).join(marked, "node", "left")
     named = named.select("node", "size", "window", "bits", F.coalesce("several", F.lit(False)).alias("several"))
