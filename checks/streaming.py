@@ -11,6 +11,8 @@ from gaugework.streaming.alerts import (
     LOGIN_ALERT,
     QUOTA_ALERT,
     day_totals,
+    late_rows,
+    settle_late_usage,
     stream_failed_login_alerts,
     stream_quota_alerts,
 )
@@ -107,6 +109,35 @@ def _(t):
     )
 
 
+@query(
+    "stream_late_usage",
+    "warehouse_metering_history event_quota_config",
+    f"""SELECT * REPLACE ({R('credits_used', 4)} AS credits_used)
+        FROM ({alerts_sql('WAREHOUSE', 'warehouse_name', 'event_quota_config', 'warehouse_metering_history', 'SUSPENDED', False)})""",
+)
+def _(t):
+    """The second half of the log arrives first; what the stream drops of the first half is settled from the log."""
+    root = scratch(t.spark, "late")
+    usage = t("warehouse_metering_history")
+    second = F.col("start_time") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    config, where = t("event_quota_config"), (f"{root}/alerts", f"{root}/totals", f"{root}/checkpoint")
+    for half in (second, ~second):
+        usage.where(half).write.mode("append").parquet(f"{root}/usage")
+        arriving = t.spark.readStream.schema(usage.schema).parquet(f"{root}/usage")
+        stream = stream_quota_alerts(t.spark, arriving, config, "warehouse_name", "WAREHOUSE", WAREHOUSE_TOP, *where)
+        _finish(stream)
+    dropped, watermark = late_rows(stream)
+    if dropped:
+        settle_late_usage(
+            t.spark, t.spark.read.parquet(f"{root}/usage"), config, "warehouse_name", "WAREHOUSE", WAREHOUSE_TOP,
+            *where, start=dt.datetime(2024, 1, 1), watermark=watermark,
+        )
+    days = day_totals(t.spark, f"{root}/totals", "warehouse_name", dt.date(1990, 1, 1))
+    last = used_per_period(days, config, "warehouse_name").withColumnRenamed("warehouse_name", "resource_name")
+    alerts = read_batches(t.spark, f"{root}/alerts", QUOTA_ALERT).drop("credits_used")
+    return rounded(alerts.join(last, ["resource_name", "window_start"]), 4, "credits_used")
+
+
 @query(
     "stream_service_alerts",
     "metering_history serverless_config",

@@ -2,8 +2,8 @@
 
 Sums run in event-time windows with a watermark, in update mode: append mode would emit
 a day only once it has closed, too late for an alert.  Rows later than the watermark are
-dropped by Spark and counted in the query progress; ``quota.evaluate_quota_alerts`` with
-``quota.not_yet_alerted`` evaluates the closed periods again and gives the alerts that they add.
+dropped by Spark and counted in the query progress (:func:`late_rows`); :func:`settle_late_usage` then
+corrects the totals of the closed days from the log and adds the alerts that they raise.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugework.functions import utc_instant, utc_wall_clock
+from gaugework.operators.filters import since
 from gaugework.operators.quota import ALERT_KEY, crossed_thresholds, earliest_period_start, used_per_period
-from gaugework.streaming.batches import read_batches, stream_id, trigger, write_batch
+from gaugework.streaming.batches import BATCH, STREAM, read_batches, stream_id, trigger, write_batch
 
 QUOTA_ALERT = T.StructType(
     [
@@ -45,6 +46,9 @@ LOGIN_ALERT = T.StructType(
 
 WINDOW_DATE = "window_date"
 
+#: Streams of this name hold totals of closed days that were corrected from the log.
+SETTLED = "settled-"
+
 
 def _append_once(
     spark: SparkSession,
@@ -108,12 +112,34 @@ def _day_totals_schema(key: str) -> T.StructType:
 
 
 def day_totals(spark: SparkSession, totals: str, key: str, start: dt.date) -> DataFrame:
-    """``key, day, credits_used`` as the stream has stored them, from ``start`` on.
+    """``key, day, credits_used`` as they are stored, from ``start`` on.
 
-    A day's total only grows while usage arrives, so the largest one stored is the latest.
+    Within a stream the total of the last batch counts, so a correction can lower a day.  A settled
+    total comes before those of the streams; of several streams over one log the largest total counts, which
+    is that of the one that has read most.
     """
-    stored = read_batches(spark, totals, _day_totals_schema(key)).where(F.col("day") >= F.lit(start))
-    return stored.groupBy(key, "day").agg(F.max("credits_used").alias("credits_used"))
+    stored = read_batches(spark, totals, _day_totals_schema(key), origin=True).where(F.col("day") >= F.lit(start))
+    latest = stored.groupBy(key, "day", STREAM).agg(F.max_by("credits_used", BATCH).alias("credits_used"))
+    rank = F.struct(F.col(STREAM).startswith(SETTLED), "credits_used")
+    return latest.groupBy(key, "day").agg(F.max_by("credits_used", rank).alias("credits_used"))
+
+
+def _raise_quota_alerts(
+    spark: SparkSession,
+    oldest: dt.date,
+    quotas: DataFrame,
+    key: str,
+    scope: str,
+    top_label: str,
+    out: str,
+    totals: str,
+    place: tuple[str, int],
+) -> None:
+    """Log what the periods from that of ``oldest`` on have reached by the stored totals."""
+    days = day_totals(spark, totals, key, earliest_period_start(oldest).date())
+    used = used_per_period(days, quotas, key, oldest)
+    alerts = crossed_thresholds(used, quotas, key, scope, top_label)
+    _append_once(spark, alerts, ALERT_KEY, QUOTA_ALERT, out, place)
 
 
 def stream_quota_alerts(
@@ -152,10 +178,7 @@ def stream_quota_alerts(
         finally:
             rows.unpersist()
         quotas = config() if callable(config) else config
-        days = day_totals(spark, totals, key, earliest_period_start(oldest).date())
-        used = used_per_period(days, quotas, key, oldest)
-        alerts = crossed_thresholds(used, quotas, key, scope, top_label)
-        _append_once(spark, alerts, ALERT_KEY, QUOTA_ALERT, out, (stream, batch_id))
+        _raise_quota_alerts(spark, oldest, quotas, key, scope, top_label, out, totals, (stream, batch_id))
 
     return (
         daily.writeStream.outputMode("update")
@@ -166,6 +189,65 @@ def stream_quota_alerts(
     )
 
 
+def late_rows(query: StreamingQuery) -> tuple[int, dt.datetime | None]:
+    """Rows that a stateful stream dropped as too late, and its watermark (UTC).
+
+    Counted over the progress that Spark keeps (``spark.sql.streaming.numRecentProgressUpdates`` triggers).  Rows
+    of one key and window that arrive in one task count as one.
+    """
+    dropped, marks = 0, []
+    for progress in query.recentProgress:
+        dropped += sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+        if "watermark" in progress["eventTime"]:
+            marks.append(dt.datetime.fromisoformat(progress["eventTime"]["watermark"]).replace(tzinfo=None))
+    return dropped, max(marks, default=None)
+
+
+def settle_late_usage(
+    spark: SparkSession,
+    usage: DataFrame,
+    config: DataFrame,
+    key: str,
+    scope: str,
+    top_label: str,
+    out: str,
+    totals: str,
+    checkpoint: str,
+    start: dt.datetime,
+    watermark: dt.datetime,
+) -> None:
+    """Bring totals and alerts of the days from ``start`` up to the stream's ``watermark`` in line with the log.
+
+    ``usage`` is the log as a batch.  Only days that the stream has closed are summed again, so the stream never
+    adds to a settled day; totals are written where they differ.  Alerts that the corrected periods
+    raise are added, none is withdrawn.  A run that broke off can be repeated: it writes and logs what is missing.
+    """
+    start = dt.datetime.combine(start, dt.time())
+    closed = dt.datetime.combine(watermark, dt.time())
+    if closed <= start:
+        return
+    name = SETTLED + stream_id(spark, checkpoint)
+    rows = since(usage, "start_time", start, closed).where(F.col("start_time") < F.lit(closed).cast("timestamp_ntz"))
+    summed = rows.groupBy(key, F.to_date("start_time").alias("day")).agg(F.sum("credits_used").alias("credits_used"))
+    stored = day_totals(spark, totals, key, start.date()).withColumnRenamed("credits_used", "_stored")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (key, "day")]
+    both = summed.alias("s").join(stored.alias("t"), same, "left")
+    # The order of summation may change the last bits.
+    off = F.abs(F.col("credits_used") - F.col("_stored")) > 1e-9 * F.greatest(F.abs("credits_used"), F.lit(1.0))
+    changed = both.where(F.coalesce(off, F.lit(True))).select(f"s.{key}", "credits_used", "s.day")
+    past = read_batches(spark, totals, _day_totals_schema(key), origin=True).where(F.col(STREAM) == name)
+    number = past.agg(F.coalesce(F.max(BATCH), F.lit(-1))).first()[0] + 1
+    changed = changed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if not changed.isEmpty():
+            write_batch(changed, totals, name, number, partition_by=["day"])
+    finally:
+        changed.unpersist()
+    logged = read_batches(spark, out, QUOTA_ALERT, origin=True).where(F.col(STREAM) == name)
+    turn = logged.agg(F.coalesce(F.max(BATCH), F.lit(-1))).first()[0] + 1
+    _raise_quota_alerts(spark, start.date(), config, key, scope, top_label, out, totals, (name, turn))
+
+
 def stream_failed_login_alerts(
     spark: SparkSession,
     logins: DataFrame,

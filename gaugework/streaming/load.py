@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -58,6 +59,7 @@ def stream_load(
     source = reader.load(path).withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
     stream = stream_id(spark, checkpoint)
+    empty = EmptyFiles(spark, path, log_out)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         # Read once for both outputs; lost blocks are read again from the files.
@@ -67,7 +69,7 @@ def stream_load(
             if CORRUPT in batch.columns:
                 good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
             write_batch(landing_enrich(good, as_of), out, stream, batch_id)
-            write_batch(load_log(batch, as_of, files=_unlogged_empty(spark, path, log_out)), log_out, stream, batch_id)
+            write_batch(load_log(batch, as_of, files=empty.unlogged()), log_out, stream, batch_id)
         finally:
             batch.unpersist()
 
@@ -79,17 +81,42 @@ def stream_load(
     )
 
 
-def _unlogged_empty(spark: SparkSession, path: str, log_out: str) -> DataFrame:
-    """Files without a byte that no log row names yet; they give no rows that could be counted.
+class EmptyFiles:
+    """Files without a byte, which give no rows that a batch could count.
 
-    Spark lists such files but reads nothing from them, so they are the listed ones that cannot be read.
+    Spark lists such files but reads nothing from them, so they are the listed ones that cannot be read.  The first look
+    of a run goes through the whole folder and the load log.  Later ones ask for files changed since shortly
+    before the look before (``MARGIN`` allows for other machines' clocks) and read no log: the empty files of that time are
+    remembered.  What a batch costs so does not grow with the history.
     """
-    files = spark.read.format("binaryFile").load(path)
-    name = T.StructType([T.StructField("file_name", T.StringType())])
-    listed = spark.createDataFrame([(f.replace(":///", ":/", 1),) for f in files.inputFiles()], name)
-    filled = files.select(F.col("path").alias("file_name"))
-    logged = read_batches(spark, log_out, name)
-    return listed.join(filled, "file_name", "left_anti").join(logged, "file_name", "left_anti")
+
+    MARGIN = dt.timedelta(minutes=10)
+    _NAME = T.StructType([T.StructField("file_name", T.StringType())])
+
+    def __init__(self, spark: SparkSession, path: str, log_out: str):
+        self._spark, self._path, self._log_out = spark, path, log_out
+        self._since: dt.datetime | None = None
+        self._known: dict[str, dt.datetime] = {}
+
+    def unlogged(self) -> DataFrame:
+        """``file_name`` of the empty files that have no log row yet."""
+        now, since = dt.datetime.now(dt.timezone.utc), self._since
+        reader = self._spark.read.format("binaryFile")
+        if since is not None:
+            reader = reader.option("modifiedAfter", f"{since:%Y-%m-%dT%H:%M:%S}").option("timeZone", "UTC")
+        files = reader.load(self._path)
+        listed = self._frame([f.replace(":///", ":/", 1) for f in files.inputFiles()])
+        empty = listed.join(files.select(F.col("path").alias("file_name")), "file_name", "left_anti")
+        if since is None:
+            empty = empty.join(read_batches(self._spark, self._log_out, self._NAME), "file_name", "left_anti")
+        self._known = {f: at for f, at in self._known.items() if since is None or at >= since}
+        fresh = [r["file_name"] for r in empty.collect() if r["file_name"] not in self._known]
+        self._known.update(dict.fromkeys(fresh, now))
+        self._since = now - self.MARGIN
+        return self._frame(fresh)
+
+    def _frame(self, names: list[str]) -> DataFrame:
+        return self._spark.createDataFrame([(n,) for n in names], self._NAME)
 
 
 def incremental_refresh(

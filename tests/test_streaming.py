@@ -1,13 +1,24 @@
 """Streams: files seen once, restarts, replays, late and unordered input."""
 
+import datetime as dt
 import json
+import os
+import time
 
 import pytest
 
 from gaugework.operators.quota import WAREHOUSE_TOP
-from gaugework.streaming.alerts import LOGIN_ALERT, QUOTA_ALERT, stream_failed_login_alerts, stream_quota_alerts
+from gaugework.streaming.alerts import (
+    LOGIN_ALERT,
+    QUOTA_ALERT,
+    day_totals,
+    late_rows,
+    settle_late_usage,
+    stream_failed_login_alerts,
+    stream_quota_alerts,
+)
 from gaugework.streaming.batches import read_batches, trigger, write_batch
-from gaugework.streaming.load import incremental_refresh, presented, stream_load
+from gaugework.streaming.load import EmptyFiles, incremental_refresh, presented, stream_load
 from tests.conftest import by_key, ts
 
 LANDED = "id long, note string"
@@ -135,6 +146,68 @@ def test_rows_past_the_watermark_are_dropped_and_counted(spark, frame, tmp_path)
     assert dropped == 1
 
 
+def test_a_correction_lowers_the_day(spark, frame, tmp_path):
+    quotas = [("W", "WEEKLY", 100.0, True)]
+    _usage(frame, tmp_path, ("W", "2024-01-02 01:00:00", 60.0))
+    _alerts(spark, frame, tmp_path, quotas)
+    _usage(frame, tmp_path, ("W", "2024-01-02 02:00:00", -40.0))
+    _alerts(spark, frame, tmp_path, quotas)
+    days = day_totals(spark, f"{tmp_path}/totals", "warehouse_name", dt.date(2024, 1, 1))
+    assert [(r.day.day, r.credits_used) for r in days.collect()] == [(2, 20.0)]
+    _usage(frame, tmp_path, ("W", "2024-01-03 01:00:00", 45.0))
+    assert _alerts(spark, frame, tmp_path, quotas)[0] == []
+
+
+def test_late_usage_is_settled_from_the_log(spark, frame, tmp_path):
+    quotas = [("W", "WEEKLY", 100.0, True)]
+    _usage(frame, tmp_path, ("W", "2024-01-02 01:00:00", 30.0), ("W", "2024-01-03 01:00:00", 30.0))
+    _usage(frame, tmp_path, ("W", "2024-01-12 01:00:00", 1.0))
+    _alerts(spark, frame, tmp_path, quotas)
+    _usage(frame, tmp_path, ("W", "2024-01-02 02:00:00", 20.0), ("V", "2024-01-02 02:00:00", 5.0))
+    got, q = _alerts(spark, frame, tmp_path, quotas)
+    dropped, watermark = late_rows(q)
+    assert got == [] and dropped == 2 and watermark == dt.datetime(2024, 1, 11, 1)
+    config = frame("warehouse_name string, frequency string, credit_limit double, is_active boolean", quotas)
+
+    def settle():
+        usage = spark.read.parquet(f"{tmp_path}/usage")
+        settle_late_usage(
+            spark, usage, config, "warehouse_name", "WAREHOUSE", WAREHOUSE_TOP, f"{tmp_path}/alerts", f"{tmp_path}/totals",
+            f"{tmp_path}/ckpt", start=dt.datetime(2024, 1, 1), watermark=watermark,
+        )
+        days = day_totals(spark, f"{tmp_path}/totals", "warehouse_name", dt.date(2024, 1, 1)).collect()
+        log = read_batches(spark, f"{tmp_path}/alerts", QUOTA_ALERT).collect()
+        return {(r.warehouse_name, r.day.day): r.credits_used for r in days}, sorted(r.threshold_pct for r in log)
+
+    first = settle()
+    assert first == ({("W", 2): 50.0, ("W", 3): 30.0, ("W", 12): 1.0, ("V", 2): 5.0}, [70.0])
+    # Settling again changes nothing; later usage of the same day lowers or raises it once more.
+    assert settle() == first
+    _usage(frame, tmp_path, ("W", "2024-01-02 03:00:00", 25.0), ("W", "2024-01-03 03:00:00", -5.0))
+    assert settle() == ({("W", 2): 75.0, ("W", 3): 25.0, ("W", 12): 1.0, ("V", 2): 5.0}, [70.0, 85.0, 95.0, 100.0])
+
+
+def test_empty_files_are_looked_for_among_new_files_only(spark, tmp_path):
+    old = time.time() - 3600
+    (tmp_path / "in").mkdir()
+    for name in ("a.json", "b.json"):
+        (tmp_path / "in" / name).write_text("")
+        os.utime(tmp_path / "in" / name, (old, old))
+    empty = EmptyFiles(spark, f"{tmp_path}/in", f"{tmp_path}/log")
+
+    def look():
+        return sorted(r.file_name.rsplit("/", 1)[1] for r in empty.unlogged().collect())
+
+    assert look() == ["a.json", "b.json"]
+    (tmp_path / "in" / "c.json").write_text("")
+    (tmp_path / "in" / "d.json").write_text("{}")
+    # Too old for the second look: not listed any more.
+    (tmp_path / "in" / "old.json").write_text("")
+    os.utime(tmp_path / "in" / "old.json", (old, old))
+    assert look() == ["c.json"]
+    assert look() == []
+
+
 def test_sliding_login_windows(spark, frame, tmp_path):
     schema = "client_ip string, event_timestamp timestamp_ntz, is_success string"
     data = [("ip", ts(f"2024-01-01 0{h}:30:00"), "NO") for h in (1, 4, 8)] + [("ip", ts("2024-01-01 05:00:00"), "YES")]
