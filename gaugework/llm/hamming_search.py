@@ -6,6 +6,9 @@ exactly so many bits.  A code that differs in every segment by more than that se
 is farther than the sum of (radius + 1) over the segments less one, so every nearer code has been seen.
 A query leaves once its k-th verified distance is covered; the result is exact, ties included.
 
+Every query knows a distance within which enough codes lie: at first by a comparison with ``SEEDS`` codes, later by what was
+found.  The lookup itself leaves out codes beyond it, so they never become rows.
+
 Equal codes are searched once, on both sides: a code stands for the ``k + 1`` smallest ids that
 hold it (one of which may be the query's own).  Ranking keeps k + 1 rows per code already
 before the shuffle, so a code that a third of the rows share stays small.
@@ -30,6 +33,8 @@ BITS = 64
 WIDEST = 24
 #: Masks that one round looks up, at least.
 TOGETHER = 500
+#: Codes (those with the smallest hash) that give each query its first bound; 32 KB.
+SEEDS = 4096
 
 
 def sign_code(vector: str) -> Column:
@@ -46,8 +51,11 @@ def sign_code(vector: str) -> Column:
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
-    """``(shift, width)`` of segments of nearly equal width, about log2(n)."""
-    count = max(math.ceil(BITS / WIDEST), min(BITS // 4, round(BITS / math.log2(max(n, 2)))))
+    """``(shift, width)`` of segments of nearly equal width, at most log2(n).
+
+    Wider segments would be asked for more values than there are codes.
+    """
+    count = max(math.ceil(BITS / WIDEST), min(BITS // 4, math.ceil(BITS / math.log2(max(n, 2)))))
     cuts = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -71,6 +79,7 @@ def _rounds(segments: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 
 
 def _by_segment(codes: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
+    """Every row of ``codes`` once a segment, with the ``segment`` and its ``value`` in ``code``."""
     parts = [
         F.struct(
             F.lit(i).alias("segment"),
@@ -78,7 +87,20 @@ def _by_segment(codes: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
         )
         for i, (shift, width) in enumerate(segments)
     ]
-    return codes.select("code", F.inline(F.array(*parts)))
+    return codes.select("*", F.inline(F.array(*parts)))
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _bounded(wanted: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """``wanted`` with ``far``: at least ``k + 1`` codes are as near, as ``SEEDS`` of them show."""
+    seeds = distinct.orderBy(F.xxhash64("code"), "code").limit(SEEDS).agg(F.collect_list("code").alias("_seeds"))
+    near = F.sort_array(F.transform("_seeds", lambda c: F.bit_count(c.bitwiseXOR(F.col("code")))))
+    # One row of SEEDS codes beside every query.
+    beside = wanted.join(F.broadcast(seeds))
+    return beside.select("code", F.when(F.size("_seeds") > k, F.get(near, F.lit(k))).otherwise(BITS).alias("far"))
 
 
 def _masks(width: int, radii: list[int]) -> Column:
@@ -104,7 +126,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n = distinct.count()
     segments = _segments(n)
     index = saved(_by_segment(distinct, segments))
-    wanted = saved(asked.select("code").distinct().join(distinct.withColumn("_in", F.lit(1)), "code", "left").drop("_in"))
+    wanted = saved(_bounded(asked.select("code").distinct(), distinct, k))
     kept, done = None, None
     reach = [-1] * len(segments)
     for steps in _rounds(segments):
@@ -116,15 +138,12 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 near = F.transform(_masks(width, radii), lambda m: m.bitwiseXOR(F.col("value")))
                 own = _by_segment(wanted, segments).where(F.col("segment") == i).withColumn("value", F.explode(near))
                 probe = own if probe is None else probe.unionByName(own)
-        pairs = (
-            probe.withColumnRenamed("code", "query")
-            .join(index, ["segment", "value"])
-            .select("query", "code")
-            .distinct()
-        )
-        found = pairs.join(members, "code").select(
-            "query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "id"
-        )
+        held = index.withColumnRenamed("code", "held").alias("i")
+        # One condition of the join, so what lies beyond the bound is never a row.
+        within = _apart("code", "held") <= F.col("far")
+        same = (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value"))
+        pairs = probe.alias("p").join(held, same & within).select(F.col("code").alias("query"), F.col("held").alias("code"))
+        found = pairs.distinct().join(members, "code").select("query", _apart("query", "code").alias("distance"), "id")
         if kept is not None:
             found = found.unionByName(kept.join(wanted.select(F.col("code").alias("query")), "query", "left_semi"))
         best = saved(_smallest(found.distinct(), "query", k + 1, "distance", "id"))
@@ -138,7 +157,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if last:
             break
         kept = best
-        wanted = saved(wanted.join(finished.select(F.col("query").alias("code")), "code", "left_anti"))
+        nearer = full.where(F.col("n") > k).select(F.col("query").alias("code"), F.col("far").alias("_far"))
+        left = wanted.join(finished.select(F.col("query").alias("code")), "code", "left_anti").join(nearer, "code", "left")
+        wanted = saved(left.select("code", F.least("far", F.coalesce("_far", "far")).alias("far")))
         if wanted.isEmpty():
             break
     nearest = done.groupBy(F.col("query").alias("code")).agg(
