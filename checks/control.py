@@ -162,6 +162,54 @@ def _(t):
     return op.read_audit_log(t("audit_log"), event_type="1-URGENT", status="SUCCESS")
 
 
+# Audit rows with details: the customers' segment and balance, broken text for one nation.
+DETAILED = """SELECT c_custkey AS log_id, TIMESTAMP '2001-08-02 00:00:00' AS event_time, c_name AS object_name,
+                     CASE WHEN c_nationkey = 3 THEN '{broken' ELSE
+                     '{"customer":{"segment":"' || c_mktsegment || '","nation":' || CAST(c_nationkey AS VARCHAR(9)) || '}}' END AS details
+              FROM customer"""
+
+
+def _detailed(t):
+    customer = F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return t.table("customer").select(
+        F.col("c_custkey").alias("log_id"),
+        F.lit("2001-08-02").cast("timestamp_ntz").alias("event_time"),
+        F.col("c_name").alias("object_name"),
+        F.when(F.col("c_nationkey") == 3, "{broken")
+        .otherwise(op.document(F.to_json(F.struct(customer.alias("customer")))))
+        .alias("details"),
+    )
+
+
+@query(
+    "audit_by_detail",
+    "",
+    f"""WITH log AS ({DETAILED}) SELECT l.* FROM log l JOIN customer ON c_custkey = log_id
+        WHERE c_mktsegment = 'BUILDING' AND c_nationkey <> 3""",
+)
+def _(t):
+    # Key order is part of the canonical text, not of the meaning: the SQL's text is compared by value.
+    found = op.audit_by_detail(_detailed(t), "$.customer.segment", "BUILDING")
+    nation = op.detail("details", "$.customer.nation", "bigint").cast("string")
+    text = F.concat(F.lit('{"customer":{"segment":"BUILDING","nation":'), nation, F.lit("}}"))
+    return found.withColumn("details", text)
+
+
+@query(
+    "details_per_nation",
+    "",
+    """SELECT c_nationkey AS nation, count(*) AS actions, count(DISTINCT c_mktsegment) AS segments
+       FROM customer WHERE c_nationkey <> 3 GROUP BY 1 UNION ALL
+       SELECT NULL, count(*), 0 FROM customer WHERE c_nationkey = 3 HAVING count(*) > 0""",
+)
+def _(t):
+    nation = op.detail("details", "$.customer.nation", "bigint").cast("int").alias("nation")
+    segment = op.detail("details", "$.customer.segment")
+    return _detailed(t).groupBy(nation).agg(
+        F.count(F.lit(1)).alias("actions"), F.countDistinct(segment).alias("segments")
+    )
+
+
 ALERT = "alert_id event_time scope resource_name threshold_pct credits_used credit_limit status message"
 ALERTS = f"""SELECT {ALERT.replace(' ', ', ')} FROM (SELECT * RENAME (alert_time AS event_time) FROM monitoring_alert_log)
              WHERE event_time {PERIOD} {top('event_time DESC', ALERT, 200)}"""

@@ -248,6 +248,32 @@ def read_audit_log(
     return top_k(rows, k, desc("event_time"), desc("log_id"))
 
 
+def document(value: Column | str) -> Column:
+    """A struct, map, array or JSON text as the JSON text that logs keep; text that is no JSON fails.
+
+    Numbers, key order and spacing come out in one form, so equal documents are equal texts.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    return F.parse_json(column.cast("string")).cast("string")
+
+
+def detail(column: str, path: str, kind: str = "string") -> Column:
+    """The value at a JSON ``path`` of a stored document; NULL where it lacks, is of another kind or the text is no JSON."""
+    return F.try_variant_get(F.try_parse_json(F.col(column)), path, kind)
+
+
+def audit_by_detail(log: DataFrame, path: str, value: object, kind: str = "string") -> DataFrame:
+    """The actions whose details hold ``value`` at ``path``, newest first."""
+    rows = log.where(detail("details", path, kind) == F.lit(value))
+    return ordered(rows, desc("event_time"), desc("log_id"))
+
+
+def document_schema(df: DataFrame, column: str) -> DataFrame:
+    """``schema``: the one schema, as DDL text, that fits all stored documents; what is no JSON takes no part."""
+    parsed = df.select(F.try_parse_json(F.col(column)).alias("_document"))
+    return parsed.agg(F.schema_of_variant_agg("_document").alias("schema"))
+
+
 def _alert_view(alerts: DataFrame) -> DataFrame:
     return alerts.withColumnRenamed("alert_time", "event_time")
 

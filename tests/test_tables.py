@@ -304,3 +304,27 @@ def test_scan_normalises_types_and_refuses_missing_columns(spark, frame, tmp_pat
         scan_usage(spark, f"{root}/bad", "users")
     with pytest.raises(KeyError):
         scan_usage(spark, root, "nope")
+
+
+def test_documents_in_logs(spark, frame):
+    log = frame(
+        "log_id long, event_time timestamp_ntz, details string",
+        [
+            (1, ts("2024-01-01"), '{"a": {"b": 1}, "k": "x"}'),
+            (2, ts("2024-01-02"), '{"k":"x","a":{"b":"1"}}'),
+            (3, ts("2024-01-03"), "{broken"),
+            (4, ts("2024-01-04"), None),
+            (5, ts("2024-01-05"), '{"a": null}'),
+        ],
+    )
+    assert [r.log_id for r in control.audit_by_detail(log, "$.k", "x").collect()] == [2, 1]
+    # A text that reads as a number counts as one.
+    assert sorted(r.log_id for r in control.audit_by_detail(log, "$.a.b", 1, "int").collect()) == [1, 2]
+    assert control.audit_by_detail(log, "$.z", "x").count() == 0
+    schema = control.document_schema(log, "details").first().schema
+    assert "OBJECT" in schema and "k: STRING" in schema
+    texts = log.where("log_id in (1, 5)").select(control.document("details").alias("d")).collect()
+    assert [r.d for r in texts] == ['{"a":{"b":1},"k":"x"}', '{"a":null}']
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING"):
+        log.select(control.document("details")).collect()
+    assert control.document_schema(log.limit(0), "details").count() == 1
