@@ -324,6 +324,13 @@ def test_hamming_search_against_all_pairs(spark):
     assert tuples(got, "query_id", "rank", "id", "distance") == sorted(want, key=repr)
 
 
+def test_hamming_search_with_clashing_columns(spark):
+    rows = [(i, i, -1, "x", 2, 3, 4) for i in range(4)]
+    frame = spark.createDataFrame(rows, "id long, code long, far int, held string, query long, segment int, value long")
+    got = hamming_search.search(frame, frame.where("id = 0"), k=2)
+    assert tuples(got, "query_id", "rank", "id", "distance") == [(0, 1, 1, 1), (0, 2, 2, 1)]
+
+
 def test_hamming_search_with_few_or_no_rows(spark):
     schema = "id long, code long"
     few = spark.createDataFrame([(1, 5), (2, -1)], schema)
