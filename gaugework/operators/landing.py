@@ -116,8 +116,11 @@ def latest_versions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def unchanged_removed(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` that are not already the current version of their key."""
-    known = latest_versions(stored.select(*keys, *_ORDER), keys)
+    """Rows of ``batch`` that are not already the current version of their key.
+
+    The stored keys are shuffled, never broadcast: a broadcast goes through the driver, once for every batch of a stream.
+    """
+    known = latest_versions(stored.select(*keys, *_ORDER), keys).hint("merge")
     return batch.alias("l").join(
         known.alias("r"), _match([*keys, ROW_HASH]), "left_anti"
     )

@@ -6,7 +6,9 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from gaugework.operators.landing import landing_enrich, unchanged_removed
 from gaugework.operators.quota import WAREHOUSE_TOP
 from gaugework.streaming.alerts import (
     LOGIN_ALERT,
@@ -239,6 +241,15 @@ def test_refresh_presents_the_newest_rows(spark, frame, tmp_path, skip_unchanged
     assert stored == (3 if skip_unchanged else 4)
 
 
+def test_stored_keys_are_not_sent_to_the_driver(spark, frame):
+    schema = "id long, v string"
+    stored = landing_enrich(frame(schema, [(1, "a"), (None, "n"), (2, "b")]), "2024-01-01", F.lit("f1"))
+    batch = landing_enrich(frame(schema, [(1, "a"), (None, "n"), (2, "c"), (3, None)]), "2024-01-02", F.lit("f2"))
+    fresh = unchanged_removed(batch, stored, ["id"])
+    assert {(r["id"], r["v"]) for r in fresh.collect()} == {(2, "c"), (3, None)}
+    assert "Broadcast" not in fresh._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cadences():
     assert trigger(None) == {"availableNow": True}
     assert trigger("5 minutes") == {"processingTime": "5 minutes"}
