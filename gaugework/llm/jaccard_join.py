@@ -19,8 +19,10 @@ far are known; only two members of one component need not be compared with each
 is done once its members are of one component; else it recurses with ``GROWTH`` times as many new pivots,
 taken from the smaller components first.  Members that link to a pivot leave the region if the triangle inequality
 rules out every member of another component: their distance to the pivot is below the smallest of
-such a member less ``radius``.  Regions of at most ``SMALL`` pairs are compared pair by pair.  Nothing is
-capped; a region costs its size times the number of pivots it needs, and the rounds grow with the logarithm of that.
+such a member less ``radius``.  That needs the distances of all members, which is worth it for ``MEASURED`` pivots of a region; to
+later ones only members of other components are compared, and only if the bitmaps (see below) leave a link possible.  So are
+the members of regions of at most ``SMALL`` pairs, all of them at once.  Nothing is capped; a region costs its size
+times the number of pivots it needs, and the rounds grow with the logarithm of that.
 
 Every set also has a parity bitmap of about two bits a shingle.  Bits in which two bitmaps differ are shingles in
 which the sets differ, so they bound the distance from below, which rules out nearly all pairs that
@@ -57,6 +59,8 @@ BLOCKS = 64
 SMALL = 1 << 14
 #: By how much the number of pivots in a region grows each round.
 GROWTH = 16
+#: Rounds of up to so many pivots in a region measure the distances of all its members.
+MEASURED = 16
 #: Ids of documents whose sets are wanted are first looked up in a broadcast table of at most so many
 #: numbers (4 bytes each).
 FILTER_BITS = 1 << 20
@@ -330,7 +334,11 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("g").orderBy("peers", F.desc("shares"), "node"))
         pivots = inside.where("open").withColumn("_rank", rank).where(F.col("_rank") <= count)
         pivots = pivots.select("g", F.col("node").alias("pivot"), F.col("depth").alias("_depth"), F.col("size").alias("_size"))
-        reached = _together(inside, pivots, rule)
+        if count <= MEASURED:
+            reached = _together(inside, pivots, rule)
+        else:
+            own = inside.select("g", F.col("node").alias("pivot"), F.col("component").alias("_component"))
+            reached = _apart(inside, pivots.join(own, ["g", "pivot"]), nodes, rule)
         wanted = pairs.unionByName(
             reached.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
         )
@@ -350,31 +358,9 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             .drop("component_id")
         )
         rest = written(_unconnected(rest))
-        # The triangle inequality: what links to a member of another component is at least this far from the pivot.
-        # It needs the distance of every such member.
-        both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
-        seen = (
-            reached.select("g", "pivot", "node")
-            .join(rest.select("g", "node", "component", "peers", "_all"), ["g", "node"])
-            .join(both, ["pivot", "node"])
-            .join(known.select(F.col("node").alias("pivot"), F.col("component_id").alias("_component")), "pivot", "left")
-            .withColumn("_other", F.col("component") != F.coalesce("_component", "pivot"))
-        )
-        # A pivot's linked members are of its component and say how many there are of it.
-        nearest = seen.groupBy("g", "pivot").agg(
-            F.min(F.when(F.col("_other"), F.col("distance"))).alias("_nearest"),
-            F.count_if("_other").alias("_seen"),
-            F.max(F.when(~F.col("_other"), F.col("_all") - F.col("peers"))).alias("_others"),
-        )
-        nearest = nearest.where(F.col("_seen") == F.col("_others"))
-        outside = (
-            seen.where("linked")
-            .join(nearest, ["g", "pivot"])
-            .where(F.col("distance") < F.col("_nearest") - radius - 1e-9)
-            .join(several, "node", "left_anti")
-            .join(several.withColumnRenamed("node", "pivot"), "pivot", "left_anti")
-        )
-        kept = rest.drop("peers", "open", "_open", "_all").join(outside.select("g", "node").distinct(), ["g", "node"], "left_anti")
+        kept = rest.drop("peers", "open", "_open", "_all")
+        if count <= MEASURED:
+            kept = kept.join(_outside(rest, reached, tested, known, several, radius), ["g", "node"], "left_anti")
         few = (F.col("_open") * F.col("_all") <= SMALL).alias("small")
         left = written(_unconnected(kept).select(*inside.columns, few))
         if left.isEmpty():
@@ -387,12 +373,45 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             F.col("size").alias("_size"),
             F.col("component").alias("_component"),
         )
-        each = _together(small, other, rule).where(F.col("component") != F.col("_component"))
+        each = _apart(small, other, nodes, rule)
         pairs = each.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         inside = left.where(~F.col("small")).drop("small")
         count *= GROWTH
 
 
+def _outside(
+    rest: DataFrame, reached: DataFrame, tested: DataFrame, known: DataFrame, several: DataFrame, radius: float
+) -> DataFrame:
+    """``g, node`` of the members that link to a pivot and can link to no member of another component.
+
+    The triangle inequality: what links to a member of another component is at least as far from the pivot as that member, less ``radius``.
+    It needs the distance of every such member.
+    """
+    both = tested.unionByName(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"), "linked", "distance"))
+    seen = (
+        reached.select("g", "pivot", "node")
+        .join(rest.select("g", "node", "component", "peers", "_all"), ["g", "node"])
+        .join(both, ["pivot", "node"])
+        .join(known.select(F.col("node").alias("pivot"), F.col("component_id").alias("_component")), "pivot", "left")
+        .withColumn("_other", F.col("component") != F.coalesce("_component", "pivot"))
+    )
+    # A pivot's linked members are of its component and say how many there are of it.
+    nearest = seen.groupBy("g", "pivot").agg(
+        F.min(F.when(F.col("_other"), F.col("distance"))).alias("_nearest"),
+        F.count_if("_other").alias("_seen"),
+        F.max(F.when(~F.col("_other"), F.col("_all") - F.col("peers"))).alias("_others"),
+    )
+    nearest = nearest.where(F.col("_seen") == F.col("_others"))
+    outside = (
+        seen.where("linked")
+        .join(nearest, ["g", "pivot"])
+        .where(F.col("distance") < F.col("_nearest") - radius - 1e-9)
+        .join(several, "node", "left_anti")
+        .join(several.withColumnRenamed("node", "pivot"), "pivot", "left_anti")
+    )
+    return outside.select("g", "node").distinct()
+
+
 def _unconnected(members: DataFrame) -> DataFrame:
     """Members of the regions with more than one component: how many ``peers`` are of a member's own, whether it is
     ``open`` (not of the region's largest one), and how many members are ``_open`` and in ``_all``."""
@@ -415,6 +434,21 @@ def _together(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
     ).drop("_depth", "_size")
 
 
+def _apart(members: DataFrame, pivots: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of :func:`_together` that are of other components (``component``, ``_component``) and whose bitmaps leave a link possible.
+
+    All of it is one condition of the join, so what it rules out is never a row.
+    """
+    ours = nodes.select("node", F.col("size").alias("_a"), F.col("bits").alias("_ours"))
+    theirs = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("_b"), F.col("bits").alias("_theirs"))
+    differing = _differing_bits("_ours", "_theirs")
+    return (
+        _together(members.join(ours, "node"), pivots.join(theirs, "pivot"), rule)
+        .where((F.col("component") != F.col("_component")) & rule.near(differing, F.col("_a"), F.col("_b")))
+        .select("g", "pivot", "node")
+    )
+
+
 def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs`` (``doc_id, text``).
 

@@ -285,6 +285,27 @@ def test_jaccard_join_finds_one_bridge_between_two_families(spark, docs):
     assert tuples(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+def test_jaccard_join_of_near_copies_that_do_not_link_makes_few_rows(docs, monkeypatch):
+    rng = random.Random(5)
+    base, rows = [f"w{rng.randrange(9000)}" for _ in range(100)], []
+    for i in range(200):
+        words, at = list(base), rng.randrange(5, 90)
+        words[at], words[at + 2] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(words)))
+    rows.append((200, rows[7][1] + " z"))
+    measured, made = jaccard_join.measured, []
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return measured(pairs, *args)
+
+    monkeypatch.setattr(jaccard_join, "measured", counted)
+    rule = jaccard_join.Rule(n=4, part=85, whole=100)
+    got = jaccard_join.near_duplicates(docs(rows), rule).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, rule)
+    assert sum(made) < 9000, made
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.near_duplicates(clashing(spark, [*ODD, (6, "A B\tC D"), (7, "x y"), (7, "a b c d"), (8, "X\x0by"), (9, "É x y z"), (10, "é x y z")]), jaccard_join.Rule(4, 85, 100))
     rows = tuples(got, "doc_id", "n_shingles", "component_id")
