@@ -47,8 +47,8 @@ from gaugework.llm.shared import mix, slices, strings, written
 POSITIONS = 128
 ERRORS = 45
 PER_CHUNK = 1
-#: Pairs up to which a region is compared directly.
-SMALL = 4096
+#: Pairs up to which a region is compared directly; the sketches rule pairs out within the join, so few become rows.
+SMALL = 1 << 21
 _SEED = 20_240_131
 
 
@@ -294,15 +294,17 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     found = found.unionByName(_linked(written(rest.select("pivot", "node")), docs, rule))
     known = components(found)
     members = _open(regions, nodes, known)
-    signed = members.join(nodes.select("node", "signature"), "node")
-    near = differing_symbols("signature_a", "signature_b") <= ERRORS
+    sketch = nodes.select("node", "signature", "bits")
+    signed = members.join(sketch, "node")
     sizes = rule.near(F.abs(F.col("size_a") - F.col("size_b")), F.col("size_a"), F.col("size_b"))
+    bitmaps = rule.near(differing_bits("bits_a", "bits_b"), F.col("size_a"), F.col("size_b"))
+    near = bitmaps & (differing_symbols("signature_a", "signature_b") <= ERRORS)
     small = signed.where(F.col("pairs") <= SMALL).drop("pairs", "least")
     few = _beside(small.where("open"), small, ["region"], sizes, near)
     large = members.where(F.col("pairs") > SMALL)
     several = nodes.where("several").select("node").distinct()
     if not large.isEmpty():
-        listed = written(_rarest(large, docs, rule, several)).join(nodes.select("node", "signature"), "node")
+        listed = written(_rarest(large, docs, rule, several)).join(sketch, "node")
         listed = listed.drop("pairs", "least")
         before = F.col("place_a") + F.col("place_b")
         placed = rule.near(before, F.col("size_a"), F.col("size_b"))

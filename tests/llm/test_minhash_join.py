@@ -149,3 +149,21 @@ def test_an_id_with_several_texts_links_its_classes(docs, monkeypatch, small):
     rows = [(10, " ".join(a)), (10, " ".join(b)), (11, " ".join(edited(rng, a, 2))), (12, " ".join(edited(rng, b, 2))), (13, " ".join(c))]
     got = {(r.doc_id, r.component_id) for r in m.near_duplicates(docs(rows), RULE).collect()}
     assert got == {(10, 10), (11, 10), (12, 10), (13, 13)}
+
+
+@pytest.mark.parametrize("small", [0, 1 << 21])
+def test_near_copies_that_do_not_link_make_few_rows(docs, monkeypatch, small):
+    rng = random.Random(8)
+    base = text(rng, 150)
+    rows = [(i, " ".join(edited(rng, base, 11))) for i in range(150)]
+    beside, made = m._beside, []
+
+    def counted(*args):
+        found = beside(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(m, "_beside", counted)
+    monkeypatch.setattr(m, "SMALL", small)
+    check(docs, rows)
+    assert sum(made) < 1000
