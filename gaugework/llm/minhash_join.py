@@ -47,8 +47,8 @@ from gaugework.llm.shared import mix, slices, strings, written
 POSITIONS = 128
 ERRORS = 45
 PER_CHUNK = 1
-#: Pairs up to which a region is compared directly; the sketches rule pairs out within the join, so few become rows.
-SMALL = 1 << 21
+#: Pairs up to which a region is compared directly.
+SMALL = 4096
 _SEED = 20_240_131
 
 
