@@ -39,7 +39,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -139,8 +139,8 @@ def _each_slice(batches: Iterator[pa.RecordBatch], n: int):
             yield batch.column(0).slice(at, many), hashes, ends
 
 
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many shingles of all documents fall into each hash bucket, scaled to at most 20 bits.
+def tally(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many of the ``hashes`` of all ``rows`` fall into each hash bucket, scaled to at most 20 bits.
 
     A task sends its counters as ``BLOCKS`` rows; whoever receives a block only keeps its sum.
     """
@@ -148,8 +148,8 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BUCKETS, "<u4")
-        for _, hashes, _ in _each_slice(batches, n):
-            held += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS).astype("<u4")
+        for own in hashes(batches):
+            held += np.bincount((own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS).astype("<u4")
         parts = [held[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "held"]
@@ -168,7 +168,7 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
             )
 
     shape = "block int, held binary"
-    parts = docs.select("doc_id", "text").mapInArrow(count, shape)
+    parts = rows.mapInArrow(count, shape)
     sums = parts.repartition("block").mapInArrow(add, shape)
     counted = np.zeros(BUCKETS, np.int64)
     for block, held in sums.collect():  # BUCKETS numbers
@@ -177,6 +177,11 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(counted // step, (1 << 20) - 1).astype(np.uint32)
 
 
+def frequencies(docs: DataFrame, n: int) -> np.ndarray:
+    """The :func:`tally` of the shingles of all documents."""
+    return tally(docs.select("doc_id", "text"), lambda batches: (hashes for _, hashes, _ in _each_slice(batches, n)))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
@@ -252,14 +257,23 @@ def _differing_bits(a: str, b: str) -> Column:
     return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * length, total).otherwise(0).cast("bigint")
 
 
-def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """``pivot, node, linked, distance`` of all ``pairs`` (``pivot, node``).
+def _looked_up(rows: DataFrame, by: str, nodes: DataFrame, **names: str) -> DataFrame:
+    """``rows`` with columns of ``nodes`` for the node in ``by``, under new ``names``.
+
+    They are renamed after the join: so Spark shuffles ``nodes`` once for all the columns they are looked up by.
+    """
+    found = rows.alias("_rows").join(nodes.alias("_nodes"), F.col(f"_rows.{by}") == F.col("_nodes.node"))
+    return found.select("_rows.*", *(F.col(f"_nodes.{c}").alias(name) for c, name in names.items()))
+
+
+def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, repeated: bool = True) -> DataFrame:
+    """``pivot, node, linked, distance`` of all ``pairs`` (``pivot, node``, none twice).
 
-    The distance is exact where the bitmaps leave a link possible, else a lower bound above the radius.
+    The distance is exact where the bitmaps leave a link possible, else a lower bound above the radius.  ``repeated`` says
+    whether ids may have several texts.
     """
-    ours = nodes.select("node", F.col("size").alias("_a"), F.col("bits").alias("_ours"))
-    theirs = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("_b"), F.col("bits").alias("_theirs"))
-    both = pairs.join(ours, "node").join(theirs, "pivot")
+    both = _looked_up(pairs, "node", nodes, size="_a", bits="_ours")
+    both = _looked_up(both, "pivot", nodes, size="_b", bits="_theirs")
     total = F.col("_a") + F.col("_b")
     apart = F.greatest(_differing_bits("_ours", "_theirs"), F.abs(F.col("_a") - F.col("_b")))
     # At least so many shingles are in one set only; the similarity is at most this fraction.
@@ -269,13 +283,13 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
         rule.near(F.col("_apart"), F.col("_a"), F.col("_b")).alias("_may"),
         (1 - (total - F.col("_apart")) / (total + F.col("_apart"))).alias("distance"),
     )
-    bounded = written(bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance")))
+    if repeated:
+        bounded = bounded.groupBy("pivot", "node").agg(F.max("_may").alias("_may"), F.min("distance").alias("distance"))
+    bounded = written(bounded)
     may = bounded.where("_may").select("pivot", "node")
     wanted = may.select("node").unionByName(may.select(F.col("pivot").alias("node"))).distinct()
     sets = written(sets_of(docs, wanted, rule.n))
-    compared = may.join(sets.withColumnRenamed("shingles", "_ours"), "node").join(
-        sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_theirs")), "pivot"
-    )
+    compared = _looked_up(_looked_up(may, "node", sets, shingles="_ours"), "pivot", sets, shingles="_theirs")
     sized = compared.select(
         "pivot",
         "node",
@@ -285,8 +299,9 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     )
     linked = rule.links(F.col("_common"), F.col("_a"), F.col("_b"))
     distance = 1 - F.col("_common") / (F.col("_a") + F.col("_b") - F.col("_common"))
-    # An id with several texts counts with the nearest ones.
-    exact = sized.groupBy("pivot", "node").agg(F.max(linked).alias("linked"), F.min(distance).alias("distance"))
+    exact = sized.select("pivot", "node", linked.alias("linked"), distance.alias("distance"))
+    # An id with several rows counts with the nearest of its texts.
+    exact = exact.groupBy("pivot", "node").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
     never = bounded.where(~F.col("_may")).select("pivot", "node", F.lit(False).alias("linked"), "distance")
     return written(never.unionByName(exact))
 
@@ -297,8 +312,11 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Members are ``g, node, depth, size, shares``; ``depth`` is the one-sided distance to the region's pivot, the
     number of a set's shingles before ``g``.
     """
-    entered = nodes.select(F.posexplode("window").alias("depth", "g"), "node", "size")
-    shared = entered.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > 1)
+    # Most of what enters is alone in its region.  It is shuffled once, for the counts and for the join with them; the
+    # counts take all columns, since with fewer Spark would make another shuffle of them.
+    entered = nodes.select(F.posexplode("window").alias("depth", "g"), "node", "size").repartition("g")
+    counts = entered.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("node", "depth", "size")).alias("_least"))
+    shared = counts.select("g", "n", F.col("_least.node").alias("least")).where(F.col("n") > 1)
     members = written(entered.join(shared, "g"))
     # Copies share many shingles: of regions with the same nodes the first in the order is enough.
     marks = members.groupBy("n", "least", "g").agg(
@@ -322,6 +340,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """
     pairs, members, meeting = _regions(nodes)
     several = written(nodes.where("several").select("node").distinct())
+    repeated = not several.isEmpty()
     # Only nodes that meet another one are ever compared.
     nodes = written(nodes.select("node", "size", "bits").join(meeting, "node", "left_semi"))
     radius = 1 - rule.part / rule.whole
@@ -332,17 +351,15 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     while True:
         # The most central members of the smallest components become pivots; ranking keeps few rows of a region before the shuffle.
         rank = F.row_number().over(Window.partitionBy("g").orderBy("peers", F.desc("shares"), "node"))
-        pivots = inside.where("open").withColumn("_rank", rank).where(F.col("_rank") <= count)
-        pivots = pivots.select("g", F.col("node").alias("pivot"), F.col("depth").alias("_depth"), F.col("size").alias("_size"))
+        pivots = written(_as_pivots(inside.where("open").withColumn("_rank", rank).where(F.col("_rank") <= count)))
         if count <= MEASURED:
-            reached = _together(inside, pivots, rule)
+            reached = _together(inside, pivots.drop("_component"), rule)
         else:
-            own = inside.select("g", F.col("node").alias("pivot"), F.col("component").alias("_component"))
-            reached = _apart(inside, pivots.join(own, ["g", "pivot"]), nodes, rule)
+            reached = _apart(inside, pivots, nodes, rule)
         wanted = pairs.unionByName(
             reached.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
         )
-        tested = measured(wanted.distinct(), nodes, docs, rule)
+        tested = measured(wanted.distinct(), nodes, docs, rule, repeated)
         linked = tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         found = linked if found is None else found.unionByName(linked)
         if inside.isEmpty():
@@ -366,19 +383,18 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         if left.isEmpty():
             return found
         small = left.where("small").drop("small")
-        other = small.where("open").select(
-            "g",
-            F.col("node").alias("pivot"),
-            F.col("depth").alias("_depth"),
-            F.col("size").alias("_size"),
-            F.col("component").alias("_component"),
-        )
-        each = _apart(small, other, nodes, rule)
+        each = _apart(small, _as_pivots(small.where("open")), nodes, rule)
         pairs = each.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         inside = left.where(~F.col("small")).drop("small")
         count *= GROWTH
 
 
+def _as_pivots(members: DataFrame) -> DataFrame:
+    """``members`` with the column names of the other side of a pair."""
+    names = {"node": "pivot", "depth": "_depth", "size": "_size", "component": "_component"}
+    return members.select("g", *(F.col(c).alias(name) for c, name in names.items()))
+
+
 def _outside(
     rest: DataFrame, reached: DataFrame, tested: DataFrame, known: DataFrame, several: DataFrame, radius: float
 ) -> DataFrame:
@@ -439,11 +455,11 @@ def _apart(members: DataFrame, pivots: DataFrame, nodes: DataFrame, rule: Rule)
 
     All of it is one condition of the join, so what it rules out is never a row.
     """
-    ours = nodes.select("node", F.col("size").alias("_a"), F.col("bits").alias("_ours"))
-    theirs = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("_b"), F.col("bits").alias("_theirs"))
+    ours = _looked_up(members, "node", nodes, size="_a", bits="_ours")
+    theirs = _looked_up(pivots, "pivot", nodes, size="_b", bits="_theirs")
     differing = _differing_bits("_ours", "_theirs")
     return (
-        _together(members.join(ours, "node"), pivots.join(theirs, "pivot"), rule)
+        _together(ours, theirs, rule)
         .where((F.col("component") != F.col("_component")) & rule.near(differing, F.col("_a"), F.col("_b")))
         .select("g", "pivot", "node")
     )

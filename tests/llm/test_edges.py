@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.llm import byte_bpe, chat, fixity, forest_search, hamming_search, jaccard_join, packing, quality, toxicity, url_model
+from gaugework.llm import components as components_module
 from gaugework.llm.components import components
+from gaugework.llm.shared import written
 from tests.llm.conftest import DOCS, tuples
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -328,6 +330,40 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components_module, "written", lambda df: made.append(written(df)) or made[-1])
+    stars = [(100, 100 + i) for i in range(1, 30)] + [(7, 3), (3, 7), (9, 3)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(stars, "a long, b long")).collect())
+    assert got == {**dict.fromkeys(range(100, 130), 100), 3: 3, 7: 3, 9: 3}
+    assert len(made) == 1
+
+
+def test_jaccard_join_shuffles_windows_and_sketches_once(spark, docs, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:20], *(rng.choice(words) for _ in range(20))])) for i in range(20)]
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(jaccard_join, "written", planned)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        jaccard_join.near_duplicates(docs(rows), jaccard_join.Rule(n=1, part=80, whole=100)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    windows = [p for p in plans if "posexplode(window" in p]
+    assert windows and all(p.count("Generate posexplode") == 1 for p in windows)
+    sketched = [p for p in plans if "_apart" in p]
+    assert sketched and all("ReusedExchange" in p for p in sketched)
+
+
 # Searches
 
 
