@@ -17,7 +17,8 @@ with a pivot are its region.
    are compared with those of other components: in regions of at
    most ``SMALL`` such pairs directly, in others where they share one of their rarest shingles.  Two sets that link have
    one in common among so many of their first shingles in any order that all the others together are too
-   few; the order is rare before frequent within the region, so what sets a node apart is looked up first.
+   few; the order is first what the region's pivot lacks, rare before frequent by a count in ``BUCKETS`` hash buckets (a table
+   of fixed size) over all such regions, so what sets a node apart is looked up first.
 
 Pairs are ruled out by the sizes, by the signatures' distance and by parity bitmaps (a bound of the sets' difference), and only what is
 left is compared shingle by shingle.  Copies (equal sets) are one node.  Every step is written out.
@@ -41,8 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import components
-from gaugework.llm.jaccard_join import Rule, sets_of, shingle_sets
-from gaugework.llm.shared import mix, slices, strings, written
+from gaugework.llm.jaccard_join import BUCKET_BITS, Rule, sets_of, shingle_sets, tally
+from gaugework.llm.shared import extended, mix, slices, strings, written
 
 POSITIONS = 128
 ERRORS = 45
@@ -239,10 +240,15 @@ def _beside(asked: DataFrame, members: DataFrame, keys: list[str], *conditions:
     return both.select(*ends).distinct()
 
 
+def _values(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy()
+
+
 def _rarest(members: DataFrame, docs: DataFrame, rule: Rule, several: DataFrame) -> DataFrame:
     """``members`` once for each of the shingles that a partner must have one of: ``shingle`` and its ``place``.
 
-    Shingles that the node which names the region lacks come first, those of fewer members before others.
+    Shingles that the node which names the region lacks come first, those of fewer members before others.  Members are
+    counted by the hash bucket of a shingle, over all regions; only what a partner must have one of becomes a row.
     """
     pivots = members.select(F.col("region").alias("node"))
     sets = written(sets_of(docs, members.select("node").unionByName(pivots).distinct(), rule.n))
@@ -254,30 +260,44 @@ def _rarest(members: DataFrame, docs: DataFrame, rule: Rule, several: DataFrame)
         *(F.first(c).alias(c) for c in members.columns if c not in ("region", "node", "size")),
         F.first("size").alias("size"),
         F.first("_ours").alias("_ours"),
-        F.first("_theirs").alias("_theirs"),
+        # One set for the whole region, if the node which names it has several texts.
+        F.min("_theirs").alias("_theirs"),
     )
     both = written(
         both.withColumns(
             {"_own": F.array_except("_ours", "_theirs"), "_shared": F.sort_array(F.array_intersect("_ours", "_theirs"))}
         ).drop("_ours", "_theirs")
     )
-    own = both.select("region", "node", "_set", F.explode("_own").alias("_shingle"))
-    holders = own.groupBy("region", "_shingle").agg(F.count("*").alias("_holders"))
-    sorted_own = own.join(holders, ["region", "_shingle"]).groupBy("region", "node", "_set").agg(
-        F.sort_array(F.collect_list(F.struct("_holders", "_shingle"))).alias("_sorted")
-    )
+    held = tally(both.select("_own"), lambda batches: (_values(batch.column(0)).view(np.uint64) for batch in batches))
+    order = docs.sparkSession.sparkContext.broadcast(held)
     # An id with several texts may have smaller sets than its node says.
     loose = members.join(several, "node", "left_semi").select("region").distinct().withColumn("_loose", F.lit(True))
-    joined = both.join(sorted_own, ["region", "node", "_set"], "left").join(loose, "region", "left")
+    joined = both.join(loose, "region", "left")
     smallest = F.ceil(F.col("size") * rule.part / rule.whole)
     least = F.when(F.col("_loose").isNotNull(), smallest).otherwise(F.greatest("least", smallest)).cast("bigint")
     part, both_parts = rule.part, rule.part + rule.whole
     needed = F.expr(f"({part} * (size + _least) + {both_parts - 1}) div {both_parts}")
-    order = F.concat(F.coalesce(F.col("_sorted._shingle"), F.array().cast("array<bigint>")), F.col("_shared"))
-    first = joined.withColumn("_least", least).withColumn(
-        "_first", F.slice(order, F.lit(1), F.greatest(F.col("size") - needed + 1, F.lit(1)).cast("int"))
-    )
-    return first.select(*members.columns, F.posexplode("_first").alias("place", "shingle"))
+    many = F.greatest(F.col("size") - needed + 1, F.lit(1)).cast("int")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                listed = []
+                for own, shared, count in zip(rows["_own"], rows["_shared"], rows["_many"].to_pylist(), strict=True):
+                    mine = own.values.to_numpy()
+                    rank = order.value[(mine.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    listed.append(np.concatenate((mine[np.lexsort((mine, rank))], shared.values.to_numpy()))[:count])
+                ends = [len(x) for x in listed]
+                kept = rows.select(names).take(pa.array(np.repeat(np.arange(len(ends)), ends)))
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in ends])
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(places), pa.array(np.concatenate(listed))], names=[*names, "place", "shingle"]
+                )
+
+    names = members.columns
+    sized = joined.withColumn("_least", least).select(*names, "_own", "_shared", many.alias("_many"))
+    return sized.mapInArrow(first, extended(members.select(*names), place="int", shingle="bigint"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:

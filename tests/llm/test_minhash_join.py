@@ -167,3 +167,28 @@ def test_near_copies_that_do_not_link_make_few_rows(docs, monkeypatch, small):
     monkeypatch.setattr(m, "SMALL", small)
     check(docs, rows)
     assert sum(made) < 1000
+
+
+def test_only_what_is_looked_up_becomes_a_row(spark, docs):
+    rng = random.Random(9)
+    base = text(rng, 60)
+    rows = [(i, " ".join(edited(rng, base, 0 if i == 0 else 20))) for i in range(40)]
+    members = spark.createDataFrame(
+        [(0, i, len(shingles(t)), i, i > 0, 1600, 30) for i, t in rows],
+        "region long, node long, size long, component long, open boolean, pairs long, least long",
+    )
+    several = spark.createDataFrame([], "node long")
+    listed = m._rarest(members, docs(rows), RULE, several)
+    # Shingles outside the region's pivot are counted without a row each.
+    assert "Generate" not in listed._jdf.queryExecution().analyzed().toString()
+    got = {}
+    for r in listed.collect():
+        got.setdefault(r.node, []).append((r.place, r.shingle))
+    for i, t in rows:
+        size = len(shingles(t))
+        needed = -(-80 * (size + max(30, -(-size * 80 // 100))) // 180)
+        assert [place for place, _ in sorted(got[i])] == list(range(size - needed + 1))
+    # All members list in one order: what two list in part of, they list in the same sequence.
+    for i, j in ((1, 2), (3, 4), (5, 6)):
+        a, b = ([x for _, x in sorted(got[k])] for k in (i, j))
+        assert [x for x in a if x in b] == [x for x in b if x in a]
