@@ -136,6 +136,8 @@ def _each_slice(batches: Iterator[pa.RecordBatch], n: int):
         texts = strings(batch.column(1))
         for at, many in slices(texts):
             hashes, ends = shingle_sets(texts.slice(at, many), n)
+            # Workers are used again by later stages; what a slice took is given back before the next.
+            pa.default_memory_pool().release_unused()
             yield batch.column(0).slice(at, many), hashes, ends
 
 

@@ -364,6 +364,21 @@ def test_jaccard_join_shuffles_windows_and_sketches_once(spark, docs, monkeypatc
     assert sketched and all("ReusedExchange" in p for p in sketched)
 
 
+def test_shingles_give_back_what_a_slice_took(monkeypatch):
+    texts = [" ".join(f"w{i}_{k}" for k in range(200)) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts)], names=["doc_id", "text"])
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+
+    monkeypatch.setattr(jaccard_join.pa, "default_memory_pool", Pool)
+    found = list(jaccard_join._each_slice(iter([batch]), 4))
+    assert len(found) > 1 and len(released) == len(found)
+    assert sum(len(hashes) for _, hashes, _ in found) == 4000 * 197
+
+
 # Searches
 
 
