@@ -308,27 +308,42 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, re
     return written(never.unionByName(exact))
 
 
-def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _regions(nodes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of the regions with two nodes, the members of those with more, and all nodes of either.
 
     Members are ``g, node, depth, size, shares``; ``depth`` is the one-sided distance to the region's pivot, the
-    number of a set's shingles before ``g``.
+    number of a set's shingles before ``g``.  Members too deep to link to any other with ``g`` as the first common
+    shingle are left out: in a large table that is most of what meets by chance.
     """
     # Most of what enters is alone in its region.  It is shuffled once, for the counts and for the join with them; the
     # counts take all columns, since with fewer Spark would make another shuffle of them.
     entered = nodes.select(F.posexplode("window").alias("depth", "g"), "node", "size").repartition("g")
-    counts = entered.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("node", "depth", "size")).alias("_least"))
-    shared = counts.select("g", "n", F.col("_least.node").alias("least")).where(F.col("n") > 1)
-    members = written(entered.join(shared, "g"))
-    # Copies share many shingles: of regions with the same nodes the first in the order is enough.
-    marks = members.groupBy("n", "least", "g").agg(
-        F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum("depth").alias("depths")
+    after = F.col("size") - F.col("depth")
+    counts = entered.groupBy("g").agg(
+        F.count("*").alias("n"),
+        F.min("node").alias("least"),
+        F.max("node").alias("other"),
+        F.bit_xor(F.xxhash64("node")).alias("mark"),
+        F.sum("depth").alias("depths"),
+        F.min("depth").alias("_depth"),
+        F.max("size").alias("_size"),
+        (F.sum("depth") + F.max(after) - F.min(after)).alias("_between"),
+        F.sum("size").alias("_sizes"),
     )
-    one = written(marks.groupBy("n", "least", "other", "mark").agg(F.min_by("g", "depths").alias("g")))
-    two = one.where((F.col("n") == 2) & (F.col("least") != F.col("other")))
-    more = members.join(one.where(F.col("n") > 2).select("g"), "g", "left_semi")
+    shared = counts.where(F.col("least") != F.col("other"))
+    # Of two members both depths are known, else the least of the others' and the size of the largest that can link.
+    two, largest = F.col("n") == 2, F.floor(F.col("size") * rule.whole / rule.part)
+    apart = F.when(two, F.col("_between")).otherwise(F.col("depth") + F.col("_depth"))
+    total = F.when(two, F.col("_sizes")).otherwise(F.col("size") + F.least("_size", largest))
+    met = entered.join(shared, "g").where(rule.near(apart, total, F.lit(0)))
+    marks = ["n", "least", "other", "mark"]
+    members = written(met.select("g", *marks, "depths", "node", "depth", "size"))
+    # Copies share many shingles: of regions with the same nodes, those left out included, the first in the order is enough.
+    one = written(members.groupBy(*marks).agg(F.min_by("g", "depths").alias("g")))
+    two = one.where("n = 2")
+    more = members.where("n > 2").join(one.where("n > 2").select("g"), "g", "left_semi")
     # A node that shares much of its window is near the centre of its copies: a good pivot.
-    shares = members.groupBy("node").agg(F.count("*").alias("shares"))
+    shares = written(members.groupBy("node").agg(F.count("*").alias("shares")))
     more = more.groupBy("g", "node").agg(F.min("depth").alias("depth"), F.max("size").alias("size"))
     more = more.join(shares, "node")
     return two.select(F.col("least").alias("pivot"), F.col("other").alias("node")), more, shares.select("node")
@@ -340,7 +355,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     ``nodes`` holds ``node, size, window, bits, several``, ``docs`` the texts by ``doc_id``.  Nodes are ``several`` if
     their id has several texts; the triangle inequality does not hold for those.
     """
-    pairs, members, meeting = _regions(nodes)
+    pairs, members, meeting = _regions(nodes, rule)
     several = written(nodes.where("several").select("node").distinct())
     repeated = not several.isEmpty()
     # Only nodes that meet another one are ever compared.
@@ -367,7 +382,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         if inside.isEmpty():
             return found
         if known is None or not linked.isEmpty():
-            known = components(found)
+            known = written(components(found))
         found = known.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
         rest = (
             inside.drop("component", "peers", "open")
@@ -376,10 +391,12 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             .withColumn("component", F.coalesce("component_id", "node"))
             .drop("component_id")
         )
-        rest = written(_unconnected(rest))
+        # Counting reads its members three times, so they are written before.
+        rest = written(_unconnected(written(rest)))
         kept = rest.drop("peers", "open", "_open", "_all")
         if count <= MEASURED:
-            kept = kept.join(_outside(rest, reached, tested, known, several, radius), ["g", "node"], "left_anti")
+            outside = written(_outside(rest, reached, tested, known, several, radius))
+            kept = written(kept.join(outside, ["g", "node"], "left_anti"))
         few = (F.col("_open") * F.col("_all") <= SMALL).alias("small")
         left = written(_unconnected(kept).select(*inside.columns, few))
         if left.isEmpty():

@@ -364,6 +364,41 @@ def test_jaccard_join_shuffles_windows_and_sketches_once(spark, docs, monkeypatc
     assert sketched and all("ReusedExchange" in p for p in sketched)
 
 
+def test_jaccard_join_leaves_out_what_meets_too_deep(docs, monkeypatch):
+    rows = []
+    for c in "ab":
+        frequent = [f"{c}{i}" for i in range(84)]
+        rows.append((len(rows), " ".join([*(f"own_{c}{i}" for i in range(15)), "shared", *frequent])))
+        for k in range(3):
+            rows.append((len(rows), " ".join([*frequent, *(f"rare_{c}{k}_{i}" for i in range(60))])))
+    measured, made = jaccard_join.measured, []
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return measured(pairs, *args)
+
+    monkeypatch.setattr(jaccard_join, "measured", counted)
+    rule = jaccard_join.Rule(1, 80, 100)
+    got = jaccard_join.near_duplicates(docs(rows), rule).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, rule)
+    assert sum(made) == 0, made
+
+
+def test_jaccard_join_plans_of_a_round_stay_small(docs, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:20], *(rng.choice(words) for _ in range(20))])) for i in range(20)]
+    unconnected, plans = jaccard_join._unconnected, []
+
+    def planned(members):
+        plans.append(members._jdf.queryExecution().optimizedPlan().toString())
+        return unconnected(members)
+
+    monkeypatch.setattr(jaccard_join, "_unconnected", planned)
+    jaccard_join.near_duplicates(docs(rows), jaccard_join.Rule(n=1, part=80, whole=100)).collect()
+    assert len(plans) > 1 and not any("Join" in p or "Aggregate" in p for p in plans)
+
+
 def test_shingles_give_back_what_a_slice_took(monkeypatch):
     texts = [" ".join(f"w{i}_{k}" for k in range(200)) for i in range(4000)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts)], names=["doc_id", "text"])
