@@ -7,11 +7,15 @@ median.  All vectors are then sent down all trees.  A query walks the trees thro
 priority queue, ordered by the smallest margin on the way, and collects leaves until they hold
 ``reach`` vectors; all vectors of those leaves are ranked by their exact distance.
 
+The index is dealt into blocks of at most ``BLOCK_BYTES``.  A query comes to every block with its vector and its leaves; there the
+vectors of those leaves are looked up, each is measured once, and only the ``k + 1`` nearest leave the task.  Pairs of a query and a
+candidate, whose number grows with that of the queries times the reach, are never rows.
+
 The reach follows from the table: the nearest vectors of ``TRIALS`` queries (those with the smallest hash) are found by brute force over
 all vectors, and the reach is the least that finds the share ``RECALL`` of them, ``REACH`` at least.
 
-The forest has a bounded size (trees times sample / leaf planes) and is broadcast; the index of all
-vectors is a table of leaf numbers, joined with the leaves that queries ask for.  Equal vectors are
+The forest has a bounded size (trees times sample / leaf planes) and is broadcast; the index is a table of all
+vectors with their leaf numbers.  Equal vectors are
 indexed and searched once and stand for the ``k + 1`` smallest ids that hold them, which ranking cuts
 before the shuffle, so a vector that a third of the rows share stays one entry.
 
@@ -24,7 +28,7 @@ are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +47,9 @@ SAMPLE_BYTES = 32 << 20
 #: Queries that are also answered by brute force, and the share of their neighbours that the reach has to find.
 TRIALS = 256
 RECALL = 0.95
+#: Blocks of the index, or more where a block would hold more than so many bytes (8 per component).
+BLOCKS = 16
+BLOCK_BYTES = 16 << 20
 
 
 @dataclass
@@ -120,14 +127,98 @@ def usable(vector: str) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _lists(rows: Sequence[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _distance(a: str, b: str) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+class _Block:
+    """Vectors of one block, and which of them each leaf holds."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        self.keys = np.concatenate([p["key"].to_numpy() for p in parts])
+        self.first = np.concatenate([p["first"].to_numpy() for p in parts])
+        # A row per component.
+        self.x = np.ascontiguousarray(np.concatenate([_matrix(p["vector"]) for p in parts]).T)
+        leaves = np.concatenate([p["leaves"].flatten().to_numpy() for p in parts])
+        order = np.argsort(leaves, kind="stable")
+        self.rows = order // max(1, len(leaves) // len(self.keys))
+        self.starts = np.searchsorted(leaves[order], np.arange(leaves.max() + 2))
+
+    def nearest(self, query: np.ndarray, leaves: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the ``n`` nearest vectors that ``leaves`` hold."""
+        leaves = leaves[leaves < len(self.starts) - 1]
+        asked = np.zeros(len(self.keys), bool)
+        start, length = self.starts[leaves], self.starts[leaves + 1] - self.starts[leaves]
+        asked[self.rows[np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())]] = True
+        at = np.flatnonzero(asked)
+        total = np.zeros(len(at))
+        with np.errstate(over="ignore"):
+            # In the order of the components: the same sum in every block and on every machine.
+            for row, own in zip(self.x, query, strict=True):
+                apart = row[at] - own
+                apart *= apart
+                total += apart
+        score = np.sqrt(total)
+        if len(at) > n:
+            close = score <= np.partition(score, n - 1)[n - 1]
+            at, score = at[close], score[close]
+        best = np.lexsort((self.keys[at], self.first[at], score))[:n]
+        return at[best], score[best]
+
+
+def _ranked(indexed: DataFrame, probes: DataFrame, blocks: int, n: int) -> DataFrame:
+    """``query, key, first, score``: of every block the ``n`` nearest vectors of the leaves that each query asks for.
+
+    ``indexed`` holds ``key, first, vector, leaves``, ``probes`` ``query, vector, leaves``.  Of a block a task first gets the vectors, which it
+    holds, then the queries, which stream by.
+    """
+    own = indexed.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "*")
+    asking = probes.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.lit(1).alias("asks"),
+        F.col("query").alias("key"),
+        F.lit(None).cast("bigint").alias("first"),
+        "vector",
+        "leaves",
+    )
+    dealt = own.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held = -1, [], None
+        for batch in batches:
+            block, asks = batch["block"].to_numpy(), batch["asks"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(2 * block + asks)) + 1).tolist(), len(block)]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if block[start] != at:
+                    at, parts, held = block[start], [], None
+                part = batch.slice(start, stop - start)
+                if not asks[start]:
+                    parts.append(part)
+                    continue
+                if held is None and parts:
+                    held, parts = _Block(parts), []
+                if held is None:
+                    continue
+                lists = np.split(part["leaves"].flatten().to_numpy(), np.cumsum(part["leaves"].value_lengths().to_numpy())[:-1])
+                found = [held.nearest(q, leaves, n) for q, leaves in zip(_matrix(part["vector"]), lists, strict=True)]
+                places = np.concatenate([f[0] for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part["key"].to_numpy(), [len(f[0]) for f in found])),
+                        pa.array(held.keys[places]),
+                        pa.array(held.first[places]),
+                        pa.array(np.concatenate([f[1] for f in found])),
+                    ],
+                    names=["query", "key", "first", "score"],
+                )
+
+    return dealt.mapInArrow(rank, "query bigint, key bigint, first bigint, score double")
 
 
 def _nearest(vectors: DataFrame, trials: pa.Table, k: int) -> dict[int, np.ndarray]:
@@ -162,17 +253,17 @@ def _search_length(vectors: DataFrame, asked: DataFrame, members: DataFrame, k:
     sample = vectors.orderBy(F.xxhash64("vector"), "key").limit(most).select("vector").toArrow()["vector"].combine_chunks()
     forest = context.broadcast(fit(_matrix(sample), trees))
 
+    kind, asked_kind = (rows.schema["vector"].dataType.simpleString() for rows in (vectors, asked))
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = forest.value.place(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), leaves.shape[1])), pa.array(leaves.ravel())],
-                names=["key", "leaf"],
-            )
+            leaves = forest.value.place(_matrix(batch["vector"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(leaves)], names=["key", "first", "vector", "leaves"])
 
-    indexed = saved(vectors.select("key", "vector").mapInArrow(index, "key bigint, leaf int"))
+    indexed = vectors.select("key", F.col("first").cast("long"), "vector")
+    indexed = saved(indexed.mapInArrow(index, f"key bigint, first bigint, vector {kind}, leaves array<int>"))
     # One number per leaf of the forest, whatever the number of vectors.
-    held = indexed.groupBy("leaf").count().collect()
+    held = indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()
     sizes = np.zeros(trees * forest.value.leaves, np.int64)
     for leaf, n in held:
         sizes[leaf] = n
@@ -186,20 +277,13 @@ def _search_length(vectors: DataFrame, asked: DataFrame, members: DataFrame, k:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            walks = [forest.value.walk(q, counted.value, reach) for q in _matrix(batch.column(1))]
-            keys = np.repeat(batch.column(0).to_numpy(), [len(w) for w in walks])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int32), *walks]).astype(np.int32))],
-                names=["query", "leaf"],
-            )
-
-    probes = asked.select("key", "vector").mapInArrow(probe, "query bigint, leaf int")
-    pairs = probes.join(indexed, "leaf").select("query", "key").distinct()
-    scored = (
-        pairs.join(vectors, "key")
-        .join(asked.select(F.col("key").alias("query"), F.col("vector").alias("_asked")), "query")
-        .select("query", "key", "first", _distance("vector", "_asked").alias("score"))
-    )
+            walks = [np.array(forest.value.walk(q, counted.value, reach), np.int32) for q in _matrix(batch["vector"])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(walks)], names=["query", "vector", "leaves"])
+
+    probes = asked.select(F.col("key").alias("query"), "vector").mapInArrow(probe, f"query bigint, vector {asked_kind}, leaves array<int>")
+    n_vectors = int(sizes[: forest.value.leaves].sum())
+    blocks = max(BLOCKS, -(-8 * (length[0] if length else 0) * n_vectors // BLOCK_BYTES))
+    scored = _ranked(indexed, probes, blocks, k + 1)
     # The nearest k + 1 different vectors hold the nearest k ids.
     nearest = _smallest(scored, "query", k + 1, "score", "first", "key")
     ids = nearest.join(members, "key").groupBy("query", "id").agg(F.min("score").alias("score"))

@@ -482,6 +482,29 @@ def test_forest_search_recall_on_a_table_far_beyond_its_reach(spark):
     assert hits >= 0.9 * 600
 
 
+def test_forest_search_makes_no_row_per_candidate(spark, monkeypatch):
+    vectors = np.random.default_rng(4).standard_normal((2000, 16)).astype(np.float32).astype(float)
+    vectors[1000:1100] = vectors[40]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<float>")
+    ranked, smallest = [], forest_search._smallest
+
+    def counted(rows, by, n, *order):
+        if by == "query":
+            ranked.append(rows.count())
+        return smallest(rows, by, n, *order)
+
+    monkeypatch.setattr(forest_search, "_smallest", counted)
+    got = forest_search.search(frame, frame.where("id % 40 = 0"), k=10).toPandas()
+    # The reach takes in the whole table: 50 queries times 1901 different vectors are candidates.
+    assert max(n for n in ranked[1:]) <= 50 * 16 * 11
+    for q in range(0, 2000, 40):
+        distance = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        near = [i for i in np.lexsort((np.arange(2000), distance)) if i != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.id.tolist() == near
+        assert own.score.tolist() == pytest.approx(distance[near].tolist(), rel=1e-12)
+
+
 # Fixity
 
 
