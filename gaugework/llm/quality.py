@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.shared import extended, fold, labelled_sample, slices, strings
+from gaugework.llm.shared import bounded_batches, extended, fold, labelled_sample, slices, strings
 
 BLOCK = 4096
 LEVEL = 3
@@ -211,4 +211,5 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
     """``docs`` plus ``score``; by default rows with ``crc32(doc_id) mod 5 = 0`` are not learned from."""
+    bounded_batches(docs.sparkSession)
     return scored(docs, fit(docs, labels, fold("doc_id", 5) != 0 if train is None else train))

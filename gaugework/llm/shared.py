@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from gaugework.session import shared_dir
 
 SLICE_BYTES = 4 << 20
+#: Texts go to Python in batches of about so many bytes.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
@@ -42,6 +45,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session sends batches of about ``BATCH_BYTES`` to Python, unless the caller has set a bound.
+
+    By Spark's own bounds (10,000 rows, 64 MB) a batch of texts holds tens of MB.  The JVM has it several times over outside its
+    heap, for every core, and so has the Python worker.  Results do not depend on batches.  The setting stays, since
+    frames that are returned run after the call.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

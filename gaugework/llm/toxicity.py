@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.quality import curve
-from gaugework.llm.shared import extended, fold, labelled_sample, slices, strings
+from gaugework.llm.shared import bounded_batches, extended, fold, labelled_sample, slices, strings
 
 SAMPLE = 10_000
 CANDIDATES = 4_096
@@ -41,6 +41,8 @@ SUPPORT, ODDS = 3, 4.0
 #: Times the lexicon covers each toxic text, where it can.
 COVER = 4
 LEXICON = 256
+#: Bytes of sample texts whose entries a task holds at a time.
+FITTED_BYTES = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 
 
@@ -189,17 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [
-                sorted({e for w in words if w for e in entries(w)})
-                for words in (
-                    pc.split_pattern_regex(pc.utf8_lower(strings(batch.column(0)).slice(i, 1)), pattern=r"[^\p{L}]+")
-                    .flatten()
-                    .unique()
-                    .to_pylist()
-                    for i in range(batch.num_rows)
+            whole = strings(batch.column(0))
+            # A text's entries are many times its size as Python strings, so few texts have theirs at a time.
+            for at, many in slices(whole, FITTED_BYTES):
+                own = [
+                    sorted({e for w in words if w for e in entries(w)})
+                    for words in (
+                        pc.split_pattern_regex(pc.utf8_lower(whole.slice(i, 1)), pattern=r"[^\p{L}]+").flatten().unique().to_pylist()
+                        for i in range(at, at + many)
+                    )
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(at, many), pa.array(own, pa.list_(pa.string()))], names=["label", "entries"]
                 )
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["label", "entries"])
+                pa.default_memory_pool().release_unused()
 
     rows = texts.select("text", "label")
     total = rows.groupBy("label").count().collect()
@@ -266,10 +271,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 score = 1 / (1 + np.exp(-np.clip(raw, -700, 700)))
                 part = batch.slice(at, many)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
+                # Workers are used again by later stages; what a slice took is given back before the next.
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, extended(docs, score="double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
     """``docs`` plus ``score``; by default rows with ``crc32(doc_id) mod 3 = 1`` are not learned from."""
+    bounded_batches(docs.sparkSession)
     return scored(docs, fit(docs, labels, fold("doc_id", 3) != 1 if train is None else train))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaugework.llm import byte_bpe, chat, fixity, forest_search, hamming_search, jaccard_join, packing, quality, toxicity, url_model
 from gaugework.llm import components as components_module
 from gaugework.llm.components import components
-from gaugework.llm.shared import written
+from gaugework.llm.shared import BATCH_BYTES, bounded_batches, written
 from tests.llm.conftest import DOCS, tuples
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -482,6 +482,34 @@ def test_forest_search_recall_on_a_table_far_beyond_its_reach(spark):
     assert hits >= 0.9 * 600
 
 
+@pytest.mark.parametrize("operator", ["toxicity", "quality"])
+def test_texts_go_to_python_in_short_batches(spark, operator):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def batches(frame):
+        def size(each):
+            for batch in each:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+        return [r[0] for r in frame.mapInArrow(size, "bytes long").collect()]
+
+    long = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    few = spark.createDataFrame([(1, "a b c d")], DOCS)
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, toxic int, quality int")
+    own = spark.conf.get(setting, None)
+    try:
+        spark.conf.unset(setting)
+        {"toxicity": lambda: toxicity.toxicity(few, labels), "quality": lambda: quality.quality(few, labels)}[operator]()
+        sizes = batches(long)
+        assert sum(sizes) > 15_000_000 and max(sizes) < 2 * BATCH_BYTES
+        # A bound of the caller's own is kept.
+        spark.conf.set(setting, "1000000")
+        bounded_batches(spark)
+        assert spark.conf.get(setting) == "1000000"
+    finally:
+        spark.conf.unset(setting) if own is None else spark.conf.set(setting, own)
+
+
 def test_forest_search_makes_no_row_per_candidate(spark, monkeypatch):
     vectors = np.random.default_rng(4).standard_normal((2000, 16)).astype(np.float32).astype(float)
     vectors[1000:1100] = vectors[40]
