@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import components
-from gaugework.llm.shared import mix, slices, strings, written
+from gaugework.llm.shared import bounded_batches, mix, slices, strings, written
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -490,6 +490,7 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     ``component_id`` is the smallest id that links reach, the document's own included.
     """
     rule = rule or Rule()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = written(sketches(docs, rule))
     nodes = written(

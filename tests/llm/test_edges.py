@@ -482,7 +482,7 @@ def test_forest_search_recall_on_a_table_far_beyond_its_reach(spark):
     assert hits >= 0.9 * 600
 
 
-@pytest.mark.parametrize("operator", ["toxicity", "quality"])
+@pytest.mark.parametrize("operator", ["near_duplicates", "toxicity", "quality"])
 def test_texts_go_to_python_in_short_batches(spark, operator):
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -499,7 +499,11 @@ def test_texts_go_to_python_in_short_batches(spark, operator):
     own = spark.conf.get(setting, None)
     try:
         spark.conf.unset(setting)
-        {"toxicity": lambda: toxicity.toxicity(few, labels), "quality": lambda: quality.quality(few, labels)}[operator]()
+        {
+            "near_duplicates": lambda: jaccard_join.near_duplicates(few),
+            "toxicity": lambda: toxicity.toxicity(few, labels),
+            "quality": lambda: quality.quality(few, labels),
+        }[operator]()
         sizes = batches(long)
         assert sum(sizes) > 15_000_000 and max(sizes) < 2 * BATCH_BYTES
         # A bound of the caller's own is kept.
